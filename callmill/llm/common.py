@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -48,3 +52,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(col, UPPER, LOWER)
+
+
+#: Rows that a task holds as Python values at once.
+SLICE_ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def with_python_columns(df: DataFrame, inputs: list[str], make: Callable[..., list], added: list[tuple[str, T.DataType]], drop: tuple[str, ...] = (), rows: int = SLICE_ROWS) -> DataFrame:
+    """``df`` with columns that ``make`` builds from the lists of its ``inputs``.
+
+    ``make`` returns a list of values for each added column.  The other columns
+    pass through as Arrow data, untouched.  Columns of ``df`` that have the
+    name of an added one are replaced.
+    """
+    names = {n for n, _ in added} | set(drop)
+    kept = [f for f in df.schema if f.name not in names]
+    arrow = [(n, to_arrow_type(t)) for n, t in added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, rows):
+            made = make(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs))
+            arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+            arrays += [pa.array(v, t) for v, (_, t) in zip(made, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + [n for n, _ in arrow])
+
+    out = T.StructType([*kept, *(T.StructField(n, t) for n, t in added)])
+    return df.mapInArrow(run, out)

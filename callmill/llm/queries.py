@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_filter, warc
+from . import line_dedup, minhash, mixing, url_filter, warc
 from .common import read
 
 #: The rules that the URL query judges by.
@@ -18,10 +18,19 @@ URL_RULES = [
 ]
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -30,7 +39,7 @@ def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_packages(warc.write_packages(read(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op7_url_filter, op8_warc_zip)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_mix_sources, op5_minhash_dedup, op7_url_filter, op8_warc_zip)}
 
 _ALPHABETS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _RULE_ROWS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
@@ -72,6 +81,16 @@ WITH rules(r_host, r_path, r_verdict) AS (VALUES {_RULE_ROWS}), rests AS (
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM judged""",
 }
 
+ORACLE_SQL["op2_line_dedup"] = rf"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
+), keyed AS (
+  SELECT doc_id, pos, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), {_ALPHABETS}) AS key FROM lines
+), firsts AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id > first) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE first IS NULL OR doc_id = first), '')) AS kept_sha256
+FROM keyed LEFT JOIN firsts USING (key) GROUP BY doc_id"""
+
 # base 32 of a SHA-1: every five bits of the hexadecimal digits, read as a number
 _BITS = "".join(f"WHEN '{d:x}' THEN '{d:04b}' " for d in range(16))
 ORACLE_SQL["op8_warc_zip"] = f"""
