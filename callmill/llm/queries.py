@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, minhash, mixing, url_filter, warc
+from . import decontaminate, line_dedup, media, minhash, mixing, pii, quality, toxicity, url_filter, warc
 from .common import read
 
+#: A key for tests; callers bring their own.
+PII_KEY = b"callmill test key"
 #: The rules that the URL query judges by.
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"),
@@ -18,11 +20,33 @@ URL_RULES = [
 ]
 
 
+def _remainder(doc_id: Column, divisor: int) -> Column:
+    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(divisor))
+
+
+def toxicity_network(docs: DataFrame, labels: DataFrame) -> toxicity.Network:
+    """Trained on the labelled documents that are not held out."""
+    learnt = labels.where(_remainder(F.col("doc_id"), 4) != 2).select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.train(docs.select("doc_id", "text").join(learnt, "doc_id"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_network(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -31,6 +55,11 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.text_media(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -39,7 +68,16 @@ def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_packages(warc.write_packages(read(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_mix_sources, op5_minhash_dedup, op7_url_filter, op8_warc_zip)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), lambda i: _remainder(i, 3) != 1)
+    return scored.select("doc_id", (_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_decontaminate, op4_mix_sources, op5_minhash_dedup, op6_media_columns, op7_url_filter, op8_warc_zip, op9_pii, op10_quality)}
 
 _ALPHABETS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _RULE_ROWS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
@@ -91,6 +129,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id > first) AS n_
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE first IS NULL OR doc_id = first), '')) AS kept_sha256
 FROM keyed LEFT JOIN firsts USING (key) GROUP BY doc_id"""
 
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_ALPHABETS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL["op3_decontaminate"] = f"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark), windows AS (
+  SELECT item_id, len(w[i + 1 : i + 13]) AS n, array_to_string(w[i + 1 : i + 13], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 12, 1))) AS i FROM items WHERE len(w) > 0)
+), docs AS (SELECT doc_id, {_WORDS} AS w FROM documents), lengths AS (SELECT DISTINCT n FROM windows), grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM docs, lengths WHERE len(w) >= n)
+), matches AS (
+  SELECT doc_id, i, n, item_id FROM grams JOIN windows USING (n, win)
+), hits AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM (SELECT DISTINCT doc_id, i, n FROM matches)) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM matches) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
 # base 32 of a SHA-1: every five bits of the hexadecimal digits, read as a number
 _BITS = "".join(f"WHEN '{d:x}' THEN '{d:04b}' " for d in range(16))
 ORACLE_SQL["op8_warc_zip"] = f"""

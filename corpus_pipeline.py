@@ -1,9 +1,63 @@
-"""From raw documents to a training mix."""
-from callmill.llm import queries  # noqa: F401
+"""From raw documents to a training mix: each stage works on what the one before it kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from callmill.llm import decontaminate, line_dedup, minhash, mixing, toxicity
+from callmill.llm.common import read, stage
+from callmill.llm.queries import toxicity_network
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network rejects go."""
+    scored = toxicity.score(docs, toxicity_network(docs, read(spark, sf_dir, "labels")))
+    return scored.where("predicted = 0").select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds go; documents stay, with fewer lines."""
+    cut = line_dedup.dedup_lines(docs)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return cut.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates the document with the smallest id stays."""
+    kept = stage(minhash.near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
+    named = docs.where("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold too much of a benchmark go."""
+    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
+    bad = stage(found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "contaminated")
+    bad = decontaminate.sized(bad, F.lit(16))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_hash"]), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix, each document as often as it is taken, in the order of finish times."""
+    return mixing.mixed_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("near dedup", keep_one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+]
+#: The network and the fingerprints have no counterpart in SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
