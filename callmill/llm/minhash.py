@@ -5,29 +5,31 @@ hash function deals the set into ``BINS`` bins and keeps each bin's least
 value; an empty bin borrows from the first filled one in a fixed random order
 of its own (optimal densification).  ``BANDS`` bands of ``ROWS`` bins give the
 buckets that similar documents share: at a similarity of 0.8 a pair misses all
-of them with a probability of about 3e-7.
+of them with a probability of about 5e-6.
 
 Equal sets are one class with one representative, so copies never meet in a
 bucket.  Each bucket gives star-shaped candidate edges, from its members to a
-centre only: the smallest member in one of ``ORDERS`` random orders, which the
-band picks.  A bucket of n members so costs n - 1 edges, not n * (n - 1) / 2.
-Edges are confirmed on full sets, and the smallest id that a document reaches
-over confirmed edges is its component.
-
-Where a bucket's members end up in several components, the stars may have
-missed a link between two members that are not the centre.  Those buckets are
-starred again from a member outside the centre's component, until a round
-confirms no new link.  A link is missed only if both ends meet in no bucket in
-which one of them is a centre, and no chain of other links joins them.
+centre only: the first member in one of ``ORDERS``, which the bucket picks.  A
+bucket of n members so costs n - 1 edges, not n * (n - 1) / 2.  Edges are
+confirmed on full sets, and the smallest id that a document reaches over
+confirmed edges is its component.
+
+Where a bucket's members end up in several components, its star may have
+missed a link between two members that are not the centre.  Such buckets are
+split by further bands, in several ways, into parts that are small unless
+their members are alike, and each part is starred over its components.  What
+can still be missed is a link whose two ends are no centre in any of the
+buckets and parts that they share, and which no chain of other links replaces.
 
 Buckets are aggregated before they are joined back, and all joins are
 sort-merge joins that Spark can split, so a group with a third of all rows
 does not land in one task.  Components are found by DataFrame iteration;
 links, components and fingerprints stay out of the driver.
 
-Null, empty and wordless texts have no shingles and no links.  Rows that share
-an id are one document, and get the values of one of them.  Rows without an id
-are each on their own: no component, kept.  Only the id and text are read.
+Null, empty and wordless texts have no shingles and no links.  Ids are
+integers.  Rows that share an id are one document: each row has its own
+n_shingles, and all have the least component of their texts.  Rows without an
+id are each on their own: no component, kept.  Only the id and text are read.
 """
 
 from __future__ import annotations
@@ -37,14 +39,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stage
 
-BANDS, ROWS = 64, 7
+BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
-ORDERS = 4
+#: Random orders of ids: an id's place is the id XOR one of these.
+ORDERS = (0x2C9A5E1B7D3F4086, 0x51E3C7A90B6D2F18, 0x0F8B43D6E95A7C21, 0x73D1A6084CE2B59F)
+#: Links that one file of the component search holds about.
+LINKS_AT_ONCE = 250_000
+#: How often a mixed bucket is split by one further band, and by two.
+SPLITS = ((1, 4), (2, 4))
 SHINGLE = 4
 MIN_PERCENT = 80
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -168,76 +175,75 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     links = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     before = None
     while True:
+        few = max(4, links.count() // LINKS_AT_ONCE)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: larger neighbours hang onto the least of the neighbourhood
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stage(large, name)
+        large = stage(large.coalesce(few), name)
         # small star: a node and its smaller neighbours hang onto the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        links = stage(small.where("u <> v").distinct(), name)
+        links = stage(small.where("u <> v").distinct().coalesce(few), name)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = tuple(state)
 
 
+def order_of(bucket: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, ORDERS)), (F.pmod(bucket, F.lit(len(ORDERS))) + 1).cast("int"))
+
+
+def starred(members: DataFrame, *more: str) -> DataFrame:
+    """``members`` (bucket, id and columns ``more``) that aren't their bucket's centre, with the centre's c and c_<more>."""
+    place = F.col("id").bitwiseXOR(order_of("bucket"))
+    centres = members.groupBy("bucket").agg(F.min(place).alias("place"), F.count("*").alias("n"), *(F.min_by(x, place).alias(f"c_{x}") for x in more)).where("n > 1")
+    # written, so that the join reads both of its sides from exchanges of its own, which Spark can split
+    centres = stage(centres.select(F.col("bucket"), F.col("place").bitwiseXOR(order_of("bucket")).alias("c"), *(f"c_{x}" for x in more)), "centres")
+    return members.join(centres.hint("merge"), "bucket").where("id <> c")
+
+
+def edges_of(stars: DataFrame) -> DataFrame:
+    return stars.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = SHINGLE, min_percent: int = MIN_PERCENT) -> DataFrame:
     """id, n_shingles, component_id and kept (the id is the component's smallest)."""
+    docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
     prints = stage(fingerprints(docs, id_col, text, words), "fingerprints")
-    full = prints.where("id IS NOT NULL AND n_shingles > 0")
-    classes = stage(full.groupBy("set_hash").agg(F.min("id").alias("rep")), "classes")
-    # a representative's bands: the row whose id is its class's least
-    reps = full.join(classes.hint("merge"), (full["id"] == classes["rep"]) & (full["set_hash"] == classes["set_hash"]), "left_semi").dropDuplicates(["id"])
-    members = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
-    orders = [F.struct(F.xxhash64(F.lit(i), "id").alias("h"), "id", "n_shingles") for i in range(ORDERS)]
-    centre = F.min(F.element_at(F.array(*orders), (F.col("band") % ORDERS + 1).cast("int")))
-    centres = members.groupBy("bucket").agg(centre.alias("c"), F.count("*").alias("n")).where("n > 1")
-    stars = members.join(centres.hint("merge"), "bucket").where("id <> c.id")
-    stars = stage(stars.select("bucket", "id", "n_shingles", F.col("c.id").alias("c"), F.col("c.n_shingles").alias("c_size")), "stars")
-    edges = stage(candidates(stars, "id", "n_shingles", "c", "c_size", min_percent), "edges")
-    linked = stage(confirmed(edges, docs, id_col, text, words, min_percent), "links")
-    roots, again = components(linked), ORDERS
-    while True:
-        more = restarred(stars, roots, again, min_percent).join(edges, ["a", "b"], "left_anti")
-        more = stage(more, "edges")
-        if more.isEmpty():
-            break
-        new = stage(confirmed(more, docs, id_col, text, words, min_percent), "links")
-        if new.isEmpty():
-            break
-        edges, linked, again = edges.unionByName(more), linked.unionByName(new), again + 1
-        roots = components(linked)
+    classes = prints.where("id IS NOT NULL AND n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
+    classes = stage(classes, "classes")
+    stars = stage(starred(classes.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))).select("bucket", "id", "c"), "stars")
+    edges = stage(edges_of(stars), "edges")
+    links = stage(confirmed(edges, docs, id_col, text, words, min_percent), "links")
+    roots = components(links)
+    more = stage(split_stars(stars, classes, roots).join(edges, ["a", "b"], "left_anti"), "edges")
+    new = stage(confirmed(more, docs, id_col, text, words, min_percent), "links")
+    roots = components(links.unionByName(new))
     return labelled(prints, classes, roots, id_col)
 
 
-def candidates(pairs: DataFrame, x: str, x_size: str, y: str, y_size: str, min_percent: int) -> DataFrame:
-    """Distinct edges (a, b), larger id first, of sets whose sizes allow the similarity."""
-    allowed = 100 * F.least(x_size, y_size) >= min_percent * F.greatest(x_size, y_size)
-    return pairs.where(allowed).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
-
-
-def restarred(stars: DataFrame, roots: DataFrame, order: int, min_percent: int) -> DataFrame:
-    """Stars from another centre, in the buckets that hold several components.
-
-    The centre is a member outside the first centre's component, the edges
-    lead to the members of all other components.
-    """
+def split_stars(stars: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges between components, from stars over parts of the buckets that hold several."""
     of_id, of_c = (roots.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("id", "id_root"), ("c", "c_root")))
     rooted = stars.join(of_id.hint("merge"), "id", "left").join(of_c.hint("merge"), "c", "left")
-    rooted = rooted.withColumns({"id_root": F.coalesce("id_root", "id"), "c_root": F.coalesce("c_root", "c")})
-    odd = rooted.where("id_root <> c_root")
-    centre = F.min(F.struct(F.xxhash64(F.lit(order), "id").alias("h"), "id", "n_shingles", "id_root")).alias("k")
-    centres = odd.groupBy("bucket").agg(centre).select("bucket", F.col("k.id").alias("k"), F.col("k.n_shingles").alias("k_size"), F.col("k.id_root").alias("k_root"))
-    members = rooted.select("bucket", "id", "n_shingles", "id_root").unionByName(rooted.select("bucket", F.col("c").alias("id"), F.col("c_size").alias("n_shingles"), F.col("c_root").alias("id_root")))
-    pairs = members.join(centres.hint("merge"), "bucket").where("id_root <> k_root")
-    return candidates(pairs, "id", "n_shingles", "k", "k_size", min_percent)
+    rooted = stage(rooted.select("bucket", "id", F.coalesce("id_root", "id").alias("id_root"), "c", F.coalesce("c_root", "c").alias("c_root")), "rooted")
+    mixed = rooted.where("id_root <> c_root").select("bucket").distinct()
+    kept = rooted.join(mixed.hint("merge"), "bucket", "left_semi")
+    members = kept.select("bucket", "id", F.col("id_root").alias("root")).unionByName(kept.groupBy("bucket").agg(F.min("c").alias("id"), F.min("c_root").alias("root")))
+    members = stage(members.join(classes.select(F.col("rep").alias("id"), "bands").hint("merge"), "id"), "mixed")
+    parts = None
+    for width, times in SPLITS:
+        for i in range(times):
+            at = [F.element_at("bands", (F.pmod(F.shiftright("bucket", 8) + i * width + k, F.lit(BANDS)) + 1).cast("int")) for k in range(width)]
+            part = members.select(F.xxhash64("bucket", F.lit(i), *at).alias("bucket"), "id", "root")
+            parts = part if parts is None else parts.unionByName(part)
+    return edges_of(starred(parts, "root").where("root <> c_root"))
 
 
 def labelled(prints: DataFrame, classes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
     of_class = classes.join(roots.hint("merge"), classes["rep"] == roots["node"], "left").select("set_hash", F.coalesce("root", "rep").alias("root"))
-    # copies may be many: the smaller side is a row per class
     out = prints.select("id", "n_shingles", "set_hash").join(of_class.hint("merge"), "set_hash", "left")
     component = F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("root", "id"))
     out = out.select(F.col("id"), "n_shingles", component.alias("component_id"))
