@@ -192,7 +192,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     document with the smallest id of those that hold it.
     """
     lines = stage(suspected(docs, id_col, text, min_chars, broadcast_bytes), "suspects")
-    first = lines.groupBy("_key").agg(F.min("_id").alias("_first")).where("_first IS NOT NULL")
+    # written, so that the join reads both of its sides from exchanges of its own, which Spark can split
+    first = stage(lines.groupBy("_key").agg(F.min("_id").alias("_first")).where("_first IS NOT NULL"), "first")
     repeats = lines.join(first.hint("merge"), "_key").where(~F.col("_id").eqNullSafe(F.col("_first")))
     drops = repeats.groupBy(F.col("_id").alias("_drop_id")).agg(F.collect_set("_key").alias("_drop"))
     joined = docs.join(drops.hint("merge"), docs[id_col].eqNullSafe(drops["_drop_id"]), "left")
