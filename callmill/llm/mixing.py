@@ -32,7 +32,7 @@ from .common import WORD, stage
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Documents that one bucket holds about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
@@ -70,7 +70,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
     sized = stage(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
     sources, _ = source_targets(sized, weights, repeats, budget)
     total = sources.agg(F.sum("n_docs")).first()[0] or 0
-    buckets = max(16, -(-total // BUCKET_ROWS))
+    buckets = max(64, -(-total // BUCKET_ROWS))
     digest = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     placed = sized.withColumn("digest", digest).withColumn("bucket", F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("long"))
     dims = sources.select(F.col("source").alias("dim_source"), "source_id", "weight", "source_size", "target")
