@@ -87,9 +87,9 @@ def pack(records: list[tuple[str, bytes]], force_zip64: bool = False) -> bytes:
 def write_packages(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
     """The table of packages (package, bytes), written to the shared folder."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
+    # written, so that the join below reads both of its sides from exchanges of its own, which Spark can split
     holders = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.max("id").alias("holder"), F.count("*").alias("n")).where("n > 1").select("sha", "holder")
-    # repeats are few digests; those alone are looked up, so that payloads without a copy need no partner
-    rows = rows.join(holders, "sha", "left")
+    rows = rows.join(stage(holders, "holders"), "sha", "left")
     is_copy = F.col("holder").isNotNull() & ~F.col("id").eqNullSafe(F.col("holder"))
     rows = rows.withColumn("refers_to", F.when(is_copy, F.col("holder"))).drop("holder")
 
