@@ -15,7 +15,7 @@ from . import assembly
 
 # ---- fixed values
 SCHEMA_VERSION, SOURCE = "1", "proxy"
-RECORD = T.StructType.fromDDL(
+RECORD = (
     "schema_version string, source string, provider string, endpoint string, request_id string, "
     "capture struct<http_status: int, client_version: string, timestamp: string, project_id_hash: string, upstream_origin: string, "
     "sse_assembly: struct<`by`: string, client_version: string, rules_version: string>, garbled: boolean>, "
