@@ -38,16 +38,16 @@ def greedy_bins(rows: DataFrame, limit: int, key: str = "writer") -> DataFrame:
     return rows.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(fold, schema)
 
 
-#: Sessions together, records without one last, then by time and id.
-ORDER = [F.col("session_key") == "", F.col("session_key"), F.col("timestamp"), F.col("nanos"), F.col("request_id")]
-
-
 def batch_order(rows: DataFrame) -> DataFrame:
-    """Adds position within the batch; a session key that the index lost is taken from the body."""
+    """Adds position within the batch: sessions together, records without one last, then by time and id.
+
+    A session key that the index lost is taken from the body.
+    """
+    order = [F.col("session_key") == "", "session_key", "timestamp", "nanos", "request_id"]
     key = F.coalesce(F.nullif("session_key", F.lit("")), envelope.session_key(F.get_json_object("data", "$.request")))
     nanos = F.col("nanos") if "nanos" in rows.columns else F.lit(0)
     keyed = rows.withColumns({"session_key": key, "nanos": nanos})
-    return keyed.withColumn("position", F.row_number().over(Window.partitionBy("batch_id").orderBy(*ORDER)) - 1)
+    return keyed.withColumn("position", F.row_number().over(Window.partitionBy("batch_id").orderBy(*order)) - 1)
 
 
 def record_offsets(rows: DataFrame) -> DataFrame:
