@@ -206,7 +206,8 @@ def media_features(media: DataFrame) -> DataFrame:
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Every text as the one figure of an interleaved document, resolved: id, n_bytes, pos, caption and the image's features."""
-    features = media_features(store_media(docs, text))
+    # written, so that the join reads both of its sides from exchanges of its own, which Spark can split
+    features = stage(media_features(store_media(docs, text)), "features")
     n_bytes = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     html = F.concat(F.lit('<figure><img src="sha256:'), payload_digest(F.col(text)), F.lit('"><figcaption>'), n_bytes.cast("string"), F.lit(" bytes</figcaption></figure>"))
     pages = with_sequences(docs.select(F.col(id_col).alias("id"), n_bytes.alias("n_bytes"), html.alias("html")))
