@@ -109,16 +109,14 @@ class Network:
             "att": draw(2 * h, by=0.3), "out": draw(2 * h, by=0.3), "bias": np.full(1, -1.0, np.float32),
         })
 
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, tuple]:
-        """Inputs of distinct words; row 0 is the padding's."""
-        whole, grams, counts = char_ids(words)
-        mean = np.zeros((len(words), WIDTH), np.float32)
-        some = counts > 0
+    def inputs(self, whole: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Inputs of words, from their buckets; row 0 is the padding's."""
+        x = np.zeros((len(whole) + 1, 2 * WIDTH), np.float32)
+        x[1:, :WIDTH] = self.p["word"][whole]
+        some = np.flatnonzero(counts)
         if len(grams):
-            starts = (np.cumsum(counts) - counts)[some]
-            mean[some] = np.add.reduceat(self.p["char"][grams], starts, axis=0) / counts[some, None]
-        x = np.concatenate([self.p["word"][whole], mean], 1)
-        return np.concatenate([np.zeros((1, x.shape[1]), np.float32), x]), (whole, grams, counts)
+            x[1 + some, WIDTH:] = np.add.reduceat(self.p["char"][grams], (np.cumsum(counts) - counts)[some], axis=0) / counts[some, None]
+        return x
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """What the inputs add to the gates of both directions."""
@@ -203,7 +201,6 @@ class Scorer:
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
         self.gates = self.net.gates(np.zeros((1, 2 * WIDTH), np.float32))
-        self.spare = [self.gates]
 
     def learn(self, texts: list[list[str]]) -> None:
         new = list({w for words in texts for w in words} - self.rows.keys())
@@ -213,7 +210,7 @@ class Scorer:
         if new:
             start = self.gates.shape[1]
             self.rows.update(zip(new, range(start, start + len(new)), strict=True))
-            x, _ = self.net.inputs(new)
+            x = self.net.inputs(*char_ids(new))
             self.gates = np.concatenate([self.gates, self.net.gates(x[1:])], 1)
 
     def window_logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -235,27 +232,44 @@ class Scorer:
         return sigmoid(self.net.slope * top + self.net.offset)
 
 
-def guessed_windows(texts: list[list[str]], y: np.ndarray, use: np.ndarray) -> list[int]:
-    """For each text the window with the word or n-gram that tells most of label 1."""
-    seen = [{}, {}]
-    for words, label, used in zip(texts, y, use, strict=True):
-        whole, grams, _ = char_ids(sorted(set(words)) if used else [])
-        found = Counter({*whole.tolist(), *(grams + BUCKETS).tolist()})
-        for k in found:
-            seen[int(label)][k] = seen[int(label)].get(k, 0) + 1
-    n1, n0 = max(1, y[use].sum()), max(1, (1 - y[use]).sum())
-    odds = np.zeros(2 * BUCKETS)
-    for k, n in seen[1].items():
-        odds[k] = np.log((n + 0.1) / n1) - np.log((seen[0].get(k, 0) + 0.5) / n0) if n > 1 else 0
-    best = []
-    for words in texts:
-        whole, grams, counts = char_ids(words)
-        value = odds[whole]
-        owner = np.repeat(np.arange(len(words)), counts)
-        np.maximum.at(value, owner, odds[grams + BUCKETS])
-        value = np.append(value, 0.0)
-        best.append(int(np.argmax([value[s : s + WINDOW].sum() for s in window_starts(len(words))])))
-    return best
+class Vocabulary:
+    """The distinct words of training texts, numbered from 1, and their buckets; small integers throughout."""
+
+    #: Words whose n-grams are computed at once.
+    CHUNK = 20_000
+
+    def __init__(self, texts: list[str | None]):
+        rows: dict[str, int] = {}
+        self.texts = [np.array([rows.setdefault(w, len(rows) + 1) for w in text_words(t)], np.int32) for t in texts]
+        words, parts = list(rows), []
+        for i in range(0, len(words), self.CHUNK):
+            whole, grams, counts = char_ids(words[i : i + self.CHUNK])
+            parts.append((whole.astype(np.uint16), grams.astype(np.uint16), counts.astype(np.int32)))
+        self.whole, self.grams, self.counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint16), np.zeros(0, np.uint16), np.zeros(0, np.int32))
+        self.ends = np.cumsum(self.counts, dtype=np.int64)
+
+    def spans(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the n-grams of words (from 0) are, and how many each has."""
+        n = self.counts[used]
+        first = np.repeat(self.ends[used] - n - (np.cumsum(n) - n), n)
+        return first + np.arange(len(first)), n
+
+    def odds(self, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """For each word number the highest log odds of label 1 of the word and its n-grams."""
+        seen = np.zeros((2, 2 * BUCKETS), np.int32)
+        for text, label, used in zip(self.texts, y, use, strict=True):
+            if used and len(text):
+                words = np.unique(text) - 1
+                seen[int(label), np.unique(np.concatenate([self.whole[words].astype(np.int64), self.grams[self.spans(words)[0]].astype(np.int64) + BUCKETS]))] += 1
+        n1, n0 = max(1, y[use].sum()), max(1, (1 - y[use]).sum())
+        odds = np.where(seen[1] > 1, np.log((seen[1] + 0.1) / n1) - np.log((seen[0] + 0.5) / n0), 0.0)
+        out = np.zeros(len(self.whole) + 1)
+        out[1:] = odds[self.whole]
+        some = np.flatnonzero(self.counts)
+        if len(some):
+            best = np.maximum.reduceat(odds[self.grams.astype(np.int64) + BUCKETS], (self.ends - self.counts)[some])
+            out[1 + some] = np.maximum(out[1 + some], best)
+        return out
 
 
 def fit(texts: list[str | None], labels: list[int], prior: float = 1.0, steps: int = STEPS, seed: int = SEED) -> Network:
@@ -264,51 +278,25 @@ def fit(texts: list[str | None], labels: list[int], prior: float = 1.0, steps: i
     ``prior``: how much rarer label 1 is, against label 0, than in the texts.
     """
     rng, y = np.random.default_rng(seed), np.array(labels, np.float32)
-    split = [text_words(t) for t in texts]
     kept = np.zeros(len(y), bool)
     for label in (0, 1):
         kept[np.flatnonzero(y == label)[3::8]] = True
-    net = Network.fresh(rng)
-    new = sorted({w for words in split for w in words})
-    rows = {w: i + 1 for i, w in enumerate(new)}
-    whole, grams, counts = char_ids(new)
-    ends = np.cumsum(counts)
-    ids = [window_ids(len(w), np.array([rows[x] for x in w], np.int64)) for w in split]
+    net, vocabulary = Network.fresh(rng), Vocabulary(texts)
+    windows = [window_ids(len(t), t).astype(np.int32) for t in vocabulary.texts]
     toxic, clean = np.flatnonzero((y == 1) & ~kept), np.flatnonzero((y == 0) & ~kept)
-    chosen = guessed_windows(split, y, ~kept)
+    # which window of a toxic text is the toxic one: a first guess from words and n-grams
+    odds = vocabulary.odds(y, ~kept)
+    chosen = [int(odds[w].sum(1).argmax()) for w in windows]
     hard: list[tuple[int, int]] = []
     # embeddings start with a large cache: what few windows hold is learnt slowly, so that it isn't memorized
     cache = {k: np.full_like(v, START if k in ("word", "char") else 0) for k, v in net.p.items()}
-    for phase, share in enumerate((0.5, 0.3, 0.2)):
+    for share in (0.5, 0.3, 0.2):
         for _ in range(int(steps * share)):
             picked = [(i, chosen[i]) for i in rng.choice(toxic, BATCH // 2)]
             picked += [hard[k] for k in rng.integers(0, len(hard), BATCH // 4)] if hard else []
-            picked += [(i, int(rng.integers(len(ids[i])))) for i in rng.choice(clean, BATCH - len(picked))]
-            window = np.stack([ids[i][k] for i, k in picked])
-            used, local = np.unique(np.append(window, 0), return_inverse=True)
-            used = used[1:] - 1
-            spans = np.concatenate([np.arange(ends[k] - counts[k], ends[k]) for k in used]) if len(used) else np.zeros(0, np.int64)
-            x = np.zeros((len(used) + 1, 2 * WIDTH), np.float32)
-            x[1:, :WIDTH] = net.p["word"][whole[used]]
-            n = counts[used]
-            owner = np.repeat(np.arange(len(used)), n)
-            mean = np.zeros((len(used), WIDTH), np.float32)
-            if len(spans):
-                mean[n > 0] = np.add.reduceat(net.p["char"][grams[spans]], (np.cumsum(n) - n)[n > 0], axis=0)
-            x[1:, WIDTH:] = mean / np.maximum(n, 1)[:, None]
-            grads, d_x = net.gradients(x, local[:-1].reshape(window.shape), y[[i for i, _ in picked]])
-            for name, at, d in (("word", whole[used], d_x[1:, :WIDTH]), ("char", grams[spans], (d_x[1:, WIDTH:] / np.maximum(n, 1)[:, None])[owner])):
-                if len(at):
-                    order = np.argsort(at, kind="stable")
-                    place, first = np.unique(at[order], return_index=True)
-                    total = np.add.reduceat(d[order], first, axis=0)
-                    cache[name][place] += total**2
-                    net.p[name][place] -= RATE * total / np.sqrt(cache[name][place])
-            for name, d in grads.items():
-                cache[name] = 0.98 * cache[name] + 0.02 * d**2
-                net.p[name] -= 0.01 * d / (np.sqrt(cache[name]) + 1e-6)
-        gates = net.gates(net.inputs(new)[0])
-        logits = [net.logits(gates, w) for w in ids]
+            picked += [(i, int(rng.integers(len(windows[i])))) for i in rng.choice(clean, BATCH - len(picked))]
+            learn(net, cache, vocabulary, np.stack([windows[i][k] for i, k in picked]), y[[i for i, _ in picked]])
+        logits = text_logits(net, vocabulary, windows)
         chosen = [int(v.argmax()) for v in logits]
         hard = [(int(i), chosen[i]) for i in sorted(clean, key=lambda i: -logits[i].max())[: max(8, len(clean) // 8)]]
     tops = np.array([v.max() for v in logits], float)
@@ -316,14 +304,57 @@ def fit(texts: list[str | None], labels: list[int], prior: float = 1.0, steps: i
     return net
 
 
+def learn(net: Network, cache: dict[str, np.ndarray], vocabulary: Vocabulary, window: np.ndarray, y: np.ndarray) -> None:
+    """One step on a batch of windows."""
+    used, local = np.unique(np.append(window, 0), return_inverse=True)
+    used = used[1:] - 1
+    spans, n = vocabulary.spans(used)
+    whole, grams = vocabulary.whole[used], vocabulary.grams[spans]
+    grads, d_x = net.gradients(net.inputs(whole, grams, n), local[:-1].reshape(window.shape), y)
+    d_gram = np.repeat(d_x[1:, WIDTH:] / np.maximum(n, 1)[:, None], n, axis=0)
+    for name, at, d in (("word", whole, d_x[1:, :WIDTH]), ("char", grams, d_gram)):
+        if len(at):
+            order = np.argsort(at, kind="stable")
+            place, first = np.unique(at[order], return_index=True)
+            total = np.add.reduceat(d[order], first, axis=0)
+            cache[name][place] += total**2
+            net.p[name][place] -= RATE * total / np.sqrt(cache[name][place])
+    for name, d in grads.items():
+        cache[name] = 0.98 * cache[name] + 0.02 * d**2
+        net.p[name] -= 0.01 * d / (np.sqrt(cache[name]) + 1e-6)
+
+
+def text_logits(net: Network, vocabulary: Vocabulary, windows: list[np.ndarray], at_once: int = 32) -> list[np.ndarray]:
+    """The logits of every training window, some texts at a time."""
+    out = []
+    for i in range(0, len(windows), at_once):
+        part = windows[i : i + at_once]
+        used, local = np.unique(np.append(np.concatenate(part), 0), return_inverse=True)
+        spans, n = vocabulary.spans(used[1:] - 1)
+        gates = net.gates(net.inputs(vocabulary.whole[used[1:] - 1], vocabulary.grams[spans], n))
+        ids = local[:-1].reshape(-1, WINDOW)
+        found = np.concatenate([net.logits(gates, ids[k : k + WINDOWS_AT_ONCE]) for k in range(0, len(ids), WINDOWS_AT_ONCE)])
+        out += np.split(found, np.cumsum([len(w) for w in part])[:-1])
+    return out
+
+
 def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve through (x, y), by Newton's method with a small ridge."""
-    a = np.array([1.0, 0.0])
-    m = np.stack([x, np.ones_like(x)], 1)
-    for _ in range(30):
+    """Slope and offset of a logistic curve through (x, y): Newton's method with halved steps, a small ridge and smoothed labels."""
+    m, start = np.stack([x, np.ones_like(x)], 1), np.array([1.0, 0.0])
+    soft = np.where(y == 1, 1 - 1 / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+
+    def loss(a: np.ndarray) -> float:
+        z = m @ a
+        return float((weight * (np.logaddexp(0, z) - soft * z)).sum() + 0.5 * ((a - start) ** 2).sum())
+
+    a = start
+    for _ in range(50):
         q = sigmoid(m @ a)
-        hess = (m * (weight * q * (1 - q))[:, None]).T @ m + 0.1 * np.eye(2)
-        a = a - np.linalg.solve(hess, m.T @ (weight * (q - y)) + 0.1 * (a - [1.0, 0.0]))
+        hess = (m * (weight * q * (1 - q))[:, None]).T @ m + np.eye(2)
+        step = np.linalg.solve(hess, m.T @ (weight * (q - soft)) + a - start)
+        while loss(a - step) > loss(a) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        a = a - step
     return max(float(a[0]), 0.05), float(a[1])
 
 

@@ -1,0 +1,349 @@
+import base64
+import hashlib
+import io
+import random
+import zipfile
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from callmill.llm import decontaminate, line_dedup, media, minhash, mixing, pii, quality, toxicity, url_filter, warc
+from callmill.llm.queries import URL_RULES
+
+from . import plain
+
+WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra") for b in ("tor", "ven", "sil", "dun", "")]
+
+
+def prose(rng, n):
+    return " ".join(rng.choices(WORDS, k=n))
+
+
+# ---- line dedup
+
+LINES = [
+    (1, "Shared line number one\nshort\nown line of one\n"), (2, "  shared LINE number one\t\nshort\nanother own line"), (3, None), (4, ""), (5, "éééééééééé\nShared line number one"),
+    (6, "éééééééééé\nééééééééé"), (7, "ééééééééé"), (8, "twice in this document\ntwice in this document"), (9, "x" * 50_000 + "\nshared line number one"),
+]
+
+
+@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, 0])
+def test_line_dedup(spark, limit):
+    rows = line_dedup.dedup_lines(plain.docs(spark, LINES), broadcast_bytes=limit).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in rows} == plain.deduped(LINES)
+
+
+def test_line_dedup_edges(spark):
+    assert line_dedup.dedup_lines(plain.docs(spark, [])).count() == 0
+    rows = [(None, "a line of some length"), (None, "a line of some length"), (1, "own line of the first"), (1, "own line of the first")]
+    kept = sorted((r["doc_id"] or 0, r["n_dropped"]) for r in line_dedup.dedup_lines(plain.docs(spark, rows)).collect())
+    assert kept == [(0, 0), (0, 0), (1, 0), (1, 0)]
+    clash = plain.docs(spark, LINES[:2]).withColumn("kept_text", F.lit("old")).withColumn("hash", F.lit(1))
+    assert [r["kept_text"] for r in line_dedup.dedup_lines(clash).orderBy("doc_id").collect()] == [LINES[0][1], "short\nanother own line"]
+
+
+def test_bloom_never_misses():
+    hashes = np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64)
+    twice, found = line_dedup.twice_seen([hashes[:3000], hashes[2000:]])
+    assert set(hashes[2000:3000]) <= set(found)
+    assert twice.has(hashes[2000:3000]).all()
+
+
+# ---- near duplicates
+
+def near_rows(seed=3):
+    rng = random.Random(seed)
+    rows = [(i, prose(rng, rng.randint(1, 120))) for i in range(60)]
+    base = prose(rng, 150).split()
+    for i in range(60, 110):  # near copies, some just over and some just under the threshold
+        words = list(base)
+        for _ in range(rng.randint(0, 8)):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, rows[5][1].upper()) for i in range(5)]
+    return [*rows, (300, None), (301, ""), (302, " \n\t"), (303, "one two"), (304, "ONE  two"), (305, "one two three")]
+
+
+def test_near_duplicates(spark):
+    rows = near_rows()
+    got = minhash.near_duplicates(plain.docs(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain.components(rows)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_near_duplicates_edges(spark):
+    assert minhash.near_duplicates(plain.docs(spark, [])).count() == 0
+    rows = [(None, "a b c d e"), (None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e")]
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(plain.docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(None, None, True), (None, None, True), (7, 7, True), (7, 7, True)], key=str)
+
+
+def test_densification_keeps_similarity():
+    order, rng = minhash.borrow_order(), np.random.default_rng(2)
+    same = []
+    for _ in range(60):
+        x = rng.integers(0, 2**63, 30, dtype=np.uint64)
+        y = x.copy()
+        y[:3] = rng.integers(0, 2**63, 3, dtype=np.uint64)  # 27 of 33
+        same.append((minhash.signature(x, order) == minhash.signature(y, order)).mean())
+    assert abs(np.mean(same) - 27 / 33) < 0.03
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100)], "a long, b long")
+    got = {r["node"]: r["root"] for r in minhash.components(edges).collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {101: 100}
+
+
+# ---- decontamination
+
+def items_and_docs():
+    rng = random.Random(5)
+    items = [(1, prose(rng, 30)), (2, "Tiny Item"), (3, None), (4, ""), (5, "a a a a a a a a a a a a a a a"), (10, prose(rng, 13))]
+    long = items[0][1].split()
+    rows = [
+        (1, prose(rng, 40)), (2, "x " + items[0][1].upper() + " y"), (3, " ".join(long[3:15])), (4, " ".join(long[3:16])), (5, prose(rng, 2000) + " " + items[5][1]), (6, "say tiny, item! tiny item"),
+        (7, "a " * 40), (8, None), (9, ""), (10, "..."), (11, f"{items[5][1]} {items[5][1]}"), (12, " ".join(long[:13] + ["gap"] + long[13:])),
+    ]
+    return rows, items
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_contamination(spark, limit):
+    rows, items = items_and_docs()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(plain.docs(spark, rows), bench, broadcast_bytes=limit).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got} == plain.contamination(rows, items)
+
+
+def test_contamination_edges(spark):
+    bench = spark.createDataFrame([(1, "tiny item"), (None, "tiny item")], "item_id long, text string")
+    assert decontaminate.contamination(plain.docs(spark, []), bench).count() == 0
+    rows = plain.docs(spark, [(None, "tiny item"), (1, "tiny item"), (1, "tiny item"), (1, "other text")])
+    got = sorted((str(r["doc_id"]), r["n_hit"]) for r in decontaminate.contamination(rows, bench).collect())
+    assert got == [("1", 0), ("1", 2), ("1", 2), ("None", 2)]
+    clean = decontaminate.contamination(rows, bench.limit(0)).collect()
+    assert [r["contaminated"] for r in clean] == [False] * 4
+
+
+def test_proximity(spark):
+    rows = plain.docs(spark, [(1, "alpha x x Beta"), (2, "alpha x x x x beta"), (3, "beta alpha")])
+    phrase = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    got = decontaminate.proximity_matches(rows, phrase, 4).collect()
+    assert sorted((r["doc_id"], r["start"]) for r in got) == [(1, 0), (3, 0)]
+
+
+# ---- mixing
+
+def test_mixing(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randint(1, 30)), rng.choice(["b", "a", "é", None]) if i % 3 else "big") for i in range(400)] + [(900, None, "b"), (901, "", "c")]
+    got = mixing.mix_sources(plain.docs(spark, rows)).collect()
+    size = {i: len((t or "").split()) for i, t, _ in rows}
+    by_source: dict = {}
+    for i, _, s in rows:
+        by_source[s] = by_source.get(s, 0) + size[i]
+    want, taken = plain.targets(by_source), dict.fromkeys(by_source, 0)
+    for r in got:
+        assert r["size"] == size[r["doc_id"]]
+        assert r["target"] == pytest.approx(want[r["source"]])
+        assert r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 30 for s in want)
+    again = mixing.mix_sources(plain.docs(spark, rows[::-1])).collect()
+    assert {r["doc_id"]: r["taken"] for r in again} == {r["doc_id"]: r["taken"] for r in got}
+    mixed = mixing.mixed_documents(plain.docs(spark, rows)).collect()
+    assert sum(size[r["doc_id"]] for r in mixed) == sum(taken.values())
+    finish = [r["finish_time"] for r in mixed]
+    assert finish == sorted(finish)
+
+
+def test_mixing_edges(spark):
+    assert mixing.mix_sources(plain.docs(spark, [])).count() == 0
+    assert [r["taken"] for r in mixing.mix_sources(plain.docs(spark, [(1, None), (2, "")])).collect()] == [0, 0]
+    alone = mixing.mix_sources(plain.docs(spark, [(1, "a b"), (2, "c"), (2, "c"), (None, "d")])).collect()
+    assert sum(r["taken"] for r in alone) == 5
+
+
+# ---- URLs
+
+def test_urls(spark):
+    urls = [
+        ("http://example.org/es/1", "example.org/es/", "block"), ("http://a.EXAMPLE.org/en/12?x", "example.org/en/1", "block"), ("http://example.org/en/2", "org/", "allow"), ("http://notexample.org/es/", "org/", "allow"),
+        ("http://example.org", None, "allow"), ("x://org/", "org/", "allow"), ("http://b.com/de/x#y", "com/de/", "block"), ("http://b.com/DE/x", None, "allow"), ("http://b.com?/de/", None, "allow"),
+        ("http://b.com/fr/", "com/fr/", "allow"), ("no url", None, "allow"), (None, None, "allow"), ("", None, "allow"), ("http://" + "a." * 5000 + "com/de/", "com/de/", "block"),
+    ]
+    pages = spark.createDataFrame([(i, u, "h") for i, (u, *_) in enumerate(urls)], "page_id long, url string, rule string")
+    got = url_filter.filter_urls(pages, URL_RULES).orderBy("page_id").collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == [tuple(w) for _, *w in urls]
+    assert (got[1]["host"], got[1]["path"], got[10]["host"]) == ("a.example.org", "/en/12", "")
+    assert url_filter.filter_urls(pages.limit(0), URL_RULES).count() == 0
+    many = [url_filter.Rule("block", f"h{i}.net", "/") for i in range(300)] + URL_RULES
+    assert [r["rule"] for r in url_filter.filter_urls(pages, many).orderBy("page_id").collect()] == [w for _, w, _ in urls]
+
+
+# ---- WARC in ZIP
+
+def test_warc(spark):
+    pages = [(1, "u1", "same"), (2, "u2", "same"), (3, "u\n3", "é" * 70_000), (4, None, None), (5, "u5", ""), (6, "u6", "own\r\n\r\nrest"), (None, "u7", "same")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.read_packages(warc.write_packages(df)).collect()}
+    for i, _, html in pages:
+        data = (html or "").encode()
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        refers = {1: 2, None: 2, 4: 5}.get(i)
+        assert got[i] == (len(data), digest, "revisit" if refers else "response", refers)
+    assert warc.read_packages(warc.write_packages(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_packages(zip64):
+    records = [(f"k{i}", warc.gzip.compress(warc.warc_record(i, "u", b"p" * i, warc.payload_digest(b"p" * i)))) for i in range(50)]
+    blob = warc.pack(records, force_zip64=zip64)
+    assert zipfile.ZipFile(io.BytesIO(blob)).testzip() is None
+    reads = []
+
+    def read_at(at, n):
+        reads.append(n)
+        return blob[at : at + n]
+
+    assert [len(p) for _, p in warc.package_records(read_at, len(blob))] == list(range(50))
+    with pytest.raises(ValueError):
+        warc.central_directory(lambda at, n: b"x" * n, 100)
+
+
+def test_zip64_end_record():
+    blob = warc.pack([("k", warc.gzip.compress(warc.warc_record(1, "u", b"p", "d")))])
+    end = blob.rfind(b"PK\x05\x06")
+    count, length, start = warc.struct.unpack_from("<HII", blob, end + 10)
+    big = warc.struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, count, count, length, start)
+    locator = warc.struct.pack("<4sIQI", b"PK\x06\x07", 0, end, 1)
+    tail = blob[end : end + 8] + b"\xff\xff\xff\xff" + b"\xff" * 8 + blob[end + 20 :]
+    moved = blob[:end] + big + locator + tail
+    assert warc.central_directory(lambda at, n: moved[at : at + n], len(moved)) == warc.central_directory(lambda at, n: blob[at : at + n], len(blob))
+
+
+# ---- media
+
+def test_media(spark):
+    texts = ["", None, "a" * 64, "a" * 65, "é" * 1000, "a" * 64, "\0\1" * 5000]
+    got = {r["doc_id"]: r for r in media.text_media(plain.docs(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        padded = data + b"\0" * (64 * max(1, -(-len(data) // 64)) - len(data))
+        assert (got[i]["n_bytes"], got[i]["payload_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert media.from_png(media.to_png(padded)) == padded
+    assert got[2]["media_sha256"] == got[5]["media_sha256"]
+    assert media.text_media(plain.docs(spark, [])).count() == 0
+
+
+def test_sequences(spark):
+    html = '<p>One <b>two</b></p><script>no()</script><figure><img src="sha256:aa" alt="x"><figcaption>First &amp; only</figcaption></figure><p>three</p><img src="sha256:bb" alt="alt"><figure><figcaption>Before</figcaption><img src="c.png"></figure>'
+    got = [(s["pos"], s["kind"], s["text"], s["digest"], s["caption"]) for s in media.parse_sequence(html)]
+    assert got == [(0, "text", "One two", None, None), (1, "media", "sha256:aa", "aa", "First & only"), (2, "text", "three", None, None), (3, "media", "sha256:bb", "bb", "alt"), (4, "media", "c.png", None, "Before")]
+    assert media.parse_sequence(None) == []
+    pages = media.with_sequences(spark.createDataFrame([(1, html), (2, None)], "id long, html string"))
+    table = spark.createDataFrame([("aa", 5)], "digest string, size long")
+    rows = media.resolve(pages, table, ["id"]).orderBy("pos").collect()
+    assert [(r["pos"], r["caption"], r["size"]) for r in rows] == [(1, "First & only", 5), (3, "alt", None), (4, "Before", None)]
+
+
+# ---- pseudonyms
+
+def test_pseudonyms(spark):
+    key = b"k"
+    text = "a.b7@x.example.com 4111 1111 1111 1111, +1 (319) 555-5132; 1999-12-31 31/12/1999 70.1.2.3 078-05-1120 GB82 WEST 1234 5698 7654 32"
+    new, counts = pii.pseudonymized(text, key)
+    assert counts == {"email": 1, "card": 1, "phone": 1, "date": 2, "ip": 1, "ssn": 1, "account": 1}
+    shape = lambda t: "".join("9" if c.isdigit() else c for c in t if not c.isalpha())
+    assert shape(new.replace(new.split("; ")[1].split(" ")[2], "")) == shape(text.replace("70.1.2.3", ""))
+    assert pii.pseudonymized(new, key)[1] == counts  # pseudonyms are valid values of their kind
+    for value in ("4111 1111 1111 1112", "1999-02-30", "299.1.1.1", "000-12-1234", "1234567890", "v1.2.3"):
+        assert pii.pseudonymized(value, key) == (value, {})
+    assert pii.pseudonymized("x 4111111111111111", key)[0].split()[1] == pii.pseudonymized("y 4111111111111111 z", key)[0].split()[1]
+    rows = plain.docs(spark, [(1, None), (2, ""), (3, text), (3, text)]).withColumn("kinds", F.lit("old"))
+    got = sorted(((r["doc_id"], r["text"], r["n_private"], r["kinds"]) for r in pii.pseudonymize(rows, key).collect()), key=str)
+    assert got[0] == (1, None, 0, "")
+    assert got[1] == (2, "", 0, "")
+    assert got[2] == got[3] == (3, new, 8, "account,card,date,email,ip,phone,ssn")
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 257, 1000])
+def test_permutations(size):
+    assert sorted(pii.permuted(i, size, b"k", "t") for i in range(size)) == list(range(size))
+
+
+# ---- classifiers
+
+def test_network_gradients():
+    rng = np.random.default_rng(0)
+    net = toxicity.Network.fresh(rng)
+    net.p = {k: v.astype(float) for k, v in net.p.items()}
+    x, ids, y = rng.standard_normal((12, 16)), rng.integers(1, 12, (3, toxicity.WINDOW)), np.array([1.0, 0, 1])
+    ids[0, 20:] = 0
+    x[0] = 0
+
+    def loss():
+        q = toxicity.sigmoid(net.logits(net.gates(x), ids))
+        return -(y * np.log(q) + (1 - y) * np.log(1 - q)).mean()
+
+    grads, d_x = net.gradients(x, ids, y)
+    for name in ("u", "w", "b", "att", "out", "bias"):
+        at = tuple(rng.integers(0, s) for s in net.p[name].shape)
+        for step in (1e-3, -2e-3):
+            net.p[name][at] += step
+            before, after = (loss(), None) if step > 0 else (before, loss())  # noqa: F821
+        assert (before - after) / 2e-3 == pytest.approx(grads[name][at], rel=5e-2, abs=1e-4)
+
+
+def test_windows_cover_all_words():
+    for n in (0, 1, 31, 32, 33, 56, 57, 1000):
+        ids = toxicity.window_ids(n, np.arange(1, n + 1))
+        assert set(ids.ravel()) - {0} == set(range(1, n + 1))
+
+
+def test_toxicity_learns(spark):
+    rng = random.Random(8)
+    bad = ["vilefoo", "grimbar"]
+    rows, labels = [], []
+    for i in range(300):
+        words = prose(rng, rng.randint(5, 150)).split()
+        toxic = i % 3 == 0
+        if toxic:
+            for _ in range(2):
+                words.insert(rng.randrange(len(words) + 1), rng.choice(bad) + rng.choice(["", "er", "s"]))
+        rows.append((i, " ".join(words)))
+        labels.append(int(toxic))
+    net = toxicity.fit([t for _, t in rows[:200]], labels[:200], steps=150)
+    got = {r["doc_id"]: r for r in toxicity.score(plain.docs(spark, [*rows, (900, None), (901, ""), (902, "w" * 3000)]), net).collect()}
+    right = sum(got[i]["predicted"] == labels[i] for i in range(200, 300))
+    assert right >= 95
+    assert got[900]["score"] == got[901]["score"]
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert toxicity.score(plain.docs(spark, []), net).count() == 0
+    with pytest.raises(ValueError):
+        toxicity.train(plain.docs(spark, rows).withColumn("label", F.lit(1)))
+
+
+def test_quality_learns(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(400):
+        good = i % 3 != 0
+        rows.append((i, prose(rng, rng.randint(30, 200)) if good else "word " * rng.randint(30, 200)))
+        labels.append((i, int(good)))
+    docs = plain.docs(spark, [*rows, (900, None), (901, "")])
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.quality(docs, known, lambda i: i < 250).collect()}
+    assert len(got) == 402
+    assert sum(got[i]["predicted"] == labels[i][1] for i in range(250, 400)) >= 145
+    assert got[900]["score"] == got[901]["score"]
+    with pytest.raises(ValueError):
+        quality.quality(docs, known.limit(0), lambda i: i < 250)
+
+
+def test_isotonic():
+    x, y = quality.isotonic(np.array([0.0, 1, 2, 3]), np.array([0.0, 2, 1, 3]), np.array([1.0, 3, 3, 3]))
+    assert list(y) == [0, 0.5, 1]
