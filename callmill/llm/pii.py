@@ -157,17 +157,19 @@ def email(value: str, key: bytes) -> str | None:
 
 
 def secret(value: str, key: bytes) -> str | None:
-    """Keys and tokens, found by what stands before them; hexadecimal ones stay so."""
+    """Keys and tokens, found by what stands before them; hexadecimal ones stay so, and words without digits are none."""
     mark = re.match(r"AKIA|.*[=:]\s*[\"']?", value, re.S).group()
     hexadecimal = dict.fromkeys("0123456789abcdef", "0123456789abcdef")
     tail = value[len(mark) :]
+    if not any(c in "0123456789" for c in tail):
+        return None
     return mark + permute_characters(tail, key, "secret", hexadecimal if re.fullmatch("[0-9a-f]+", tail) else None)
 
 
 #: Kinds in order of preference: pattern, what must be in a text at all, and the pseudonym of a value (None if it isn't valid).
 KINDS: dict[str, tuple[re.Pattern, str, Callable[[str, bytes], str | None]]] = {
     "email": (re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])"), "@", email),
-    "secret": (re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_-]{8,128}", re.I), "=:A", secret),
+    "secret": (re.compile(r"(?-i:(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))|(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_-]{8,128}", re.I), "=:A", secret),
     "account": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), "0123456789", account),
     "card": (re.compile(r"(?<![A-Za-z0-9.+-])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9-])"), "0123456789", card),
     "phone": (re.compile(r"(?<![A-Za-z0-9.+-])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![A-Za-z0-9-])"), "0123456789", phone),
