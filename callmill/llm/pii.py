@@ -161,7 +161,7 @@ def secret(value: str, key: bytes) -> str | None:
     mark = re.match(r"AKIA|.*[=:]\s*[\"']?", value, re.S).group()
     hexadecimal = dict.fromkeys("0123456789abcdef", "0123456789abcdef")
     tail = value[len(mark) :]
-    if not any(c in "0123456789" for c in tail):
+    if mark != "AKIA" and not any(c in "0123456789" for c in tail):
         return None
     return mark + permute_characters(tail, key, "secret", hexadecimal if re.fullmatch("[0-9a-f]+", tail) else None)
 
@@ -171,7 +171,7 @@ KINDS: dict[str, tuple[re.Pattern, str, Callable[[str, bytes], str | None]]] = {
     "email": (re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])"), "@", email),
     "secret": (re.compile(r"(?-i:(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))|(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_-]{8,128}", re.I), "=:A", secret),
     "account": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), "0123456789", account),
-    "card": (re.compile(r"(?<![A-Za-z0-9.+-])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9-])"), "0123456789", card),
+    "card": (re.compile(r"(?<![A-Za-z0-9.+-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![A-Za-z0-9-])"), "0123456789", card),
     "phone": (re.compile(r"(?<![A-Za-z0-9.+-])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![A-Za-z0-9-])"), "0123456789", phone),
     "ssn": (re.compile(r"(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"), "0123456789", social_security),
     "ip": (re.compile(r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])"), "0123456789", address),
@@ -189,9 +189,15 @@ def pseudonymized(text: str | None, key: bytes) -> tuple[str | None, dict[str, i
         if not any(c in text for c in needs):
             continue
         for m in pattern.finditer(text):
-            a, b = m.span()
-            if not any(a < y and x < b for x, y, _, _ in spans) and (new := make(m.group(), key)) is not None:
-                spans.append((a, b, new, kind))
+            a, value = m.start(), m.group()
+            if any(a < y and x < m.end() for x, y, _, _ in spans):
+                continue
+            new = make(value, key)
+            while new is None and " " in value:  # a group that follows may not belong to the value
+                value = value.rpartition(" ")[0]
+                new = make(value, key) if pattern.fullmatch(value) else None
+            if new is not None:
+                spans.append((a, a + len(value), new, kind))
     spans.sort()
     out, at, counts = [], 0, dict.fromkeys((k for *_, k in spans), 0)
     for a, b, new, kind in spans:
