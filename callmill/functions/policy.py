@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hmac
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
@@ -247,3 +248,18 @@ def first_accepted(*values: tuple[Column, Column]) -> Column:
 
 def severity(problem: Column, note: Column) -> Column:
     return F.when(problem, "problem").when(note, "note").otherwise("ok")
+
+
+def keyed_proof(message: Column, key: bytes) -> Column:
+    """HMAC-SHA256 of a text, as lowercase hex."""
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda m: hmac.new(key, m.encode(), "sha256").hexdigest(), na_action="ignore")
+
+    return run(message)
+
+
+def new_batch_id(seed: Column) -> Column:
+    """An id for a batch, derived from what identifies it, so that a rerun agrees."""
+    return F.concat(F.lit("b-"), F.md5(seed))

@@ -228,6 +228,16 @@ def upstream_reconcile(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", policy.upstream_move(no, k == 3, no, wanted, F.lit("https://api.example.com")).alias("move"))
 
 
+@query("""SELECT o_orderkey, 'b-' || md5(o_orderkey::VARCHAR) AS batch_id, CASE WHEN o_orderkey % 4 = 0 THEN 'this device is signed out; sign in to resume recording' WHEN o_orderkey % 4 = 1 THEN '' ELSE 'other' END AS pause,
+  o_orderkey % 3 = 0 AS enabled, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE 2147483648 END AS quota FROM orders WHERE o_custkey > 0""")
+def small_rules(spark, sf_dir):
+    k = F.col("o_orderkey")
+    reason = F.when(k % 4 == 0, "signed_out").when(k % 4 == 1, "").otherwise("other")
+    quota = policy.new_quota(F.lit(policy.QUOTA_BYTES).cast("long"), F.when(k % 2 == 0, F.col("o_custkey")).otherwise(0))
+    setting = F.when(k % 3 == 0, " True ").when(k % 3 == 1, "no").otherwise("")
+    return table(spark, sf_dir, "orders").where("o_custkey > 0").select("o_orderkey", policy.new_batch_id(k.cast("string")).alias("batch_id"), policy.explain_pause(reason).alias("pause"), policy.is_truthy(setting).alias("enabled"), quota.alias("quota"))
+
+
 # ---- the store
 
 _SPOOL_SQL = "spool AS (SELECT strftime(ts, '%Y%m%d') AS day, 'r' || event_id AS request_id, (20 + event_id % 97)::BIGINT AS size, ts AS timestamp, CASE WHEN event_id % 50 = 0 THEN 'index.jsonl' ELSE 'r' || event_id || '.json' END AS name, user_id, event_id FROM events)"
