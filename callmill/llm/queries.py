@@ -26,8 +26,7 @@ def _remainder(doc_id: Column, divisor: int) -> Column:
 
 def toxicity_network(docs: DataFrame, labels: DataFrame) -> toxicity.Network:
     """Trained on the labelled documents that are not held out."""
-    learnt = labels.where(_remainder(F.col("doc_id"), 4) != 2).select("doc_id", F.col("toxic").alias("label"))
-    return toxicity.train(docs.select("doc_id", "text").join(learnt, "doc_id"))
+    return toxicity.train(docs, labels.where(_remainder(F.col("doc_id"), 4) != 2), label="toxic")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,11 +22,12 @@ labels of both classes there is nothing to learn, which is an error.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -358,15 +359,27 @@ def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return max(float(a[0]), 0.05), float(a[1])
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "label", key: Column | None = None) -> Network:
-    """Fit on a bounded, reproducible sample of labelled rows."""
-    rows = labelled.where(F.col(label).isin(0, 1) & (F.coalesce(F.length(text), F.lit(0)) <= TRAIN_CHARS))
-    ranked = rows.select(F.col(text).alias("t"), F.col(label).alias("y"), F.md5(key if key is not None else F.coalesce(F.col(text), F.lit(""))).alias("k"))
-    sample = [r for y in (1, 0) for r in ranked.where(F.col("y") == y).orderBy("k", "t").limit(TRAIN_DOCS).collect()]
-    if len({r["y"] for r in sample}) < 2:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "label") -> Network:
+    """Fit on a bounded, reproducible sample of labelled rows.
+
+    The sample is drawn from the labels alone: of each class the ids whose
+    digest lies in the share that ``TRAIN_DOCS`` is of the class.  Those few
+    are broadcast, so no text is shuffled.
+    """
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).alias("y"))
+    there = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(there) < 2:
         raise ValueError("labels of both classes are needed")
-    there = {r["y"]: r["n"] for r in ranked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    place = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long") / F.lit(2**32)
+    share = F.when(F.col("y") == 1, min(1.0, TRAIN_DOCS / there[1])).otherwise(min(1.0, TRAIN_DOCS / there[0]))
+    picked = F.broadcast(known.where(place < share))
+    short = F.coalesce(F.length(text), F.lit(0)) <= TRAIN_CHARS
+    rows = docs.where(short).select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(picked, "id").collect()
+    rows.sort(key=lambda r: (hashlib.md5(str(r["id"]).encode()).digest(), r["t"] or ""))
+    sample = [r for y in (1, 0) for r in [r for r in rows if r["y"] == y][: TRAIN_DOCS]]
     taken = Counter(r["y"] for r in sample)
+    if len(taken) < 2:
+        raise ValueError("labelled documents of both classes are needed")
     prior = (there[1] / there[0]) / (taken[1] / taken[0])
     return fit([r["t"] for r in sample], [r["y"] for r in sample], prior)
 

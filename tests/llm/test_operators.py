@@ -326,7 +326,7 @@ def test_toxicity_learns(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert toxicity.score(plain.docs(spark, []), net).count() == 0
     with pytest.raises(ValueError):
-        toxicity.train(plain.docs(spark, rows).withColumn("label", F.lit(1)))
+        toxicity.train(plain.docs(spark, rows), spark.createDataFrame([(1, 1)], "doc_id long, label int"))
 
 
 def test_quality_learns(spark):
