@@ -16,10 +16,15 @@ confirmed edges is its component.
 
 Where a bucket's members end up in several components, its star may have
 missed a link between two members that are not the centre.  Such buckets are
-split by further bands, in several ways, into parts that are small unless
-their members are alike, and each part is starred over its components.  What
-can still be missed is a link whose two ends are no centre in any of the
-buckets and parts that they share, and which no chain of other links replaces.
+searched in rounds.  A round splits them by further bands, in several ways that
+no other round has, into parts that are small unless their members are alike.
+In a part of up to ``SMALL`` members all pairs of different components are
+compared, in a larger one all members with a centre in each of ``ORDERS``.  A
+bucket of up to ``SMALL`` members is itself such a part, and done after one
+round.  The search ends when no other bucket holds several components, or
+``QUIET`` rounds in a row have confirmed no new link.  What can still be missed
+is a link whose ends met in large parts only, where none of them was a centre,
+and which no chain of other links replaces.
 
 Buckets are aggregated before they are joined back, and all joins are
 sort-merge joins that Spark can split, so a group with a third of all rows
@@ -50,8 +55,10 @@ BINS = BANDS * ROWS
 ORDERS = (0x2C9A5E1B7D3F4086, 0x51E3C7A90B6D2F18, 0x0F8B43D6E95A7C21, 0x73D1A6084CE2B59F)
 #: Links that one file of the component search holds about.
 LINKS_AT_ONCE = 250_000
-#: How often a mixed bucket is split by one further band, and by two.
+#: How often a round splits a mixed bucket by one further band, and by two.
 SPLITS = ((1, 4), (2, 4))
+#: Members up to which all pairs of a bucket or part are compared, and rounds without a new link that end the search.
+SMALL, QUIET = 16, 2
 SHINGLE = 4
 MIN_PERCENT = 80
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -142,8 +149,8 @@ def fingerprints(docs: DataFrame, id_col: str, text: str, words: int) -> DataFra
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, set_hash binary, bands array<long>")
 
 
-def confirmed(edges: DataFrame, docs: DataFrame, id_col: str, text: str, words: int, min_percent: int) -> DataFrame:
-    """The edges (a, b) whose full sets are similar enough."""
+def spelled(edges: DataFrame, docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
+    """id and set (as bytes) of all ends of the edges."""
     kind = docs.schema[id_col].dataType.simpleString()
     ends = edges.select(F.explode(F.array("a", "b")).alias("end")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(ends.hint("merge"), F.col("id") == F.col("end"), "left_semi").dropDuplicates(["id"])
@@ -154,7 +161,12 @@ def confirmed(edges: DataFrame, docs: DataFrame, id_col: str, text: str, words:
             sets = [shingle(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    sets = stage(texts.mapInArrow(spell, f"id {kind}, set binary"), "sets")
+    return stage(texts.mapInArrow(spell, f"id {kind}, set binary"), "sets")
+
+
+def confirmed(edges: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
+    """The edges (a, b) whose full sets are similar enough."""
+    kind = sets.schema["id"].dataType.simpleString()
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     pairs = edges.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
 
@@ -195,12 +207,12 @@ def order_of(bucket: str) -> Column:
     return F.element_at(F.array(*map(F.lit, ORDERS)), (F.pmod(bucket, F.lit(len(ORDERS))) + 1).cast("int"))
 
 
-def starred(members: DataFrame, *more: str) -> DataFrame:
-    """``members`` (bucket, id and columns ``more``) that aren't their bucket's centre, with the centre's c and c_<more>."""
+def starred(members: DataFrame) -> DataFrame:
+    """``members`` (bucket, id) that aren't their bucket's centre, with the centre c."""
     place = F.col("id").bitwiseXOR(order_of("bucket"))
-    centres = members.groupBy("bucket").agg(F.min(place).alias("place"), F.count("*").alias("n"), *(F.min_by(x, place).alias(f"c_{x}") for x in more)).where("n > 1")
+    centres = members.groupBy("bucket").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1")
     # written, so that the join reads both of its sides from exchanges of its own, which Spark can split
-    centres = stage(centres.select(F.col("bucket"), F.col("place").bitwiseXOR(order_of("bucket")).alias("c"), *(f"c_{x}" for x in more)), "centres")
+    centres = stage(centres.select("bucket", F.col("place").bitwiseXOR(order_of("bucket")).alias("c")), "centres")
     return members.join(centres.hint("merge"), "bucket").where("id <> c")
 
 
@@ -212,34 +224,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """id, n_shingles, component_id and kept (the id is the component's smallest)."""
     docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
     prints = stage(fingerprints(docs, id_col, text, words), "fingerprints")
-    classes = prints.where("id IS NOT NULL AND n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
+    classes = prints.where("id IS NOT NULL AND n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("size"), F.min_by("bands", "id").alias("bands"))
     classes = stage(classes, "classes")
     stars = stage(starred(classes.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))).select("bucket", "id", "c"), "stars")
     edges = stage(edges_of(stars), "edges")
-    links = stage(confirmed(edges, docs, id_col, text, words, min_percent), "links")
+    sets = spelled(edges, docs, id_col, text, words)
+    links = stage(confirmed(edges, sets, min_percent), "links")
     roots = components(links)
-    more = stage(split_stars(stars, classes, roots).join(edges, ["a", "b"], "left_anti"), "edges")
-    new = stage(confirmed(more, docs, id_col, text, words, min_percent), "links")
-    roots = components(links.unionByName(new))
+    roots = searched(mixed_buckets(stars, classes, roots), edges, links, roots, sets, min_percent)
     return labelled(prints, classes, roots, id_col)
 
 
-def split_stars(stars: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Edges between components, from stars over parts of the buckets that hold several."""
+def mixed_buckets(stars: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, id, size and bands of the members of the buckets that hold several components, and a pair that was not compared."""
     of_id, of_c = (roots.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("id", "id_root"), ("c", "c_root")))
     rooted = stars.join(of_id.hint("merge"), "id", "left").join(of_c.hint("merge"), "c", "left")
-    rooted = stage(rooted.select("bucket", "id", F.coalesce("id_root", "id").alias("id_root"), "c", F.coalesce("c_root", "c").alias("c_root")), "rooted")
-    mixed = rooted.where("id_root <> c_root").select("bucket").distinct()
-    kept = rooted.join(mixed.hint("merge"), "bucket", "left_semi")
-    members = kept.select("bucket", "id", F.col("id_root").alias("root")).unionByName(kept.groupBy("bucket").agg(F.min("c").alias("id"), F.min("c_root").alias("root")))
-    members = stage(members.join(classes.select(F.col("rep").alias("id"), "bands").hint("merge"), "id"), "mixed")
-    parts = None
+    rooted = stage(rooted.select("bucket", "id", "c", (F.coalesce("id_root", "id") != F.coalesce("c_root", "c")).alias("odd")), "rooted")
+    mixed = rooted.groupBy("bucket").agg(F.max("odd").alias("odd"), F.count("*").alias("others")).where("odd AND others > 1").select("bucket")
+    kept = rooted.join(stage(mixed, "buckets").hint("merge"), "bucket", "left_semi")
+    members = kept.select("bucket", "id").unionByName(kept.groupBy("bucket").agg(F.min("c").alias("id")))
+    return stage(members.join(classes.select(F.col("rep").alias("id"), "size", "bands").dropDuplicates(["id"]).hint("merge"), "id"), "mixed")
+
+
+def searched(members: DataFrame, tested: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
+    """The roots, after rounds of splits of the mixed buckets."""
+    sets = stage(sets.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "sets")
+    at, quiet = 0, 0
+    live = still_mixed(members, roots, 2)
+    while quiet < QUIET and not live.isEmpty():
+        more = stage(edges_of(pairs_in(split(live, at), min_percent)).join(tested, ["a", "b"], "left_anti"), "edges")
+        new = stage(confirmed(more, sets, min_percent), "links")
+        tested, at, quiet = tested.unionByName(more), at + 1, quiet + 1
+        if not new.isEmpty():
+            links, quiet = links.unionByName(new), 0
+            roots = components(links)
+        if at == 1 or not quiet:
+            live = still_mixed(members, roots, SMALL)
+    return roots
+
+
+def still_mixed(members: DataFrame, roots: DataFrame, beyond: int) -> DataFrame:
+    """``members``, with their root, of buckets that hold several and have more than ``beyond`` members."""
+    of_id = roots.select(F.col("node").alias("id"), "root")
+    rooted = members.select("bucket", "id").join(of_id.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    rooted = stage(rooted, "rooted")
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where(f"x < y AND n > {beyond}").select("bucket")
+    rooted = rooted.join(stage(mixed, "buckets").hint("merge"), "bucket", "left_semi")
+    return stage(members.join(rooted.hint("merge"), ["bucket", "id"]), "live")
+
+
+def split(live: DataFrame, at: int) -> DataFrame:
+    """The parts (bucket, id, size, root) of round ``at``; the first has the buckets too."""
+    columns = ["id", "size", "root"]
+    parts = [live.select("bucket", *columns)] if at == 0 else []
     for width, times in SPLITS:
         for i in range(times):
-            at = [F.element_at("bands", (F.pmod(F.shiftright("bucket", 8) + i * width + k, F.lit(BANDS)) + 1).cast("int")) for k in range(width)]
-            part = members.select(F.xxhash64("bucket", F.lit(i), *at).alias("bucket"), "id", "root")
-            parts = part if parts is None else parts.unionByName(part)
-    return edges_of(starred(parts, "root").where("root <> c_root"))
+            bands = [F.element_at("bands", (F.pmod(F.xxhash64("bucket", F.lit(at), F.lit(width), F.lit(i), F.lit(k)), F.lit(BANDS)) + 1).cast("int")) for k in range(width)]
+            parts.append(live.select(F.xxhash64("bucket", F.lit(at), F.lit(width), F.lit(i), *bands).alias("bucket"), *columns))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return stage(out, "parts")
+
+
+def pairs_in(parts: DataFrame, min_percent: int) -> DataFrame:
+    """Pairs (id, c) of different roots whose sizes allow the similarity: all of small parts, and those with a centre of large ones."""
+    fit = lambda x, y: 100 * F.least(x, y) >= min_percent * F.greatest(x, y)
+    centre = lambda order: F.min_by(F.struct("id", "size", "root"), F.col("id").bitwiseXOR(F.lit(order)))
+    held = parts.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), F.array(*map(centre, ORDERS)).alias("centres"))
+    held = stage(held.where("x < y").select("bucket", "n", F.array_distinct("centres").alias("centres")), "centres")
+    stars = parts.join(held.where(F.col("n") > SMALL).hint("merge"), "bucket").select("id", "size", "root", F.explode("centres").alias("c"))
+    small = parts.join(held.where(F.col("n") <= SMALL).select("bucket").hint("merge"), "bucket").groupBy("bucket").agg(F.collect_list(F.struct("id", "size", "root")).alias("all"))
+    small = small.select("all", F.explode("all").alias("m")).select("m.*", F.explode(F.filter("all", lambda c: (c["id"] < F.col("m.id")) & (c["root"] != F.col("m.root")))).alias("c"))
+    return stars.unionByName(small).where((F.col("root") != F.col("c.root")) & fit("size", "c.size")).select("id", F.col("c.id").alias("c"))
 
 
 def labelled(prints: DataFrame, classes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:

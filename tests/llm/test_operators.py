@@ -80,6 +80,22 @@ def test_near_duplicates_edges(spark):
     assert sorted(got, key=str) == sorted([(None, None, True), (None, None, True), (7, 7, True), (7, 7, True)], key=str)
 
 
+def test_links_between_members_that_are_no_centre(spark, monkeypatch):
+    # one order and no further band: only comparing all pairs of small buckets finds links that stars miss
+    monkeypatch.setattr(minhash, "ORDERS", (0,))
+    monkeypatch.setattr(minhash, "SPLITS", ((0, 1),))
+    rng, rows = random.Random(4), []
+    for group in range(5):
+        base = prose(rng, 150).split()
+        for i in range(16):
+            words = list(base)
+            for at in rng.sample(range(150), 3 if i < 12 else 2):
+                words[at] = f"new{group}x{i}"
+            rows.append((16 * group + i, " ".join(words)))
+    got = minhash.near_duplicates(plain.docs(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain.components(rows)
+
+
 def test_densification_keeps_similarity():
     order, rng = minhash.borrow_order(), np.random.default_rng(2)
     same = []
