@@ -1,8 +1,8 @@
 """Format-preserving pseudonyms for personal data.
 
 Candidates are found by pattern and validated: check digits of cards and
-account numbers, numbering plans of telephones and social security numbers,
-calendars, octets.  A valid value is mapped to its index in the set of valid
+account numbers, areas of social security numbers, calendars, octets; after a
+refused candidate the search goes on one character later.  A valid value is mapped to its index in the set of valid
 values of its format, the index is permuted by a keyed Feistel network, and
 the result is written in the same format, with the same separators and the
 same length.  The permutation depends on key and kind alone, so equal values
@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from .common import with_python_columns
 
 ROUNDS = 8
+#: Characters that are one index; a round's digest is long enough for these.
+BLOCK = 128
 
 
 def permuted(index: int, size: int, key: bytes, tweak: str) -> int:
@@ -52,7 +54,9 @@ _CLASS_OF = {c: chars for chars, _ in _CLASSES for c in chars}
 
 
 def permute_characters(value: str, key: bytes, tweak: str, alphabets: dict[str, str] | None = None) -> str:
-    """Digits stay digits, small letters small and capitals capital; all else stays."""
+    """Digits stay digits, small letters small and capitals capital; all else stays.  Each ``BLOCK`` characters are permuted by themselves."""
+    if len(value) > BLOCK:
+        return "".join(permute_characters(value[i : i + BLOCK], key, f"{i // BLOCK or ''}{tweak}", alphabets) for i in range(0, len(value), BLOCK))
     kinds = alphabets or _CLASS_OF
     index, size = 0, 1
     for c in value:
@@ -91,14 +95,26 @@ def card(value: str, key: bytes) -> str | None:
 def phone(value: str, key: bytes) -> str | None:
     digits = re.sub(r"\D", "", value)
     country, local = digits[:-10], digits[-10:]
-    if country not in ("", "1") or local[0] in "01" or local[3] in "01":
+    if country not in ("", "1"):
         return None
+    if local[0] in "01" or local[3] in "01":  # outside the numbering plan: permuted among themselves
+        return refill(value, country + unplanned(local, key))
     index = ((int(local[:3]) - 200) * 800 + int(local[3:6]) - 200) * 10_000 + int(local[6:])
     rest, last = divmod(permuted(index, 800 * 800 * 10_000, key, "phone"), 10_000)
     area, exchange = divmod(rest, 800)
     return refill(value, f"{country}{area + 200}{exchange + 200}{last:04d}")
 
 
+def unplanned(local: str, key: bytes) -> str:
+    """A permutation of the ten digits that the numbering plan does not hold, by walking until one is met."""
+    index = int(local)
+    while True:
+        index = permuted(index, 10**10, key, "phone10")
+        found = f"{index:010d}"
+        if found[0] in "01" or found[3] in "01":
+            return found
+
+
 def social_security(value: str, key: bytes) -> str | None:
     area, group, serial = map(int, value.split("-"))
     if not 1 <= area <= 899 or area == 666 or not group or not serial:
@@ -111,11 +127,11 @@ def social_security(value: str, key: bytes) -> str | None:
 
 def address(value: str, key: bytes) -> str | None:
     octets = [int(x) for x in value.split(".")]
-    if max(octets) > 255 or not 1 <= octets[0] <= 223 or any(len(x) > 1 and x[0] == "0" for x in value.split(".")):
+    if max(octets) > 255 or any(len(x) > 1 and x[0] == "0" for x in value.split(".")):
         return None
-    index = (octets[0] - 1) << 24 | octets[1] << 16 | octets[2] << 8 | octets[3]
-    found = permuted(index, 223 << 24, key, "ip")
-    return ".".join(map(str, ((found >> 24) + 1, found >> 16 & 255, found >> 8 & 255, found & 255)))
+    index = octets[0] << 24 | octets[1] << 16 | octets[2] << 8 | octets[3]
+    found = permuted(index, 1 << 32, key, "ip")
+    return ".".join(map(str, (found >> 24, found >> 16 & 255, found >> 8 & 255, found & 255)))
 
 
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -158,7 +174,7 @@ def email(value: str, key: bytes) -> str | None:
 
 def secret(value: str, key: bytes) -> str | None:
     """Keys and tokens, found by what stands before them; hexadecimal ones stay so, and words without digits are none."""
-    mark = re.match(r"AKIA|.*[=:]\s*[\"']?", value, re.S).group()
+    mark = re.match(r"AKIA|[A-Za-z_]+\s*[=:]\s*[\"']?", value).group()
     hexadecimal = dict.fromkeys("0123456789abcdef", "0123456789abcdef")
     tail = value[len(mark) :]
     if mark != "AKIA" and not any(c in "0123456789" for c in tail):
@@ -169,7 +185,7 @@ def secret(value: str, key: bytes) -> str | None:
 #: Kinds in order of preference: pattern, what must be in a text at all, and the pseudonym of a value (None if it isn't valid).
 KINDS: dict[str, tuple[re.Pattern, str, Callable[[str, bytes], str | None]]] = {
     "email": (re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])"), "@", email),
-    "secret": (re.compile(r"(?-i:(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))|(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_-]{8,128}", re.I), "=:A", secret),
+    "secret": (re.compile(r"(?-i:(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))|(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}(?:\"[^\"\s]{8,}|'[^'\s]{8,}|[^\s\"']{8,})", re.I), "=:A", secret),
     "account": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), "0123456789", account),
     "card": (re.compile(r"(?<![A-Za-z0-9.+-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![A-Za-z0-9-])"), "0123456789", card),
     "phone": (re.compile(r"(?<![A-Za-z0-9.+-])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![A-Za-z0-9-])"), "0123456789", phone),
@@ -188,16 +204,22 @@ def pseudonymized(text: str | None, key: bytes) -> tuple[str | None, dict[str, i
     for kind, (pattern, needs, make) in KINDS.items():
         if not any(c in text for c in needs):
             continue
-        for m in pattern.finditer(text):
+        at, taken = 0, list(spans)
+        while m := pattern.search(text, at):
             a, value = m.start(), m.group()
-            if any(a < y and x < m.end() for x, y, _, _ in spans):
+            at = m.end()
+            if any(a < y and x < at for x, y, _, _ in taken):
+                at = a + 1
                 continue
             new = make(value, key)
             while new is None and " " in value:  # a group that follows may not belong to the value
                 value = value.rpartition(" ")[0]
                 new = make(value, key) if pattern.fullmatch(value) else None
             if new is not None:
-                spans.append((a, a + len(value), new, kind))
+                at = a + len(value)
+                spans.append((a, at, new, kind))
+            else:  # a later group may begin a value
+                at = a + 1
     spans.sort()
     out, at, counts = [], 0, dict.fromkeys((k for *_, k in spans), 0)
     for a, b, new, kind in spans:

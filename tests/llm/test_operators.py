@@ -2,10 +2,12 @@ import base64
 import hashlib
 import io
 import random
+import re
 import zipfile
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +290,31 @@ def test_pseudonyms(spark):
     assert got[2] == got[3] == (3, new, 8, "account,card,date,email,ip,phone,ssn")
 
 
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "(419) 155-0199", "233.254.104.120", "0.1.2.3", "4111 1111 1111 1111"])
+def test_pseudonyms_of_all_well_formed_values(value):
+    for before in ("", "2024 "):
+        new, counts = pii.pseudonymized(f"x {before}{value} y", b"k")
+        assert value not in new and sum(counts.values()) == 1
+        assert pii.pseudonymized(new, b"k")[1] == counts
+
+
+@pytest.mark.parametrize("secret", ["ab3" * 200, "x7." + "q8/w+" * 30 + "end", "a.b.c.d9"])
+def test_whole_secrets(secret):
+    for quote in ("", '"'):
+        new = pii.pseudonymized(f"token = {quote}{secret}{quote} rest", b"k")[0]
+        assert len(new) == len(f"token = {quote}{secret}{quote} rest") and new.endswith(f"{quote} rest")
+        assert secret not in new and secret[-30:] not in new and secret[:8] not in new
+
+
+def test_no_value_of_the_table_stays():
+    found = {"phone": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.|(?![0-9.]))){4}(?<!\.)"}
+    for text in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist():
+        values = [m.group() for p in found.values() for m in re.finditer(p, text or "")]
+        if values:
+            new = pii.pseudonymized(text, b"k")[0]
+            assert [v for v in values if v in new] == []
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 257, 1000])
 def test_permutations(size):
     assert sorted(pii.permuted(i, size, b"k", "t") for i in range(size)) == list(range(size))
