@@ -7,13 +7,15 @@ token that the fewest URLs of the whole table hold indexes the rule.  A URL's
 own tokens then fetch its candidate rules, and regular expressions run on
 those only.
 
-The rules are a list that the caller states; it travels with the tasks, and
-``MAX_RULES`` bounds it.  There is no shuffle of rows: the one aggregation
+The rules are a list that the caller states.  ``RULES_AT_ONCE`` of them are
+broadcast together and judge every URL; a longer list is judged in several such
+steps, each of which keeps the best rule so far, so a task's memory is bounded
+whatever the list's length.  There is no shuffle of rows: the one aggregation
 counts the rules' own tokens.
 
-Null URLs and URLs without ``://`` have an empty host and path and fit no
-rule.  Repeated rows are judged one by one, an empty table gives an empty
-result, and other columns are not read.
+Ids of any type pass through as Arrow data.  Null URLs and URLs without ``://``
+have an empty host and path and fit no rule.  Repeated rows are judged one by
+one, an empty table gives an empty result, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower
+from .common import LOWER, UPPER, ascii_lower, slices
 
-#: More rules than this do not belong in a task's closure.
-MAX_RULES = 200_000
+#: Rules that are sent to the tasks together.
+RULES_AT_ONCE = 200_000
 _LOWER = str.maketrans(UPPER, LOWER)
 
 
@@ -80,33 +82,46 @@ def rule_index(rules: list[Rule], counts: dict[str, int]) -> dict[str, list[Rule
     return index
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url: str = "url", otherwise: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url: str = "url", otherwise: str = "allow", at_once: int = RULES_AT_ONCE) -> DataFrame:
     """``id_col``, host, path, rule and verdict of every row.
 
     Of the rules that fit, the one with the longest name wins, then the one
     with the longer host, then the one listed first.  Where none fits, rule is
     null and the verdict is ``otherwise``.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES}")
-    index = rule_index(rules, token_counts(pages, rules, url))
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = {t: [(r, r.pattern()) for r in rs] for t, rs in index.items()}
-        order = {r: -i for i, r in reversed(list(enumerate(rules)))}
-        for batch in batches:
-            rows = []
-            for u in batch["url"]:
+    judged = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(0).alias("host_length"))
+    for at in range(0, max(1, len(rules)), at_once):
+        some = rules[at : at + at_once]
+        judged = best_rules(judged, rule_index(some, token_counts(pages, some, url)))
+    host_and_path = judged.select("id", "host", "path", "rule", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"))
+    return host_and_path.withColumnRenamed("id", id_col)
+
+
+def best_rules(judged: DataFrame, index: dict[str, list[Rule]]) -> DataFrame:
+    """Rows of id, url, host, path and the best of the rule they have and those of ``index``."""
+    sent = judged.sparkSession.sparkContext.broadcast(index)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = {t: [(r, r.pattern()) for r in rs] for t, rs in sent.value.items()}
+        for batch in slices(batches):
+            hosts, paths, rules, verdicts, lengths = [], [], [], [], []
+            for u, name, verdict, n in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 host, path = split_url(u)
-                whole, best = host + path, None
-                for token in url_tokens(host, path) & compiled.keys():
+                whole = host + path
+                best = (-1, -1) if name is None else (len(name), n)
+                for token in sorted(url_tokens(host, path) & compiled.keys()):
                     for rule, pattern in compiled[token]:
-                        if pattern.match(whole):
-                            rank = (len(rule.name), len(rule.host), order[rule])
-                            best = best if best and best[0] >= rank else (rank, rule)
-                rows.append((host, path, best[1].name if best else None, best[1].verdict if best else otherwise))
-            yield pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"]).assign(id=batch["id"].to_numpy())[["id", "host", "path", "rule", "verdict"]]
-
-    kind = pages.schema[id_col].dataType.simpleString()
-    judged = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url")).mapInPandas(judge, f"id {kind}, host string, path string, rule string, verdict string")
-    return judged.withColumnRenamed("id", id_col)
+                        rank = (len(rule.name), len(rule.host))
+                        if rank > best and pattern.match(whole):
+                            best, name, verdict = rank, rule.name, rule.verdict
+                hosts.append(host)
+                paths.append(path)
+                rules.append(name)
+                verdicts.append(verdict)
+                lengths.append(best[1])
+            columns = [batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in (rules, verdicts)), pa.array(lengths, pa.int32()), *(pa.array(c, pa.string()) for c in (hosts, paths))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "url", "rule", "verdict", "host_length", "host", "path"])
+
+    kind = judged.schema["id"].dataType.simpleString()
+    columns = judged.select("id", "url", "rule", "verdict", "host_length")
+    return columns.mapInArrow(judge, f"id {kind}, url string, rule string, verdict string, host_length int, host string, path string")
