@@ -7,18 +7,21 @@ directory, or its ZIP64 form, parses the central directory, locates both
 members and then reads byte ranges: the index, and each record by its offset.
 Nothing is unpacked to disk.
 
-Packages are rows of a table (package name, bytes) in the shared folder, so
-they commit with Spark's own writer and a lost executor only costs its tasks.
-Each is closed at ``PACKAGE_BYTES`` of archive, which bounds a task's memory;
-one longer record makes a package of its own.
-
-Of records whose payloads are equal, the one with the largest id is the
-response and the others are revisits that name it.  Only digests and ids are
-shuffled for this choice, counted before they are joined back.  Payloads
-shorter than ``min_bytes`` are all responses.  A null payload is empty.
-Repeated rows with the largest id are all responses.  Null ids are revisits of
-a record with an id, and responses where there is none.  An empty table makes
-no package.  Only the id, url and payload columns are read.
+Packages are ZIP files in the shared folder, each under a name of its own; the
+table of packages (path, size) commits with Spark's writer.  A task that is
+lost or repeated leaves at most files that no table names.  A package is
+closed at ``PACKAGE_BYTES`` of archive, which bounds a task's memory; one
+longer record makes a package of its own.  Readers open a package where it
+lies and read from it the directory, the index and one record at a time.
+
+Of records whose payloads are equal (by SHA-256), the one with the largest id
+is the response and the others are revisits that name it.  Only digests and
+ids are shuffled for this choice, counted before they are joined back.
+Payloads shorter than ``min_bytes`` are all responses.  A null payload is
+empty.  Ids are integers or strings.  Repeated rows with the largest id are
+all responses.  Null ids are revisits of a record with an id, and responses
+where there is none.  An empty table makes no package.  Only the id, url and
+payload columns are read.
 """
 
 from __future__ import annotations
@@ -29,17 +32,21 @@ import hashlib
 import io
 import json
 import struct
+import uuid
 import zipfile
-import zlib
 from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import scratch_dir, slices, stage
 
 PACKAGE_BYTES = 4 << 20
+#: Bytes of packages that one reading task gets about.
+READ_BYTES = 16 << 20
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2024-01-01T00:00:00Z"
 RECORDS = "page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}"
@@ -56,14 +63,14 @@ def warc_record(page_id, url: str | None, payload: bytes, digest: str, refers_to
     revisit = refers_to is not None
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
+        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else quote(str(page_id), safe='')}>"),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", " ".join((url or "").split())),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("X-Payload-Length", str(len(payload))),
     ]
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{quote(str(refers_to), safe='')}>")]
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (b"" if revisit else payload)
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
@@ -84,33 +91,45 @@ def pack(records: list[tuple[str, bytes]], force_zip64: bool = False) -> bytes:
     return out.getvalue()
 
 
+def put_file(folder: str, data: bytes) -> str:
+    """Write a file of a new name into a shared folder, under another name until it is whole; its URI."""
+    store, path = fs.FileSystem.from_uri(folder)
+    name = uuid.uuid4().hex
+    store.create_dir(path, recursive=True)
+    with store.open_output_stream(f"{path}/.{name}.part") as out:
+        out.write(data)
+    store.move(f"{path}/.{name}.part", f"{path}/{name}.zip")
+    return f"{folder}/{name}.zip"
+
+
 def write_packages(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
-    """The table of packages (package, bytes), written to the shared folder."""
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
+    """The table of packages (path, size), whose files are written to the shared folder."""
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.sha2("payload", 256))
     # written, so that the join below reads both of its sides from exchanges of its own, which Spark can split
     holders = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.max("id").alias("holder"), F.count("*").alias("n")).where("n > 1").select("sha", "holder")
     rows = rows.join(stage(holders, "holders"), "sha", "left")
     is_copy = F.col("holder").isNotNull() & ~F.col("id").eqNullSafe(F.col("holder"))
     rows = rows.withColumn("refers_to", F.when(is_copy, F.col("holder"))).drop("holder")
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, n, name = [], 0, 0, None
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                page_id = None if pd.isna(r.id) else int(r.id)
-                refers_to = None if pd.isna(r.refers_to) else int(r.refers_to)
-                record = warc_record(page_id, r.url, r.payload, base64.b32encode(r.sha).decode(), refers_to)
-                data = gzip.compress(record, compresslevel=1, mtime=0)
-                name = name or f"{page_id}-{zlib.crc32(data):08x}"
-                held.append((f"urn:page:{page_id}", data))
+    folder = f"{scratch_dir(pages.sparkSession)}/callmill-packages-{uuid.uuid4().hex}"
+
+    def made(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        data = pack(held)
+        return pa.RecordBatch.from_arrays([pa.array([put_file(folder, data)], pa.string()), pa.array([len(data)], pa.int64())], names=["path", "size"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in slices(batches, 64):
+            for page_id, address, body, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = gzip.compress(warc_record(page_id, address, body, payload_digest(body), refers_to), compresslevel=1, mtime=0)
+                held.append((f"urn:page:{'' if page_id is None else quote(str(page_id), safe='')}", data))
                 size += len(data)
                 if size >= PACKAGE_BYTES:
-                    yield pd.DataFrame({"package": [f"{name}-{n}"], "bytes": [pack(held)]})
-                    held, size, n, name = [], 0, n + 1, None
+                    yield made(held)
+                    held, size = [], 0
         if held:
-            yield pd.DataFrame({"package": [f"{name}-{n}"], "bytes": [pack(held)]})
+            yield made(held)
 
-    return stage(rows.select("id", "url", "payload", "sha", "refers_to").mapInPandas(write, "package string, bytes binary"), "packages")
+    return stage(rows.select("id", "url", "payload", "refers_to").mapInArrow(write, "path string, size long"), "packages")
 
 
 # ---- reading
@@ -198,21 +217,29 @@ def read_packages(packages: DataFrame, kind: str = "long") -> DataFrame:
     A response's length and digest come from the payload read back, a
     revisit's from its header fields.
     """
+    whole = kind in ("tinyint", "smallint", "int", "integer", "bigint", "long")
 
     def page(urn: str | None):
         text = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(text) if text else None
+        return (int(text) if whole else unquote(text)) if text else None
+
+    def row(fields: dict[str, str], payload: bytes) -> tuple:
+        length, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
+        if fields["warc-type"] == "response":
+            length, digest = len(payload), payload_digest(payload)
+        return page(fields["warc-record-id"]), length, digest, fields["warc-type"], page(fields.get("warc-refers-to"))
+
+    names = [c.split()[0] for c in RECORDS.split(", ")]
+    kinds = [pa.int64() if whole else pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64() if whole else pa.string()]
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch["bytes"]:
-                rows = []
-                for fields, payload in package_records(lambda at, n, blob=blob: blob[at : at + n], len(blob)):
-                    length, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
-                    if fields["warc-type"] == "response":
-                        length, digest = len(payload), payload_digest(payload)
-                    rows.append((page(fields["warc-record-id"]), length, digest, fields["warc-type"], page(fields.get("warc-refers-to"))))
-                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    return packages.mapInPandas(read, RECORDS.format(kind=kind))
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, at_path = fs.FileSystem.from_uri(path)
+                with store.open_input_file(at_path) as file:
+                    rows = [row(*r) for r in package_records(lambda at, n, file=file: file.read_at(n, at), size)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    total = packages.agg(F.sum("size")).first()[0] or 0
+    spread = packages.select("path", "size").repartition(max(1, -(-total // READ_BYTES)))
+    return spread.mapInArrow(read, RECORDS.format(kind="long" if whole else kind))
