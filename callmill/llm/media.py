@@ -13,7 +13,10 @@ written where they are made, read back where they are decoded, and only their
 digests and features are joined, by a sort-merge join that Spark can split
 where a third of all documents refer to one image.
 
-Null texts have the payload of an empty one; null HTML has no segments.
+Null texts have the payload of an empty one; null HTML has no segments.  Any
+text can be parsed: a declaration that HTML does not know is a comment up to
+the next ``>``, an element of ``HIDDEN_TAGS`` that is never closed hides the
+rest of the page, and a caption that is never closed is text at its place.
 References whose digest is not in the table keep null features.  Repeated rows
 give repeated references.  Empty tables give empty results.  Only the named
 columns are read.
@@ -55,6 +58,16 @@ class _Sequence(HTMLParser):
         self.figures: list[int] = []  # index of the first segment in each open figure
         self.caption: list[str] | None = None
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...``: the parser's own version raises on most of these."""
+        return self.parse_bogus_comment(i, report)
+
+    def close(self):
+        super().close()
+        if self.caption is not None:
+            data, self.caption = "".join(self.caption), None
+            self.handle_data(data)
+
     def handle_starttag(self, tag, attrs):
         if tag in HIDDEN_TAGS:
             self.hidden += 1
