@@ -33,17 +33,26 @@ WINDOW = 13
 #: A document is contaminated from this many hit words in a hundred.
 MIN_PERCENT = 5
 BROADCAST_BYTES = 16 << 20
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def raw_words(text: Column) -> Column:
+    """The words of a text as they stand."""
+    return F.array_remove(F.split(text, BETWEEN), "")
 
 
 def exact_words(text: Column) -> Column:
     """The words of a text, A-Z lowered."""
-    return F.transform(F.regexp_extract_all(text, F.lit(ANY_CASE), F.lit(0)), ascii_lower)
+    return F.transform(raw_words(text), ascii_lower)
+
 
+def folded(word: Column) -> Column:
+    """A term: equal for words that are equal with A-Z lowered, and for some more, which the exact comparison tells apart.
 
-def folded_words(text: Column) -> Column:
-    """As many words as ``exact_words``, with all letters lowered: equal where those are equal, and cheaper."""
-    return F.regexp_extract_all(F.lower(text), F.lit(ANY_CASE), F.lit(0))
+    It depends on the word alone, never on what stands around it.
+    """
+    return F.lower(word)
 
 
 def sized(df: DataFrame, width: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -62,7 +71,7 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
 
 def term_counts(docs: DataFrame, terms: DataFrame, text: str, limit: int) -> DataFrame:
     """term and its number of occurrences in all documents, for the terms that occur."""
-    tokens = docs.select(F.explode(folded_words(F.col(text))).alias("term"))
+    tokens = docs.select(F.explode(raw_words(F.col(text))).alias("word")).select(folded(F.col("word")).alias("term"))
     return tokens.join(sized(terms, F.octet_length("term"), limit), "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -73,8 +82,9 @@ def postings(docs: DataFrame, terms: DataFrame, id_col: str, text: str, limit: i
     has a row with its number of words.
     """
     every = stage(terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct(), "terms")
-    words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.coalesce(folded_words(F.col(text)), F.array().cast("array<string>")).alias("w"))
-    tokens = words.select("id", "h", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("pos", "term"))
+    words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.coalesce(raw_words(F.col(text)), F.array().cast("array<string>")).alias("w"))
+    tokens = words.select("id", "h", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("pos", "word"))
+    tokens = tokens.select("id", "h", "n_words", "pos", folded(F.col("word")).alias("term"))
     held = tokens.join(sized(every, F.octet_length("term"), limit), "term")
     lists = held.groupBy("term", "id", "h", "n_words").agg(F.sort_array(F.collect_set(F.col("pos") - 1)).alias("positions"))
     return stage(lists, "postings")
@@ -84,7 +94,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """A row per document: id, n_words, n_hit, items (sorted ids as strings), contaminated, and matches (win_start, win_words)."""
     per_item = stage(item_windows(items, item_id, item_text, window).withColumn("win_id", F.xxhash64(F.concat_ws(" ", "win"))), "windows")
     wins = per_item.select("win_id", "win").dropDuplicates(["win_id"])
-    placed = wins.select("win_id", F.posexplode("win").alias("offset", "word")).select("win_id", "offset", F.lower("word").alias("term"))
+    placed = wins.select("win_id", F.posexplode("win").alias("offset", "word")).select("win_id", "offset", folded(F.col("word")).alias("term"))
     counts = term_counts(docs, stage(placed.select("term").distinct(), "terms"), text, broadcast_bytes)
     # windows with a term that no document holds occur nowhere
     found = placed.join(stage(counts, "counts"), "term", "left")
@@ -127,11 +137,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def proximity_matches(docs: DataFrame, phrases: DataFrame, within: int, id_col: str = "doc_id", text: str = "text", phrase_id: str = "item_id", phrase_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """id, item_id and start where all distinct words of a phrase lie within ``within`` words, letters lowered."""
-    terms = phrases.select(F.col(phrase_id).alias("item_id"), F.array_distinct(folded_words(F.col(phrase_text))).alias("w")).where(F.size("w") > 0)
+    """id, item_id and start where all distinct words of a phrase, letters lowered, lie within ``within`` words from the start on.
+
+    A start is a position of one of these words.  Each position looks ahead
+    over ``within`` positions at most, whatever the number of occurrences.
+    """
+    terms = phrases.select(F.col(phrase_id).alias("item_id"), F.array_distinct(F.transform(raw_words(F.col(phrase_text)), folded)).alias("w")).where(F.size("w") > 0)
     each = stage(terms.select("item_id", F.size("w").alias("n_terms"), F.explode("w").alias("term")), "terms")
     index = postings(docs, each.select("term").distinct(), id_col, text, broadcast_bytes)
-    places = index.where("term <> ''").join(each, "term").select("item_id", "n_terms", "id", "h", "term", F.explode("positions").alias("pos"))
+    places = index.where("term <> ''").join(sized(each, F.octet_length("term"), broadcast_bytes), "term").select("item_id", "n_terms", "id", "h", "term", F.explode("positions").alias("pos"))
     ahead = Window.partitionBy("item_id", "id", "h").orderBy("pos").rangeBetween(0, within - 1)
     full = places.withColumn("near", F.size(F.collect_set("term").over(ahead))).where("near = n_terms")
     return full.select(F.col("id").alias(id_col), "item_id", F.col("pos").alias("start")).distinct()
