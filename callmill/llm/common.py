@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,7 +40,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+_TEMPORARY: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("temporary", default=None)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside, unless it is to be kept, is removed at the end: nothing that outlives the block may read it."""
+    token = _TEMPORARY.set([])
+    try:
+        yield
+    finally:
+        for path in _TEMPORARY.get():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _TEMPORARY.reset(token)
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks that it ran, never
@@ -46,6 +64,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{scratch_dir(df.sparkSession)}/callmill-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not keep and (held := _TEMPORARY.get()) is not None:
+        held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

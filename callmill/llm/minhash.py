@@ -15,16 +15,16 @@ confirmed on full sets, and the smallest id that a document reaches over
 confirmed edges is its component.
 
 Where a bucket's members end up in several components, its star may have
-missed a link between two members that are not the centre.  Such buckets are
-searched in rounds.  A round splits them by further bands, in several ways that
-no other round has, into parts that are small unless their members are alike.
-In a part of up to ``SMALL`` members all pairs of different components are
-compared, in a larger one all members with a centre in each of ``ORDERS``.  A
-bucket of up to ``SMALL`` members is itself such a part, and done after one
-round.  The search ends when no other bucket holds several components, or
-``QUIET`` rounds in a row have confirmed no new link.  What can still be missed
-is a link whose ends met in large parts only, where none of them was a centre,
-and which no chain of other links replaces.
+missed a link between two members that are not the centre.  Such a bucket, once
+for all buckets with the same members, is cut into blocks of about ``BLOCK``
+members.  Members of one component that fill a block or more get blocks of
+their own.  Every two blocks are compared in one task, unless they hold one
+component only: products of 0/1 matrices give the sizes of all intersections,
+and a task returns as many links as connect what it found connected, at most
+one per component.  After that, every two documents that share a bucket are in
+one component or have been compared on their full sets: no link between them is
+lost.  The work grows with the square of the blocks only in buckets whose
+members are alike and yet in many components.
 
 Buckets are aggregated before they are joined back, and all joins are
 sort-merge joins that Spark can split, so a group with a third of all rows
@@ -47,19 +47,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage
+from .common import slices, stage, temporary
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
+#: Members of a block, and columns of the matrices that are multiplied at once.
+BLOCK, COLUMNS = 256, 4096
 #: Random orders of ids: an id's place is the id XOR one of these.
 ORDERS = (0x2C9A5E1B7D3F4086, 0x51E3C7A90B6D2F18, 0x0F8B43D6E95A7C21, 0x73D1A6084CE2B59F)
 #: Links that one file of the component search holds about.
 LINKS_AT_ONCE = 250_000
-#: How often a round splits a mixed bucket by one further band, and by two.
-SPLITS = ((1, 4), (2, 4))
-#: Members up to which all pairs of a bucket or part are compared, and rounds without a new link that end the search.
-SMALL, QUIET = 16, 2
-SHINGLE = 4
+#: Words of a shingle, and the least similarity of a link.
+SHINGLE = 5
 MIN_PERCENT = 80
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -189,13 +188,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         few = max(4, links.count() // LINKS_AT_ONCE)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, like the one below, so that a node with a third of all links can be split in the join
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(few), name)
         # large star: larger neighbours hang onto the least of the neighbourhood
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stage(large.coalesce(few), name)
         # small star: a node and its smaller neighbours hang onto the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(few), name)
+        small = large.join(low.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         links = stage(small.where("u <> v").distinct().coalesce(few), name)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
@@ -224,79 +224,110 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """id, n_shingles, component_id and kept (the id is the component's smallest)."""
     docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
     prints = stage(fingerprints(docs, id_col, text, words), "fingerprints")
-    classes = prints.where("id IS NOT NULL AND n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("size"), F.min_by("bands", "id").alias("bands"))
+    classes = prints.where("id IS NOT NULL AND n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
     classes = stage(classes, "classes")
-    stars = stage(starred(classes.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))).select("bucket", "id", "c"), "stars")
-    edges = stage(edges_of(stars), "edges")
-    sets = spelled(edges, docs, id_col, text, words)
-    links = stage(confirmed(edges, sets, min_percent), "links")
-    roots = components(links)
-    roots = searched(mixed_buckets(stars, classes, roots), edges, links, roots, sets, min_percent)
+    with temporary(docs.sparkSession):
+        stars = stage(starred(classes.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))).select("bucket", "id", "c"), "stars")
+        edges = stage(edges_of(stars), "edges")
+        sets = spelled(edges, docs, id_col, text, words)
+        links = stage(confirmed(edges, sets, min_percent), "links")
+        more = stage(compared(in_blocks(mixed_members(stars, components(links))), sets, min_percent), "links")
+        roots = components(links) if more.isEmpty() else components(links.unionByName(more))
+        roots = stage(roots, "roots", keep=True)
     return labelled(prints, classes, roots, id_col)
 
 
-def mixed_buckets(stars: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """bucket, id, size and bands of the members of the buckets that hold several components, and a pair that was not compared."""
+def mixed_members(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, id and root of the members of buckets with several components and a pair that was not compared; one bucket of those with the same members."""
     of_id, of_c = (roots.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("id", "id_root"), ("c", "c_root")))
     rooted = stars.join(of_id.hint("merge"), "id", "left").join(of_c.hint("merge"), "c", "left")
-    rooted = stage(rooted.select("bucket", "id", "c", (F.coalesce("id_root", "id") != F.coalesce("c_root", "c")).alias("odd")), "rooted")
-    mixed = rooted.groupBy("bucket").agg(F.max("odd").alias("odd"), F.count("*").alias("others")).where("odd AND others > 1").select("bucket")
-    kept = rooted.join(stage(mixed, "buckets").hint("merge"), "bucket", "left_semi")
-    members = kept.select("bucket", "id").unionByName(kept.groupBy("bucket").agg(F.min("c").alias("id")))
-    return stage(members.join(classes.select(F.col("rep").alias("id"), "size", "bands").dropDuplicates(["id"]).hint("merge"), "id"), "mixed")
-
-
-def searched(members: DataFrame, tested: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
-    """The roots, after rounds of splits of the mixed buckets."""
-    sets = stage(sets.join(members.select("id").distinct().hint("merge"), "id", "left_semi"), "sets")
-    at, quiet = 0, 0
-    live = still_mixed(members, roots, 2)
-    while quiet < QUIET and not live.isEmpty():
-        more = stage(edges_of(pairs_in(split(live, at), min_percent)).join(tested, ["a", "b"], "left_anti"), "edges")
-        new = stage(confirmed(more, sets, min_percent), "links")
-        tested, at, quiet = tested.unionByName(more), at + 1, quiet + 1
-        if not new.isEmpty():
-            links, quiet = links.unionByName(new), 0
-            roots = components(links)
-        if at == 1 or not quiet:
-            live = still_mixed(members, roots, SMALL)
-    return roots
-
-
-def still_mixed(members: DataFrame, roots: DataFrame, beyond: int) -> DataFrame:
-    """``members``, with their root, of buckets that hold several and have more than ``beyond`` members."""
-    of_id = roots.select(F.col("node").alias("id"), "root")
-    rooted = members.select("bucket", "id").join(of_id.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    rooted = stage(rooted, "rooted")
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where(f"x < y AND n > {beyond}").select("bucket")
-    rooted = rooted.join(stage(mixed, "buckets").hint("merge"), "bucket", "left_semi")
-    return stage(members.join(rooted.hint("merge"), ["bucket", "id"]), "live")
-
-
-def split(live: DataFrame, at: int) -> DataFrame:
-    """The parts (bucket, id, size, root) of round ``at``; the first has the buckets too."""
-    columns = ["id", "size", "root"]
-    parts = [live.select("bucket", *columns)] if at == 0 else []
-    for width, times in SPLITS:
-        for i in range(times):
-            bands = [F.element_at("bands", (F.pmod(F.xxhash64("bucket", F.lit(at), F.lit(width), F.lit(i), F.lit(k)), F.lit(BANDS)) + 1).cast("int")) for k in range(width)]
-            parts.append(live.select(F.xxhash64("bucket", F.lit(at), F.lit(width), F.lit(i), *bands).alias("bucket"), *columns))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return stage(out, "parts")
-
-
-def pairs_in(parts: DataFrame, min_percent: int) -> DataFrame:
-    """Pairs (id, c) of different roots whose sizes allow the similarity: all of small parts, and those with a centre of large ones."""
-    fit = lambda x, y: 100 * F.least(x, y) >= min_percent * F.greatest(x, y)
-    centre = lambda order: F.min_by(F.struct("id", "size", "root"), F.col("id").bitwiseXOR(F.lit(order)))
-    held = parts.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), F.array(*map(centre, ORDERS)).alias("centres"))
-    held = stage(held.where("x < y").select("bucket", "n", F.array_distinct("centres").alias("centres")), "centres")
-    stars = parts.join(held.where(F.col("n") > SMALL).hint("merge"), "bucket").select("id", "size", "root", F.explode("centres").alias("c"))
-    small = parts.join(held.where(F.col("n") <= SMALL).select("bucket").hint("merge"), "bucket").groupBy("bucket").agg(F.collect_list(F.struct("id", "size", "root")).alias("all"))
-    small = small.select("all", F.explode("all").alias("m")).select("m.*", F.explode(F.filter("all", lambda c: (c["id"] < F.col("m.id")) & (c["root"] != F.col("m.root")))).alias("c"))
-    return stars.unionByName(small).where((F.col("root") != F.col("c.root")) & fit("size", "c.size")).select("id", F.col("c.id").alias("c"))
+    rooted = stage(rooted.select("bucket", "id", "c", F.coalesce("id_root", "id").alias("root"), F.coalesce("c_root", "c").alias("c_root")), "rooted")
+    # two hashes, so that equal ones mean equal members
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).bitwiseXOR(F.min(F.xxhash64("c", F.lit(k)))).alias(f"mark{k}") for k in (1, 2)]
+    mixed = rooted.groupBy("bucket").agg(F.max(F.col("root") != F.col("c_root")).alias("odd"), F.count("*").alias("others"), *marks).where("odd AND others > 1")
+    mixed = stage(mixed.groupBy("mark1", "mark2", "others").agg(F.min("bucket").alias("bucket")).select("bucket"), "mixed")
+    kept = rooted.join(mixed.hint("merge"), "bucket", "left_semi")
+    centres = kept.groupBy("bucket").agg(F.min("c").alias("id"), F.min("c_root").alias("root"))
+    return stage(kept.select("bucket", "id", "root").unionByName(centres), "members")
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """id, root, pair (of two blocks of a bucket) and side, for all pairs of blocks that hold several components."""
+    held = stage(members.groupBy("bucket", "root").agg(F.count("*").alias("n")), "held")
+    own = F.col("n") >= BLOCK
+    rest = stage(held.groupBy("bucket").agg(F.coalesce(F.sum(F.when(~own, F.col("n"))), F.lit(0)).alias("rest")), "rest")
+    # one component alone is told from the others by its root, and cut by id; the others are dealt by root
+    cut = held.join(rest.hint("merge"), "bucket").select("bucket", "root", own.alias("own"), F.ceil(F.when(own, F.col("n")).otherwise(F.col("rest")) / BLOCK).alias("parts"))
+    placed = members.join(stage(cut, "cut").hint("merge"), ["bucket", "root"])
+    part = F.pmod(F.xxhash64(F.when(F.col("own"), F.col("id")).otherwise(F.col("root"))), F.col("parts"))
+    placed = stage(placed.select("bucket", "id", "root", F.when(F.col("own"), F.col("root")).alias("alone"), part.alias("part")), "placed")
+    blocks = stage(placed.select("bucket", "alone", "part").distinct(), "blocks")
+    key = F.struct(F.coalesce("alone", F.lit(-1)).alias("alone"), F.col("alone").isNull().alias("several"), "part")
+    blocks = blocks.select("bucket", "alone", key.alias("x"))
+    other = blocks.select("bucket", F.col("alone").alias("alone2"), F.col("x").alias("y"))
+    pairs = blocks.join(other.hint("merge"), "bucket").where("x <= y AND NOT coalesce(alone = alone2, false)")
+    pairs = stage(pairs.select("bucket", "x", "y", F.concat_ws(":", "bucket", "x.alone", "x.several", "x.part", "y.alone", "y.several", "y.part").alias("name")), "pairs")
+    sides = pairs.select("bucket", F.col("x").alias("block"), "name", F.lit(0).alias("side")).unionByName(pairs.where("x <> y").select("bucket", F.col("y").alias("block"), "name", F.lit(1).alias("side")))
+    return placed.withColumn("block", key).join(sides.hint("merge"), ["bucket", "block"]).select("id", "root", F.col("name").alias("pair"), "side")
+
+
+def compared(rows: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
+    """Links (a, b) that connect the components of each pair of blocks, by exact comparison of all sets of different components."""
+    joined = rows.join(sets.hint("merge"), "id").repartition("pair").sortWithinPartitions("pair", "side", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in slices(batches):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield edge_batch(links_between(held, min_percent))
+                    held = []
+                held.append(row)
+        if held:
+            yield edge_batch(links_between(held, min_percent))
+
+    return joined.select("pair", "side", "id", "root", "set").mapInArrow(run, "a long, b long")
+
+
+def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([max(e) for e in edges], pa.int64()), pa.array([min(e) for e in edges], pa.int64())], names=["a", "b"])
+
+
+def links_between(rows: list[tuple], min_percent: int) -> list[tuple[int, int]]:
+    """Of (pair, side, id, root, set) rows in the order of sides: links across the sides (or inside the only one) that connect different roots."""
+    first = sum(r[1] == 0 for r in rows)
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    lengths, roots = np.array([len(x) for x in sets]), np.array([r[3] for r in rows])
+    values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(rows)), lengths)
+    common = np.cumsum(count > 1) - 1  # of what one set alone holds, nothing is shared
+    shared = count[place] > 1
+    owner, place = owner[shared], common[place[shared]]
+    left, right = slice(0, first), slice(first, None) if first < len(rows) else slice(0, first)
+    both = np.zeros((len(roots[left]), len(roots[right])), np.int64)
+    for at in range(0, int(place.max(initial=-1)) + 1, COLUMNS):
+        here = (place >= at) & (place < at + COLUMNS)
+        held = np.zeros((len(rows), COLUMNS), np.float32)
+        held[owner[here], place[here] - at] = 1
+        both += (held[left] @ held[right].T).astype(np.int64)
+    alike = 100 * both >= min_percent * (lengths[left][:, None] + lengths[right][None, :] - both)
+    alike &= roots[left][:, None] != roots[right][None, :]
+    top = {r: r for r in roots.tolist()}
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    out = []
+    shift = first if first < len(rows) else 0
+    for i, k in zip(*np.nonzero(alike), strict=True):
+        x, y = find(rows[i][3]), find(rows[k + shift][3])
+        if x != y:
+            top[x] = y
+            out.append((rows[i][2], rows[k + shift][2]))
+    return out
 
 
 def labelled(prints: DataFrame, classes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
