@@ -1,4 +1,5 @@
 import base64
+import datetime
 import hashlib
 import io
 import random
@@ -31,12 +32,26 @@ LINES = [
 ]
 
 
-@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, 0])
-def test_line_dedup(spark, limit):
-    rows = line_dedup.dedup_lines(plain.docs(spark, LINES), broadcast_bytes=limit).collect()
+@pytest.mark.parametrize("filter_bytes", [line_dedup.FILTER_BYTES, 8])
+def test_line_dedup(spark, filter_bytes):
+    rows = line_dedup.dedup_lines(plain.docs(spark, LINES), filter_bytes=filter_bytes).collect()
     assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in rows} == plain.deduped(LINES)
 
 
+def test_line_dedup_plan(spark, monkeypatch):
+    """Filters that are far too small and ids that share a bit change neither the plan nor the result."""
+    rng = random.Random(12)
+    pool = [prose(rng, 5) for _ in range(60)]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(0, 3)) + [prose(rng, 8)])) for i in range(300)]
+    shapes = []
+    for filter_bytes, bits in ((line_dedup.FILTER_BYTES, line_dedup.ID_BITS), (64, 64), (1, 64)):
+        monkeypatch.setattr(line_dedup, "ID_BITS", bits)
+        out = line_dedup.dedup_lines(plain.docs(spark, rows), filter_bytes=filter_bytes)
+        assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in out.collect()} == plain.deduped(rows)
+        shapes.append(re.findall(r"[A-Z][A-Za-z]+(?=[\s(\[])", re.sub(r"[#0-9]+|file:[^\s,\]]+", "", out._jdf.queryExecution().sparkPlan().treeString())))
+    assert shapes[0] == shapes[1] == shapes[2]
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(plain.docs(spark, [])).count() == 0
     rows = [(None, "a line of some length"), (None, "a line of some length"), (1, "own line of the first"), (1, "own line of the first")]
@@ -48,9 +63,8 @@ def test_line_dedup_edges(spark):
 
 def test_bloom_never_misses():
     hashes = np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64)
-    twice, found = line_dedup.twice_seen([hashes[:3000], hashes[2000:]])
-    assert set(hashes[2000:3000]) <= set(found)
-    assert twice.has(hashes[2000:3000]).all()
+    for most in (None, 100, 1):
+        assert line_dedup.twice_seen([hashes[:3000], hashes[2000:]], most).has(hashes[2000:3000]).all()
 
 
 # ---- near duplicates
@@ -70,34 +84,76 @@ def near_rows(seed=3):
 
 def test_near_duplicates(spark):
     rows = near_rows()
-    got = minhash.near_duplicates(plain.docs(spark, rows)).collect()
+    got = minhash.near_duplicates(plain.docs(spark, rows), words=4).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain.components(rows)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
 def test_near_duplicates_edges(spark):
-    assert minhash.near_duplicates(plain.docs(spark, [])).count() == 0
+    assert minhash.near_duplicates(plain.docs(spark, []), words=4).count() == 0
     rows = [(None, "a b c d e"), (None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e")]
-    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(plain.docs(spark, rows)).collect()]
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(plain.docs(spark, rows), words=4).collect()]
     assert sorted(got, key=str) == sorted([(None, None, True), (None, None, True), (7, 7, True), (7, 7, True)], key=str)
 
 
-def test_links_between_members_that_are_no_centre(spark, monkeypatch):
-    # one order and no further band: only comparing all pairs of small buckets finds links that stars miss
+def changed(rng, base, n, mark):
+    words = list(base)
+    for at in rng.sample(range(len(base)), n):
+        words[at] = f"new{mark}x{at}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("block", [4, 64, minhash.BLOCK])
+def test_links_between_members_that_are_no_centre(spark, monkeypatch, block):
+    # one order: only comparing blocks of mixed buckets finds links that stars miss
     monkeypatch.setattr(minhash, "ORDERS", (0,))
-    monkeypatch.setattr(minhash, "SPLITS", ((0, 1),))
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng, rows = random.Random(4), []
     for group in range(5):
         base = prose(rng, 150).split()
-        for i in range(16):
-            words = list(base)
-            for at in rng.sample(range(150), 3 if i < 12 else 2):
-                words[at] = f"new{group}x{i}"
-            rows.append((16 * group + i, " ".join(words)))
-    got = minhash.near_duplicates(plain.docs(spark, rows)).collect()
+        rows += [(16 * group + i, changed(rng, base, 3 if i < 12 else 2, f"{group}x{i}")) for i in range(16)]
+    got = minhash.near_duplicates(plain.docs(spark, rows), words=4).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain.components(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_around_the_threshold(spark, seed):
+    """Hundreds of texts, each at about the threshold from each other."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(i, changed(rng, base, rng.randint(3, 7), i)) for i in range(700)]
+    want = plain.components(rows)
+    assert 300 < len({c for _, c in want.values()}) < 500
+    got = minhash.near_duplicates(plain.docs(spark, rows), words=4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_links_between_blocks():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 9000, dtype=np.uint64)
+    for sides, width in ((1, 40), (2, 40), (2, 6000)):
+        sets = [np.unique(rng.choice(pool[: width + width // 8], width, replace=False)) for _ in range(40)]
+        rows = sorted([("p", i % sides, i, i // 3, x.tobytes()) for i, x in enumerate(sets)], key=lambda r: r[1])
+        root = {r[3]: r[3] for r in rows}
+        want = set()
+        for r in rows:
+            for s in rows:
+                both = len(np.intersect1d(sets[r[2]], sets[s[2]]))
+                if r[3] != s[3] and (sides == 1 or r[1] != s[1]) and 100 * both >= 80 * (len(sets[r[2]]) + len(sets[s[2]]) - both):
+                    want.add((r[2], s[2]))
+        got = minhash.links_between(rows, 80)
+        assert set(got) <= want and len(got) < len(root)
+
+        def joined(edges):
+            top = dict(root)
+            for _ in range(len(top)):
+                for a, b in edges:
+                    top[a // 3] = top[b // 3] = min(top[a // 3], top[b // 3])
+            return top
+
+        assert joined(got) == joined(want)
+
+
 def test_densification_keeps_similarity():
     order, rng = minhash.borrow_order(), np.random.default_rng(2)
     same = []
@@ -146,6 +202,31 @@ def test_contamination_edges(spark):
     assert [r["contaminated"] for r in clean] == [False] * 4
 
 
+def test_contamination_of_words_whose_case_depends_on_their_place(spark):
+    items = [(1, "ΟΔΟΣ"), (2, "İstanbul Kelvin"), (3, "K"), (4, "straße ΣΑΣ"), (5, "tiny ITEM")]
+    texts = ["ΟΔΟΣ.Α", "x ΟΔΟΣ'Β", "ΟΔΟΣ Α", "οδος", "İstanbul kELVIN", "i̇stanbul kelvin", "k", "\u212a", "STRASSE σας", "straße ΣΑΣ:Α", "tiny.ITEM", ".tiny item.", "é" * 40_000 + " tiny item " + "é " * 30_000]
+    rows, bench = list(enumerate(texts)), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(plain.docs(spark, rows), bench).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got} == plain.contamination(rows, items)
+    clash = plain.docs(spark, rows).withColumns({c: F.lit(1) for c in ("h", "term", "n_words", "win_id", "id", "items", "spans")})
+    assert sorted(map(str, decontaminate.contamination(clash, bench).collect())) == sorted(map(str, got))
+
+
+def test_proximity_against_a_plain_search(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 60)))) for i in range(40)]
+    phrases = [(1, "a b"), (2, "C d e"), (3, "a a"), (4, ""), (5, "h g f e d c b a")]
+    want = set()
+    for i, t in rows:
+        words = t.split()
+        for k, p in phrases:
+            terms = set(p.lower().split())
+            want |= {(i, k, at) for at in range(len(words)) if terms and words[at] in terms and terms <= set(words[at : at + 9])}
+    for limit in (decontaminate.BROADCAST_BYTES, 0):
+        got = decontaminate.proximity_matches(plain.docs(spark, rows), spark.createDataFrame(phrases, "item_id long, text string"), 9, broadcast_bytes=limit)
+        assert {(r["doc_id"], r["item_id"], r["start"]) for r in got.collect()} == want
+
+
 def test_proximity(spark):
     rows = plain.docs(spark, [(1, "alpha x x Beta"), (2, "alpha x x x x beta"), (3, "beta alpha")])
     phrase = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
@@ -178,6 +259,46 @@ def test_mixing(spark):
     assert finish == sorted(finish)
 
 
+def test_mix_is_a_prefix_of_the_global_order(spark):
+    """Against all copies in one list, sorted by virtual middles and cut at the budget's virtual time; ties included."""
+    rng = random.Random(13)
+    rows = [(i, "w " * rng.choice([0, 1, 2, 2, 2, 7]), rng.choice("aab")) for i in range(200)] + [(900 + i, "w w", "c") for i in range(8)]
+    got = mixing.mix_sources(plain.docs(spark, rows)).collect()
+    weight, served, copies, cut = {"a": 5, "b": 2, "c": 1}, {}, [], got[0]["cut"]
+    order = sorted(got, key=lambda r: (hashlib.md5(f"mix:{r['doc_id']}".encode()).hexdigest(), r["doc_id"]))
+    for _ in range(3):
+        for r in order:
+            start = served.get(r["source"], 0)
+            served[r["source"]] = start + r["size"]
+            copies.append(((start + r["size"] / 2) / weight[r["source"]], r["doc_id"], r["size"], r["source"]))
+    copies.sort()
+    taken, by_source = dict.fromkeys((r["doc_id"] for r in got), 0), {}
+    for middle, i, size, source in copies:
+        if middle > cut:
+            break
+        taken[i] += size
+        by_source[source] = by_source.get(source, 0) + size
+    assert {r["doc_id"]: r["taken"] for r in got} == taken
+    budget = sum(r["size"] for r in got)
+    assert abs(sum(taken.values()) - budget) <= 3 * 7 / 2
+    assert sum(min(3 * s, weight[k] * cut) for k, s in {r["source"]: r["source_size"] for r in got}.items()) == pytest.approx(budget)
+
+
+def test_mixed_rows_that_share_an_id(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (1, "other text here", "x"), (None, "n", "x"), (None, "n", "x"), (None, None, None), *((10 + i, "w " * 9, "y") for i in range(6))]
+    docs = plain.docs(spark, rows).withColumns({"copy_no": F.lit("old"), "finish_time": F.lit("old"), "copies": F.lit(7), "_round": F.lit(1)})
+    takes = mixing.mix_sources(docs).collect()
+    mixed = mixing.mixed_documents(docs)
+    assert len(set(mixed.columns)) == len(mixed.columns)
+    assert mixed.columns == [*(c for c in docs.columns if c not in ("copy_no", "finish_time")), "copy_no", "finish_time"]
+    out = mixed.collect()
+    assert sum(r["taken"] for r in takes) == sum(len((r["text"] or "").split()) for r in out)
+    assert len(out) == sum(r["copies"] for r in takes)
+    for budget in range(1, 12):
+        takes = mixing.mix_sources(docs, budget=budget).agg(F.sum("copies")).first()[0]
+        assert mixing.mixed_documents(docs, budget=budget).count() == takes
+
+
 def test_mixing_edges(spark):
     assert mixing.mix_sources(plain.docs(spark, [])).count() == 0
     assert [r["taken"] for r in mixing.mix_sources(plain.docs(spark, [(1, None), (2, "")])).collect()] == [0, 0]
@@ -202,6 +323,17 @@ def test_urls(spark):
     assert [r["rule"] for r in url_filter.filter_urls(pages, many).orderBy("page_id").collect()] == [w for _, w, _ in urls]
 
 
+def test_urls_keep_large_ids(spark):
+    big = 1 << 60
+    pages = spark.createDataFrame([(big + 1, "http://a.org/x"), (None, "http://b.com/de/"), (big + 3, None), (big + 3, None)], "page_id long, url string").coalesce(1)
+    for at_once in (url_filter.RULES_AT_ONCE, 2, 1):
+        got = sorted(((r["page_id"], r["rule"]) for r in url_filter.filter_urls(pages, URL_RULES, at_once=at_once).collect()), key=str)
+        assert got == sorted([(big + 1, "org/"), (None, "com/de/"), (big + 3, None), (big + 3, None)], key=str)
+    named = pages.withColumn("page_id", F.col("page_id").cast("string"))
+    assert {r["page_id"] for r in url_filter.filter_urls(named, URL_RULES).collect()} == {str(big + 1), None, str(big + 3)}
+    assert [r["verdict"] for r in url_filter.filter_urls(pages, [], otherwise="block").collect()] == ["block"] * 4
+
+
 # ---- WARC in ZIP
 
 def test_warc(spark):
@@ -216,6 +348,31 @@ def test_warc(spark):
     assert warc.read_packages(warc.write_packages(df.limit(0))).count() == 0
 
 
+def test_warc_keeps_large_ids(spark):
+    big = 1 << 60
+    pages = spark.createDataFrame([(big + 1, "u", "same"), (big + 3, "u", "same"), (big + 3, "u", "same"), (big + 5, "u", "own"), (None, "u", "other")], "page_id long, url string, html string").coalesce(1)
+    want = [(big + 1, "revisit", big + 3), (big + 3, "response", None), (big + 3, "response", None), (big + 5, "response", None), (None, "response", None)]
+    packages = warc.write_packages(pages)
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_packages(packages).collect()), key=str) == sorted(want, key=str)
+    for r in packages.collect():
+        with zipfile.ZipFile(r["path"].removeprefix("file://")) as z:
+            assert z.testzip() is None and z.namelist() == [warc.ARCHIVE, warc.INDEX]
+    named = pages.withColumn("page_id", F.concat(F.lit("a>b é/"), F.col("page_id")))
+    text = lambda x: None if x is None else f"a>b é/{x}"
+    got = warc.read_packages(warc.write_packages(named), "string").collect()
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in got), key=str) == sorted([(text(a), b, text(c)) for a, b, c in want], key=str)
+
+
+def test_warc_packages_of_many_sizes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PACKAGE_BYTES", 2000)
+    rng = random.Random(14)
+    pages = spark.createDataFrame([(i, f"u{i}", prose(rng, rng.choice([0, 3, 400]))) for i in range(60)], "page_id long, url string, html string")
+    packages = warc.write_packages(pages)
+    assert packages.count() > 5
+    got = {r["page_id"]: r["payload_bytes"] for r in warc.read_packages(packages).collect()}
+    assert got == {r["page_id"]: len(r["html"].encode()) for r in pages.collect()}
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_packages(zip64):
     records = [(f"k{i}", warc.gzip.compress(warc.warc_record(i, "u", b"p" * i, warc.payload_digest(b"p" * i)))) for i in range(50)]
@@ -268,6 +425,40 @@ def test_sequences(spark):
     assert [(r["pos"], r["caption"], r["size"]) for r in rows] == [(1, "First & only", 5), (3, "alt", None), (4, "Before", None)]
 
 
+@pytest.mark.parametrize("html", ["<![foo[x]]>", "<![ ", "a<![CDATA[b]]>c", "<!", "<!doctype", "<p <b", "</", "&#x110000;&#0;", "<figure><figcaption>open", "<script>never closed", "<template>hidden", "</figure></figcaption>", "<!-- open", "\0<\0>"])
+def test_any_html_can_be_parsed(html):
+    before = media.parse_sequence("<p>before</p>")
+    assert media.parse_sequence("<p>before</p>" + html)[0]["text"].startswith(before[0]["text"])
+
+
+def test_random_html():
+    rng = random.Random(15)
+    parts = ["<![", "]]>", "<!--", "-->", "<figure>", "</figure>", "<figcaption>", "</figcaption>", '<img src="a">', "<", ">", "text ", "<script>", "</script>", "&amp", "<?x", "<!x", "/>", "'", '"']
+    for _ in range(500):
+        found = media.parse_sequence("".join(rng.choices(parts, k=12)))
+        assert [x["pos"] for x in found] == list(range(len(found)))
+
+
+def test_sequences_of_pages(spark):
+    """Real pages with figures: against a plain cut at the tags, media keep their place between the texts."""
+    pages = [(r["page_id"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    made, want, table = [], {}, {}
+    for i, html in pages:
+        figures = [f"{i}:{k}" for k in range(3)]
+        body = "".join(f'<p>part {k}</p><figure><img src="sha256:{f}" alt="no"><figcaption>about {f}</figcaption></figure>' for k, f in enumerate(figures))
+        made.append((i, (html or "") + body))
+        want[i] = [(f, f"about {f}", f"part {k}") for k, f in enumerate(figures)]
+        table |= {f: len(f) for f in figures[:2]}
+    docs = media.with_sequences(spark.createDataFrame(made, "id long, html string"))
+    got = {i: [] for i, _ in pages}
+    order = {r["id"]: r["sequence"] for r in docs.collect()}
+    for r in media.resolve(docs, spark.createDataFrame(list(table.items()), "digest string, size long"), ["id"]).orderBy("id", "pos").collect():
+        if r["digest"] in {f for f, *_ in want[r["id"]]}:
+            assert r["size"] == table.get(r["digest"])
+            got[r["id"]].append((r["digest"], r["caption"], order[r["id"]][r["pos"] - 1]["text"].split("part ")[-1]))
+    assert got == {i: [(f, c, t.removeprefix("part ")) for f, c, t in w] for i, w in want.items()}
+
+
 # ---- pseudonyms
 
 def test_pseudonyms(spark):
@@ -317,7 +508,49 @@ def test_no_value_of_the_table_stays():
 
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 257, 1000])
 def test_permutations(size):
-    assert sorted(pii.permuted(i, size, b"k", "t") for i in range(size)) == list(range(size))
+    there, back = pii.Cipher(b"k"), pii.Cipher(b"k", inverse=True)
+    found = [there(i, size, "t") for i in range(size)]
+    assert sorted(found) == list(range(size))
+    assert [back(x, size, "t") for x in found] == list(range(size))
+
+
+def test_dates_are_one_to_one():
+    cipher, back = pii.Cipher(b"k"), pii.Cipher(b"k", inverse=True)
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(i) for i in range(0, 73_000, 3)]
+    for form in ("%d/%m/%Y", "%m/%d/%Y", "%Y-%m-%d"):
+        assert all(pii.date(d.strftime(form), cipher) for d in days)
+    for forms in (("%d/%m/%Y", "%m/%d/%Y"), ("%Y-%m-%d",)):
+        written = {d.strftime(f) for d in days for f in forms}
+        new = {w: pii.date(w, cipher) for w in written}
+        assert len(set(new.values())) == len(written)
+        assert all(pii.date(n, back) == w for w, n in new.items())
+    assert pii.date("29/02/2023", cipher) is None and pii.date("29.02.2024", cipher) and pii.date("01/01/1899", cipher) is None and pii.date("13/13/2000", cipher) is None
+
+
+def test_pseudonyms_can_be_inverted(spark):
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    new = [pii.pseudonymized(t, b"k") for t in texts]
+    assert sum(bool(c) for _, c in new) > 20
+    assert [pii.pseudonymized(t, b"k", inverse=True)[0] for t, _ in new] == texts
+    assert [pii.pseudonymized(t, b"other", inverse=True)[0] for t, c in new if c] != [t for t, (_, c) in zip(texts, new, strict=True) if c]
+    docs = plain.docs(spark, list(enumerate(texts[:200])))
+    back = pii.pseudonymize(pii.pseudonymize(docs, b"k"), b"k", inverse=True)
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate(texts[:200]))
+    assert pii.pseudonymize(docs.limit(0), b"k").count() == 0
+    long = "x " * 300_000 + "4111111111111111 " + "1-" * 100_000
+    assert pii.pseudonymized(pii.pseudonymized(long, b"k")[0], b"k", inverse=True)[0] == long
+
+
+def test_equal_values_stay_linked(spark):
+    """Against a plain loop over values: each is replaced by its own pseudonym everywhere, and nothing else changes."""
+    rng = random.Random(10)
+    values = [f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(0, 9999):04d}" for _ in range(30)] + [f"{rng.randint(1, 223)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}" for _ in range(30)]
+    new = {v: pii.pseudonymized(v, b"k")[0] for v in values}
+    assert len(set(new.values())) == len(set(values))
+    picked = [[(prose(rng, 3), rng.choice(values)) for _ in range(rng.randint(0, 4))] for _ in range(80)]
+    rows = [(i, " ".join(f"{a} {v};" for a, v in p)) for i, p in enumerate(picked)]
+    got = {r["doc_id"]: (r["text"], r["n_private"]) for r in pii.pseudonymize(plain.docs(spark, rows), b"k").collect()}
+    assert got == {i: (" ".join(f"{a} {new[v]};" for a, v in p), len(p)) for i, p in enumerate(picked)}
 
 
 # ---- classifiers
