@@ -17,6 +17,7 @@ FLUSH_BYTES, FLUSH_AGE_SECONDS = 10 << 20, 24 * 3600
 RATE_LIMIT_PAUSE, MAX_RETRY_AFTER = 300, 3600
 BUDGET_BASE, BUDGET_BYTES, MAX_BUDGET = 60, 64 << 10, 1800
 MAX_BACKOFF = 900
+EXIT_BUDGET_SECONDS = 15
 TEXT_RUNES, TEXT_BYTES = 400, 4096
 RECORD_METHOD, RECORD_PATH = "POST", "/v1/messages"
 ID_PATTERN = r"\A[A-Za-z0-9][A-Za-z0-9._-]*\z"

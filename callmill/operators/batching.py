@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import zstandard
@@ -72,23 +72,29 @@ def masked_batches(rows: DataFrame, categories: tuple[str, ...] = (redaction.EMA
 
 
 ITEM = ["request_id", "project_id_hash", "upstream_origin", "endpoint", "timestamp", "garbled", "offset", "size"]
+#: A batch of the usual limit and one record of the greatest size fit.
+MOST_BYTES = 4 * (policy.FLUSH_BYTES + policy.MAX_RECORD_BYTES)
 PACKED = "batch_id string, envelope string, records binary, n_records long, records_size long"
 
 
-def pack_batches(rows: DataFrame, client_version: str, created_at: str, run: dict | None = None) -> DataFrame:
+def pack_batches(rows: DataFrame, client_version: str, created_at: str, run: Callable[[str], dict] = lambda batch_id: {}) -> DataFrame:
     """One row per batch: its envelope and its records, concatenated without separators and compressed.
 
-    The limit on a batch's bytes bounds what a task holds.
+    ``run`` gives what is to be told about a batch's run.  The limit on a
+    batch's bytes bounds what a task holds; a batch above ``MOST_BYTES`` is an
+    error.
     """
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        if group["size"].sum() > MOST_BYTES:
+            raise ValueError(f"batch {key[0]} is too large to pack: cut it first")
         group = group.sort_values("position")
         items = [
             {k: (v.item() if hasattr(v, "item") else v) for k, v in zip(ITEM, r, strict=True) if k in ("request_id", "offset", "size") or (v and v == v)}
             for r in group[ITEM].itertuples(index=False)
         ]
         plain = "".join(group["data"]).encode()
-        head = {"schema_version": "1", "batch_id": key[0], "client_version": client_version, "created_at": created_at, "compression": "zstd", "records_size": len(plain), "records": items, "run": run or {}}
+        head = {"schema_version": "1", "batch_id": key[0], "client_version": client_version, "created_at": created_at, "compression": "zstd", "records_size": len(plain), "records": items, "run": run(key[0])}
         packed = zstandard.ZstdCompressor(level=3).compress(plain)
         return pd.DataFrame([(key[0], json.dumps(head, separators=(",", ":")), packed, len(group), len(plain))], columns=[c.split()[0] for c in PACKED.split(", ")])
 

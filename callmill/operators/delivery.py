@@ -1,15 +1,28 @@
 """Acknowledged delivery as explicit state.
 
-A flush is one transition: it takes the store's rows and the state, delivers
-bounded batches through a sink, and returns the rows that stay.  A batch's id
-is recorded before its first attempt and reused until it is acknowledged, and
-rows are removed only after an acknowledgement that names the batch, so a
-flush that is cut short can be repeated.
+A flush is one transition: it takes a store and the state, delivers bounded
+batches through a sink, and leaves both so that it can be cut short anywhere
+and repeated:
+
+1. All rows are cut into batches in one job.
+2. The batches' ids and their rows are pinned, a few batches at a time, and the
+   state that names them is saved, before anything is sent.
+3. Rows whose records can't be read are copied to the quarantine, then removed
+   from the store.
+4. The others are masked, packed and sent.  After an acknowledgement that names
+   the batch its rows are removed, and only then the state lets go of its id;
+   after a rejection they are copied to the quarantine first.
+
+A repeated flush resends what is pinned under the same id, from the rows that
+are still there, so a sink that is idempotent by batch id gets each row once.
+Ids stay in tables; the driver holds the few batches in flight.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
@@ -52,38 +65,54 @@ class FileSink:
         return Response(200, batch_id)
 
 
-@dataclass
-class ScriptedSink:
-    """Answers from a list; the last answer stays, and without any it answers 590."""
+class Spool(Protocol):
+    """A store with a quarantine.  Every method has taken effect for good when it returns, and may be repeated."""
 
-    answers: list[Response]
-    seen: list[str] = field(default_factory=list)
+    def rows(self) -> DataFrame:
+        """day, request_id, session_key, timestamp, size, data and project_id_hash of what is stored."""
 
-    def deliver(self, batch: DataFrame) -> Response:
-        batch_id = batch.first()["batch_id"]
-        self.seen.append(batch_id)
-        answer = (self.answers.pop(0) if len(self.answers) > 1 else self.answers[0]) if self.answers else Response(590)
-        return replace(answer, batch_id=batch_id) if 200 <= answer.status < 300 and not answer.batch_id else answer
+    def remove(self, rows: DataFrame) -> None:
+        """Let go of the rows with these days and request_ids."""
+
+    def set_aside(self, rows: DataFrame) -> None:
+        """Copy batch_id, day, request_id, data and details to the quarantine."""
+
+    def pin(self, rows: DataFrame) -> None:
+        """Note which rows (day, request_id) batches (batch_id) have."""
+
+    def pinned(self, ids: tuple[str, ...]) -> DataFrame:
+        """batch_id, day and request_id of these batches."""
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        """``df``, written and read back."""
 
 
 @dataclass(frozen=True)
 class State:
     """What outlives a flush.  Gates hold back unforced flushes only, and any acknowledgement lifts them."""
 
-    pending_id: str = ""
-    pending_requests: tuple[str, ...] = ()
+    pending: tuple[str, ...] = ()
     not_before: float = 0.0
     timeouts: int = 0
     upgrade_required: bool = False
     min_client_version: str = ""
     handshake: dict = field(default_factory=dict)
     last_error: str = ""
+    last_attempt: float = 0.0
     last_upload: float = 0.0
     last_rejected: str = ""
+    receipt: dict = field(default_factory=dict)
     closed: bool = False
 
+    @property
+    def quota(self) -> int:
+        """Bytes that the store may hold: what the service set, else the default."""
+        return self.handshake.get("quota_bytes") or policy.QUOTA_BYTES
+
     def save(self, path: str) -> None:
-        Path(path).write_text(json.dumps(asdict(self)))
+        """Under another name first, so that a reader finds the old state or the new one."""
+        Path(f"{path}.part").write_text(json.dumps(asdict(self)))
+        os.replace(f"{path}.part", path)
 
 
 def load_state(path: str) -> State:
@@ -91,7 +120,7 @@ def load_state(path: str) -> State:
     file = Path(path)
     try:
         raw = json.loads(file.read_text())
-        return State(**raw | {"pending_requests": tuple(raw["pending_requests"])})
+        return State(**raw | {"pending": tuple(raw["pending"])})
     except FileNotFoundError:
         return State()
     except (ValueError, TypeError, KeyError):
@@ -101,16 +130,14 @@ def load_state(path: str) -> State:
 
 @dataclass
 class Flush:
-    """The reply of a flush and what it leaves."""
+    """The reply of a flush."""
 
     outcome: str
-    spool: DataFrame
     state: State
     batches: int = 0
     records: int = 0
     unreadable: int = 0
     error: str = ""
-    rejected: DataFrame | None = None
 
 
 def merge_handshake(old: dict, new: dict) -> dict:
@@ -122,7 +149,7 @@ def backoff(timeouts: int) -> int:
     return min(60 * 2 ** min(max(timeouts - 1, 0), 20), policy.MAX_BACKOFF)
 
 
-def settle(state: State, answer: Response, now: float, n: int) -> State:
+def settle(state: State, answer: Response, now: float, batch_id: str, n: int) -> State:
     """The state after an answer that is no acknowledgement."""
     error = f"status {answer.status}"
     if answer.status == 408:
@@ -133,7 +160,7 @@ def settle(state: State, answer: Response, now: float, n: int) -> State:
         pause = min(answer.retry_after, policy.MAX_RETRY_AFTER) if answer.retry_after > 0 else policy.RATE_LIMIT_PAUSE
         return replace(state, not_before=now + pause, last_error=error)
     if answer.status != 401 and 400 <= answer.status < 500:
-        return replace(state, pending_id="", pending_requests=(), last_rejected=f"{state.pending_id}: {n} records", last_error=error)
+        return replace(state, last_rejected=f"{batch_id}: {n} records", last_error=error)
     return replace(state, last_error=error)
 
 
@@ -143,98 +170,111 @@ def split_readable(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("parse_error IS NULL").drop("parse_error"), marked.where("parse_error IS NOT NULL")
 
 
-def flush(spool: DataFrame, state: State, sink: Sink, now: float, force: bool = False, signed_in: bool = True, client_version: str = "0.0.0", new_id: Callable[[], str] = lambda: f"b-{uuid.uuid4().hex}", save: Callable[[State], None] = lambda s: None, rejected: DataFrame | None = None) -> Flush:
+def flush(
+    spool: Spool, state: State, sink: Sink, now: float, force: bool = False, signed_in: bool = True, client_version: str = "0.0.0", new_id: Callable[[], str] = lambda: f"b-{uuid.uuid4().hex}",
+    save: Callable[[State], None] = lambda s: None, at_once: int = 1, budget: float | None = None, clock: Callable[[], float] = time.monotonic,
+) -> Flush:
     """Deliver what the store holds.
 
-    ``spool`` has day, request_id, session_key, timestamp, size, data and
-    project_id_hash.  One batch at a time is delivered; its size has a bound,
-    so the loop's length is the number of batches, not of rows.
+    ``at_once`` batches are pinned and packed together; with more than one,
+    the later ones of those have been packed in vain where an earlier one
+    fails.  After ``budget`` seconds no further batch is begun.
     """
+    end = None if budget is None else clock() + budget
     if state.closed:
-        return Flush("paused", spool, state, error="closed")
+        return Flush("paused", state, error="closed")
     if not signed_in:
-        return Flush("paused", spool, state)
+        return Flush("paused", state)
     if not force and state.upgrade_required:
-        return Flush("upgrade_required", spool, state)
+        return Flush("upgrade_required", state)
     if not force and now < state.not_before:
-        return Flush("deferred", spool, state)
-    out = Flush("empty", spool, state, rejected=rejected)
-    if state.pending_id:
-        left = out.spool.where(F.col("request_id").isin(list(state.pending_requests)))
-        if left.isEmpty():
-            out.state = replace(state, pending_id="", pending_requests=())
-            save(out.state)
-        elif not _send(out, left, sink, now, client_version, save):
-            return out
+        return Flush("deferred", state)
+    out = Flush("empty", state)
+    spent = lambda: end is not None and clock() >= end
+    if state.pending and not _deliver(out, spool, sink, now, client_version, save, spent):
+        return out
     limit = out.state.handshake.get("flush_bytes") or policy.FLUSH_BYTES
     max_age = out.state.handshake.get("flush_age_seconds") or policy.FLUSH_AGE_SECONDS
+    rows = spool.rows().select("day", "request_id", "size", "timestamp")
     if not out.batches and not force:
-        facts = out.spool.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("usage"), F.min("day").alias("day")).first()
+        facts = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("usage"), F.min(F.struct("day", F.coalesce(F.col("timestamp").cast("double"), F.lit(float("inf"))).alias("at"))).alias("first")).first()
         if not facts["usage"]:
             return out
-        oldest = out.spool.where(F.col("day") == facts["day"]).agg(F.min("timestamp").cast("double")).first()[0]
-        if facts["usage"] < limit and now - (oldest if oldest is not None else now) < max_age:
+        oldest = facts["first"]["at"]
+        if facts["usage"] < limit and now - min(oldest, now) < max_age:
             out.outcome = "below_threshold"
             return out
-    while True:
-        taken = first_bin(out.spool, limit)
-        ids = [r["request_id"] for r in taken.select("request_id").collect()]  # one batch's ids, which the byte limit bounds
-        if not ids:
-            break
-        out.state = replace(out.state, pending_id=new_id(), pending_requests=tuple(ids))
+    cut = spool.hold(cut_batches(rows, limit))
+    n = (cut.agg(F.max("bin")).first()[0] or 0) + 1 if not cut.isEmpty() else 0
+    for at in range(0, n, at_once):
+        if spent():
+            out.error = "budget spent"
+            return out
+        ids = tuple(new_id() for _ in range(at, min(n, at + at_once)))
+        names = F.element_at(F.array(*map(F.lit, ids)), (F.col("bin") - at + 1).cast("int"))
+        spool.pin(cut.where(F.col("bin").between(at, at + len(ids) - 1)).select(names.alias("batch_id"), "day", "request_id"))
+        out.state = replace(out.state, pending=ids)
         save(out.state)  # before the first attempt
-        if not _send(out, out.spool.where(F.col("request_id").isin(ids)), sink, now, client_version, save):
+        if not _deliver(out, spool, sink, now, client_version, save, spent):
             return out
     if out.batches:
         out.outcome = "uploaded"
     return out
 
 
-def first_bin(spool: DataFrame, limit: int) -> DataFrame:
-    """Rows in scan order (day, then id) up to and including the one that reaches the limit; earlier days first."""
-    sums = spool.groupBy("day").agg(F.sum("size").alias("bytes")).orderBy("day")
-    total, days = 0, []
-    for r in sums.toLocalIterator():  # one row per day, and no further than the limit
-        days.append(r["day"])
-        total += r["bytes"]
-        if total >= limit:
-            break
-    rows = spool.where(F.col("day").isin(days)).select(F.lit(0).alias("writer"), F.struct("day", "request_id").alias("seq"), "request_id", "size")
-    return batching.greedy_bins(rows.select("writer", "seq", "request_id", "size"), limit).where("bin = 0")
+def cut_batches(rows: DataFrame, limit: int) -> DataFrame:
+    """day, request_id and bin: rows in scan order (day, then id) fill a bin up to and including the one that reaches the limit.
+
+    Where a bin ends depends on all before it, so one task streams the days,
+    ids and sizes (no records) through a counter, once for a whole flush.
+    """
+    return batching.greedy_bins(rows.select(F.lit(0).alias("writer"), F.struct("day", "request_id").alias("seq"), "size"), limit).select("seq.day", "seq.request_id", "bin")
 
 
-def _send(out: Flush, rows: DataFrame, sink: Sink, now: float, client_version: str, save: Callable[[State], None]) -> bool:
-    """Deliver one batch; True if it was acknowledged."""
+def _deliver(out: Flush, spool: Spool, sink: Sink, now: float, client_version: str, save: Callable[[State], None], spent: Callable[[], bool]) -> bool:
+    """Deliver the pending batches in order; True if all were acknowledged or had nothing to send."""
+    ids = out.state.pending
+    rows = spool.hold(spool.rows().join(spool.pinned(ids), ["day", "request_id"]))
     good, bad = split_readable(rows)
     n_bad = bad.count()
     if n_bad:
+        spool.set_aside(bad.select("batch_id", "day", "request_id", "data", F.col("parse_error").alias("details")))
+        spool.remove(bad)
         out.unreadable += n_bad
-        aside = bad.select(F.lit(out.state.pending_id).alias("batch_id"), "day", "request_id", "data", F.col("parse_error").alias("details"))
-        out.rejected = aside if out.rejected is None else out.rejected.unionByName(aside)
-        out.spool = out.spool.join(bad.select("request_id"), "request_id", "left_anti").select(out.spool.columns)
-    n = good.count()
-    if not n:
-        out.state = replace(out.state, pending_id="", pending_requests=())
-        save(out.state)
-        return True
-    masked = batching.masked_batches(good.withColumn("batch_id", F.lit(out.state.pending_id)))
-    answer = sink.deliver(batching.pack_batches(masked, client_version, str(now)))
-    if 200 <= answer.status < 300 and answer.batch_id == out.state.pending_id:
-        out.spool = out.spool.join(good.select("request_id"), "request_id", "left_anti").select(out.spool.columns)
-        out.batches, out.records = out.batches + 1, out.records + n
-        out.state = replace(out.state, pending_id="", pending_requests=(), not_before=0.0, timeouts=0, upgrade_required=False, min_client_version="", last_error="", last_upload=now, handshake=merge_handshake(out.state.handshake, answer.handshake))
+    packed = spool.hold(batching.pack_batches(batching.masked_batches(good), client_version, str(now)))
+    sizes = {r["batch_id"]: r for r in packed.select("batch_id", "n_records", (F.octet_length("envelope") + F.octet_length("records")).alias("bytes")).collect()}  # a row per batch in flight
+    for batch_id in ids:
+        left = tuple(x for x in out.state.pending if x != batch_id)
+        if batch_id not in sizes:  # withdrawn, or all set aside
+            out.state = replace(out.state, pending=left)
+            save(out.state)
+            continue
+        if spent():
+            out.error = "budget spent"
+            return False
+        n = sizes[batch_id]["n_records"]
+        answer = sink.deliver(packed.where(F.col("batch_id") == batch_id))
+        out.state = replace(out.state, last_attempt=now)
+        own = good.where(F.col("batch_id") == batch_id)
+        if 200 <= answer.status < 300 and answer.batch_id == batch_id:
+            spool.remove(own)
+            receipt = {"batch_id": batch_id, "records": n, "bytes": sizes[batch_id]["bytes"], "at": now}
+            out.batches, out.records = out.batches + 1, out.records + n
+            out.state = replace(out.state, pending=left, not_before=0.0, timeouts=0, upgrade_required=False, min_client_version="", last_error="", last_upload=now, receipt=receipt, handshake=merge_handshake(out.state.handshake, answer.handshake))
+            save(out.state)
+            continue
+        status = answer if not 200 <= answer.status < 300 else replace(answer, status=502)  # an answer for another batch is none
+        kind = policy_class(status.status)
+        out.state = settle(out.state, status, now, batch_id, n)
+        if kind == "rejected":
+            spool.set_aside(own.select("batch_id", "day", "request_id", "data", F.lit(f"{status.status}: {status.details}"[: policy.TEXT_RUNES]).alias("details")))
+            spool.remove(own)
+            out.state = replace(out.state, pending=left)
+        out.outcome = {"upgrade": "upgrade_required", "limited": "deferred", "timeout": "deferred", "rejected": "rejected"}.get(kind, "paused")
+        out.error = out.state.last_error
         save(out.state)
-        return True
-    status = answer if not 200 <= answer.status < 300 else replace(answer, status=502)  # an answer for another batch is none
-    if policy_class(status.status) == "rejected":
-        aside = good.select(F.lit(out.state.pending_id).alias("batch_id"), "day", "request_id", "data", F.lit(f"{status.status}: {status.details}"[: policy.TEXT_RUNES]).alias("details"))
-        out.rejected = aside if out.rejected is None else out.rejected.unionByName(aside)  # kept aside before the store lets go
-        out.spool = out.spool.join(good.select("request_id"), "request_id", "left_anti").select(out.spool.columns)
-    out.state = settle(out.state, status, now, n)
-    out.outcome = {"upgrade": "upgrade_required", "limited": "deferred", "timeout": "deferred", "rejected": "rejected"}.get(policy_class(status.status), "paused")
-    out.error = out.state.last_error
-    save(out.state)
-    return False
+        return False
+    return True
 
 
 def policy_class(status: int) -> str:
@@ -242,9 +282,9 @@ def policy_class(status: int) -> str:
     return known.get(status, "rejected" if 400 <= status < 500 else "transient")
 
 
-def close(spool: DataFrame, state: State, sink: Sink, now: float, **options) -> Flush:
-    """The flush at the end, unforced; later ones are refused."""
-    out = flush(spool, state, sink, now, **options)
+def close(spool: Spool, state: State, sink: Sink, now: float, budget: float = policy.EXIT_BUDGET_SECONDS, **options) -> Flush:
+    """The flush at the end, unforced and within a budget; later ones are refused."""
+    out = flush(spool, state, sink, now, budget=budget, **options)
     out.state = replace(out.state, closed=True)
     return out
 

@@ -26,6 +26,7 @@ def last_write(rows: DataFrame, order: str) -> DataFrame:
 
 
 def index_lines(rows: DataFrame) -> DataFrame:
+    """The facts of stored records that can be read without their bodies."""
     return rows.select("day", "request_id", "session_key", "timestamp", "project_id_hash")
 
 
@@ -91,19 +92,25 @@ def oldest(rows: DataFrame) -> DataFrame:
 def admitted(writes: DataFrame, quota: int, key: str = "writer") -> DataFrame:
     """Sequential admission under a quota: writes that would exceed it are refused, later smaller ones may still fit.
 
-    ``writes`` has the key, seq and size; each writer's sequence is folded in
-    its order, streamed batch by batch through its partition.
+    ``writes`` has the key, seq, request_id and size.  A write that overwrites
+    an admitted one of the same id needs only what it is larger.  Each writer's
+    sequence is folded in its order, streamed batch by batch through its
+    partition; beside a counter it keeps the sizes of what the quota admitted,
+    which the quota bounds.
     """
     schema = writes.schema.add("admitted", "boolean")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, used = None, 0
+        owner, used, held = None, 0, {}
         for batch in batches:
             fits = []
-            for who, size in zip(batch[key], batch["size"], strict=True):
-                owner, used = (owner, used) if who == owner else (who, 0)
-                fits.append(used + size <= quota)
-                used += size if fits[-1] else 0
+            for who, request, size in zip(batch[key], batch["request_id"], batch["size"], strict=True):
+                if who != owner:
+                    owner, used, held = who, 0, {}
+                more = size - held.get(request, 0)
+                fits.append(used + more <= quota)
+                if fits[-1]:
+                    used, held[request] = used + more, size
             yield batch.assign(admitted=fits)
 
     return writes.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(fold, schema)

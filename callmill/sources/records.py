@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,15 +49,76 @@ def scan_index(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("day", F.col("line_no").cast("long"), F.from_json("line", INDEX).alias("e")).select("day", "line_no", F.col("e.request_id").isNotNull().alias("parse_ok"), "e.*")
 
 
-def write_records(records: DataFrame, path: str, order: str = "ts") -> None:
-    """Append storable records to a Parquet store partitioned by day; of equal ids of a day in this write, the last stays."""
-    rows = store.last_write(store.storable(records), order)
-    rows.write.mode("append").partitionBy("day").option("compression", "zstd").parquet(path)
+def write_records(records: DataFrame, path: str, written: int) -> None:
+    """Append storable records to a Parquet store, under the number of this write.
+
+    Of equal ids of a day the later write stays, and in one write the greater
+    timestamp.  A repeated write replaces what it wrote before, days included
+    that have no rows any more.
+    """
+    rows = store.last_write(store.storable(records), "ts")
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("day").parquet(f"{path}/records/written={written}")
+    store.index_lines(rows).write.mode("overwrite").parquet(f"{path}/index/written={written}")
+
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:
+        if not _missing(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+RECORDS = "request_id string, session_key string, timestamp timestamp, project_id_hash string, data string, day string, size long, written long"
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The Parquet store, one row per day and id."""
-    return store.last_write(spark.read.parquet(path).withColumn("day", F.col("day").cast("string")), "ts")
+    """The Parquet store: of each day and id the last write, unless a later removal took it."""
+    rows = _table(spark, f"{path}/records", RECORDS.replace("timestamp timestamp", "ts timestamp")).withColumnRenamed("ts", "timestamp")
+    gone = _table(spark, f"{path}/gone", "day string, request_id string, up_to long").groupBy("day", "request_id").agg(F.max("up_to").alias("up_to"))
+    rows = store.last_write(rows, "written").join(gone, ["day", "request_id"], "left")
+    return rows.where("up_to IS NULL OR up_to < written").drop("up_to")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index lines that went with the records, in the form of ``scan_index``."""
+    lines = _table(spark, f"{path}/index", f"day string, {INDEX}, written long")
+    return lines.select("day", F.col("written").alias("line_no"), F.lit(True).alias("parse_ok"), "request_id", "session_key", "timestamp", "project_id_hash")
+
+
+class TableSpool:
+    """The Parquet store as what delivery works on: removals and the quarantine are tables beside the records."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        return read_records(self.spark, self.path)
+
+    def remove(self, rows: DataFrame) -> None:
+        # a row that was written again since then stays
+        rows.select("day", "request_id", F.col("written").alias("up_to")).write.mode("append").parquet(f"{self.path}/gone")
+
+    def set_aside(self, rows: DataFrame) -> None:
+        # by batch and reason, so that a repetition replaces the same files
+        rows = rows.withColumn("why", F.md5("details"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "why").parquet(f"{self.path}/rejected")
+
+    def rejected(self) -> DataFrame:
+        found = _table(self.spark, f"{self.path}/rejected", "batch_id string, why string, day string, request_id string, data string, details string")
+        return found.select("batch_id", "day", "request_id", "data", "details")
+
+    def pin(self, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{self.path}/pinned")
+
+    def pinned(self, ids: tuple[str, ...]) -> DataFrame:
+        return _table(self.spark, f"{self.path}/pinned", "batch_id string, day string, request_id string").where(F.col("batch_id").isin(list(ids)))
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/held/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def read_config_chain(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators import assembly, delivery, envelope, store, verdict
+from ..operators import assembly, delivery, envelope, verdict
+from ..sources import records
 
 ROUTES = "token string, project_id_hash string, root_path string, upstream string, granted_at string, revoked_at string"
 
@@ -30,65 +31,83 @@ def fresh_routes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def record_stream(exchanges: DataFrame, routes_path: str, store_path: str, checkpoint: str, client_version: str, paused_reason: Callable[[], str] = lambda: "", trigger: dict | None = None) -> DataStreamWriter:
-    """A writer that appends recordable exchanges to a Parquet store.
+    """A writer that adds recordable exchanges to a Parquet store.
 
-    Each micro-batch has a folder of its own, which a repeated batch overwrites.
+    Each micro-batch has a folder of its own, which a repeated batch overwrites
+    as a whole: what a consent that was withdrawn in between kept out is gone.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        kept = verdict.recordable(batch, fresh_routes(spark, routes_path), paused_reason())
-        rows = store.last_write(store.storable(envelope.records(kept, client_version)), "ts")
-        rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "day").parquet(store_path)
+        kept = verdict.recordable(batch, fresh_routes(batch.sparkSession, routes_path), paused_reason())
+        records.write_records(envelope.records(kept, client_version), store_path, epoch)
 
     return exchanges.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"}))
 
 
-def flush_stream(ticks: DataFrame, read_spool: Callable[[], DataFrame], keep: Callable[[DataFrame], None], state_path: str, sink: delivery.Sink, clock: Callable[[], float], checkpoint: str, client_version: str, trigger: dict | None = None) -> DataStreamWriter:
-    """On each tick, flush the store if it is due; the state is saved before each attempt."""
+def flush_stream(ticks: DataFrame, spool: delivery.Spool, state_path: str, sink: delivery.Sink, clock: Callable[[], float], checkpoint: str, client_version: str, trigger: dict | None = None, **options) -> DataStreamWriter:
+    """On each tick, flush the store if it is due; the state is saved before each attempt and after each answer."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         state = delivery.load_state(state_path)
-        out = delivery.flush(read_spool(), state, sink, clock(), client_version=client_version, save=lambda s: s.save(state_path))
-        if out.batches or out.unreadable or out.outcome == "rejected":
-            keep(out.spool)
+        out = delivery.flush(spool, state, sink, clock(), client_version=client_version, save=lambda s: s.save(state_path), **options)
         out.state.save(state_path)
 
     return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"}))
 
 
+#: How long an exchange may be silent before it is given up, and how long an ended one is remembered.
+SILENCE_MS, REMEMBERED_MS = 3_600_000, 600_000
+
+
 def assemble_events(events: DataFrame) -> DataFrame:
-    """Single events (exchange_id, seq, name, data), streamed or not, to exchange_id, message and error.
+    """Streamed single events (exchange_id, seq, name, data) to exchange_id, message and error.
 
-    A message ends with its stop event, a whole one or one that breaks a rule;
-    exchanges that never stop are given up after an hour of silence.
+    Events of one micro-batch are applied in the order of seq, to the message
+    that the ones before have built; only that message is kept.  An exchange
+    gives one row: its message at the stop event, or the rule that it broke.
+    For ``REMEMBERED_MS`` of silence after that, what still comes for it is
+    passed over.  Exchanges that never stop are given up after ``SILENCE_MS``.
     """
-    out, state = "exchange_id string, message string, error string", "events string"
+    out, state = "exchange_id string, message string, error string", "built string, ended boolean"
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], memory) -> Iterator[pd.DataFrame]:
-        import json
-
-        held = json.loads(memory.get[0]) if memory.exists else []
+        built, ended = memory.get if memory.exists else (None, False)
         if memory.hasTimedOut:
             memory.remove()
-            yield pd.DataFrame([(key[0], None, "no stop")], columns=["exchange_id", "message", "error"])
+            if not ended:
+                yield pd.DataFrame([(key[0], None, "no stop")], columns=["exchange_id", "message", "error"])
             return
-        for part in parts:
-            held += part[["seq", "name", "data"]].values.tolist()
-        held.sort(key=lambda e: e[0])
-        if not any(e[1] == "message_stop" for e in held):
-            memory.update((json.dumps(held),))
-            memory.setTimeoutDuration(3_600_000)
-            return
-        message, error, built = None, None, assembly.Message()
+        new = sorted((e for part in parts for e in part[["seq", "name", "data"]].itertuples(index=False)), key=lambda e: e.seq)
+        if not ended:
+            message, text, error = assembly.Message.restored(built), None, None
+            try:
+                for e in new:
+                    assembly.apply(message, e.name, e.data)
+                text = assembly.finish(message) if message.stopped else None
+            except assembly.StreamError as e:
+                error = str(e)
+            ended = error is not None or message.stopped
+            if ended:
+                yield pd.DataFrame([(key[0], text, error)], columns=["exchange_id", "message", "error"])
+            built = None if ended else message.stored()
+        memory.update((built, ended))
+        memory.setTimeoutDuration(REMEMBERED_MS if ended else SILENCE_MS)
+
+    return events.groupBy("exchange_id").applyInPandasWithState(step, out, state, "append", "ProcessingTimeTimeout")
+
+
+def assemble_whole(events: DataFrame) -> DataFrame:
+    """``assemble_events`` for events that are all there: a row per exchange, at once."""
+    out = "exchange_id string, message string, error string"
+
+    def whole(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        message, text, error = assembly.Message(), None, None
         try:
-            for _, name, data in held:
-                assembly.apply(built, name, data)
-            message = assembly.finish(built)
+            for e in group.sort_values("seq").itertuples(index=False):
+                assembly.apply(message, e.name, e.data)
+            text = assembly.finish(message)
         except assembly.StreamError as e:
             error = str(e)
-        if memory.exists:
-            memory.remove()
-        yield pd.DataFrame([(key[0], message, error)], columns=["exchange_id", "message", "error"])
+        return pd.DataFrame([(key[0], text, error)], columns=["exchange_id", "message", "error"])
 
-    return events.groupBy("exchange_id").applyInPandasWithState(step, out, state, "append", "ProcessingTimeTimeout")
+    return events.groupBy("exchange_id").applyInPandas(whole, out)

@@ -1,5 +1,7 @@
 """Envelopes, store, batches, delivery, sources and streams."""
 
+import dataclasses
+import itertools
 import json
 import os
 
@@ -101,79 +103,182 @@ def test_routes(spark):
     assert [r["gave_up"] for r in reports.crash_gave_up(spark.createDataFrame([("p", 0), ("p", 5), ("p", 6), ("p", 99)], "process string, at long"), 10, 2).orderBy("at").collect()] == [False, False, True, False]
 
 
-def spool(spark, n=4, size=100, broken=()):
-    rows = []
-    for i in range(n):
-        body = envelope_text(i) if i not in broken else "{"
-        rows.append((f"2024010{1 + i // 2}", f"r{i}", f"s{i % 2}", 1_704_067_200 + i, size, body, "h"))
-    df = spark.createDataFrame(rows, "day string, request_id string, session_key string, at long, size long, data string, project_id_hash string")
-    return df.withColumn("timestamp", F.col("at").cast("timestamp")).drop("at")
+class Scripted:
+    """A sink that answers from a list; the last answer stays."""
+
+    def __init__(self, *answers):
+        self.answers, self.seen = list(answers), []
+
+    def deliver(self, batch):
+        row = batch.first()
+        self.seen.append((row["batch_id"], row["n_records"]))
+        answer = self.answers.pop(0) if len(self.answers) > 1 else self.answers[0]
+        return dataclasses.replace(answer, batch_id=row["batch_id"]) if 200 <= answer.status < 300 and not answer.batch_id else answer
+
+
+@pytest.fixture
+def folders(tmp_path):
+    count = itertools.count()
+    return lambda: str(tmp_path / f"spool{next(count)}")
+
+
+def spool_rows(spark, n=4, broken=()):
+    rows = [(f"r{i}", f"s{i % 2}", f"2024-01-0{1 + i // 2}T00:00:0{i}Z", "h", envelope_text(i) if i not in broken else "{") for i in range(n)]
+    return spark.createDataFrame(rows, "request_id string, session_key string, timestamp string, project_id_hash string, data string")
+
+
+def spool(spark, path, n=4, broken=()):
+    if n:
+        source.write_records(spool_rows(spark, n, broken), path, 0)
+    return source.TableSpool(spark, path)
 
 
 def envelope_text(i):
     return json.dumps({"schema_version": "1", "endpoint": "e", "request_id": f"r{i}", "capture": {"http_status": 200, "timestamp": "2024-01-01T00:00:00Z", "project_id_hash": "h", "garbled": False}, "request": {"mail": "a@b.example.com"}, "response": {"signature": "keep"}})
 
 
-OK, NOW = delivery.Response(200), 1_704_067_200 + 60
+OK, NOW, SIZE = delivery.Response(200), 1_704_067_200 + 60, len(envelope_text(0))
 
 
-def test_batches_round_trip(spark):
-    rows = batching.masked_batches(spool(spark).withColumn("batch_id", F.lit("b1")))
-    packed = batching.pack_batches(rows, "1", "now")
+def test_batches_round_trip(spark, folders):
+    rows = batching.masked_batches(spool(spark, folders()).rows().withColumn("batch_id", F.lit("b1")))
+    packed = batching.pack_batches(rows, "1", "now", lambda batch_id: {"of": batch_id})
     head = json.loads(packed.first()["envelope"])
     assert [i["request_id"] for i in head["records"]] == ["r0", "r2", "r1", "r3"]
     assert head["records_size"] == sum(i["size"] for i in head["records"])
+    assert head["run"] == {"of": "b1"}
     data = [json.loads(r["data"]) for r in batching.unpack_batches(packed).collect()]
     assert all(d["request"]["mail"] == "[REDACTED_EMAIL]" and d["response"]["signature"] == "keep" for d in data)
 
 
-def test_flush_outcomes(spark):
-    rows = spool(spark)
-    assert delivery.flush(rows, delivery.State(), delivery.ScriptedSink([OK]), NOW).outcome == "below_threshold"
-    assert delivery.flush(rows, delivery.State(), delivery.ScriptedSink([OK]), NOW, signed_in=False).outcome == "paused"
-    assert delivery.flush(rows.limit(0), delivery.State(), delivery.ScriptedSink([OK]), NOW).outcome == "empty"
-    old = delivery.flush(rows, delivery.State(), delivery.ScriptedSink([OK]), NOW + 90_000)
-    assert (old.outcome, old.batches, old.records, old.spool.count()) == ("uploaded", 1, 4, 0)
-    small = delivery.flush(rows, delivery.State(handshake={"flush_bytes": 150}), delivery.ScriptedSink([OK]), NOW)
-    assert (small.outcome, small.batches, small.records) == ("uploaded", 2, 4)
-
-
-def test_flush_failures(spark):
-    rows = spool(spark)
-    late = delivery.flush(rows, delivery.State(), delivery.ScriptedSink([delivery.Response(408)]), NOW, force=True)
-    assert (late.outcome, late.state.not_before, late.spool.count()) == ("deferred", NOW + 60, 4)
-    sink = delivery.ScriptedSink([OK])
-    again = delivery.flush(late.spool, late.state, sink, NOW + 1, force=True)
-    assert sink.seen == [late.state.pending_id]
-    assert (again.outcome, again.state.timeouts, again.spool.count()) == ("uploaded", 0, 0)
-    assert delivery.flush(rows, late.state, sink, NOW + 1).outcome == "deferred"
-    assert delivery.flush(rows, delivery.State(), delivery.ScriptedSink([delivery.Response(429, retry_after=7)]), NOW, force=True).state.not_before == NOW + 7
-    behind = delivery.flush(rows, delivery.State(), delivery.ScriptedSink([delivery.Response(426, min_client_version="2")]), NOW, force=True)
-    assert behind.outcome == "upgrade_required"
-    assert delivery.flush(rows, behind.state, sink, NOW).outcome == "upgrade_required"
-    wrong = delivery.flush(rows, delivery.State(), delivery.ScriptedSink([delivery.Response(200, "other")]), NOW, force=True)
-    assert (wrong.outcome, wrong.spool.count()) == ("paused", 4)
-
-
-def test_quarantine(spark):
-    out = delivery.flush(spool(spark), delivery.State(), delivery.ScriptedSink([delivery.Response(400, details="no")]), NOW, force=True, new_id=lambda: "b1")
-    assert (out.outcome, out.spool.count(), out.rejected.count()) == ("rejected", 0, 4)
-    assert reports.quarantine_list(out.rejected).first()["records"] == 4
-    back, left = delivery.requeue(out.rejected, "b1")
+def test_flush_outcomes(spark, folders):
+    flush = lambda sink=OK, n=4, state=delivery.State(), now=NOW, **o: delivery.flush(spool(spark, folders(), n), state, Scripted(sink), now, **o)
+    assert flush().outcome == "below_threshold"
+    assert flush(signed_in=False).outcome == "paused"
+    assert flush(n=0).outcome == "empty"
+    assert (flush(now=NOW + 90_000).outcome, flush(now=NOW + 90_000).records) == ("uploaded", 4)
+    small = delivery.State(handshake={"flush_bytes": int(1.5 * SIZE)})
+    for at_once in (1, 2, 5):
+        out = flush(state=small, at_once=at_once)
+        assert (out.outcome, out.batches, out.records, out.state.receipt["records"]) == ("uploaded", 2, 4, 2)
+    late = flush(force=True, budget=0)
+    assert (late.outcome, late.error, late.state.pending) == ("empty", "budget spent", ())
+
+
+def test_flush_failures(spark, folders):
+    store_ = spool(spark, folders())
+    late = delivery.flush(store_, delivery.State(), Scripted(delivery.Response(408)), NOW, force=True)
+    assert (late.outcome, late.state.not_before, late.state.last_attempt, store_.rows().count()) == ("deferred", NOW + 60, NOW, 4)
+    assert delivery.flush(store_, late.state, Scripted(OK), NOW + 1).outcome == "deferred"
+    twice = delivery.flush(store_, late.state, Scripted(delivery.Response(408)), NOW + 1, force=True)
+    assert (twice.state.timeouts, twice.state.not_before, twice.state.pending) == (2, NOW + 1 + 120, late.state.pending)
+    sink = Scripted(OK)
+    again = delivery.flush(store_, twice.state, sink, NOW + 2, force=True)
+    assert sink.seen == [(late.state.pending[0], 4)]
+    assert (again.outcome, again.state.timeouts, store_.rows().count()) == ("uploaded", 0, 0)
+    store_ = spool(spark, folders())
+    for wait, pause in ((7, 7), (0, 300), (99_999, 3600)):
+        assert delivery.flush(store_, delivery.State(), Scripted(delivery.Response(429, retry_after=wait)), NOW, force=True).state.not_before == NOW + pause
+    behind = delivery.flush(store_, delivery.State(), Scripted(delivery.Response(426, min_client_version="2")), NOW, force=True)
+    assert (behind.outcome, behind.state.min_client_version) == ("upgrade_required", "2")
+    assert delivery.flush(store_, behind.state, Scripted(OK), NOW).outcome == "upgrade_required"
+    wrong = delivery.flush(store_, delivery.State(), Scripted(delivery.Response(200, "other")), NOW, force=True)
+    assert (wrong.outcome, store_.rows().count()) == ("paused", 4)
+    assert delivery.flush(store_, wrong.state, Scripted(delivery.Response(401)), NOW, force=True).outcome == "paused"
+
+
+def test_acknowledgements_change_settings(spark, folders):
+    out = delivery.flush(spool(spark, folders()), delivery.State(handshake={"flush_bytes": 9, "notice": "old"}), Scripted(delivery.Response(200, handshake={"quota_bytes": 77, "notice": "", "flush_bytes": 0})), NOW, force=True)
+    assert (out.state.handshake, out.state.quota) == ({"flush_bytes": 9, "notice": "old", "quota_bytes": 77}, 77)
+    assert delivery.State().quota == policy.QUOTA_BYTES
+
+
+def test_quarantine(spark, folders):
+    store_ = spool(spark, folders())
+    out = delivery.flush(store_, delivery.State(), Scripted(delivery.Response(400, details="no")), NOW, force=True, new_id=lambda: "b1")
+    assert (out.outcome, out.state.pending, out.state.last_rejected, store_.rows().count(), store_.rejected().count()) == ("rejected", (), "b1: 4 records", 0, 4)
+    assert reports.quarantine_list(store_.rejected()).first()["records"] == 4
+    back, left = delivery.requeue(store_.rejected(), "b1")
     assert (back.count(), left.count()) == (4, 0)
-    assert delivery.discard(out.rejected, "b1")[1] == 4
-    assert store.purge_quarantine(out.rejected, "h").count() == 0
-
-
-def test_unreadable_rows_are_set_aside(spark):
-    out = delivery.flush(spool(spark, broken=(1,)), delivery.State(), delivery.ScriptedSink([OK]), NOW, force=True)
-    assert (out.outcome, out.records, out.unreadable, out.rejected.count()) == ("uploaded", 3, 1, 1)
+    assert delivery.discard(store_.rejected(), "b1")[1] == 4
+    assert store.purge_quarantine(store_.rejected(), "h").count() == 0
+    assert delivery.flush(store_, out.state, Scripted(OK), NOW, force=True).outcome == "empty"
+
+
+def test_unreadable_rows_are_set_aside(spark, folders):
+    store_, sink = spool(spark, folders(), broken=(1,)), Scripted(OK)
+    out = delivery.flush(store_, delivery.State(), sink, NOW, force=True)
+    assert (out.outcome, out.records, out.unreadable) == ("uploaded", 3, 1)
+    assert [(r["request_id"], r["details"]) for r in store_.rejected().collect()] == [("r1", "invalid JSON")]
+    back, left = delivery.requeue(store_.rejected(), store_.rejected().first()["batch_id"])
+    assert (back.count(), left.count()) == (0, 1)
+    store_, sink = spool(spark, folders(), broken=(0, 1, 2, 3)), Scripted(OK)
+    out = delivery.flush(store_, delivery.State(), sink, NOW, force=True)
+    assert (out.outcome, out.unreadable, sink.seen, out.state.pending, store_.rejected().count()) == ("empty", 4, [], (), 4)
+
+
+class Crash(Exception):
+    pass
+
+
+@pytest.mark.parametrize(("answer", "broken"), [(OK, (2,)), (delivery.Response(400), ())])
+def test_a_flush_can_be_cut_short_anywhere(spark, folders, tmp_path, answer, broken):
+    """After a crash before any step, and a repetition, every record is delivered once or set aside, under one id."""
+    for at in itertools.count():
+        path = folders()
+        store_, state_path, sink, ids, calls = spool(spark, path, 2 + len(broken), broken), f"{path}.json", Scripted(answer), itertools.count(), itertools.count()
+
+        def step(f, calls=calls, at=at):
+            def run(*args):
+                if next(calls) == at:
+                    raise Crash
+                return f(*args)
+
+            return run
+
+        wrapped = source.TableSpool(spark, path)
+        for name in ("remove", "set_aside", "pin"):
+            setattr(wrapped, name, step(getattr(wrapped, name)))
+        sending = Scripted(answer)
+        sending.seen, sending.deliver = sink.seen, step(sending.deliver)
+        options = {"force": True, "new_id": lambda ids=ids: f"b{next(ids)}"}
+        save = step(lambda s, state_path=state_path: s.save(state_path))
+        try:
+            delivery.flush(wrapped, delivery.State(), sending, NOW, save=save, **options)
+            crashed = False
+        except Crash:
+            crashed = True
+        out = delivery.flush(store_, delivery.load_state(state_path), sink, NOW, save=lambda s, state_path=state_path: s.save(state_path), **options)
+        assert store_.rows().count() == 0 and out.state.pending == ()
+        aside = sorted(r["request_id"] for r in store_.rejected().collect())
+        if answer is OK:
+            assert aside == [f"r{i}" for i in broken]
+            assert {n for _, n in sink.seen} == {2} and len({b for b, _ in sink.seen}) == 1
+        else:
+            assert sorted(set(aside)) == [f"r{i}" for i in range(2 + len(broken))]
+        if not crashed:
+            break
+
+
+def test_writes_after_a_removal_stay(spark, folders):
+    path = folders()
+    store_ = spool(spark, path)
+    store_.remove(store_.rows())
+    assert store_.rows().count() == 0
+    source.write_records(spool_rows(spark, 2), path, 1)
+    source.write_records(spool_rows(spark, 1), path, 1)  # a repeated write replaces all of what it wrote
+    assert [r["request_id"] for r in store_.rows().collect()] == ["r0"]
+    again = spool_rows(spark, 1).withColumns({"timestamp": F.lit("2024-01-01T00:00:00Z"), "session_key": F.lit("later")})
+    source.write_records(again.withColumn("data", F.lit("{}")), path, 2)
+    assert [(r["data"], r["size"]) for r in store_.rows().collect()] == [("{}", 2)]
+    index = store.latest_index(source.read_index(spark, path)).where("request_id = 'r0'").collect()
+    assert [r["session_key"] for r in index] == ["later"]
 
 
 def test_state_file(tmp_path):
     path = str(tmp_path / "state.json")
     assert delivery.load_state(path) == delivery.State()
-    state = delivery.State(pending_id="b", pending_requests=("r1",))
+    state = delivery.State(pending=("b",), receipt={"batch_id": "a", "records": 1})
     state.save(path)
     assert delivery.load_state(path) == state
     (tmp_path / "state.json").write_text("{")
@@ -181,12 +286,27 @@ def test_state_file(tmp_path):
     assert os.path.exists(tmp_path / "state.unreadable")
 
 
-def test_lost_pending_is_cleared(spark):
-    state = delivery.State(pending_id="b", pending_requests=("gone",))
-    out = delivery.flush(spool(spark), state, delivery.ScriptedSink([OK]), NOW)
-    assert (out.outcome, out.state.pending_id) == ("below_threshold", "")
-    closed = delivery.close(spool(spark), delivery.State(), delivery.ScriptedSink([OK]), NOW).state
-    assert delivery.flush(spool(spark), closed, delivery.ScriptedSink([OK]), NOW, force=True).error == "closed"
+def test_lost_pending_is_cleared(spark, folders):
+    store_ = spool(spark, folders())
+    out = delivery.flush(store_, delivery.State(pending=("gone",)), Scripted(OK), NOW)
+    assert (out.outcome, out.state.pending) == ("below_threshold", ())
+    closed = delivery.close(store_, delivery.State(), Scripted(OK), NOW).state
+    assert delivery.flush(store_, closed, Scripted(OK), NOW, force=True).error == "closed"
+
+
+def test_flush_stream(spark, folders, tmp_path):
+    path = folders()
+    store_, sink = spool(spark, path, broken=(3,)), Scripted(delivery.Response(400), OK)
+    spark.range(1).write.parquet(str(tmp_path / "ticks"))
+    ticks = spark.readStream.schema("id long").parquet(str(tmp_path / "ticks"))
+    run = lambda: capture.flush_stream(ticks, store_, str(tmp_path / "state"), sink, lambda: NOW + 90_000, str(tmp_path / f"ck{next(count)}"), "1", {"availableNow": True}).start().awaitTermination(120)
+    count = itertools.count()
+    run()
+    assert (store_.rows().count(), store_.rejected().count()) == (0, 4)
+    source.write_records(spool_rows(spark, 2), path, 1)
+    run()
+    state = delivery.load_state(str(tmp_path / "state"))
+    assert (store_.rows().count(), store_.rejected().count(), state.pending, state.receipt["records"]) == (0, 4, (), 2)
 
 
 def test_store_scan(spark, tmp_path):
@@ -211,19 +331,34 @@ def test_record_stream(spark, tmp_path):
     rows = rows.union(rows.withColumn("token", F.lit("t9")))
     rows.write.parquet(str(tmp_path / "in"))
     incoming = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    writer = capture.record_stream(incoming, str(routes), str(tmp_path / "store"), str(tmp_path / "ck"), "1", trigger={"availableNow": True})
-    writer.start().awaitTermination(120)
-    got = source.read_records(spark, str(tmp_path / "store"))
-    assert sorted(r["request_id"] for r in got.collect()) == ["m1", "m2"]
+
+    def run(checkpoint):
+        capture.record_stream(incoming, str(routes), str(tmp_path / "store"), str(tmp_path / checkpoint), "1", trigger={"availableNow": True}).start().awaitTermination(120)
+        return sorted(r["request_id"] for r in source.read_records(spark, str(tmp_path / "store")).collect())
+
+    assert run("ck") == ["m1", "m2"]
+    assert source.read_index(spark, str(tmp_path / "store")).count() == 2
+    spark.createDataFrame([("t1", "h1", "/a", "https://a", "g", "revoked")], capture.ROUTES).write.mode("overwrite").json(str(routes))
+    assert run("ck2") == []  # the same micro-batch again, after consent was withdrawn
     assert capture.fresh_routes(spark, str(tmp_path / "missing")).count() == 0
 
 
 def test_event_stream(spark, tmp_path):
-    pytest.importorskip("pyarrow")
-    events = [("x1", i, n, json.dumps(d)) for i, (n, d) in enumerate([START, STOP])] + [("x2", 0, "ping", "{}"), ("x2", 1, "message_stop", "{}")]
-    spark.createDataFrame(events, "exchange_id string, seq long, name string, data string").write.parquet(str(tmp_path / "ev"))
-    incoming = spark.readStream.schema("exchange_id string, seq long, name string, data string").parquet(str(tmp_path / "ev"))
-    q = capture.assemble_events(incoming).writeStream.format("memory").queryName("assembled").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r["exchange_id"]: (r["message"] is not None, r["error"]) for r in spark.table("assembled").collect()}
-    assert got == {"x1": (True, None), "x2": (False, "event before start")}
+    delta = ("content_block_delta", {"index": 0, "delta": {"type": "text_delta", "text": "a<b"}})
+    block = ("content_block_start", {"index": 0, "content_block": {"type": "text", "text": "9"}})
+    rows = lambda who, first, *events: [(who, first + i, n, json.dumps(d)) for i, (n, d) in enumerate(events)]
+    early = rows("x1", 0, START, STOP) + rows("x2", 0, ("ping", {}), STOP) + rows("x3", 0, START, block, delta) + rows("x4", 0, START)
+    later = rows("x1", 2, STOP) + rows("x3", 3, delta, ("content_block_stop", {"index": 0}), STOP, ) + rows("x2", 2, STOP)
+    schema = "exchange_id string, seq long, name string, data string"
+    incoming = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ev" / "*"))
+    for i, part in enumerate((early, later)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "ev" / str(i)))
+        incoming = spark.readStream.schema(schema).parquet(str(tmp_path / "ev" / "*"))
+        writer = capture.assemble_events(incoming).writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out"))).outputMode("append")
+        writer.option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start().awaitTermination(120)
+    got = sorted((r["exchange_id"], r["message"] is not None, r["error"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("x1", True, None), ("x2", False, "event before start"), ("x3", True, None)]
+    whole = {r["exchange_id"]: (r["message"], r["error"]) for r in capture.assemble_whole(spark.createDataFrame(early + later, schema)).collect()}
+    assert [whole[x][1] for x in ("x1", "x2", "x4")] == ["event after stop", "event before start", "no stop"]
+    assert whole["x3"][0] == spark.read.parquet(str(tmp_path / "out")).where("exchange_id = 'x3'").first()["message"]
+    assert json.loads(whole["x3"][0])["content"] == [{"type": "text", "text": "9a<ba<b"}]
