@@ -32,9 +32,10 @@ does not land in one task.  Components are found by DataFrame iteration;
 links, components and fingerprints stay out of the driver.
 
 Null, empty and wordless texts have no shingles and no links.  Ids are
-integers.  Rows that share an id are one document: each row has its own
-n_shingles, and all have the least component of their texts.  Rows without an
-id are each on their own: no component, kept.  Only the id and text are read.
+integers.  Of different texts under one id, the one with the smallest hash is
+compared, if the id is its class's smallest; each row has its own n_shingles
+and the component of its own text.  Rows without an id are each on their own:
+no component, kept.  Only the id and text are read.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stage, temporary
@@ -134,7 +135,7 @@ def band_hashes(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
-    """id, n_shingles, set_hash (128 bits of the whole set) and bands (an array)."""
+    """id, n_shingles, set_hash (128 bits of the whole set), bands (an array) and text_hash."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,17 +143,20 @@ def fingerprints(docs: DataFrame, id_col: str, text: str, words: int) -> DataFra
         for batch in slices(batches):
             sets = [shingle(t) for t in batch.column(1).to_pylist()]
             bands = [band_hashes(signature(s, order)).view(np.int64) if len(s) else None for s in sets]
-            arrays = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_shingles", "set_hash", "bands"])
+            arrays = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64())), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_shingles", "set_hash", "bands", "text_hash"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n_shingles long, set_hash binary, bands array<long>")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    return texts.mapInArrow(run, f"id {kind}, n_shingles long, set_hash binary, bands array<long>, text_hash long")
 
 
 def spelled(edges: DataFrame, docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
     """id and set (as bytes) of all ends of the edges."""
     kind = docs.schema[id_col].dataType.simpleString()
     ends = edges.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(ends.hint("merge"), F.col("id") == F.col("end"), "left_semi").dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(ends.hint("merge"), F.col("id") == F.col("end"), "left_semi")
+    # the join has dealt and sorted the rows by id
+    texts = texts.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text")))).where("n = 1").select("id", "text")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -221,7 +225,7 @@ def edges_of(stars: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = SHINGLE, min_percent: int = MIN_PERCENT) -> DataFrame:
-    """id, n_shingles, component_id and kept (the id is the component's smallest)."""
+    """id, n_shingles, component_id, kept (the id is the component's smallest) and text_hash."""
     docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
     prints = stage(fingerprints(docs, id_col, text, words), "fingerprints")
     classes = prints.where("id IS NOT NULL AND n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
@@ -332,7 +336,7 @@ def links_between(rows: list[tuple], min_percent: int) -> list[tuple[int, int]]:
 
 def labelled(prints: DataFrame, classes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
     of_class = classes.join(roots.hint("merge"), classes["rep"] == roots["node"], "left").select("set_hash", F.coalesce("root", "rep").alias("root"))
-    out = prints.select("id", "n_shingles", "set_hash").join(of_class.hint("merge"), "set_hash", "left")
+    out = prints.select("id", "n_shingles", "set_hash", "text_hash").join(of_class.hint("merge"), "set_hash", "left")
     component = F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("root", "id"))
-    out = out.select(F.col("id"), "n_shingles", component.alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = out.select(F.col("id"), "n_shingles", component.alias("component_id"), "text_hash")
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")

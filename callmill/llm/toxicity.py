@@ -9,9 +9,11 @@ whole text; a document's score is that of its most toxic window, calibrated.
 
 Everything is numpy.  The network is trained on the driver, on at most
 ``TRAIN_DOCS`` labelled documents of each class, none above ``TRAIN_CHARS``
-characters, with a fixed number of steps; which window of a toxic document is
-the toxic one is first guessed from word statistics and then from the network
-itself.  Tasks score in batches of windows: the gates' input parts are
+characters (150 million characters in all), with a fixed number of steps; which
+window of a toxic document is the toxic one is first guessed from word
+statistics and then from the network itself.  Each training step leaves out the
+word input of half of the words, so that words are not learnt by heart that
+their characters could tell.  Tasks score in batches of windows: the gates' input parts are
 computed once per distinct word, and memory is bounded by the batch.
 
 Empty, null and wordless texts are one window of padding and get a score like
@@ -34,11 +36,13 @@ from pyspark.sql import types as T
 from .common import with_python_columns
 
 WINDOW, STRIDE = 32, 24
-HIDDEN, WIDTH, BUCKETS = 8, 8, 1 << 15
+HIDDEN, WIDTH, BUCKETS = 8, 8, 1 << 17
 GRAMS = (3, 4, 5)
-TRAIN_DOCS, TRAIN_CHARS, STEPS, BATCH, SEED = 1500, 200_000, 500, 192, 11
+TRAIN_DOCS, TRAIN_CHARS, STEPS, BATCH, SEED = 1500, 50_000, 500, 192, 11
 #: Learning rate of the embeddings, and what their sums of squared gradients start from.
 RATE, START = 0.2, 1e-3
+#: Share of words whose word input a training step reads.
+WORD_SHARE = 0.5
 #: Pieces that longer words are cut into, all of them kept.
 PIECE = 24
 #: Windows in one batch, and distinct words remembered by a task.
@@ -245,8 +249,8 @@ class Vocabulary:
         words, parts = list(rows), []
         for i in range(0, len(words), self.CHUNK):
             whole, grams, counts = char_ids(words[i : i + self.CHUNK])
-            parts.append((whole.astype(np.uint16), grams.astype(np.uint16), counts.astype(np.int32)))
-        self.whole, self.grams, self.counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint16), np.zeros(0, np.uint16), np.zeros(0, np.int32))
+            parts.append((whole.astype(np.int32), grams.astype(np.int32), counts.astype(np.int32)))
+        self.whole, self.grams, self.counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 3
         self.ends = np.cumsum(self.counts, dtype=np.int64)
 
     def spans(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,14 +260,15 @@ class Vocabulary:
         return first + np.arange(len(first)), n
 
     def odds(self, y: np.ndarray, use: np.ndarray) -> np.ndarray:
-        """For each word number the highest log odds of label 1 of the word and its n-grams."""
+        """For each word number the highest log odds of label 1 of the word and its n-grams, at the lower end of what their counts leave open."""
         seen = np.zeros((2, 2 * BUCKETS), np.int32)
         for text, label, used in zip(self.texts, y, use, strict=True):
             if used and len(text):
                 words = np.unique(text) - 1
                 seen[int(label), np.unique(np.concatenate([self.whole[words].astype(np.int64), self.grams[self.spans(words)[0]].astype(np.int64) + BUCKETS]))] += 1
         n1, n0 = max(1, y[use].sum()), max(1, (1 - y[use]).sum())
-        odds = np.where(seen[1] > 1, np.log((seen[1] + 0.1) / n1) - np.log((seen[0] + 0.5) / n0), 0.0)
+        s1, s0 = seen[1] + 0.5, seen[0] + 0.5
+        odds = np.maximum(np.log(s1 / (n1 + 1)) - np.log(s0 / (n0 + 1)) - 1.64 * np.sqrt(1 / s1 + 1 / s0), 0.0)
         out = np.zeros(len(self.whole) + 1)
         out[1:] = odds[self.whole]
         some = np.flatnonzero(self.counts)
@@ -296,7 +301,7 @@ def fit(texts: list[str | None], labels: list[int], prior: float = 1.0, steps: i
             picked = [(i, chosen[i]) for i in rng.choice(toxic, BATCH // 2)]
             picked += [hard[k] for k in rng.integers(0, len(hard), BATCH // 4)] if hard else []
             picked += [(i, int(rng.integers(len(windows[i])))) for i in rng.choice(clean, BATCH - len(picked))]
-            learn(net, cache, vocabulary, np.stack([windows[i][k] for i, k in picked]), y[[i for i, _ in picked]])
+            learn(net, cache, vocabulary, np.stack([windows[i][k] for i, k in picked]), y[[i for i, _ in picked]], rng)
         logits = text_logits(net, vocabulary, windows)
         chosen = [int(v.argmax()) for v in logits]
         hard = [(int(i), chosen[i]) for i in sorted(clean, key=lambda i: -logits[i].max())[: max(8, len(clean) // 8)]]
@@ -305,15 +310,18 @@ def fit(texts: list[str | None], labels: list[int], prior: float = 1.0, steps: i
     return net
 
 
-def learn(net: Network, cache: dict[str, np.ndarray], vocabulary: Vocabulary, window: np.ndarray, y: np.ndarray) -> None:
+def learn(net: Network, cache: dict[str, np.ndarray], vocabulary: Vocabulary, window: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> None:
     """One step on a batch of windows."""
     used, local = np.unique(np.append(window, 0), return_inverse=True)
     used = used[1:] - 1
     spans, n = vocabulary.spans(used)
     whole, grams = vocabulary.whole[used], vocabulary.grams[spans]
-    grads, d_x = net.gradients(net.inputs(whole, grams, n), local[:-1].reshape(window.shape), y)
+    x = net.inputs(whole, grams, n)
+    there = (rng.random((len(x), 1)) < WORD_SHARE).astype(np.float32)
+    x[:, :WIDTH] *= there
+    grads, d_x = net.gradients(x, local[:-1].reshape(window.shape), y)
     d_gram = np.repeat(d_x[1:, WIDTH:] / np.maximum(n, 1)[:, None], n, axis=0)
-    for name, at, d in (("word", whole, d_x[1:, :WIDTH]), ("char", grams, d_gram)):
+    for name, at, d in (("word", whole, (d_x[:, :WIDTH] * there)[1:]), ("char", grams, d_gram)):
         if len(at):
             order = np.argsort(at, kind="stable")
             place, first = np.unique(at[order], return_index=True)
@@ -372,9 +380,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         raise ValueError("labels of both classes are needed")
     place = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long") / F.lit(2**32)
     share = F.when(F.col("y") == 1, min(1.0, TRAIN_DOCS / there[1])).otherwise(min(1.0, TRAIN_DOCS / there[0]))
-    picked = F.broadcast(known.where(place < share))
+    # of several labels of an id the highest counts, of several texts the least
+    picked = known.where(place < share).groupBy("id").agg(F.max("y").alias("y"))
     short = F.coalesce(F.length(text), F.lit(0)) <= TRAIN_CHARS
-    rows = docs.where(short).select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(picked, "id").collect()
+    # the digests bound these rows to about TRAIN_DOCS of each class
+    rows = docs.where(short).select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(F.broadcast(picked), "id")
+    rows = rows.groupBy("id").agg(F.max("y").alias("y"), F.min("t").alias("t")).collect()
     rows.sort(key=lambda r: (hashlib.md5(str(r["id"]).encode()).digest(), r["t"] or ""))
     sample = [r for y in (1, 0) for r in [r for r in rows if r["y"] == y][: TRAIN_DOCS]]
     taken = Counter(r["y"] for r in sample)
