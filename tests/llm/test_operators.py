@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from callmill.llm import decontaminate, line_dedup, media, minhash, mixing, pii, quality, toxicity, url_filter, warc
+from callmill.llm import decontaminate, line_dedup, media, minhash, mixing, pii, quality, queries, toxicity, url_filter, warc
 from callmill.llm.queries import URL_RULES
 
 from . import plain
@@ -605,6 +605,79 @@ def test_toxicity_learns(spark):
         toxicity.train(plain.docs(spark, rows), spark.createDataFrame([(1, 1)], "doc_id long, label int"))
 
 
+def test_windows_against_a_plain_loop():
+    """Every window of a text alone, word by word, without batches or remembered gates."""
+    rng = np.random.default_rng(4)
+    net = toxicity.Network.fresh(rng)
+    pure = random.Random(16)
+    texts = [None, "", prose(pure, 5), prose(pure, 100), "Ünï " * 40 + "x" * 60]
+    logits, counts = toxicity.Scorer(net).window_logits(texts)
+    h, at, want = toxicity.HIDDEN, 0, []
+
+    def cell(x, s, k):
+        a, u = x @ net.p["w"][k] + net.p["b"][k, 0], s @ net.p["u"][k]
+        z, r = (1 / (1 + np.exp(-(a[i * h : (i + 1) * h] + u[i * h : (i + 1) * h]))) for i in (0, 1))
+        c = np.tanh(a[2 * h :] + r * u[2 * h :])
+        return z * s + (1 - z) * c
+
+    for t, n in zip(texts, counts, strict=True):
+        words = toxicity.text_words(t)
+        assert n == len(toxicity.window_starts(len(words)))
+        for start in toxicity.window_starts(len(words)):
+            part = words[start : start + toxicity.WINDOW]
+            x = [net.inputs(*toxicity.char_ids([w]))[1] for w in part] + [np.zeros(2 * toxicity.WIDTH)] * (toxicity.WINDOW - len(part))
+            there, back, s = [], [], np.zeros(h)
+            for v in x:
+                there.append(s := cell(v, s, 0))
+            s = np.zeros(h)
+            for v in reversed(x):
+                back.append(s := cell(v, s, 1))
+            states = np.array([np.concatenate(p) for p in zip(there, reversed(back), strict=True)])
+            e = np.array([q @ net.p["att"] if i < len(part) else -30 for i, q in enumerate(states)])
+            alpha = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+            want.append((alpha @ states) @ net.p["out"] + net.p["bias"][0])
+        at += n
+    assert logits == pytest.approx(np.array(want), abs=1e-4)
+
+
+def held_out(spark, query, label):
+    """(recall, precision, accuracy, share of the commoner label) of a query on the labels that it has not learnt from."""
+    sf = "/root/testdata/sf0.1"
+    out = query(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", label), "doc_id")
+    n = {(r[label], r["predicted"]): r["n"] for r in out.groupBy(label, "predicted").agg(F.count("*").alias("n")).collect()}
+    hit, lost, false, clean = n.get((1, 1), 0), n.get((1, 0), 0), n.get((0, 1), 0), n.get((0, 0), 0)
+    every = hit + lost + false + clean
+    return hit / (hit + lost), hit / (hit + false), (hit + clean) / every, max(hit + lost, false + clean) / every
+
+
+def test_toxicity_of_held_out_documents(spark):
+    recall, precision, accuracy, common = held_out(spark, queries.op1_toxicity, "toxic")
+    assert recall >= 0.85 and precision >= 0.75 and accuracy >= 0.95 > common
+
+
+def test_quality_of_held_out_documents(spark):
+    recall, precision, accuracy, common = held_out(spark, queries.op10_quality, "quality")
+    assert recall >= 0.97 and precision >= 0.97 and accuracy >= 0.97 > common
+
+
+def test_classifier_edges(spark):
+    net = toxicity.Network.fresh(np.random.default_rng(1))
+    long = prose(random.Random(17), 200_000)
+    rows = [(1, None), (2, ""), (3, long), (4, "some words"), (4, "some words"), (None, "some words"), (5, "\u2028 \x00 é" * 3)]
+    docs = plain.docs(spark, rows).withColumns({"score": F.lit("old"), "predicted": F.lit("old"), "stats": F.lit("old"), "y": F.lit("old")})
+    got = toxicity.score(docs, net).collect()
+    assert [type(r["score"]) for r in got] == [float] * 7 and len({r["score"] for r in got if r["text"] == "some words"}) == 1
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 1), (4, 0), (None, 1), (7, None)], "doc_id long, quality int").withColumn("text", F.lit("clash"))
+    found = quality.quality(docs, labels, lambda i: F.lit(True)).collect()
+    assert len(found) == 7 and all(0 <= r["score"] <= 1 for r in found)
+    assert len({r["score"] for r in found if r["doc_id"] == 4}) == 1
+    assert quality.score(quality.with_statistics(docs.limit(0)), quality.Model(*(np.zeros(quality.N_STATS),) * 2, np.zeros(quality.FEATURES + 1), np.zeros(1), np.zeros(1))).count() == 0
+    sample = [(i, prose(random.Random(i), 20) + (" vile" if i % 2 else "")) for i in range(40)]
+    known = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (None, 1)], "doc_id long, label int")
+    twice = plain.docs(spark, sample + sample[:10] + [(5, "x " * 40_000)])
+    assert toxicity.train(twice, known).p["u"].shape == net.p["u"].shape
+
+
 def test_quality_learns(spark):
     rng = random.Random(9)
     rows, labels = [], []
