@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hmac
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+import re
+from urllib.parse import unquote_plus, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,10 @@ EXIT_BUDGET_SECONDS = 15
 TEXT_RUNES, TEXT_BYTES = 400, 4096
 RECORD_METHOD, RECORD_PATH = "POST", "/v1/messages"
 ID_PATTERN = r"\A[A-Za-z0-9][A-Za-z0-9._-]*\z"
+MASKED = "redacted"
+TOKEN_START, TOKEN_HIDDEN, TOKEN_REST = 8, "masked", "…(masked)"
+FAILURES = {426: "upgrade", 429: "limited", 408: "timeout", 401: "transient"}
+ABANDONED = ["capture queue full", "recording panicked", "capture limit exceeded", "capture deadline passed", "envelope assembly failed", "spool write failed"]
 # ---- end of the fixed values
 
 
@@ -142,8 +147,23 @@ def safe_text(text: Column) -> Column:
     return truncated(F.regexp_replace(F.regexp_replace(graphic, r"\p{Zs}+", " "), "^ | $", ""))
 
 
+def service_details(text: Column) -> Column:
+    """A service's own words: at most ``TEXT_BYTES`` bytes are looked at; a character that the cut splits is dropped."""
+    return safe_text(F.decode(F.substring(F.encode(text, "UTF-8"), 1, TEXT_BYTES), "UTF-8"))
+
+
 def mask_token(token: Column) -> Column:
-    return F.when(token == "", "").when(F.octet_length(token) <= 8, "masked").otherwise(F.concat(F.substring(token, 1, 8), F.lit("…(masked)")))
+    return F.when(token == "", "").when(F.octet_length(token) <= TOKEN_START, TOKEN_HIDDEN).otherwise(F.concat(F.substring(token, 1, TOKEN_START), F.lit(TOKEN_REST)))
+
+
+def _mask_query(query: str) -> str:
+    """Every value masked; a query that can't be taken apart is masked whole."""
+    keys = set()
+    for pair in filter(None, query.split("&")):
+        if ";" in pair or re.search("%(?![0-9a-fA-F]{2})", pair):
+            return MASKED
+        keys.add(unquote_plus(pair.partition("=")[0]))
+    return urlencode([(k, MASKED) for k in sorted(keys)]) or MASKED
 
 
 def _mask_url(url: str | None) -> str | None:
@@ -154,14 +174,8 @@ def _mask_url(url: str | None) -> str | None:
     except ValueError:
         return url
     host = u.netloc.rpartition("@")[2]
-    netloc = f"redacted@{host}" if "@" in u.netloc else u.netloc
-    query = u.query
-    if query:
-        try:
-            query = urlencode(sorted((k, "redacted") for k in dict(parse_qsl(query, keep_blank_values=True, strict_parsing=False)))) or "redacted"
-        except ValueError:
-            query = "redacted"
-    return urlunsplit((u.scheme, netloc, u.path, query, u.fragment))
+    netloc = f"{MASKED}@{host}" if "@" in u.netloc else u.netloc
+    return urlunsplit((u.scheme, netloc, u.path, _mask_query(u.query) if u.query else "", u.fragment))
 
 
 def mask_url_credentials(url: Column) -> Column:
@@ -191,10 +205,10 @@ def upstream_move(unsupported: Column, masked: Column, kept: Column, wanted: Col
 # delivery
 
 def failure_class(status: Column) -> Column:
-    return (
-        F.when(status == 426, "upgrade").when(status == 429, "limited").when(status == 408, "timeout")
-        .when(status == 401, "transient").when(status.between(400, 499), "rejected").otherwise("transient")
-    )
+    known = F.when(F.lit(False), "")
+    for code, kind in FAILURES.items():
+        known = known.when(status == code, kind)
+    return known.when(status.between(400, 499), "rejected").otherwise("transient")
 
 
 def is_temporary(status: Column) -> Column:
@@ -247,8 +261,9 @@ def first_accepted(*values: tuple[Column, Column]) -> Column:
     return F.coalesce(*(F.when(ok, v) for v, ok in values))
 
 
-def severity(problem: Column, note: Column) -> Column:
-    return F.when(problem, "problem").when(note, "note").otherwise("ok")
+def severity(problem: Column, note: Column, fixed: Column) -> Column:
+    """Of a finding, the gravest that holds."""
+    return F.when(problem, "problem").when(note, "note").when(fixed, "fixed").otherwise("ok")
 
 
 def keyed_proof(message: Column, key: bytes) -> Column:

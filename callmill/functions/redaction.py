@@ -44,7 +44,8 @@ PHONE_PATTERN = (
     rf"|(?:1(?:-|{_S}))?\([0-9]{{3}}\){_S}?[0-9]{{3}}(?:[-.]|{_S})?[0-9]{{4}}"
     rf"|(?:1(?:-|{_S}))?[0-9]{{3}}(?:-|{_S})[0-9]{{3}}(?:-|{_S})[0-9]{{4}})"
 )
-PROVIDER_PATTERNS = [r"sb_secret_[A-Za-z0-9_-]{20,}", r"sbp_[a-z0-9_-]{20,}"]
+PROVIDER_MARKS = ["sb_secret_", "sbp_"]
+PROVIDER_PATTERNS = [PROVIDER_MARKS[0] + "[A-Za-z0-9_-]{20,}", PROVIDER_MARKS[1] + "[a-z0-9_-]{20,}"]
 URI_PATTERN = rf"{_EDGE}[a-z][a-z0-9+.-]{{1,31}}://{_NOT_S}/?#@\"'`<>:]*:{_NOT_S}/?#@\"'`<>]+@{_NOT_S}\"'`<>]+"
 DATABASES = "db|database|pg|postgres|postgresql|mysql|mariadb|redis|mongo|mongodb|sqlserver|mssql|jdbc"
 KEY_PATTERN = rf"(?:{DATABASES})(?:[_-]+[a-z0-9]+)*[_-]*(?:password|passwd|pwd)"
@@ -68,11 +69,16 @@ VENDOR_PATTERNS = [
 ]
 # ---- end of the fixed values
 
+#: What a text needs for any layer to find something: a run that is long enough for its entropy (more than 22 different
+#: bytes), an address or assignment, the last digits of a telephone, a vendor's mark, the name of a credential, or an escape.
+TRIGGER_PATTERN = r"[A-Za-z0-9+_=-]{23}|[@=\\]|[0-9]{4}|AKIA|PRIVATE KEY|[Pp][Aa][Ss][Ss][Ww]|[Pp][Ww][Dd]"
+
 Span = tuple[int, int, str]
 _any_case = lambda p: re.compile(p, re.I)
 _RUN, _EMAIL, _PHONE, _URI = re.compile(RUN_PATTERN), re.compile(EMAIL_PATTERN), re.compile(PHONE_PATTERN), _any_case(URI_PATTERN)
 _ASSIGNED, _PASSWORD = _any_case(ASSIGNED_PATTERN), _any_case(PASSWORD_PATTERN)
 _JSON_KEY = re.compile(f"^(?:{KEY_PATTERN})$")
+_TRIGGER = re.compile(TRIGGER_PATTERN)
 _PLAIN = [re.compile(p) for p in PROVIDER_PATTERNS]
 _VENDOR = [re.compile(p) for p in VENDOR_PATTERNS]
 
@@ -193,6 +199,8 @@ def spans_of(text: str, categories: tuple[str, ...] = ()) -> list[Span]:
 
 
 def mask_text(text: str, categories: tuple[str, ...] = ()) -> str:
+    if not _TRIGGER.search(text):
+        return text
     out, at = [], 0
     for a, b, label in spans_of(text, categories):
         out += [text[at:a], f"[{SECRET_TOKEN}_{label}]" if label else SECRET_TOKEN]
@@ -302,13 +310,14 @@ def mask_record(text: str | None, categories: tuple[str, ...] = (EMAIL, PHONE))
 # ---- Columns
 
 def mask_records(text: Column | str, categories: tuple[str, ...] = (EMAIL, PHONE)) -> Column:
-    """``mask_record`` of a column, in Arrow batches."""
+    """``mask_record`` of a column, in Arrow batches; only texts in which something may be found go to Python."""
+    text = F.col(text) if isinstance(text, str) else text
 
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: mask_record(t, categories), na_action="ignore")
 
-    return run(text)
+    return F.coalesce(run(F.when(text.rlike(TRIGGER_PATTERN), text)), text)
 
 
 def text_spans(text: Column | str, categories: tuple[str, ...] = (EMAIL, PHONE)) -> Column:
@@ -328,10 +337,10 @@ def native_mask_personal(text: Column) -> Column:
 
 
 def native_entropy(text: Column) -> Column:
-    """Shannon entropy of an ASCII text, in bits per character."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+    """Shannon entropy of a text in bits per byte."""
+    data = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+    n = F.size(data).cast("double")
+    shares = F.transform(F.array_distinct(data), lambda c: F.size(F.filter(data, lambda x: x == c)) / n)
     return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
 
 

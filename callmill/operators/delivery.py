@@ -278,8 +278,7 @@ def _deliver(out: Flush, spool: Spool, sink: Sink, now: float, client_version: s
 
 
 def policy_class(status: int) -> str:
-    known = {426: "upgrade", 429: "limited", 408: "timeout", 401: "transient"}
-    return known.get(status, "rejected" if 400 <= status < 500 else "transient")
+    return policy.FAILURES.get(status, "rejected" if 400 <= status < 500 else "transient")
 
 
 def close(spool: Spool, state: State, sink: Sink, now: float, budget: float = policy.EXIT_BUDGET_SECONDS, **options) -> Flush:

@@ -7,20 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import policy
 
-#: A dimension up to this many bytes is broadcast; larger ones are shuffled.
-BROADCAST_BYTES = 32 << 20
-
-
-def dimension(df: DataFrame, row_bytes: int = 256, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows fit the limit."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
-
-
 def with_verdict(exchanges: DataFrame, routes: DataFrame, paused_reason: str = "") -> DataFrame:
-    """Left join on token: unknown tokens keep their rows.  Adds project_id_hash, route_upstream and verdict."""
+    """Left join on token: unknown tokens keep their rows.  Adds project_id_hash, route_upstream and verdict.
+
+    Whether the routes are broadcast is left to Spark, which knows their size
+    from the files or, at the latest, when they have been read.
+    """
     known = routes.select(F.col("token").alias("_token"), "project_id_hash", F.col("upstream").alias("route_upstream"), (F.coalesce(F.col("revoked_at"), F.lit("")) != "").alias("_revoked"))
     kept = exchanges.drop("project_id_hash", "route_upstream")
-    joined = kept.join(dimension(known), kept["token"] == known["_token"], "left")
+    joined = kept.join(known, kept["token"] == known["_token"], "left")
     verdict = policy.verdict(F.col("_token").isNotNull(), F.coalesce("_revoked", F.lit(False)), F.lit(paused_reason))
     return joined.withColumn("verdict", verdict).drop("_token", "_revoked")
 
@@ -33,8 +28,8 @@ def recordable(exchanges: DataFrame, routes: DataFrame, paused_reason: str = "",
 
 
 def abandonment(exchanges: DataFrame) -> DataFrame:
-    """Counts by category of abandoned captures; silent drops (status, withdrawn consent) are not counted."""
-    return exchanges.where("category IS NOT NULL AND category NOT IN ('status', 'consent')").groupBy("category").agg(F.count("*").alias("n"))
+    """Counts of abandoned captures by the fixed categories; silent drops (status, withdrawn consent) are in none of them."""
+    return exchanges.where(F.col("category").isin(policy.ABANDONED)).groupBy("category").agg(F.count("*").alias("n"))
 
 
 # ---- the dimension's own upkeep
@@ -50,6 +45,16 @@ def revoke(routes: DataFrame, root: str, at: str) -> DataFrame:
     return routes.withColumn("revoked_at", F.when(hit, F.lit(at)).otherwise(F.col("revoked_at")))
 
 
+def snapshot(routes: DataFrame, root: str) -> DataFrame:
+    """The root's entries, revoked ones included."""
+    return routes.where(F.col("root_path") == root)
+
+
+def restore(routes: DataFrame, root: str, entries: DataFrame) -> DataFrame:
+    """The root back to what a snapshot holds, nothing included; other roots stay as they are now."""
+    return routes.where(~F.col("root_path").eqNullSafe(F.lit(root))).unionByName(entries.select(routes.columns))
+
+
 def set_upstream(routes: DataFrame, root: str, upstream: str) -> DataFrame:
     hit = (F.col("root_path") == root) & (F.coalesce(F.col("revoked_at"), F.lit("")) == "")
     return routes.withColumn("upstream", F.when(hit, F.lit(upstream)).otherwise(F.col("upstream")))

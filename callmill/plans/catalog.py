@@ -40,7 +40,7 @@ _RE2_PHONE = redaction.PHONE_PATTERN
 
 @query(rf"SELECT doc_id, regexp_replace(regexp_replace(text, '{_RE2_EMAIL}', '[REDACTED_EMAIL]', 'g'), '{_RE2_PHONE}', '[REDACTED_PHONE]', 'g') AS masked FROM documents")
 def pii_mask_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", redaction.native_mask_personal(F.col("text")).alias("masked"))
+    return table(spark, sf_dir, "documents").select("doc_id", redaction.mask_records(F.col("text")).alias("masked"))
 
 
 @query(rf"SELECT page_id, len(regexp_extract_all(html, '{_RE2_EMAIL}'))::BIGINT AS emails, len(regexp_extract_all(html, '{_RE2_PHONE}'))::BIGINT AS phones FROM pages")
@@ -71,7 +71,7 @@ def token_entropy(spark, sf_dir):
 @query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'key REDACTED end' WHEN 1 THEN 'key REDACTED end' ELSE 'key sb_publishable_' || repeat('ab', 12) || ' end' END AS masked FROM orders""")
 def provider_token_mask(spark, sf_dir):
     k = F.col("o_orderkey") % 3
-    key = F.when(k == 0, F.concat(F.lit("sb_" + "secret_"), F.repeat(F.lit("ab"), 12))).when(k == 1, F.concat(F.lit("sb" + "p_"), F.repeat(F.lit("ab"), 12))).otherwise(F.concat(F.lit("sb_publishable_"), F.repeat(F.lit("ab"), 12)))
+    key = F.when(k == 0, F.concat(F.lit(redaction.PROVIDER_MARKS[0]), F.repeat(F.lit("ab"), 12))).when(k == 1, F.concat(F.lit(redaction.PROVIDER_MARKS[1]), F.repeat(F.lit("ab"), 12))).otherwise(F.concat(F.lit("sb_publishable_"), F.repeat(F.lit("ab"), 12)))
     return table(spark, sf_dir, "orders").select("o_orderkey", redaction.mask_records(F.concat(F.lit("key "), key, F.lit(" end"))).alias("masked"))
 
 
@@ -128,15 +128,15 @@ def _stream(text, change):
     )
 
 
-@query("SELECT conv_id, turn, text AS assembled, '9007199254740993' AS output_tokens FROM conversations WHERE text <> ''")
+@query("SELECT conv_id, turn, text AS assembled, '9007199254740993' AS output_tokens FROM conversations")
 def sse_roundtrip(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("text <> ''").withColumn("m", assembly.assembled(_stream(F.col("text"), F.lit(0))))
+    rows = table(spark, sf_dir, "conversations").withColumn("m", assembly.assembled(_stream(F.col("text"), F.lit(0))))
     return rows.select("conv_id", "turn", F.get_json_object("m.message", "$.content[0].text").alias("assembled"), F.regexp_extract("m.message", r'"output_tokens":(\d+)', 1).alias("output_tokens"))
 
 
-@query("""SELECT conv_id, turn, CASE conv_id % 5 WHEN 1 THEN 'event before start' WHEN 2 THEN 'unstarted block' WHEN 3 THEN 'no stop' WHEN 4 THEN 'event after stop' END AS reason FROM conversations WHERE text <> ''""")
+@query("""SELECT conv_id, turn, CASE conv_id % 5 WHEN 1 THEN 'event before start' WHEN 2 THEN 'unstarted block' WHEN 3 THEN 'no stop' WHEN 4 THEN 'event after stop' END AS reason FROM conversations""")
 def sse_degrade_reasons(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("text <> ''")
+    rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", assembly.assembled(_stream(F.col("text"), F.col("conv_id") % 5))["error"].alias("reason"))
 
 
@@ -385,17 +385,14 @@ def handshake_merge(spark, sf_dir):
 
 # ---- versions, texts, reports
 
-@query("""SELECT p_partkey, (row_number() OVER (ORDER BY p_size, p_partkey % 10, p_partkey % 3 <> 1, CASE WHEN p_partkey % 3 = 1 THEN p_partkey % 100 END, p_partkey))::BIGINT AS place,
-  CASE WHEN p_partkey % 3 = 2 THEN 'unknown' WHEN p_size < 25 THEN 'behind' ELSE 'satisfied' END AS standing FROM part WHERE p_partkey % 3 <> 2 OR true""")
+@query("""WITH keys AS (SELECT p_partkey, p_size, row(p_size, p_partkey % 10, p_partkey % 3 <> 1, CASE WHEN p_partkey % 3 = 1 THEN p_partkey % 100 ELSE -1 END) AS key FROM part)
+SELECT a.p_partkey, a.key < b.key AS before, CASE WHEN a.p_partkey % 3 = 2 THEN 'unknown' WHEN a.p_size < 25 THEN 'behind' ELSE 'satisfied' END AS standing FROM keys a JOIN keys b ON b.p_partkey = a.p_partkey + 1""")
 def version_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     k = F.col("p_partkey")
     version = F.concat(F.lit("v"), F.col("p_size"), F.lit("."), k % 10, F.lit(".0"), F.when(k % 3 == 1, F.concat(F.lit("-rc."), k % 100)).otherwise(""), F.lit("+b"), k)
-    rows = table(spark, sf_dir, "part").withColumn("key", policy.version_key(version))
-    place = F.row_number().over(Window.orderBy("key", "p_partkey")).cast("long")
-    standing = policy.version_standing(F.lit("25.0.0-alpha"), F.when(k % 3 == 2, "nightly").otherwise(version))
-    return rows.select("p_partkey", place.alias("place"), standing.alias("standing"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", policy.version_key(version).alias("key"), policy.version_standing(F.lit("25.0.0-alpha"), F.when(k % 3 == 2, "nightly").otherwise(version)).alias("standing"))
+    after = rows.select((k - 1).alias("p_partkey"), F.col("key").alias("next"))
+    return rows.join(after, "p_partkey").select("p_partkey", (F.col("key") < F.col("next")).alias("before"), "standing")
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey % 4 = 1 AND p_partkey % 3 = 0 ORDER BY p_size DESC, p_partkey % 10 DESC, p_partkey LIMIT 1")

@@ -37,16 +37,20 @@ def scan_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_index(spark: SparkSession, path: str) -> DataFrame:
-    """Index lines (day, line_no, parse_ok and the line's fields) of ``<day>/index.jsonl``; a missing index is empty."""
+    """Index lines (day, line_no, parse_ok and the line's fields) of ``<day>/index.jsonl``; a missing index is empty.
+
+    Files are read in blocks.  line_no rises with the place in the file: the
+    block's place, then the line's place in the block.
+    """
     try:
-        # one row per file: a day's index is small next to its records, and line numbers need whole files
-        text = spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", "index.jsonl").option("recursiveFileLookup", "true").load(path)
+        text = spark.read.format("text").option("pathGlobFilter", "index.jsonl").option("recursiveFileLookup", "true").load(path)
     except Exception as e:
         if not _missing(e):
             raise
         return spark.createDataFrame([], f"day string, line_no long, parse_ok boolean, {INDEX}")
-    lines = text.select(F.regexp_extract("_metadata.file_path", r"/(\d{8})/index\.jsonl$", 1).alias("day"), F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where("line <> ''")
-    return lines.select("day", F.col("line_no").cast("long"), F.from_json("line", INDEX).alias("e")).select("day", "line_no", F.col("e.request_id").isNotNull().alias("parse_ok"), "e.*")
+    place = F.expr("shiftleft(_metadata.file_block_start DIV 65536, 33)").bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    lines = text.select(F.regexp_extract("_metadata.file_path", r"/(\d{8})/index\.jsonl$", 1).alias("day"), place.alias("line_no"), F.from_json("value", INDEX).alias("e"), "value").where("value <> ''")
+    return lines.select("day", "line_no", F.col("e.request_id").isNotNull().alias("parse_ok"), "e.*")
 
 
 def write_records(records: DataFrame, path: str, written: int) -> None:

@@ -1,6 +1,6 @@
 import pytest
 
-from callmill.plans import catalog
+from callmill.plans import catalog, scenarios  # noqa: F401  scenarios adds its queries to the catalogue
 
 from .compare import connect, rows
 
