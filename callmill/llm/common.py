@@ -40,17 +40,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
-_TEMPORARY: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("temporary", default=None)
+#: Paths that the open ``temporary`` blocks will remove, the innermost last.
+_TEMPORARY: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("temporary", default=())
 
 
 @contextlib.contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """What is staged inside, unless it is to be kept, is removed at the end: nothing that outlives the block may read it."""
-    token = _TEMPORARY.set([])
+    """What is staged inside is removed at the end, so nothing that outlives the block may read it.
+
+    What is to be kept is removed with the block around this one, if there is one.
+    """
+    token = _TEMPORARY.set((*_TEMPORARY.get(), []))
     try:
         yield
     finally:
-        for path in _TEMPORARY.get():
+        for path in _TEMPORARY.get()[-1]:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         _TEMPORARY.reset(token)
@@ -64,8 +68,9 @@ def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     path = f"{scratch_dir(df.sparkSession)}/callmill-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if not keep and (held := _TEMPORARY.get()) is not None:
-        held.append(path)
+    blocks = _TEMPORARY.get()[:-1] if keep else _TEMPORARY.get()
+    if blocks:
+        blocks[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices as slice_rows
-from .common import stage, with_python_columns
+from .common import stage, temporary, with_python_columns
 
 MIN_CHARS = 10
 #: Hashes that one slice gets about (8 MB).
@@ -202,11 +202,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     A line whose key has ``min_chars`` code points at least stays only in the
     document with the smallest id of those that hold it.
     """
-    lines = stage(suspected(docs, id_col, text, min_chars, filter_bytes), "suspects")
-    # written, so that the join reads both of its sides from exchanges of its own, which Spark can split
-    first = stage(lines.groupBy("_key").agg(F.min("_id").alias("_first")).where("_first IS NOT NULL"), "first")
-    repeats = lines.join(first.hint("merge"), "_key").where(~F.col("_id").eqNullSafe(F.col("_first")))
-    drops = stage(repeats.groupBy(F.col("_id").alias("_drop_id")).agg(F.collect_set("_key").alias("_drop")), "drops")
+    with temporary(docs.sparkSession):
+        lines = stage(suspected(docs, id_col, text, min_chars, filter_bytes), "suspects")
+        # written, so that the join reads both of its sides from exchanges of its own, which Spark can split
+        first = stage(lines.groupBy("_key").agg(F.min("_id").alias("_first")).where("_first IS NOT NULL"), "first")
+        repeats = lines.join(first.hint("merge"), "_key").where(~F.col("_id").eqNullSafe(F.col("_first")))
+        drops = stage(repeats.groupBy(F.col("_id").alias("_drop_id")).agg(F.collect_set("_key").alias("_drop")), "drops", keep=True)
     marked = with_mark(docs, id_col, drops)
     losing = marked.where("_drop_maybe").drop("_drop_maybe")
     joined = losing.join(drops.hint("merge"), losing[id_col].eqNullSafe(drops["_drop_id"]), "left")

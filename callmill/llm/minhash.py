@@ -61,7 +61,11 @@ LINKS_AT_ONCE = 250_000
 #: Words of a shingle, and the least similarity of a link.
 SHINGLE = 5
 MIN_PERCENT = 80
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+#: An odd multiplier for each place in a shingle.
+_PLACES = np.random.default_rng(7).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -82,6 +86,8 @@ class Shingler:
     KNOWN = 300_000
 
     def __init__(self, words: int = SHINGLE):
+        if not 1 <= words <= len(_PLACES):
+            raise ValueError(f"1 to {len(_PLACES)} words a shingle")
         self.words, self.known = words, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -98,9 +104,9 @@ class Shingler:
         n = max(1, len(ids) - self.words + 1)
         width = min(self.words, len(ids))
         total = np.full(n, width, np.uint64)
-        for i in range(width):
-            total = mixed(total + ids[i : i + n] * _MIX[i % len(_MIX)] + np.uint64(i))
-        return np.unique(total)
+        for i in range(width):  # words' hashes are random, so different sequences of them hardly ever have equal sums
+            total += ids[i : i + n] * _PLACES[i]
+        return np.unique(mixed(total))
 
 
 def borrow_order(bins: int = BINS, seed: int = 5) -> np.ndarray:
@@ -112,16 +118,15 @@ def borrow_order(bins: int = BINS, seed: int = 5) -> np.ndarray:
 def signature(shingles: np.ndarray, order: np.ndarray) -> np.ndarray:
     """One-permutation hashing with optimal densification."""
     bins = len(order)
-    hashes = mixed(shingles + np.uint64(0x5851F42D4C957F2D))
-    where = (hashes >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)
-    sig = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
-    # of sorted (bin, hash), the first of each bin is its least
-    ranked = np.lexsort((hashes, where))
-    filled, first = np.unique(where[ranked], return_index=True)
-    filled = filled.astype(np.int64)
-    sig[filled] = hashes[ranked][first]
-    empty = np.setdiff1d(np.arange(bins), filled, assume_unique=True)
-    if len(empty):
+    # bins are ranges of the hashes, so in ascending order the first hash of each bin is its least
+    hashes = np.sort(mixed(shingles + np.uint64(0x5851F42D4C957F2D)))
+    where = ((hashes >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)).astype(np.int64)
+    first = np.flatnonzero(np.diff(where, prepend=-1))
+    filled = where[first]
+    sig = np.empty(bins, np.uint64)
+    sig[filled] = hashes[first]
+    if len(filled) < bins:
+        empty = np.setdiff1d(np.arange(bins), filled, assume_unique=True)
         sig[empty] = sig[filled[order[np.ix_(empty, filled)].argmin(1)]]
     return sig
 
@@ -130,7 +135,7 @@ def band_hashes(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     bands = sig.reshape(-1, rows)
     total = np.arange(1, len(bands) + 1, dtype=np.uint64)
     for i in range(rows):
-        total = mixed(total * _MIX[0] + bands[:, i])
+        total = mixed(total * _MIX + bands[:, i])
     return total
 
 
