@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callmill.llm import decontaminate, line_dedup, minhash, mixing, toxicity
-from callmill.llm.common import read, stage
+from callmill.llm.common import read, stage, temporary
 from callmill.llm.queries import toxicity_network
 
 
@@ -83,5 +83,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        with temporary(spark):
+            docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
