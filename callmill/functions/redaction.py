@@ -61,10 +61,17 @@ PASSWORD_PATTERN = rf"(?:^|[?&;]|{_S})(?:password|pwd)=({_QUOTED}|{_NOT_S}&;\"']
 HOST_PATTERN, USER_PATTERN = rf"(?:^|{_S})host=", rf"(?:^|{_S})user="
 SERVER_PATTERN = rf"(?:^|;){_S}*(?:server|data source|datasource|addr|address|network address){_S}*="
 LOGIN_PATTERN = rf"(?:^|;){_S}*(?:user id|userid|user|uid){_S}*="
-#: Vendor formats for which there is evidence; a small part of what scanners know.
+#: Formats of keys that their vendors have published; a small part of what scanners know.
 VENDOR_PATTERNS = [
     r"(?<![A-Za-z0-9])AKIA[A-Z2-7]{16}(?![A-Za-z0-9])",
-    r"ghp_[0-9a-zA-Z]{36}",
+    r"gh[oprsu]_[0-9a-zA-Z]{36}",
+    r"github_pat_[0-9a-zA-Z_]{82}",
+    r"glpat-[0-9a-zA-Z_-]{20}",
+    r"(?<![A-Za-z0-9])AIza[0-9a-zA-Z_-]{35}",
+    r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[0-9a-zA-Z]{24,99}",
+    r"(?<![A-Za-z0-9])xox[bp]-[0-9]{10,13}-[0-9]{10,13}-[0-9a-zA-Z-]{20,40}",
+    r"(?<![A-Za-z0-9])npm_[0-9a-zA-Z]{36}",
+    r"(?<![A-Za-z0-9])hf_[a-zA-Z]{34}",
     r"-----BEGIN[ A-Z0-9_-]{0,100}PRIVATE KEY(?: BLOCK)?-----[\s\S]{16,}?-----END[ A-Z0-9_-]{0,100}PRIVATE KEY(?: BLOCK)?-----",
 ]
 # ---- end of the fixed values

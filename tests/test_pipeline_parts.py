@@ -324,6 +324,31 @@ def test_store_scan(spark, tmp_path):
     assert [r["parse_ok"] for r in kept.collect()] == [False]
 
 
+def test_config_chain(spark, tmp_path):
+    (tmp_path / "strong.json").write_text('{"flush_bytes": 7,\n "notice": null}')
+    (tmp_path / "weak.json").write_text('{"flush_bytes": 9, "notice": "n"}')
+    chain = source.read_config_chain(spark, [str(tmp_path / f"{n}.json") for n in ("strong", "missing", "weak")], "flush_bytes long, notice string")
+    assert [tuple(r) for r in chain.orderBy("place").collect()] == [(7, None, 0), (9, "n", 2)]
+    by = {c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c) for c in ("flush_bytes", "notice")}
+    assert tuple(chain.agg(*by.values()).first()) == (7, "n")
+    assert source.read_config_chain(spark, [str(tmp_path / "missing.json")], "notice string").count() == 0
+
+
+def test_index_of_many_blocks(spark, tmp_path):
+    day = tmp_path / "20240506"
+    day.mkdir()
+    lines = [json.dumps({"request_id": f"r{i % 50}", "session_key": f"s{i}"}) for i in range(60_000)]
+    (day / "index.jsonl").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        index = source.scan_index(spark, str(tmp_path))
+        assert index.rdd.getNumPartitions() > 4
+        got = {r["request_id"]: r["session_key"] for r in store.latest_index(index).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {f"r{i % 50}": f"s{i}" for i in range(59_950, 60_000)}
+
+
 def test_record_stream(spark, tmp_path):
     routes = tmp_path / "routes"
     spark.createDataFrame([("t1", "h1", "/a", "https://a", "g", "")], capture.ROUTES).write.json(str(routes))

@@ -12,6 +12,27 @@ HIGH = "kQ7" + "zR2mX9pL4vT8wB3nY6cJ1hF5dS0gA"
 SB, SBP = "sb_" + "secret_", "sb" + "p_"
 
 
+@pytest.mark.parametrize("mark", ["gho" + "_", "ghs" + "_", "npm" + "_"])
+def test_vendor_marks(mark):
+    assert r.mask_text(f"a {mark}{'a1' * 18} b") == "a REDACTED b"
+    assert r.mask_text(f"a {mark}{'a1' * 17} b") == f"a {mark}{'a1' * 17} b"
+
+
+@pytest.mark.parametrize("text", ["glpat" + "-" + "a1" * 10, "AI" + "za" + "a1-_x" * 7, "sk" + "_live_" + "a1" * 12, "xox" + "b-" + "1" * 11 + "-" + "2" * 11 + "-" + "ab" * 12, "hf" + "_" + "ab" * 17, "github" + "_pat_" + "a_" * 41])
+def test_vendor_formats(text):
+    assert r.mask_text(f"({text})") == "(REDACTED)"
+
+
+def test_texts_that_skip_every_layer_hold_nothing():
+    """What the trigger lets pass is masked by no layer, whatever the text."""
+    rng = random.Random(5)
+    parts = ["aB3", "kQ7zR2mX9pL4vT8wB3nY6cJ1hF5dS0gA", " ", "@", "=", "123", "-4567", "password", "PWD", "://", "AKIA", "Q" * 16, "a.io", ";", "\\u0040", '"', "{", "}", "host", "+1", "(212)", "x" * 22]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 6)))
+        if not r._TRIGGER.search(text):
+            assert r.merged([*r.secret_spans(text), *r.personal_spans(text, BOTH)]) == []
+
+
 @pytest.mark.parametrize(("text", "want"), [
     ("plain words stay", "plain words stay"),
     (f"token {HIGH} end", "token REDACTED end"),
