@@ -7,6 +7,7 @@ its string values alone: the rest of the text keeps its bytes.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -88,6 +89,8 @@ _JSON_KEY = re.compile(f"^(?:{KEY_PATTERN})$")
 _TRIGGER = re.compile(TRIGGER_PATTERN)
 _PLAIN = [re.compile(p) for p in PROVIDER_PATTERNS]
 _VENDOR = [re.compile(p) for p in VENDOR_PATTERNS]
+#: What every vendor's format begins with.
+_MARKED = re.compile("AKIA|AIza|gh[oprsu]_|github_pat_|glpat-|[rs]k_|xox[bp]-|npm_|hf_|PRIVATE KEY")
 
 
 def entropy(text: str) -> float:
@@ -155,7 +158,7 @@ def _run_spans(text: str) -> Iterator[Span]:
 
 def secret_spans(text: str) -> Iterator[Span]:
     yield from _run_spans(text)
-    for pattern in _VENDOR:
+    for pattern in _VENDOR if _MARKED.search(text) else ():
         for literal in {m.group() for m in pattern.finditer(text)}:
             yield from ((m.start(), m.end(), "") for m in re.finditer(re.escape(literal), text))
     for pattern in _PLAIN:
@@ -217,15 +220,18 @@ def mask_text(text: str, categories: tuple[str, ...] = ()) -> str:
 
 # ---- JSON
 
+@functools.lru_cache(4096)
 def is_protected_key(key: str) -> bool:
     low = key.lower()
     return low.endswith(("signature", "id", "ids")) or low in PATH_KEYS
 
 
+@functools.lru_cache(4096)
 def _key_form(key: str) -> str:
     return re.sub(r"[-. ]", "_", key.strip().lower())
 
 
+@functools.lru_cache(4096)
 def is_credential_key(key: str, in_context: bool) -> bool:
     form = _key_form(key)
     return bool(_JSON_KEY.match(form)) or (in_context and form in ("password", "passwd", "pwd"))
