@@ -128,6 +128,18 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id > first) AS n_
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE first IS NULL OR doc_id = first), '')) AS kept_sha256
 FROM keyed LEFT JOIN firsts USING (key) GROUP BY doc_id"""
 
+# equal sets meet as one; of these, all pairs that share a shingle are counted
+ORACLE_SQL["op5_minhash_dedup"] = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ALPHABETS}), '[^\x20\x09-\x0D]+') AS w FROM documents), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 4], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 3, 1))) AS i FROM docs WHERE len(w) > 0)
+), sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(sh, chr(10) ORDER BY sh)) AS h FROM shingles GROUP BY doc_id), classes AS (SELECT h, min(doc_id) AS rep, min(n) AS n FROM sets GROUP BY h),
+own AS (SELECT rep, n, sh FROM shingles JOIN classes ON doc_id = rep), pairs AS (
+  SELECT a.rep AS x, b.rep AS y FROM own a JOIN own b ON a.sh = b.sh AND a.rep <> b.rep GROUP BY a.rep, b.rep HAVING 100 * count(*) >= 80 * (min(a.n) + min(b.n) - count(*))
+), reached AS (SELECT rep AS x, rep AS y FROM classes UNION SELECT reached.x, pairs.y FROM reached JOIN pairs ON reached.y = pairs.x),
+roots AS (SELECT x AS rep, min(y) AS root FROM reached GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, doc_id)::BIGINT AS component_id, coalesce(root, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN (SELECT doc_id, sets.n, root FROM sets JOIN classes USING (h) JOIN roots USING (rep)) USING (doc_id)"""
+
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_ALPHABETS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE_SQL["op3_decontaminate"] = f"""
 WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark), windows AS (
