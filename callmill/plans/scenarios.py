@@ -166,8 +166,9 @@ def events_assembled(spark, sf_dir):
 @query("""SELECT name, count(*) FILTER (WHERE (name = 'message_start') <= (conv_id % 5 <> 1) AND (name = 'content_block_start') <= (conv_id % 5 <> 2) AND (name = 'message_stop') <= (conv_id % 5 <> 3))::BIGINT + CASE WHEN name = 'content_block_delta' THEN count(*) WHEN name = 'message_stop' THEN count(*) FILTER (WHERE conv_id % 5 = 4) ELSE 0 END::BIGINT AS n
 FROM conversations, (SELECT unnest(['message_start', 'ping', 'content_block_start', 'content_block_delta', 'content_block_stop', 'message_delta', 'message_stop']) AS name) GROUP BY name""")
 def event_counts(spark, sf_dir):
+    assembly.register_functions(spark)
     streams = table(spark, sf_dir, "conversations").select(_stream(F.col("text"), F.col("conv_id") % 5).alias("stream"))
-    return streams.select(F.explode(assembly.sse_events("stream")).alias("e")).groupBy("e.name").agg(F.count("*").alias("n"))
+    return spark.sql("SELECT e.name, count(*) AS n FROM {streams}, LATERAL sse_events(stream) e GROUP BY e.name", streams=streams)
 
 
 # ---- routing
