@@ -83,7 +83,8 @@ TRIGGER_PATTERN = r"[A-Za-z0-9+_=-]{23}|[@=\\]|[0-9]{4}|AKIA|PRIVATE KEY|[Pp][Aa
 
 Span = tuple[int, int, str]
 _any_case = lambda p: re.compile(p, re.I)
-_RUN, _EMAIL, _PHONE, _URI = re.compile(RUN_PATTERN), re.compile(EMAIL_PATTERN), re.compile(PHONE_PATTERN), _any_case(URI_PATTERN)
+#: Runs of any length from 10 on count, but only long ones have the entropy.
+_RUN, _EMAIL, _PHONE, _URI = re.compile(r"[A-Za-z0-9+_=-]{23,}"), re.compile(EMAIL_PATTERN), re.compile(PHONE_PATTERN), _any_case(URI_PATTERN)
 _ASSIGNED, _PASSWORD = _any_case(ASSIGNED_PATTERN), _any_case(PASSWORD_PATTERN)
 _JSON_KEY = re.compile(f"^(?:{KEY_PATTERN})$")
 _TRIGGER = re.compile(TRIGGER_PATTERN)
@@ -152,7 +153,7 @@ def _run_spans(text: str) -> Iterator[Span]:
         a, b = m.span()
         if a and text[a - 1] == "\\" and text[a] in "ntrbfu":
             a += 1
-        if b - a >= 10 and entropy(text[a:b]) > ENTROPY_ABOVE:
+        if entropy(text[a:b]) > ENTROPY_ABOVE:
             yield a, b, ""
 
 
