@@ -221,10 +221,10 @@ class Crash(Exception):
     pass
 
 
-@pytest.mark.parametrize(("answer", "broken"), [(OK, (2,)), (delivery.Response(400), ())])
-def test_a_flush_can_be_cut_short_anywhere(spark, folders, tmp_path, answer, broken):
+@pytest.mark.parametrize(("answer", "broken", "first"), [(OK, (2,), 0), (delivery.Response(400), (), 3)])
+def test_a_flush_can_be_cut_short_anywhere(spark, folders, answer, broken, first):
     """After a crash before any step, and a repetition, every record is delivered once or set aside, under one id."""
-    for at in itertools.count():
+    for at in itertools.count(first):
         path = folders()
         store_, state_path, sink, ids, calls = spool(spark, path, 2 + len(broken), broken), f"{path}.json", Scripted(answer), itertools.count(), itertools.count()
 
