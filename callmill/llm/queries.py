@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, media, minhash, mixing, pii, quality, toxicity, url_filter, warc
+from . import decontaminate, line_dedup, media, minhash, mixing, pii, quality, spelling, toxicity, url_filter, warc
 from .common import read
 
 #: A key for tests; callers bring their own.
@@ -76,7 +76,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_decontaminate, op4_mix_sources, op5_minhash_dedup, op6_media_columns, op7_url_filter, op8_warc_zip, op9_pii, op10_quality)}
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_decontaminate, op4_mix_sources, op5_minhash_dedup, op6_media_columns, op7_url_filter, op8_warc_zip, op9_pii, op10_quality, op12_spelling)}
 
 _ALPHABETS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _RULE_ROWS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
@@ -172,3 +176,29 @@ WITH payloads AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = holder OR holder IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = holder THEN NULL ELSE holder END AS refers_to
 FROM payloads JOIN digests USING (hex) JOIN holders USING (hex)"""
+
+# CRC-32 byte by byte from its table; letters are ASCII or two bytes long.  Words that share a pattern with one open place, or of which
+# one is a deletion of the other, are near.
+ORACLE_SQL["op12_spelling"] = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')), {_ALPHABETS}) AS run FROM documents
+), hashed AS (
+  SELECT run, xor(list_reduce(flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END)),
+    lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295), 4294967295) AS h FROM runs, crc
+), found AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed
+), words AS (SELECT word, count(*) AS n FROM found WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2), cut AS (
+  SELECT word, n, left(word, i::INT) AS head, substr(word, i::INT + 2) AS tail FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT cut.word, cut.n, words.word, words.n FROM cut JOIN words ON words.word = head || tail
+  UNION SELECT words.word, words.n, cut.word, cut.n FROM cut JOIN words ON words.word = head || tail
+), best AS (
+  SELECT word, n, count(*) AS n_near, arg_min(other, {{'a': -other_n, 'b': other}}) AS form, max(other_n) AS form_n FROM near GROUP BY word, n
+), forms AS (SELECT word, form, form_n FROM best WHERE form_n >= 10 * n),
+reached AS (SELECT word, form AS root, 1 AS step FROM forms UNION ALL SELECT r.word, f.form, step + 1 FROM reached r JOIN forms f ON f.word = r.root),
+roots AS (SELECT word, arg_max(root, step) AS root FROM reached GROUP BY word)
+SELECT word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, forms.form, forms.form_n, coalesce(root, word) AS root
+FROM words LEFT JOIN best USING (word) LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)"""
