@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,3 +110,24 @@ def with_python_columns(df: DataFrame, inputs: list[str], make: Callable[..., li
 
     out = T.StructType([*kept, *(T.StructField(n, t) for n, t in added)])
     return df.mapInArrow(run, out)
+
+
+#: Partitions whose sums one second-level group adds up.
+FAN_IN = 64
+
+
+def summed(parts: DataFrame, rows: int, columns: int) -> np.ndarray:
+    """The matrix that rows of partial sums (part, row, v) add up to, always in the order of the partitions."""
+    schema = "part long, row long, v array<double>"
+
+    def add(table: pa.Table) -> pa.Table:
+        table, total = table.sort_by("part"), np.zeros(columns)
+        for v in table["v"].to_pylist():
+            total += v
+        return pa.table({"part": table["part"][:1], "row": table["row"][:1], "v": pa.array([total], pa.list_(pa.float64()))})
+
+    sums = parts.groupBy("row", F.floor(F.col("part") / FAN_IN)).applyInArrow(lambda table: add(table), schema).groupBy("row").applyInArrow(lambda table: add(table), schema)
+    out = np.zeros((rows, columns))
+    for r in sums.collect():
+        out[r["row"]] = r["v"]
+    return out
