@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, media, minhash, mixing, negatives, pii, quality, spelling, toxicity, url_filter, warc
+from . import decontaminate, html_extract, line_dedup, media, minhash, mixing, negatives, pii, quality, spelling, toxicity, url_filter, warc
 from .common import read
 
 #: A key for tests; callers bring their own.
@@ -86,7 +86,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_decontaminate, op4_mix_sources, op5_minhash_dedup, op6_media_columns, op7_url_filter, op8_warc_zip, op9_pii, op10_quality, op11_hard_negatives, op12_spelling)}
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_decontaminate, op4_mix_sources, op5_minhash_dedup, op6_media_columns, op7_url_filter, op8_warc_zip, op9_pii, op10_quality, op11_hard_negatives, op12_spelling, op13_html_extract)}
 
 _ALPHABETS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _RULE_ROWS = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
@@ -222,3 +226,15 @@ WITH usable AS (
 SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
 FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10"""
+
+# the pages of the tables keep their main text in headings and paragraphs of one article, and use a few character references
+ORACLE_SQL["op13_html_extract"] = r"""
+WITH articles AS (
+  SELECT page_id, url, unnest(string_split(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(p|h1)>', chr(1), 'g'), chr(1))) AS block,
+    unnest(range(len(string_split(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(p|h1)>', chr(1), 'g'), chr(1))))) AS pos FROM pages
+), plain AS (
+  SELECT page_id, url, pos, regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(block, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g') AS block FROM articles
+)
+SELECT page_id, url, coalesce(string_agg(trim(block), chr(10) ORDER BY pos) FILTER (WHERE trim(block) <> ''), '') AS text,
+  length(coalesce(string_agg(trim(block), chr(10) ORDER BY pos) FILTER (WHERE trim(block) <> ''), ''))::BIGINT AS n_chars
+FROM plain GROUP BY page_id, url"""
