@@ -61,6 +61,12 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         _TEMPORARY.reset(token)
 
 
+def removed_with_block(path: str) -> None:
+    """The innermost open ``temporary`` block, if there is one, removes ``path`` at its end."""
+    if blocks := _TEMPORARY.get():
+        blocks[-1].append(path)
+
+
 def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -206,14 +206,26 @@ def email(value: str, cipher: Cipher) -> str | None:
     return f"{permute_characters(local, cipher, 'email')}@{domain}"
 
 
+_HEXADECIMAL = dict.fromkeys("0123456789abcdef", "0123456789abcdef")
+_ALL_HEXADECIMAL, _DIGIT = re.compile("[0-9a-f]+"), re.compile("[0-9]")
+
+
 def secret(value: str, cipher: Cipher) -> str | None:
-    """Keys and tokens, found by what stands before them; hexadecimal ones stay so, and words without digits are none."""
+    """Keys and tokens, found by what stands before them; words without digits are none.
+
+    Hexadecimal ones that have a digit are permuted among themselves, and so
+    are the others of one pattern of characters: each permutation is walked
+    until it is back among its own, so no two values get one pseudonym.
+    """
     mark = re.match(r"AKIA|[A-Za-z_]+\s*[=:]\s*[\"']?", value).group()
-    hexadecimal = dict.fromkeys("0123456789abcdef", "0123456789abcdef")
     tail = value[len(mark) :]
-    if mark != "AKIA" and not any(c in "0123456789" for c in tail):
+    if mark != "AKIA" and not _DIGIT.search(tail):
         return None
-    return mark + permute_characters(tail, cipher, "secret", hexadecimal if re.fullmatch("[0-9a-f]+", tail) else None)
+    hexadecimal = _ALL_HEXADECIMAL.fullmatch(tail) is not None
+    while True:
+        tail = permute_characters(tail, cipher, "secret", _HEXADECIMAL if hexadecimal else None)
+        if (_ALL_HEXADECIMAL.fullmatch(tail) is not None) == hexadecimal and (mark == "AKIA" or _DIGIT.search(tail)):
+            return mark + tail
 
 
 #: Kinds in order of preference: pattern, what must be in a text at all, and the pseudonym of a value (None if it isn't valid).
@@ -228,6 +240,8 @@ KINDS: dict[str, tuple[re.Pattern, str, Callable[[str, Cipher], str | None]]] =
     "date": (re.compile(r"(?<![A-Za-z0-9./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![A-Za-z0-9/-]|\.[0-9])"), "0123456789", date),
 }
 _ANY = re.compile(r"[0-9@=:]")
+#: Of the names before secrets, with the mark behind it.
+LONGEST_NAME = len("password=")
 
 
 def pseudonymized(text: str | None, key: bytes, inverse: bool = False) -> tuple[str | None, dict[str, int]]:
@@ -239,22 +253,26 @@ def pseudonymized(text: str | None, key: bytes, inverse: bool = False) -> tuple[
     for kind, (pattern, needs, make) in KINDS.items():
         if not any(c in text for c in needs):
             continue
-        at, taken = 0, list(spans)
+        at, taken = 0, sorted(spans)
         while m := pattern.search(text, at):
-            a, value = m.start(), m.group()
-            at = m.end()
-            if any(a < y and x < at for x, y, _, _ in taken):
-                at = a + 1
+            a, end, value = m.start(), m.end(), m.group()
+            at = a + 1  # after a candidate that is none, a later group may begin a value
+            i = bisect.bisect_right(taken, (a, len(text)))
+            held = taken[i - 1][1] if i and taken[i - 1][1] > a else taken[i][1] if i < len(taken) and taken[i][0] < end else 0
+            if held:
+                # all secrets that begin before the span's end reach into it: they end where this one ends
+                at = held if kind == "secret" else at
                 continue
             new = make(value, cipher)
-            while new is None and " " in value:  # a group that follows may not belong to the value
+            while new is None and " " in value and kind != "secret":  # a group that follows may not belong to the value
                 value = value.rpartition(" ")[0]
                 new = make(value, cipher) if pattern.fullmatch(value) else None
             if new is not None:
                 at = a + len(value)
                 spans.append((a, at, new, kind))
-            else:  # a later group may begin a value
-                at = a + 1
+            elif kind == "secret":
+                # what begins inside has no digits either, but for a name at the end that a quoted value follows
+                at = max(at, end - LONGEST_NAME)
     spans.sort()
     out, at, counts = [], 0, dict.fromkeys((k for *_, k in spans), 0)
     for a, b, new, kind in spans:

@@ -14,9 +14,10 @@ All labelled rows are used; nothing is sampled.  The statistics are written
 once and reread by the fit and by the scoring.
 
 Null and empty texts have statistics of 0 and get a score like any other.
-Repeated rows get equal scores, and a document that has several labels counts
-with each.  Null labels are left out.  An empty table gives an empty result;
-without labels of both classes there is nothing to learn, which is an error.
+Equal texts get equal scores, in batches of any size and in every run.  A
+document that has several labels counts with each.  Null labels are left out.
+An empty table gives an empty result; without labels of both classes there is
+nothing to learn from a table that has rows, which is an error.
 Only ids, texts and labels are read.
 """
 
@@ -35,8 +36,10 @@ from pyspark.sql import types as T
 from .common import slices, stage, with_python_columns
 
 FEATURES, WIDTH, RIDGE, SEED, BINS = 192, 3.0, 1.0, 3, 400
-#: Rows of a partition sum that one second-level group adds up.
+#: Groups in which the sums of partitions are added up first.
 FAN_IN = 64
+#: Features are rounded to 1 / UNIT before they are added up; sums of 2^31 rows fit into 64 bits.
+UNIT = float(1 << 16)
 
 _KINDS = {
     "upper": [*range(65, 91)], "lower": [*range(97, 123)], "digit": [*range(48, 58)], "space": [32, 9, 11, 12, 13], "line": [10],
@@ -83,7 +86,11 @@ class Model:
     steps_y: np.ndarray
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return fourier(stats, self.mean, self.scale) @ self.weights
+        out = np.zeros(len(stats))
+        # feature by feature, so that a row's sum does not depend on the rows beside it, as a matrix product's would
+        for column, weight in zip(fourier(stats, self.mean, self.scale).T, self.weights, strict=True):
+            out += column * weight
+        return out
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         """Between 0 and 1; a small share of the raw score keeps the order inside flat stretches."""
@@ -92,11 +99,13 @@ class Model:
 
 
 def fourier(stats: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Random Fourier features, and a constant."""
+    """Random Fourier features, and a constant; each row's the same whatever the rows beside it."""
     rng = np.random.default_rng(SEED)
     w, b = rng.standard_normal((stats.shape[1], FEATURES)) / WIDTH, rng.random(FEATURES) * 2 * np.pi
-    z = np.cos(np.clip((stats - mean) / scale, -8, 8) @ w + b) * np.sqrt(2 / FEATURES)
-    return np.concatenate([z, np.ones((len(z), 1))], 1)
+    x, angle = np.clip((stats - mean) / scale, -8, 8), np.tile(b, (len(stats), 1))
+    for column, direction in zip(x.T, w, strict=True):
+        angle += column[:, None] * direction
+    return np.concatenate([np.cos(angle) * np.sqrt(2 / FEATURES), np.ones((len(stats), 1))], 1)
 
 
 def isotonic(x: np.ndarray, good: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,30 +129,30 @@ def _stacked(column: pa.Array) -> np.ndarray:
 
 
 def normal_equations(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Z'Z and Z'y over all ``rows`` (stats, y)."""
+    """Z'Z and Z'y over all ``rows`` (stats, y), with features in whole units of 1 / ``UNIT``: sums of integers, the same in any order."""
     size = FEATURES + 1
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, pid, any_rows = np.zeros((size, size + 1)), 0, False
+        total, any_rows = np.zeros((size, size + 1), np.int64), False
         for batch in slices(batches, 4096):
             if batch.num_rows:
                 any_rows = True
-                pid = batch.column(2)[0].as_py()
-                z, y = fourier(_stacked(batch.column(0)), mean, scale), batch.column(1).to_numpy(zero_copy_only=False)
-                total += z.T @ np.column_stack([z, y])
+                z = np.rint(fourier(_stacked(batch.column(0)), mean, scale) * UNIT)
+                # whole numbers far below 2^53, so the product of doubles is exact
+                total += (z.T @ np.column_stack([z, batch.column(1).to_numpy(zero_copy_only=False) * UNIT])).astype(np.int64)
         if any_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([pid] * size, pa.int64()), pa.array(range(size), pa.int64()), pa.array(list(total), pa.list_(pa.float64()))], names=["part", "row", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int64()), pa.array(list(total), pa.list_(pa.int64()))], names=["row", "v"])
 
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(np.array(v, float) for v in table["v"].to_pylist())
-        return pa.table({"part": pa.array([0], pa.int64()), "row": pa.array([key[0].as_py()], pa.int64()), "v": pa.array([total], pa.list_(pa.float64()))})
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.array(v, np.int64) for v in table["v"].to_pylist())
+        return pa.table({"row": table["row"][:1], "v": pa.array([total], pa.list_(pa.int64()))})
 
-    schema = "part long, row long, v array<double>"
-    sums = rows.select("stats", "y", F.spark_partition_id().cast("long").alias("part")).mapInArrow(partial, schema)
-    sums = sums.groupBy("row", F.floor(F.col("part") / FAN_IN).alias("level")).applyInArrow(add, schema).groupBy("row").applyInArrow(add, schema)
+    schema = "row long, v array<long>"
+    sums = rows.select("stats", "y").mapInArrow(partial, schema).groupBy("row", F.pmod(F.spark_partition_id(), F.lit(FAN_IN))).applyInArrow(lambda table: add(table), schema)
     out = np.zeros((size, size + 1))
-    for r in sums.collect():
+    for r in sums.groupBy("row").applyInArrow(lambda table: add(table), schema).collect():
         out[r["row"]] = r["v"]
+    out /= UNIT**2
     return out[:, :size], out[:, size]
 
 
@@ -154,8 +163,9 @@ def train(rows: DataFrame) -> Model:
     found = rows.agg(F.count_distinct("y").alias("classes"), *parts).first()
     if found["classes"] < 2:
         raise ValueError("labels of both classes are needed")
-    mean = np.array([found[f"m{i}"] for i in range(N_STATS)])
-    scale = np.maximum(np.array([found[f"s{i}"] for i in range(N_STATS)]), 1e-3)
+    # rounded, as sums of doubles depend on their order in the last digits
+    mean = np.round([found[f"m{i}"] for i in range(N_STATS)], 9)
+    scale = np.maximum(np.round([found[f"s{i}"] for i in range(N_STATS)], 9), 1e-3)
     a, b = normal_equations(rows.where("NOT calibrate"), mean, scale)
     model = Model(mean, scale, np.linalg.solve(a + RIDGE * np.eye(len(a)), b), np.zeros(1), np.zeros(1))
 
@@ -184,6 +194,8 @@ def score(stats: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.5) -> DataFrame:
     """id, score and predicted of every document; ``learn`` is a condition on the id."""
+    if docs.isEmpty():
+        return docs.select(F.col(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     stats = stage(with_statistics(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))), "statistics")
     known = labels.select(F.col(id_col).alias("id"), F.col(label).alias("y")).where(learn(F.col("id")))
     rows = stage(stats.join(known, "id").withColumn("calibrate", F.pmod(F.crc32(F.concat(F.lit("calibrate:"), F.col("id").cast("string"))), F.lit(5)) == 0), "labelled")

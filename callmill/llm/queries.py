@@ -31,7 +31,7 @@ def toxicity_network(docs: DataFrame, labels: DataFrame) -> toxicity.Network:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = toxicity.score(docs, toxicity_network(docs, read(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, None if docs.isEmpty() else toxicity_network(docs, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", (_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
@@ -64,7 +64,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_packages(warc.write_packages(read(spark, sf_dir, "pages")))
+    found = warc.read_packages(warc.write_packages(read(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

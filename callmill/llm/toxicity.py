@@ -395,8 +395,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     return fit([r["t"] for r in sample], [r["y"] for r in sample], prior)
 
 
-def score(docs: DataFrame, net: Network, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 from the threshold on)."""
+def score(docs: DataFrame, net: Network | None, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """``docs`` with score (0 to 1) and predicted (1 from the threshold on).
+
+    A table without rows needs no network, as there is nothing to learn from it.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(net)
     held: dict[str, Scorer] = {}
 

@@ -1,22 +1,28 @@
 """WARC records in ZIP packages: a writer, and a reader that extracts nothing.
 
-A package holds two stored (uncompressed) members: ``archive/data.warc.gz``,
-one gzip member per record, and ``indexes/index.cdxj``, a line per record with
-its offset and length in that archive.  The reader finds the end of central
-directory, or its ZIP64 form, parses the central directory, locates both
-members and then reads byte ranges: the index, and each record by its offset.
-Nothing is unpacked to disk.
+A package that is written here holds two stored (uncompressed) members:
+``archive/data.warc.gz``, one gzip member per record, and
+``indexes/index.cdxj``, a line per record with its archive, offset and length.
+The reader finds the end of central directory, or its ZIP64 form, parses the
+central directory, locates all archives and indexes (plain or gzip-ed), and
+then reads byte ranges: each index, and each record from the archive that its
+line names.  Nothing is unpacked to disk.  A record that several indexes name
+is read once; one that can't be read, or whose archive is missing, gives a row
+with the reason in ``error`` and without the rest.
 
 Packages are ZIP files in the shared folder, each under a name of its own; the
 table of packages (path, size) commits with Spark's writer.  A task that is
 lost or repeated leaves at most files that no table names.  A package is
 closed at ``PACKAGE_BYTES`` of archive, which bounds a task's memory; one
 longer record makes a package of its own.  Readers open a package where it
-lies and read from it the directory, the index and one record at a time.
+lies and read from it the directory, the indexes and one record at a time.
+Inside a ``temporary`` block the packages are removed with it.
 
 Of records whose payloads are equal (by SHA-256), the one with the largest id
-is the response and the others are revisits that name it.  Only digests and
-ids are shuffled for this choice, counted before they are joined back.
+is the response and the others are revisits that name it.  Digests, ids and
+addresses are shuffled for this choice; payloads only of responses that have
+revisits, and of the few that a bounded filter takes for such.  All others are
+written where they are read, and revisits, which hold none, without payload.
 Payloads shorter than ``min_bytes`` are all responses.  A null payload is
 empty.  Ids are integers or strings.  Repeated rows with the largest id are
 all responses.  Null ids are revisits of a record with an id, and responses
@@ -34,6 +40,7 @@ import json
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import quote, unquote
 
@@ -42,14 +49,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, slices, stage
+from .common import removed_with_block, scratch_dir, slices, stage, temporary
+from .line_dedup import with_mark
 
 PACKAGE_BYTES = 4 << 20
 #: Bytes of packages that one reading task gets about.
 READ_BYTES = 16 << 20
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+ARCHIVES, INDEXES = "archive/", "indexes/"
 DATE = "2024-01-01T00:00:00Z"
-RECORDS = "page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}"
+RECORDS = "page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, error string"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -58,8 +67,8 @@ def payload_digest(payload: bytes) -> str:
 
 # ---- writing
 
-def warc_record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None) -> bytes:
-    """One uncompressed WARC/1.1 record; a revisit carries no payload."""
+def warc_record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None, length: int | None = None) -> bytes:
+    """One uncompressed WARC/1.1 record; a revisit carries no payload, but its length."""
     revisit = refers_to is not None
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
@@ -67,7 +76,7 @@ def warc_record(page_id, url: str | None, payload: bytes, digest: str, refers_to
         ("WARC-Date", DATE),
         ("WARC-Target-URI", " ".join((url or "").split())),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
-        ("X-Payload-Length", str(len(payload))),
+        ("X-Payload-Length", str(len(payload) if length is None else length)),
     ]
     if revisit:
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{quote(str(refers_to), safe='')}>")]
@@ -102,15 +111,37 @@ def put_file(folder: str, data: bytes) -> str:
     return f"{folder}/{name}.zip"
 
 
+def _with_digest(pages: DataFrame, id_col: str, url: str, payload: str) -> DataFrame:
+    body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
+    return pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), body.alias("payload")).withColumn("sha", F.sha2("payload", 256))
+
+
+def records_to_write(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """id, url, payload (null for revisits), sha1, length and refers_to (null for responses) of every row."""
+    facts = ("id", "url", "sha", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("length"))
+    slim = stage(rows.select(*facts), "digests")
+    # written, so that the joins read both of their sides from exchanges of their own, which Spark can split
+    holders = stage(slim.where(F.col("length") >= min_bytes).groupBy("sha").agg(F.max("id").alias("holder"), F.count("*").alias("n")).where("n > 1 AND holder IS NOT NULL").select("sha", "holder"), "holders")
+    shared = with_mark(slim, "sha", holders.select(F.col("sha").alias("_drop_id"))).where("_drop_maybe").drop("_drop_maybe")
+    judged = stage(shared.join(holders.hint("merge"), "sha", "left").withColumn("copy", F.coalesce(~F.col("id").eqNullSafe(F.col("holder")) & F.col("holder").isNotNull(), F.lit(False))), "judged")
+    copies = judged.where("copy").select("id", "url", F.lit(None).cast("binary").alias("payload"), "sha1", "length", F.col("holder").alias("refers_to"))
+    # the rows that need their payload although others may have it: all that are no copies
+    own = judged.where("NOT copy").select("sha", F.col("id").alias("own_id")).distinct()
+    place = lambda i: F.concat_ws(":", "sha", F.coalesce(i.cast("string"), F.lit("")))
+    marked = with_mark(rows, "sha", holders.select(F.col("sha").alias("_drop_id"))).withColumn("place", place(F.col("id")))
+    alone = marked.where("NOT _drop_maybe")
+    among = with_mark(marked.where("_drop_maybe").drop("_drop_maybe"), "place", own.select(place(F.col("own_id")).alias("_drop_id"))).where("_drop_maybe")
+    named = own.withColumnRenamed("sha", "own_sha").hint("merge")
+    among = among.join(named, (among["sha"] == named["own_sha"]) & among["id"].eqNullSafe(named["own_id"]), "left_semi")
+    written = [df.select("id", "url", "payload", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("length"), F.lit(None).cast(rows.schema["id"].dataType).alias("refers_to")) for df in (alone, among)]
+    return written[0].unionByName(written[1]).unionByName(copies)
+
+
 def write_packages(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
     """The table of packages (path, size), whose files are written to the shared folder."""
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.sha2("payload", 256))
-    # written, so that the join below reads both of its sides from exchanges of its own, which Spark can split
-    holders = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.max("id").alias("holder"), F.count("*").alias("n")).where("n > 1").select("sha", "holder")
-    rows = rows.join(stage(holders, "holders"), "sha", "left")
-    is_copy = F.col("holder").isNotNull() & ~F.col("id").eqNullSafe(F.col("holder"))
-    rows = rows.withColumn("refers_to", F.when(is_copy, F.col("holder"))).drop("holder")
-    folder = f"{scratch_dir(pages.sparkSession)}/callmill-packages-{uuid.uuid4().hex}"
+    spark = pages.sparkSession
+    folder = f"{scratch_dir(spark)}/callmill-packages-{uuid.uuid4().hex}"
+    removed_with_block(folder)
 
     def made(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
         data = pack(held)
@@ -119,8 +150,9 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url: str = "url",
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in slices(batches, 64):
-            for page_id, address, body, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = gzip.compress(warc_record(page_id, address, body, payload_digest(body), refers_to), compresslevel=1, mtime=0)
+            for page_id, address, body, sha1, length, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                data = gzip.compress(warc_record(page_id, address, body or b"", digest, refers_to, length), compresslevel=1, mtime=0)
                 held.append((f"urn:page:{'' if page_id is None else quote(str(page_id), safe='')}", data))
                 size += len(data)
                 if size >= PACKAGE_BYTES:
@@ -129,7 +161,8 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url: str = "url",
         if held:
             yield made(held)
 
-    return stage(rows.select("id", "url", "payload", "refers_to").mapInArrow(write, "path string, size long"), "packages")
+    with temporary(spark):
+        return stage(records_to_write(_with_digest(pages, id_col, url, payload), min_bytes).mapInArrow(write, "path string, size long"), "packages", keep=True)
 
 
 # ---- reading
@@ -202,17 +235,43 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block.partition(b"\r\n\r\n")[2]
 
 
-def package_records(read_at: ReadAt, size: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Every indexed record, read by its range."""
+def index_entries(read_at: ReadAt, members: dict[str, tuple[int, int, int, int]]) -> Iterator[tuple[str, dict]]:
+    """Key and entry of every line of all indexes."""
+    for name in sorted(m for m in members if m.startswith(INDEXES) and not m.endswith("/")):
+        data = read_at(*stored_range(read_at, members[name]))
+        for line in (gzip.decompress(data) if name.endswith(".gz") else data).decode("utf-8", "replace").splitlines():
+            parts = line.split(" ", 2)
+            if len(parts) == 3 and parts[2].startswith("{") and not line.startswith("!"):
+                yield parts[0], json.loads(parts[2])
+
+
+def package_records(read_at: ReadAt, size: int) -> Iterator[tuple[str, dict[str, str], bytes, str | None]]:
+    """Index key, fields and payload of every indexed record, read by its range from the archive that its entry names; or the reason why not."""
     members = central_directory(read_at, size)
-    start, _ = stored_range(read_at, members[ARCHIVE])
-    for line in read_at(*stored_range(read_at, members[INDEX])).decode().splitlines():
-        entry = json.loads(line.split(" ", 2)[2])
-        yield parse_record(gzip.decompress(read_at(start + entry["offset"], entry["length"])))
+    archives = {name.removeprefix(ARCHIVES): name for name in members if name.startswith(ARCHIVES) and not name.endswith("/")}
+    starts, seen = {}, set()
+    for key, entry in index_entries(read_at, members):
+        name = archives.get(entry.get("filename", "").removeprefix(ARCHIVES))
+        place = (name, int(entry.get("offset", -1)), int(entry.get("length", -1)))
+        if name is not None and place in seen:
+            continue
+        seen.add(place)
+        try:
+            if name is None:
+                raise ValueError(f"no archive {entry.get('filename', '')}")
+            if name not in starts:
+                starts[name] = stored_range(read_at, members[name])
+            start, most = starts[name]
+            if place[1] < 0 or place[2] < 0 or place[1] + place[2] > most:
+                raise ValueError("a range outside of its archive")
+            data = read_at(start + place[1], place[2])
+            yield key, *parse_record(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data), None
+        except (ValueError, KeyError, OSError, EOFError, zlib.error) as e:
+            yield key, {}, b"", str(e)
 
 
 def read_packages(packages: DataFrame, kind: str = "long") -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of every record.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and error of every record.
 
     A response's length and digest come from the payload read back, a
     revisit's from its header fields.
@@ -220,17 +279,19 @@ def read_packages(packages: DataFrame, kind: str = "long") -> DataFrame:
     whole = kind in ("tinyint", "smallint", "int", "integer", "bigint", "long")
 
     def page(urn: str | None):
-        text = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+        text = (urn or "").strip("<>").removeprefix("urn:page:")
         return (int(text) if whole else unquote(text)) if text else None
 
-    def row(fields: dict[str, str], payload: bytes) -> tuple:
+    def row(key: str, fields: dict[str, str], payload: bytes, error: str | None) -> tuple:
+        if error is not None:
+            return page(key), None, None, None, None, error
         length, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
         if fields["warc-type"] == "response":
             length, digest = len(payload), payload_digest(payload)
-        return page(fields["warc-record-id"]), length, digest, fields["warc-type"], page(fields.get("warc-refers-to"))
+        return page(fields["warc-record-id"]), length, digest, fields["warc-type"], page(fields.get("warc-refers-to")), None
 
     names = [c.split()[0] for c in RECORDS.split(", ")]
-    kinds = [pa.int64() if whole else pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64() if whole else pa.string()]
+    kinds = [pa.int64() if whole else pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64() if whole else pa.string(), pa.string()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +299,7 @@ def read_packages(packages: DataFrame, kind: str = "long") -> DataFrame:
                 store, at_path = fs.FileSystem.from_uri(path)
                 with store.open_input_file(at_path) as file:
                     rows = [row(*r) for r in package_records(lambda at, n, file=file: file.read_at(n, at), size)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     total = packages.agg(F.sum("size")).first()[0] or 0
     spread = packages.select("path", "size").repartition(max(1, -(-total // READ_BYTES)))

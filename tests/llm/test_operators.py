@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zipfile
 import zlib
 
@@ -339,7 +340,7 @@ def test_urls_keep_large_ids(spark):
 def test_warc(spark):
     pages = [(1, "u1", "same"), (2, "u2", "same"), (3, "u\n3", "é" * 70_000), (4, None, None), (5, "u5", ""), (6, "u6", "own\r\n\r\nrest"), (None, "u7", "same")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
-    got = {r["page_id"]: tuple(r)[1:] for r in warc.read_packages(warc.write_packages(df)).collect()}
+    got = {r["page_id"]: tuple(r)[1:5] for r in warc.read_packages(warc.write_packages(df)).collect()}
     for i, _, html in pages:
         data = (html or "").encode()
         digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -384,11 +385,57 @@ def test_packages(zip64):
         reads.append(n)
         return blob[at : at + n]
 
-    assert [len(p) for _, p in warc.package_records(read_at, len(blob))] == list(range(50))
+    assert [len(p) for _, _, p, _ in warc.package_records(read_at, len(blob))] == list(range(50))
     with pytest.raises(ValueError):
         warc.central_directory(lambda at, n: b"x" * n, 100)
 
 
+def package_of(archives, lines, compressed=False):
+    """A package of several archives and one or more indexes."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, data in archives.items():
+            z.writestr(f"archive/{name}", data)
+        for name, text in lines.items():
+            z.writestr(f"indexes/{name}", warc.gzip.compress(text.encode()) if compressed else text)
+        z.writestr("datapackage.json", "{}")
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_packages_of_several_archives(spark, tmp_path, compressed):
+    record = lambda i, body: warc.gzip.compress(warc.warc_record(i, f"u{i}", body, warc.payload_digest(body)))
+    a, b, c = record(1, b"one"), record(2, b"two"), warc.warc_record(3, "u3", b"three", warc.payload_digest(b"three"))
+    line = lambda i, name, at, n: f'urn:page:{i} 2024 {{"offset": "{at}", "length": {n}, "filename": "{name}"}}\n'
+    end = ".gz" if compressed else ""
+    first = "!meta 0 {}\n" + line(1, "a.warc.gz", 0, len(a)) + line(2, "archive/b.warc.gz", 0, len(b)) + line(1, "a.warc.gz", 0, len(a))
+    second = line(3, "c.warc", 0, len(c)) + line(4, "gone.warc.gz", 0, 9) + line(5, "a.warc.gz", 0, 10_000) + line(6, "b.warc.gz", 3, len(b) - 3) + "\n"
+    (tmp_path / "p.zip").write_bytes(blob := package_of({"a.warc.gz": a, "b.warc.gz": b, "c.warc": c}, {f"x.cdxj{end}": first, f"y.cdxj{end}": second}, compressed))
+    rows = warc.read_packages(spark.createDataFrame([(f"file://{tmp_path}/p.zip", len(blob))], "path string, size long")).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["error"] is not None) for r in rows if r["error"] is None) == [(1, 3, False), (2, 3, False), (3, 5, False)]
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in rows if r["error"]) == [(4, None), (5, None), (6, None)]
+    assert [r["error"] for r in rows if r["page_id"] in (4, 5)] == ["no archive gone.warc.gz", "a range outside of its archive"]
+
+
+def test_payloads_are_not_shuffled(spark, monkeypatch):
+    """Of all payloads only those of responses with revisits pass an exchange, whatever the size of the tables."""
+    rows = [(i, f"u{i}", f"own {i} " * 50) for i in range(40)] + [(100 + i, "u", "same " * 50) for i in range(30)] + [(None, "u", "same " * 50), (7, None, "own 7 " * 50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = warc.records_to_write(warc._with_digest(pages, "page_id", "url", "html"), 0)
+        plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        got = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(got) == len(rows) and sum(r["payload"] is None for r in got) == 30
+    assert {(r["id"], r["refers_to"]) for r in got if r["refers_to"] is not None} == {(i, 129) for i in [None, *range(100, 129)]}
+    moved = [x for x in plan.split("\n\n") if re.match(r"\(\d+\) Exchange\n", x) and "payload#" in x]
+    assert len(moved) == 1  # of the rows that both filters hold
+
+
 def test_zip64_end_record():
     blob = warc.pack([("k", warc.gzip.compress(warc.warc_record(1, "u", b"p", "d")))])
     end = blob.rfind(b"PK\x05\x06")
@@ -527,6 +574,42 @@ def test_dates_are_one_to_one():
     assert pii.date("29/02/2023", cipher) is None and pii.date("29.02.2024", cipher) and pii.date("01/01/1899", cipher) is None and pii.date("13/13/2000", cipher) is None
 
 
+def test_secrets_are_one_to_one():
+    rng = random.Random(31)
+    cipher, back = pii.Cipher(b"k"), pii.Cipher(b"k", inverse=True)
+    tails = set()
+    for letters in ("0123456789abcdef", "0123456789abcdefgh", "0123456789abcdefghijklmnopqrstuvwxyz", "0aZ", "abcdef1", "0123456789ABCDEFxyz-_."):
+        tails |= {"".join(rng.choices(letters, k=rng.choice([8, 8, 8, 9, 12]))) for _ in range(18_000)}
+    tails = sorted(t for t in tails if any(c.isdigit() for c in t))
+    assert len(tails) > 80_000
+    new = [pii.secret(f"token={t}", cipher) for t in tails]
+    assert len(set(new)) == len(tails)
+    assert [pii.secret(x, back) for x in new] == [f"token={t}" for t in tails]
+    for i in range(0, 3000, 50):
+        text = " and ".join(f"token={t}" for t in tails[i * 20 : i * 20 + 50])
+        assert pii.pseudonymized(pii.pseudonymized(text, b"k")[0], b"k", inverse=True)[0] == text
+
+
+@pytest.mark.parametrize("piece, end", [("token=", ""), ("token=", " a@b.com1 x"), ("token=", "a@b.co 1"), ("token=a@b.co1 ", ""), ("password = ", ""), ("secret:x-", '="abcdefgh1"'), ("a.", "@"), ("1-", ""), ("GB82 ", "WEST"), ("4111 ", "1"), ("token=abcdefg1 ", "")])
+def test_private_values_are_found_in_linear_time(piece, end):
+    text = piece * (1_000_000 // len(piece)) + end
+    began = time.process_time()
+    new, _ = pii.pseudonymized(text, b"k")
+    assert time.process_time() - began < 25
+    assert len(new) >= len(text) - 10
+
+
+def test_secrets_behind_refused_ones():
+    for text, secret in (("token=x-token=\"abc12345\" rest", "abc12345"), ("token=abcdefgh password=abcd1234", "abcd1234"), ("token=some-words-api_key = 'zz9zz9zz9'", "zz9zz9zz9"), ("token=wordswordswords\ntoken=abc123abc", "abc123abc")):
+        assert secret not in pii.pseudonymized(text, b"k")[0]
+
+
+def test_pseudonyms_beside_clashing_columns(spark):
+    df = plain.docs(spark, [(1, "token=abc12345"), (None, None)]).withColumns({"n_private": F.lit("old"), "kinds": F.lit(1)})
+    got = sorted(((r["doc_id"], r["n_private"], r["kinds"]) for r in pii.pseudonymize(df, b"k").collect()), key=str)
+    assert got == [(1, 1, "secret"), (None, 0, "")]
+
+
 def test_pseudonyms_can_be_inverted(spark):
     texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
     new = [pii.pseudonymized(t, b"k") for t in texts]
@@ -695,6 +778,52 @@ def test_quality_learns(spark):
         quality.quality(docs, known.limit(0), lambda i: i < 250)
 
 
+def test_scores_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(5)
+    stats = np.array([quality.statistics(prose(random.Random(i), 5 + i)) for i in range(300)])
+    model = quality.Model(stats.mean(0), np.maximum(stats.std(0), 1e-3), rng.normal(size=quality.FEATURES + 1), np.array([-0.5, 0.3, 1.5]), np.array([0.1, 0.4, 0.9]))
+    one = np.array([model.score(s[None])[0] for s in stats])
+    for n in (2, 3, 5, 7, 9, 33, 300):
+        assert (np.concatenate([model.score(stats[i : i + n]) for i in range(0, 300, n)]) == one).all()
+    assert (model.score(np.repeat(stats[:1], 4096, 0)) == one[0]).all()
+    net = toxicity.Network.fresh(np.random.default_rng(6))
+    texts = [prose(random.Random(i), 5 + 3 * i) for i in range(40)]
+    alone = [float(toxicity.Scorer(net)([t])[0]) for t in texts]
+    for n in (2, 3, 7, 40):
+        assert [float(x) for i in range(0, 40, n) for x in toxicity.Scorer(net)(texts[i : i + n])] == alone
+
+
+def test_ridge_and_calibration_against_a_dense_version(spark):
+    rng = random.Random(21)
+    stats = np.array([quality.statistics(prose(rng, rng.randint(3, 60)) + "!" * rng.randint(0, 9)) for _ in range(240)])
+    y = np.array([i % 3 == 0 for i in range(240)], float)
+    calibrate = np.arange(240) % 5 == 0
+    frame = lambda order: spark.createDataFrame([(stats[i].tolist(), int(y[i]), bool(calibrate[i])) for i in order], "stats array<double>, y int, calibrate boolean")
+    model = quality.train(frame(range(240)).repartition(5))
+    z = quality.fourier(stats, model.mean, model.scale)
+    fit = ~calibrate
+    want = np.linalg.solve(z[fit].T @ z[fit] + quality.RIDGE * np.eye(z.shape[1]), z[fit].T @ y[fit])
+    assert np.allclose(z @ model.weights, z @ want, atol=1e-3)
+    raw = model.raw(stats)[calibrate]
+    bins = np.floor(np.clip(raw, -0.5, 1.5) * quality.BINS / 2)
+    at = sorted(set(bins))
+    x = np.array([-0.5, *((b + 0.5) * 2 / quality.BINS for b in at), 1.5])
+    steps = quality.isotonic(x, np.array([0.0, *(y[calibrate][bins == b].sum() for b in at), 0.5]), np.array([0.5, *((bins == b).sum() for b in at), 0.5]))
+    assert np.allclose(model.steps_x, steps[0]) and np.allclose(model.steps_y, steps[1])
+    order = list(range(240))
+    rng.shuffle(order)
+    again = quality.train(frame(order).repartition(3))
+    assert (again.weights == model.weights).all() and (again.steps_y == model.steps_y).all()
+
+
+def test_classifiers_of_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for query in (queries.op1_toxicity, queries.op10_quality):
+        out = query(spark, str(tmp_path))
+        assert out.count() == 0 and out.columns == ["doc_id", "held_out", "score", "predicted"]
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.array([0.0, 1, 2, 3]), np.array([0.0, 2, 1, 3]), np.array([1.0, 3, 3, 3]))
     assert list(y) == [0, 0.5, 1]
