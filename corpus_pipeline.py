@@ -31,7 +31,7 @@ def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network rejects go."""
-    scored = toxicity.score(packed(docs), toxicity_network(docs, read(spark, sf_dir, "labels")))
+    scored = toxicity.score(packed(docs), None if docs.isEmpty() else toxicity_network(docs, read(spark, sf_dir, "labels")))
     return unpacked(scored.where("predicted = 0"), docs.columns)
 
 
