@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -57,6 +58,12 @@ def text_words(text: str | None) -> list[str]:
     return words
 
 
+def exact_product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w`` of values rounded to fixed grids, on which sums of doubles are exact: a row's result depends on no other row and on no order."""
+    grid = lambda v, unit: np.rint(v.astype(float) * unit) / unit
+    return np.matmul(grid(x, 2.0**18), grid(w, 2.0**20)).astype(np.float32)
+
+
 def window_starts(n: int) -> range:
     """Starts of overlapping windows that cover n words; one at least."""
     return range(0, max(1, n - (WINDOW - STRIDE)), STRIDE)
@@ -127,14 +134,14 @@ class Network:
         """What the inputs add to the gates of both directions."""
         return np.matmul(x[None], self.p["w"]) + self.p["b"]
 
-    def run(self, g: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def run(self, g: np.ndarray, keep: list | None = None, product: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.matmul) -> np.ndarray:
         """States [window, time, both directions] from gate inputs g [2, window, time, 3 * hidden], the second reversed in time."""
         h, u = HIDDEN, self.p["u"]
         n, steps = g.shape[1], g.shape[2]
         s = np.zeros((2, n, h), np.float32)
         states = np.empty((n, steps, 2 * h), np.float32)
         for t in range(steps):
-            a, uh = g[:, :, t], np.matmul(s, u)
+            a, uh = g[:, :, t], product(s, u)
             zr = sigmoid(a[..., : 2 * h] + uh[..., : 2 * h])
             z, r = zr[..., :h], zr[..., h:]
             c = np.tanh(a[..., 2 * h :] + r * uh[..., 2 * h :])
@@ -156,6 +163,18 @@ class Network:
         """ids: rows of gates [window, time], 0 where there is no word."""
         return self.pool(self.run(np.stack([gates[0][ids], gates[1][ids[:, ::-1]]])), ids > 0)[0]
 
+    def steady_gates(self, x: np.ndarray) -> np.ndarray:
+        """``gates``, with each row's the same whatever the rows beside it."""
+        return np.stack([exact_product(x, w) for w in self.p["w"]]) + self.p["b"]
+
+    def steady_logits(self, gates: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """``logits``, with each window's the same whatever the windows beside it."""
+        states = self.run(np.stack([gates[0][ids], gates[1][ids[:, ::-1]]]), product=exact_product)
+        e = np.where(ids > 0, (states * self.p["att"]).sum(2), np.float32(-30))
+        alpha = np.exp(e - e.max(1, keepdims=True))
+        alpha /= alpha.sum(1, keepdims=True)
+        return ((alpha[:, :, None] * states).sum(1) * self.p["out"]).sum(1) + self.p["bias"][0]
+
     def gradients(self, x: np.ndarray, ids: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the mean cross-entropy; the second result is the gradient of the inputs x."""
         h, p, keep = HIDDEN, self.p, []
@@ -205,7 +224,7 @@ class Scorer:
 
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.gates = self.net.gates(np.zeros((1, 2 * WIDTH), np.float32))
+        self.gates = self.net.steady_gates(np.zeros((1, 2 * WIDTH), np.float32))
 
     def learn(self, texts: list[list[str]]) -> None:
         new = list({w for words in texts for w in words} - self.rows.keys())
@@ -216,7 +235,7 @@ class Scorer:
             start = self.gates.shape[1]
             self.rows.update(zip(new, range(start, start + len(new)), strict=True))
             x = self.net.inputs(*char_ids(new))
-            self.gates = np.concatenate([self.gates, self.net.gates(x[1:])], 1)
+            self.gates = np.concatenate([self.gates, self.net.steady_gates(x[1:])], 1)
 
     def window_logits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The logit of every window, and how many windows each text has."""
@@ -226,7 +245,7 @@ class Scorer:
         ids = [window_ids(len(w), np.fromiter(map(get, w), np.int64, len(w))) for w in split]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         every = np.concatenate(ids) if ids else np.zeros((0, WINDOW), np.int64)
-        parts = [self.net.logits(self.gates, every[i : i + WINDOWS_AT_ONCE]) for i in range(0, len(every), WINDOWS_AT_ONCE)]
+        parts = [self.net.steady_logits(self.gates, every[i : i + WINDOWS_AT_ONCE]) for i in range(0, len(every), WINDOWS_AT_ONCE)]
         return (np.concatenate(parts) if parts else np.zeros(0, np.float32)), counts
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
