@@ -5,12 +5,13 @@ batches through a sink, and leaves both so that it can be cut short anywhere
 and repeated:
 
 1. All rows are cut into batches in one job.
-2. The batches' ids and their rows are pinned, a few batches at a time, and the
-   state that names them is saved, before anything is sent.
+2. The batches' ids and the ranges of rows that they have are pinned, a few
+   batches at a time, and the state that names them is saved, before anything
+   is sent.
 3. Rows whose records can't be read are copied to the quarantine, then removed
    from the store.
 4. The others are masked, packed and sent.  After an acknowledgement that names
-   the batch its rows are removed, and only then the state lets go of its id;
+   the batch the store lets go of its ranges, and only then the state of its id;
    after a rejection they are copied to the quarantine first.
 
 A repeated flush resends what is pinned under the same id, from the rows that
@@ -25,11 +26,12 @@ import os
 import time
 import uuid
 from collections.abc import Callable
+from contextlib import AbstractContextManager
 from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import policy
@@ -68,24 +70,33 @@ class FileSink:
 class Spool(Protocol):
     """A store with a quarantine.  Every method has taken effect for good when it returns, and may be repeated."""
 
-    def rows(self) -> DataFrame:
-        """day, request_id, session_key, timestamp, size, data and project_id_hash of what is stored."""
+    def snapshot(self) -> tuple[DataFrame, int]:
+        """day, request_id, session_key, timestamp, size, data and project_id_hash of what is stored, and the version that holds it."""
+
+    def pin(self, ranges: DataFrame, version: int) -> None:
+        """Note which rows batches have: of a version, by batch_id and day, the ids behind ``after`` up to ``last``."""
+
+    def batches(self, ids: tuple[str, ...]) -> DataFrame:
+        """The rows that pinned batches still have, with batch_id."""
+
+    def settle(self, batch_id: str) -> None:
+        """Let go of a batch and of its rows."""
 
     def remove(self, rows: DataFrame) -> None:
-        """Let go of the rows with these days and request_ids."""
+        """Let go of single rows."""
 
     def set_aside(self, rows: DataFrame) -> None:
-        """Copy batch_id, day, request_id, data and details to the quarantine."""
-
-    def pin(self, rows: DataFrame) -> None:
-        """Note which rows (day, request_id) batches (batch_id) have."""
+        """Copy rows with batch_id and details to the quarantine."""
 
-    def pinned(self, ids: tuple[str, ...]) -> DataFrame:
-        """batch_id, day and request_id of these batches."""
+    def work(self) -> AbstractContextManager[None]:
+        """What is held inside is deleted at the end."""
 
     def hold(self, df: DataFrame) -> DataFrame:
         """``df``, written and read back."""
 
+    def tidy(self) -> None:
+        """Upkeep after a flush."""
+
 
 @dataclass(frozen=True)
 class State:
@@ -195,7 +206,8 @@ def flush(
         return out
     limit = out.state.handshake.get("flush_bytes") or policy.FLUSH_BYTES
     max_age = out.state.handshake.get("flush_age_seconds") or policy.FLUSH_AGE_SECONDS
-    rows = spool.rows().select("day", "request_id", "size", "timestamp")
+    stored, version = spool.snapshot()
+    rows = stored.select("day", "request_id", "size", "timestamp")
     if not out.batches and not force:
         facts = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("usage"), F.min(F.struct("day", F.coalesce(F.col("timestamp").cast("double"), F.lit(float("inf"))).alias("at"))).alias("first")).first()
         if not facts["usage"]:
@@ -204,24 +216,33 @@ def flush(
         if facts["usage"] < limit and now - min(oldest, now) < max_age:
             out.outcome = "below_threshold"
             return out
-    cut = spool.hold(cut_batches(rows, limit))
-    n = (cut.agg(F.max("bin")).first()[0] or 0) + 1 if not cut.isEmpty() else 0
-    for at in range(0, n, at_once):
-        if spent():
-            out.error = "budget spent"
-            return out
-        ids = tuple(new_id() for _ in range(at, min(n, at + at_once)))
-        names = F.element_at(F.array(*map(F.lit, ids)), (F.col("bin") - at + 1).cast("int"))
-        spool.pin(cut.where(F.col("bin").between(at, at + len(ids) - 1)).select(names.alias("batch_id"), "day", "request_id"))
-        out.state = replace(out.state, pending=ids)
-        save(out.state)  # before the first attempt
-        if not _deliver(out, spool, sink, now, client_version, save, spent):
-            return out
+    with spool.work():
+        ranges = spool.hold(batch_ranges(cut_batches(rows, limit)))
+        n = ranges.agg(F.coalesce(F.max("bin") + 1, F.lit(0))).first()[0]
+        for at in range(0, n, at_once):
+            if spent():
+                out.error = "budget spent"
+                return out
+            ids = tuple(new_id() for _ in range(at, min(n, at + at_once)))
+            names = F.element_at(F.array(*map(F.lit, ids)), (F.col("bin") - at + 1).cast("int"))
+            spool.pin(ranges.where(F.col("bin").between(at, at + len(ids) - 1)).select(names.alias("batch_id"), "day", "after", "last"), version)
+            out.state = replace(out.state, pending=ids)
+            save(out.state)  # before the first attempt
+            if not _deliver(out, spool, sink, now, client_version, save, spent):
+                return out
+    spool.tidy()
     if out.batches:
         out.outcome = "uploaded"
     return out
 
 
+def batch_ranges(cut: DataFrame) -> DataFrame:
+    """bin, day, and the ids (behind ``after``, up to ``last``) that a bin has of the day: a row per bin and day."""
+    spans = cut.groupBy("day", "bin").agg(F.max("request_id").alias("last"))
+    before = F.lag("last", 1, "").over(Window.partitionBy("day").orderBy("bin"))
+    return spans.select("bin", "day", before.alias("after"), "last")
+
+
 def cut_batches(rows: DataFrame, limit: int) -> DataFrame:
     """day, request_id and bin: rows in scan order (day, then id) fill a bin up to and including the one that reaches the limit.
 
@@ -233,12 +254,17 @@ def cut_batches(rows: DataFrame, limit: int) -> DataFrame:
 
 def _deliver(out: Flush, spool: Spool, sink: Sink, now: float, client_version: str, save: Callable[[State], None], spent: Callable[[], bool]) -> bool:
     """Deliver the pending batches in order; True if all were acknowledged or had nothing to send."""
+    with spool.work():  # bodies are held while their batches are on their way, no longer
+        return _deliver_held(out, spool, sink, now, client_version, save, spent)
+
+
+def _deliver_held(out: Flush, spool: Spool, sink: Sink, now: float, client_version: str, save: Callable[[State], None], spent: Callable[[], bool]) -> bool:
     ids = out.state.pending
-    rows = spool.hold(spool.rows().join(spool.pinned(ids), ["day", "request_id"]))
+    rows = spool.hold(spool.batches(ids))
     good, bad = split_readable(rows)
     n_bad = bad.count()
     if n_bad:
-        spool.set_aside(bad.select("batch_id", "day", "request_id", "data", F.col("parse_error").alias("details")))
+        spool.set_aside(bad.withColumn("details", F.col("parse_error")).drop("parse_error"))
         spool.remove(bad)
         out.unreadable += n_bad
     packed = spool.hold(batching.pack_batches(batching.masked_batches(good), client_version, str(now)))
@@ -246,6 +272,7 @@ def _deliver(out: Flush, spool: Spool, sink: Sink, now: float, client_version: s
     for batch_id in ids:
         left = tuple(x for x in out.state.pending if x != batch_id)
         if batch_id not in sizes:  # withdrawn, or all set aside
+            spool.settle(batch_id)
             out.state = replace(out.state, pending=left)
             save(out.state)
             continue
@@ -257,7 +284,7 @@ def _deliver(out: Flush, spool: Spool, sink: Sink, now: float, client_version: s
         out.state = replace(out.state, last_attempt=now)
         own = good.where(F.col("batch_id") == batch_id)
         if 200 <= answer.status < 300 and answer.batch_id == batch_id:
-            spool.remove(own)
+            spool.settle(batch_id)
             receipt = {"batch_id": batch_id, "records": n, "bytes": sizes[batch_id]["bytes"], "at": now}
             out.batches, out.records = out.batches + 1, out.records + n
             out.state = replace(out.state, pending=left, not_before=0.0, timeouts=0, upgrade_required=False, min_client_version="", last_error="", last_upload=now, receipt=receipt, handshake=merge_handshake(out.state.handshake, answer.handshake))
@@ -267,8 +294,8 @@ def _deliver(out: Flush, spool: Spool, sink: Sink, now: float, client_version: s
         kind = policy_class(status.status)
         out.state = settle(out.state, status, now, batch_id, n)
         if kind == "rejected":
-            spool.set_aside(own.select("batch_id", "day", "request_id", "data", F.lit(f"{status.status}: {status.details}"[: policy.TEXT_RUNES]).alias("details")))
-            spool.remove(own)
+            spool.set_aside(own.withColumn("details", F.lit(f"{status.status}: {status.details}"[: policy.TEXT_RUNES])))
+            spool.settle(batch_id)
             out.state = replace(out.state, pending=left)
         out.outcome = {"upgrade": "upgrade_required", "limited": "deferred", "timeout": "deferred", "rejected": "rejected"}.get(kind, "paused")
         out.error = out.state.last_error

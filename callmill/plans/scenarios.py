@@ -269,6 +269,71 @@ def discard_batch(spark, sf_dir):
     return left.select("request_id", F.lit(n).cast("long").alias("discarded"))
 
 
+# ---- the store itself: versions, withdrawal, the quarantine
+
+def _order_records(spark, sf_dir) -> DataFrame:
+    """A record per order; every second tells its project in its body alone."""
+    k = F.col("o_orderkey")
+    project = _text("p", F.col("o_custkey") % 5)
+    data = _text('{"schema_version":"1","n":', k, ',"capture":{"project_id_hash":"', project, '"}}')
+    at = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return table(spark, sf_dir, "orders").select(_text("r", k).alias("request_id"), F.lit("").alias("session_key"), at.alias("timestamp"), F.when(k % 2 == 0, project).otherwise("").alias("project_id_hash"), data.alias("data"))
+
+
+def _order_spool(spark, sf_dir) -> records.TableSpool:
+    """A store of all orders of up to the middle of 1995, written in two goes."""
+    spool, rows = records.TableSpool(spark, _scratch(spark)), _order_records(spark, sf_dir)
+    for i in (0, 1):
+        spool.write(rows.where(F.pmod(F.crc32("request_id"), F.lit(2)) == i).withColumn("timestamp", F.concat(F.substring("timestamp", 1, 4), F.lit("-06-15T00:00:00Z"))), i)
+    return spool
+
+
+@query("SELECT 'r' || o_orderkey AS request_id, strftime(o_orderdate, '%Y') || '0615' AS day, o_orderkey % 2 = 0 AS told FROM orders WHERE o_custkey % 5 <> 3")
+def store_purge(spark, sf_dir):
+    """A project's records leave the store, also those that only their bodies attribute to it."""
+    spool = _order_spool(spark, sf_dir)
+    spool.purge("p3")
+    return spool.rows().select("request_id", "day", (F.col("project_id_hash") != "").alias("told"))
+
+
+@query("SELECT 'r' || o_orderkey AS request_id, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE length(o_orderkey::VARCHAR || o_custkey % 5) + 61 END::BIGINT AS size FROM orders")
+def store_overwrites(spark, sf_dir):
+    """Of a key the last write stays, whatever folder the older one lies in."""
+    spool = _order_spool(spark, sf_dir)
+    again = spool.rows().where("CAST(substring(request_id, 2) AS BIGINT) % 3 = 0").withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    spool.write(again.withColumn("data", F.lit("{}")), 2)
+    return spool.rows().select("request_id", "size")
+
+
+@query("""SELECT 'r' || o_orderkey AS request_id, CASE WHEN o_orderkey % 4 <> 1 THEN 'store' WHEN o_custkey % 3 = 0 THEN 'quarantine' ELSE 'store' END AS place FROM orders WHERE NOT (o_orderkey % 4 = 2 AND o_custkey % 3 = 1)
+UNION ALL SELECT 'r' || o_orderkey, 'discarded' FROM orders WHERE o_orderkey % 4 = 2 AND o_custkey % 3 = 1""")
+def store_requeue(spark, sf_dir):
+    """One batch goes back from the quarantine, but for what can't be read; another is discarded."""
+    spool = _order_spool(spark, sf_dir)
+    rows = spool.rows().join(table(spark, sf_dir, "orders").select(_text("r", F.col("o_orderkey")).alias("request_id"), "o_orderkey", "o_custkey"), "request_id")
+    one, two = F.col("o_orderkey") % 4 == 1, (F.col("o_orderkey") % 4 == 2) & (F.col("o_custkey") % 3 == 1)
+    aside = rows.where(one | two).withColumns({"batch_id": F.when(one, "one").otherwise("two"), "data": F.when(one & (F.col("o_custkey") % 3 == 0), "{").otherwise(F.col("data")), "details": F.lit("status 400")})
+    spool.set_aside(aside)
+    spool.remove(aside)
+    dropped = spool.rejected("two").select("request_id", F.lit("discarded").alias("place"))
+    dropped = spark.createDataFrame(dropped.toArrow())  # read before its files go
+    spool.discard("two")
+    spool.requeue("one")
+    return spool.rows().select("request_id", F.lit("store").alias("place")).unionByName(spool.rejected().select("request_id", F.lit("quarantine").alias("place"))).unionByName(dropped)
+
+
+@query("""SELECT strftime(o_orderdate, '%Y') || '0615' AS day, count(*) FILTER (WHERE o_orderkey % 3 <> 0)::BIGINT AS rows, 1::BIGINT AS folders, 0::BIGINT AS leftovers FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderkey % 3 <> 0) > 0""")
+def store_vacuum(spark, sf_dir):
+    """After removals a compaction leaves a folder per day, without the rows that are gone, and no file that no version names."""
+    spool = _order_spool(spark, sf_dir)
+    spool.remove(spool.rows().where("CAST(substring(request_id, 2) AS BIGINT) % 3 = 0"))
+    spool.compact()
+    spool.vacuum(0)
+    m = spool.manifest()
+    facts = [(d, sum(f["rows"] for f in folders), len(folders), len(m["withdrawn"]) + len(spool.vacuum(0))) for d, folders in m["days"].items()]  # a row per day
+    return spark.createDataFrame(facts, "day string, rows long, folders long, leftovers long")
+
+
 @query("SELECT 'r' || event_id AS request_id, CASE WHEN event_id % 3 = 0 THEN 'invalid JSON' END AS parse_error FROM events WHERE event_id % 7 = 0")
 def split_unreadable(spark, sf_dir):
     good, bad = delivery.split_readable(_rejected(spark, sf_dir))

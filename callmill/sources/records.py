@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import store
+from .numbered import Files
+from .spool import TableSpool
 
 FILES = "day string, request_id string, name string, data string, size long, mtime timestamp"
 INDEX = "request_id string, session_key string, timestamp string, project_id_hash string"
 
 
-def _missing(e: Exception) -> bool:
-    return "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e)
+def _there(spark: SparkSession, path: str) -> bool:
+    return Files(spark, path).exists()
 
 
 def scan_store(spark: SparkSession, path: str) -> DataFrame:
@@ -22,12 +22,9 @@ def scan_store(spark: SparkSession, path: str) -> DataFrame:
 
     Bodies are read only where a query selects them.
     """
-    try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(path)
-    except Exception as e:
-        if not _missing(e):
-            raise
+    if not _there(spark, path):
         return spark.createDataFrame([], FILES)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(path)
     at = r"/(\d{8})/([^/]+)\.json$"
     rows = files.where(F.col("path").rlike(at))
     return rows.select(
@@ -42,98 +39,36 @@ def scan_index(spark: SparkSession, path: str) -> DataFrame:
     Files are read in blocks.  line_no rises with the place in the file: the
     block's place, then the line's place in the block.
     """
-    try:
-        text = spark.read.format("text").option("pathGlobFilter", "index.jsonl").option("recursiveFileLookup", "true").load(path)
-    except Exception as e:
-        if not _missing(e):
-            raise
+    if not _there(spark, path):
         return spark.createDataFrame([], f"day string, line_no long, parse_ok boolean, {INDEX}")
+    text = spark.read.format("text").option("pathGlobFilter", "index.jsonl").option("recursiveFileLookup", "true").load(path)
     place = F.expr("shiftleft(_metadata.file_block_start DIV 65536, 33)").bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     lines = text.select(F.regexp_extract("_metadata.file_path", r"/(\d{8})/index\.jsonl$", 1).alias("day"), place.alias("line_no"), F.from_json("value", INDEX).alias("e"), "value").where("value <> ''")
     return lines.select("day", "line_no", F.col("e.request_id").isNotNull().alias("parse_ok"), "e.*")
 
 
 def write_records(records: DataFrame, path: str, written: int) -> None:
-    """Append storable records to a Parquet store, under the number of this write.
-
-    Of equal ids of a day the later write stays, and in one write the greater
-    timestamp.  A repeated write replaces what it wrote before, days included
-    that have no rows any more.
-    """
-    rows = store.last_write(store.storable(records), "ts")
-    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("day").parquet(f"{path}/records/written={written}")
-    store.index_lines(rows).write.mode("overwrite").parquet(f"{path}/index/written={written}")
-
-
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:
-        if not _missing(e):
-            raise
-        return spark.createDataFrame([], schema)
-
-
-RECORDS = "request_id string, session_key string, timestamp timestamp, project_id_hash string, data string, day string, size long, written long"
+    """Add storable records to a store, under the number of this write, which a repetition replaces."""
+    TableSpool(records.sparkSession, path).write(records, written)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The Parquet store: of each day and id the last write, unless a later removal took it."""
-    rows = _table(spark, f"{path}/records", RECORDS.replace("timestamp timestamp", "ts timestamp")).withColumnRenamed("ts", "timestamp")
-    gone = _table(spark, f"{path}/gone", "day string, request_id string, up_to long").groupBy("day", "request_id").agg(F.max("up_to").alias("up_to"))
-    rows = store.last_write(rows, "written").join(gone, ["day", "request_id"], "left")
-    return rows.where("up_to IS NULL OR up_to < written").drop("up_to")
+    """What a store holds: of each day and id the last write, unless it is delivered or withdrawn."""
+    return TableSpool(spark, path).rows()
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index lines that went with the records, in the form of ``scan_index``."""
-    lines = _table(spark, f"{path}/index", f"day string, {INDEX}, written long")
-    return lines.select("day", F.col("written").alias("line_no"), F.lit(True).alias("parse_ok"), "request_id", "session_key", "timestamp", "project_id_hash")
-
-
-class TableSpool:
-    """The Parquet store as what delivery works on: removals and the quarantine are tables beside the records."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def rows(self) -> DataFrame:
-        return read_records(self.spark, self.path)
-
-    def remove(self, rows: DataFrame) -> None:
-        # a row that was written again since then stays
-        rows.select("day", "request_id", F.col("written").alias("up_to")).write.mode("append").parquet(f"{self.path}/gone")
-
-    def set_aside(self, rows: DataFrame) -> None:
-        # by batch and reason, so that a repetition replaces the same files
-        rows = rows.withColumn("why", F.md5("details"))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "why").parquet(f"{self.path}/rejected")
-
-    def rejected(self) -> DataFrame:
-        found = _table(self.spark, f"{self.path}/rejected", "batch_id string, why string, day string, request_id string, data string, details string")
-        return found.select("batch_id", "day", "request_id", "data", "details")
-
-    def pin(self, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{self.path}/pinned")
-
-    def pinned(self, ids: tuple[str, ...]) -> DataFrame:
-        return _table(self.spark, f"{self.path}/pinned", "batch_id string, day string, request_id string").where(F.col("batch_id").isin(list(ids)))
-
-    def hold(self, df: DataFrame) -> DataFrame:
-        path = f"{self.path}/held/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    """The facts of stored records, read without their bodies, in the form of ``scan_index``."""
+    rows = store.index_lines(read_records(spark, path))
+    return rows.select("day", F.lit(0).cast("long").alias("line_no"), F.lit(True).alias("parse_ok"), "request_id", "session_key", F.col("timestamp").cast("string").alias("timestamp"), "project_id_hash")
 
 
 def read_config_chain(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """Settings files with their place in the chain, the first being the strongest."""
     found = None
     for i, p in enumerate(paths):
-        try:
-            one = spark.read.schema(schema).json(p, multiLine=True).withColumn("place", F.lit(i))
-        except Exception as e:
-            if not _missing(e):
-                raise
+        if not _there(spark, p):
             continue
+        one = spark.read.schema(schema).json(p, multiLine=True).withColumn("place", F.lit(i))
         found = one if found is None else found.unionByName(one)
     return found if found is not None else spark.createDataFrame([], f"{schema}, place int")

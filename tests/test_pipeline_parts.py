@@ -237,7 +237,7 @@ def test_a_flush_can_be_cut_short_anywhere(spark, folders, answer, broken, first
             return run
 
         wrapped = source.TableSpool(spark, path)
-        for name in ("remove", "set_aside", "pin"):
+        for name in ("remove", "set_aside", "pin", "settle"):
             setattr(wrapped, name, step(getattr(wrapped, name)))
         sending = Scripted(answer)
         sending.seen, sending.deliver = sink.seen, step(sending.deliver)
