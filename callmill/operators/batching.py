@@ -14,30 +14,6 @@ from ..functions import policy, redaction
 from . import envelope
 
 
-def greedy_bins(rows: DataFrame, limit: int, key: str = "writer") -> DataFrame:
-    """Adds bin: rows in order fill a bin until its bytes reach the limit; the row that crosses it is the bin's last.
-
-    A reset fold has no window form.  Rows stream through their key's
-    partition in order; only a counter is kept.
-    """
-    schema = rows.schema.add("bin", "long")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, total, at = None, 0, 0
-        for batch in batches:
-            bins = []
-            for who, size in zip(batch[key], batch["size"], strict=True):
-                if who != owner:
-                    owner, total, at = who, 0, 0
-                bins.append(at)
-                total += size
-                if total >= limit:
-                    total, at = 0, at + 1
-            yield batch.assign(bin=bins)
-
-    return rows.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(fold, schema)
-
-
 def batch_order(rows: DataFrame) -> DataFrame:
     """Adds position within the batch: sessions together, records without one last, then by time and id.
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import policy
-from . import batching, envelope
+from . import batching, envelope, folds
 
 
 @dataclass(frozen=True)
@@ -246,10 +246,9 @@ def batch_ranges(cut: DataFrame) -> DataFrame:
 def cut_batches(rows: DataFrame, limit: int) -> DataFrame:
     """day, request_id and bin: rows in scan order (day, then id) fill a bin up to and including the one that reaches the limit.
 
-    Where a bin ends depends on all before it, so one task streams the days,
-    ids and sizes (no records) through a counter, once for a whole flush.
+    Only days, ids and sizes are read, once for a whole flush.
     """
-    return batching.greedy_bins(rows.select(F.lit(0).alias("writer"), F.struct("day", "request_id").alias("seq"), "size"), limit).select("seq.day", "seq.request_id", "bin")
+    return folds.greedy_bins(rows.select(F.struct("day", "request_id").alias("seq"), "size"), limit, key=None).select("seq.day", "seq.request_id", "bin")
 
 
 def _deliver(out: Flush, spool: Spool, sink: Sink, now: float, client_version: str, save: Callable[[State], None], spent: Callable[[], bool]) -> bool:

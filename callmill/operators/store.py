@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,30 +84,3 @@ def oldest(rows: DataFrame) -> DataFrame:
     """The earliest time within the first day that has rows."""
     first = rows.agg(F.min("day").alias("day"))
     return rows.join(F.broadcast(first), "day", "left_semi").groupBy("day").agg(F.min("timestamp").alias("oldest"))
-
-
-def admitted(writes: DataFrame, quota: int, key: str = "writer") -> DataFrame:
-    """Sequential admission under a quota: writes that would exceed it are refused, later smaller ones may still fit.
-
-    ``writes`` has the key, seq, request_id and size.  A write that overwrites
-    an admitted one of the same id needs only what it is larger.  Each writer's
-    sequence is folded in its order, streamed batch by batch through its
-    partition; beside a counter it keeps the sizes of what the quota admitted,
-    which the quota bounds.
-    """
-    schema = writes.schema.add("admitted", "boolean")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, used, held = None, 0, {}
-        for batch in batches:
-            fits = []
-            for who, request, size in zip(batch[key], batch["request_id"], batch["size"], strict=True):
-                if who != owner:
-                    owner, used, held = who, 0, {}
-                more = size - held.get(request, 0)
-                fits.append(used + more <= quota)
-                if fits[-1]:
-                    used, held[request] = used + more, size
-            yield batch.assign(admitted=fits)
-
-    return writes.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(fold, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import policy, redaction
-from ..operators import assembly, batching, envelope, reports, store, verdict
+from ..operators import assembly, batching, envelope, folds, reports, store, verdict
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -324,13 +324,13 @@ SELECT request_id, {result} FROM fold"""
 @query(_FOLD_SQL.format(calls=_CALLS_SQL, first="size, 0::BIGINT", next="CASE WHEN f.total >= 5000 THEN r.size ELSE f.total + r.size END, CASE WHEN f.total >= 5000 THEN f.out + 1 ELSE f.out END", result="out AS bin"))
 def greedy_batches(spark, sf_dir):
     rows = _calls(spark, sf_dir).select(F.col("batch_id").alias("writer"), F.struct("conv_id", "turn").alias("seq"), "request_id", "size")
-    return batching.greedy_bins(rows, 5000).select("request_id", "bin")
+    return folds.greedy_bins(rows, 5000).select("request_id", "bin")
 
 
 @query(_FOLD_SQL.format(calls=_CALLS_SQL, first="CASE WHEN size <= 20000 THEN size ELSE 0 END, size <= 20000", next="CASE WHEN f.total + r.size <= 20000 THEN f.total + r.size ELSE f.total END, f.total + r.size <= 20000", result="out AS admitted"))
 def quota_admission(spark, sf_dir):
     rows = _calls(spark, sf_dir).select(F.col("batch_id").alias("writer"), F.struct("conv_id", "turn").alias("seq"), "request_id", "size")
-    return store.admitted(rows, 20_000).select("request_id", "admitted")
+    return folds.admitted(rows, 20_000).select("request_id", "admitted")
 
 
 @query(f"""WITH {_CALLS_SQL} SELECT 'b' || batch AS batch_id, request_id, '{{"schema_version":"1","endpoint":"e","capture":{{"project_id_hash":"p"}},"request":' || turn || '}}' AS data FROM calls""")

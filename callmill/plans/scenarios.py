@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import policy, redaction
-from ..operators import assembly, batching, delivery, envelope, reports, store, verdict
+from ..operators import assembly, batching, delivery, envelope, folds, reports, store, verdict
 from ..sources import records
 from ..streaming import capture
 from .catalog import _CALLS_SQL, _FOLD_SQL, _RE2_EMAIL, _RE2_PHONE, _ROUTES_SQL, _calls, _routes, _stream, query, table
@@ -349,7 +349,7 @@ SELECT conv_id, turn, ok AS admitted FROM fold""")
 def quota_overwrites(spark, sf_dir):
     """Three ids that are written over and over: what a write replaces is not counted again."""
     rows = _calls(spark, sf_dir).select(F.col("batch_id").alias("writer"), F.struct("conv_id", "turn").alias("seq"), _text("w", F.col("turn") % 3).alias("request_id"), "size")
-    return store.admitted(rows, 900).select("seq.conv_id", "seq.turn", "admitted")
+    return folds.admitted(rows, 900).select("seq.conv_id", "seq.turn", "admitted")
 
 
 # ---- batches
