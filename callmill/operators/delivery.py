@@ -21,14 +21,11 @@ Ids stay in tables; the driver holds the few batches in flight.
 
 from __future__ import annotations
 
-import json
-import os
 import time
 import uuid
 from collections.abc import Callable
 from contextlib import AbstractContextManager
-from dataclasses import asdict, dataclass, field, replace
-from pathlib import Path
+from dataclasses import dataclass, field, replace
 from typing import Protocol
 
 from pyspark.sql import DataFrame, Window
@@ -120,24 +117,6 @@ class State:
         """Bytes that the store may hold: what the service set, else the default."""
         return self.handshake.get("quota_bytes") or policy.QUOTA_BYTES
 
-    def save(self, path: str) -> None:
-        """Under another name first, so that a reader finds the old state or the new one."""
-        Path(f"{path}.part").write_text(json.dumps(asdict(self)))
-        os.replace(f"{path}.part", path)
-
-
-def load_state(path: str) -> State:
-    """The saved state; a file that can't be read is set aside and reads as empty."""
-    file = Path(path)
-    try:
-        raw = json.loads(file.read_text())
-        return State(**raw | {"pending": tuple(raw["pending"])})
-    except FileNotFoundError:
-        return State()
-    except (ValueError, TypeError, KeyError):
-        file.rename(file.with_suffix(".unreadable"))
-        return State()
-
 
 @dataclass
 class Flush:
@@ -307,10 +286,13 @@ def policy_class(status: int) -> str:
     return policy.FAILURES.get(status, "rejected" if 400 <= status < 500 else "transient")
 
 
-def close(spool: Spool, state: State, sink: Sink, now: float, budget: float = policy.EXIT_BUDGET_SECONDS, **options) -> Flush:
-    """The flush at the end, unforced and within a budget; later ones are refused."""
-    out = flush(spool, state, sink, now, budget=budget, **options)
+def close(spool: Spool, state: State, sink: Sink, now: float, budget: float = policy.EXIT_BUDGET_SECONDS, save: Callable[[State], None] = lambda s: None, **options) -> Flush:
+    """The flush at the end, unforced and within a budget; later ones are refused.  A state that is closed stays as it is."""
+    if state.closed:
+        return Flush("paused", state, error="closed")
+    out = flush(spool, state, sink, now, budget=budget, save=save, **options)
     out.state = replace(out.state, closed=True)
+    save(out.state)
     return out
 
 

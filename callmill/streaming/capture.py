@@ -7,27 +7,42 @@ read lets nothing pass.
 
 from __future__ import annotations
 
+import logging
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
+from ..functions import policy
 from ..operators import assembly, delivery, envelope, verdict
 from ..sources import records
+from ..sources.delivery_log import DeliveryLog
+from ..sources.numbered import Files
 
 ROUTES = "token string, project_id_hash string, root_path string, upstream string, granted_at string, revoked_at string"
 
 
+#: How often a table of routes that is there is tried, and the seconds between.
+TRIES, BETWEEN = 3, 0.5
+
+
 def fresh_routes(spark: SparkSession, path: str) -> DataFrame:
-    """The routes as they are now; none if they can't be read."""
-    try:
-        routes = spark.read.schema(ROUTES).json(path)
-        routes.limit(1).collect()
-        return routes
-    except Exception:  # noqa: BLE001  fail closed
-        return spark.createDataFrame([], ROUTES)
+    """The routes as they are now; none if there are none, or if they can't be read after some tries (which is logged, as what comes meanwhile is not recorded)."""
+    for i in range(TRIES):
+        try:
+            if not Files(spark, path).exists():
+                break
+            routes = spark.read.schema(ROUTES).json(path)
+            routes.limit(1).collect()
+            return routes
+        except Exception:  # noqa: BLE001  fail closed
+            logging.getLogger(__name__).warning("routes can't be read (%d of %d)", i + 1, TRIES, exc_info=True)
+            time.sleep(BETWEEN)
+    return spark.createDataFrame([], ROUTES)
 
 
 def record_stream(exchanges: DataFrame, routes_path: str, store_path: str, checkpoint: str, client_version: str, paused_reason: Callable[[], str] = lambda: "", trigger: dict | None = None) -> DataStreamWriter:
@@ -44,17 +59,50 @@ def record_stream(exchanges: DataFrame, routes_path: str, store_path: str, check
     return exchanges.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"}))
 
 
-def flush_stream(ticks: DataFrame, spool: delivery.Spool, state_path: str, sink: delivery.Sink, clock: Callable[[], float], checkpoint: str, client_version: str, trigger: dict | None = None, **options) -> DataStreamWriter:
-    """On each tick, flush the store if it is due; the state is saved before each attempt and after each answer."""
+def flush_stream(ticks: DataFrame, spool: delivery.Spool, log: DeliveryLog, sink: delivery.Sink, clock: Callable[[], float], checkpoint: str, client_version: str, trigger: dict | None = None, **options) -> DataStreamWriter:
+    """On each tick, flush the store if it is due; the log has the state before each attempt and after each answer."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        state = delivery.load_state(state_path)
-        out = delivery.flush(spool, state, sink, clock(), client_version=client_version, save=lambda s: s.save(state_path), **options)
-        out.state.save(state_path)
+        out = delivery.flush(spool, state := log.load(), sink, clock(), client_version=client_version, save=log.save, **options)
+        if out.state != state:
+            log.save(out.state)
 
     return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"}))
 
 
+class ExitFlush(StreamingQueryListener):
+    """When the stream that it watches ends, for whatever reason, one last flush follows within its budget, and the log is closed."""
+
+    def __init__(self, spool: delivery.Spool, log: DeliveryLog, sink: delivery.Sink, clock: Callable[[], float], client_version: str, budget: float = policy.EXIT_BUDGET_SECONDS):
+        self.parts, self.clock, self.options = (spool, log, sink), clock, {"client_version": client_version, "budget": budget}
+        self.watched: str | None = None
+        self.done = threading.Event()
+        self.reply: delivery.Flush | None = None
+
+    def watch(self, spark: SparkSession, query: StreamingQuery) -> StreamingQuery:
+        self.watched = str(query.id)
+        spark.streams.addListener(self)
+        return query
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.id) != self.watched or self.done.is_set():
+            return
+        spool, log, sink = self.parts
+        try:
+            self.reply = delivery.close(spool, log.load(), sink, self.clock(), save=log.save, **self.options)
+        finally:
+            self.done.set()
+
+
 #: How long an exchange may be silent before it is given up, and how long an ended one is remembered.
 SILENCE_MS, REMEMBERED_MS = 3_600_000, 600_000
 

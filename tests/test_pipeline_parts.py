@@ -4,6 +4,7 @@ import dataclasses
 import itertools
 import json
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from callmill.functions import json_text, policy
 from callmill.operators import batching, delivery, envelope, reports, store, verdict
 from callmill.sources import records as source
+from callmill.sources.delivery_log import DeliveryLog, Fenced
 from callmill.streaming import capture
 
 from .test_assembly import START, STOP, stream
@@ -242,13 +244,14 @@ def test_a_flush_can_be_cut_short_anywhere(spark, folders, answer, broken, first
         sending = Scripted(answer)
         sending.seen, sending.deliver = sink.seen, step(sending.deliver)
         options = {"force": True, "new_id": lambda ids=ids: f"b{next(ids)}"}
-        save = step(lambda s, state_path=state_path: s.save(state_path))
+        save = step(DeliveryLog(spark, state_path).save)
         try:
             delivery.flush(wrapped, delivery.State(), sending, NOW, save=save, **options)
             crashed = False
         except Crash:
             crashed = True
-        out = delivery.flush(store_, delivery.load_state(state_path), sink, NOW, save=lambda s, state_path=state_path: s.save(state_path), **options)
+        log = DeliveryLog(spark, state_path)
+        out = delivery.flush(store_, log.load(), sink, NOW, save=log.save, **options)
         assert store_.rows().count() == 0 and out.state.pending == ()
         aside = sorted(r["request_id"] for r in store_.rejected().collect())
         if answer is OK:
@@ -275,15 +278,44 @@ def test_writes_after_a_removal_stay(spark, folders):
     assert [r["session_key"] for r in index] == ["later"]
 
 
-def test_state_file(tmp_path):
-    path = str(tmp_path / "state.json")
-    assert delivery.load_state(path) == delivery.State()
-    state = delivery.State(pending=("b",), receipt={"batch_id": "a", "records": 1})
-    state.save(path)
-    assert delivery.load_state(path) == state
-    (tmp_path / "state.json").write_text("{")
-    assert delivery.load_state(path) == delivery.State()
-    assert os.path.exists(tmp_path / "state.unreadable")
+def test_delivery_log(spark, tmp_path):
+    log, other = (DeliveryLog(spark, f"file://{tmp_path}/log") for _ in range(2))
+    assert log.load() == other.load() == delivery.State()
+    state = delivery.State(pending=("b",), receipt={"batch_id": "a", "records": 1, "bytes": 9, "at": 3.0})
+    log.save(state)
+    assert DeliveryLog(spark, log.path).load() == state
+    with pytest.raises(Fenced):  # the other has not seen that
+        other.save(delivery.State(pending=("c",)))
+    assert other.load() == state
+    other.save(replace(state, last_error="status 400", last_rejected="b: 3 records"))
+    with pytest.raises(Fenced):
+        log.save(state)
+    log.load()
+    log.save(replace(state, receipt={"batch_id": "d", "records": 2, "bytes": 8, "at": 4.0}))
+    want = [(1, "receipt", "a", 1, 9), (2, "error", None, None, None), (2, "rejection", "b", None, None), (3, "receipt", "d", 2, 8)]
+    facts = lambda: sorted(tuple(r)[:5] for r in log.history().collect())
+    assert facts() == want
+    log.roll(keep=1)
+    assert log.log.numbers() == [3] and facts() == want
+    (tmp_path / "log/entries/000000000004.json").write_text("{")
+    assert log.load().receipt["batch_id"] == "d"
+    assert os.path.exists(tmp_path / "log/entries/000000000004.json.unreadable")
+    log.save(delivery.State())
+    assert DeliveryLog(spark, log.path).load() == delivery.State()
+
+
+def test_exit_flush(spark, folders, tmp_path):
+    """A stream that is stopped is followed by one flush within its budget, and by none after that."""
+    store_, sink, log = spool(spark, folders()), Scripted(OK), DeliveryLog(spark, f"file://{tmp_path}/log")
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    watcher = capture.ExitFlush(store_, log, sink, lambda: NOW + 90_000, "1")
+    query = watcher.watch(spark, capture.flush_stream(ticks, store_, log, sink, lambda: NOW, str(tmp_path / "ck"), "1", {"processingTime": "1 hour"}).start())
+    query.stop()
+    assert watcher.done.wait(60)
+    spark.streams.removeListener(watcher)
+    assert (watcher.reply.outcome, watcher.reply.records, store_.rows().count(), log.load().closed) == ("uploaded", 4, 0, True)
+    assert delivery.flush(store_, log.load(), sink, NOW, force=True).error == "closed"
+    assert delivery.close(store_, log.load(), sink, NOW).error == "closed"
 
 
 def test_lost_pending_is_cleared(spark, folders):
@@ -296,16 +328,16 @@ def test_lost_pending_is_cleared(spark, folders):
 
 def test_flush_stream(spark, folders, tmp_path):
     path = folders()
-    store_, sink = spool(spark, path, broken=(3,)), Scripted(delivery.Response(400), OK)
+    store_, sink, log = spool(spark, path, broken=(3,)), Scripted(delivery.Response(400), OK), DeliveryLog(spark, f"file://{tmp_path}/state")
     spark.range(1).write.parquet(str(tmp_path / "ticks"))
     ticks = spark.readStream.schema("id long").parquet(str(tmp_path / "ticks"))
-    run = lambda: capture.flush_stream(ticks, store_, str(tmp_path / "state"), sink, lambda: NOW + 90_000, str(tmp_path / f"ck{next(count)}"), "1", {"availableNow": True}).start().awaitTermination(120)
+    run = lambda: capture.flush_stream(ticks, store_, log, sink, lambda: NOW + 90_000, str(tmp_path / f"ck{next(count)}"), "1", {"availableNow": True}).start().awaitTermination(120)
     count = itertools.count()
     run()
     assert (store_.rows().count(), store_.rejected().count()) == (0, 4)
     source.write_records(spool_rows(spark, 2), path, 1)
     run()
-    state = delivery.load_state(str(tmp_path / "state"))
+    state = DeliveryLog(spark, log.path).load()
     assert (store_.rows().count(), store_.rejected().count(), state.pending, state.receipt["records"]) == (0, 4, (), 2)
 
 
