@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import policy
@@ -76,6 +76,12 @@ def agreement_pause(accepted: str, current: str, paused_reason: str) -> str:
     return resume(paused_reason, "consent_reconfirm")
 
 
+def agreement_pause_of(accepted: Column, current: Column, paused_reason: Column) -> Column:
+    """``agreement_pause`` of columns."""
+    stale = (accepted != "") & (accepted != current)
+    return F.when(stale & (paused_reason == ""), "consent_reconfirm").when(~stale & (paused_reason == "consent_reconfirm"), "").otherwise(paused_reason)
+
+
 def grants(tables: DataFrame) -> DataFrame:
     """Rows of a routing table kept as a map from token to grant."""
     rows = tables.select(F.explode("grants").alias("token", "grant")).select("token", "grant.*")

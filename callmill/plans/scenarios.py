@@ -6,7 +6,7 @@ columns, by the same arithmetic on both sides.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import policy, redaction
 from ..operators import assembly, batching, delivery, envelope, folds, reports, store, verdict
 from ..sources import records
+from ..sources.delivery_log import DeliveryLog
+from ..sources.scratch import shared_folder
 from ..streaming import capture
 from .catalog import _CALLS_SQL, _FOLD_SQL, _RE2_EMAIL, _RE2_PHONE, _ROUTES_SQL, _calls, _routes, _stream, query, table
 
@@ -71,9 +73,9 @@ def vendor_mask(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", redaction.mask_records(text).alias("masked"))
 
 
-@query("""SELECT event_id, '{"note":"[REDACTED_EMAIL]","n":' || event_id || '}' || chr(10) || 'broken {"note":"[REDACTED_EMAIL]"' || chr(10) || chr(10) || '["[REDACTED_PHONE]", 1.50]' AS masked FROM events WHERE event_id % 4 = 0""")
+@query("""SELECT event_id, '{"note":"[REDACTED_EMAIL]","n":' || event_id || '}' || chr(10) || 'broken {"note":"[REDACTED_EMAIL]"' || chr(10) || chr(10) || '["[REDACTED_PHONE]", 1.50]' AS masked FROM events""")
 def jsonl_mask(spark, sf_dir):
-    e, mail = table(spark, sf_dir, "events").where("event_id % 4 = 0"), _text("u", F.col("event_id"), "@mail.example.com")
+    e, mail = table(spark, sf_dir, "events"), _text("u", F.col("event_id"), "@mail.example.com")
     text = _text('{"note":"', mail, '","n":', F.col("event_id"), '}\nbroken {"note":"', mail, '"\n\n["+1 (212) 555-0100", 1.50]')
     return e.select("event_id", redaction.mask_records(text).alias("masked"))
 
@@ -217,10 +219,12 @@ def route_upkeep(spark, sf_dir):
     return verdict.restore(verdict.revoke(routes, root(4), "now"), root(4), before).select("token", "revoked_at", "upstream")
 
 
-@query("SELECT accepted, paused, CASE WHEN accepted <> '' AND accepted <> '2' THEN CASE WHEN paused = '' THEN 'consent_reconfirm' ELSE paused END WHEN paused = 'consent_reconfirm' THEN '' ELSE paused END AS reason FROM (SELECT unnest(['', '1', '2']) AS accepted), (SELECT unnest(['', 'signed_out', 'consent_reconfirm']) AS paused), region WHERE r_regionkey = 0")
+@query("""SELECT c_custkey, CASE WHEN accepted <> '' AND accepted <> '2' THEN CASE WHEN paused = '' THEN 'consent_reconfirm' ELSE paused END WHEN paused = 'consent_reconfirm' THEN '' ELSE paused END AS reason
+FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '1' ELSE '2' END AS accepted, CASE c_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'signed_out' ELSE 'consent_reconfirm' END AS paused FROM customer)""")
 def agreement_pause(spark, sf_dir):
-    rows = [(a, p, verdict.agreement_pause(a, "2", p)) for a in ("", "1", "2") for p in ("", "signed_out", "consent_reconfirm")]
-    return spark.createDataFrame(rows, "accepted string, paused string, reason string")
+    pick = lambda k, *values: F.element_at(F.array(*map(F.lit, values)), (F.col(k) % 3 + 1).cast("int"))
+    reason = verdict.agreement_pause_of(pick("c_custkey", "", "1", "2"), F.lit("2"), pick("c_nationkey", "", "signed_out", "consent_reconfirm"))
+    return table(spark, sf_dir, "customer").select("c_custkey", reason.alias("reason"))
 
 
 @query("SELECT DISTINCT sha256(c_nationkey::VARCHAR) AS project_id_hash, c_nationkey % 3 <> 0 AS new FROM customer WHERE c_nationkey % 3 = 0 OR c_nationkey % 2 = 0")
@@ -242,7 +246,7 @@ def index_rewrite(spark, sf_dir):
     return store.rewrite_index(index, removed)
 
 
-@query("SELECT batch_id, request_id FROM (SELECT 'b' || (event_id % 20) AS batch_id, 'r' || event_id AS request_id, event_id FROM events WHERE event_id % 7 = 0) WHERE NOT (event_id % 3 = 1 AND event_id % 5 <> 0)")
+@query("SELECT batch_id, request_id FROM (SELECT 'b' || (event_id % 20) AS batch_id, 'r' || event_id AS request_id, event_id FROM events) WHERE NOT (event_id % 3 = 1 AND event_id % 5 <> 0)")
 def purge_quarantine(spark, sf_dir):
     rejected = _rejected(spark, sf_dir)
     k = F.col("event_id")
@@ -252,18 +256,18 @@ def purge_quarantine(spark, sf_dir):
 
 def _rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
-    rows = table(spark, sf_dir, "events").where("event_id % 7 = 0")
+    rows = table(spark, sf_dir, "events")
     good = _text('{"schema_version":"1","n":', k, "}")
     return rows.select(_text("b", k % 20).alias("batch_id"), F.lit("20240101").alias("day"), _text("r", k).alias("request_id"), F.when(k % 3 == 0, "{").otherwise(good).alias("data"), F.lit("status 400").alias("details"), "event_id")
 
 
-@query("SELECT 'r' || event_id AS request_id, CASE WHEN event_id % 20 = 7 AND event_id % 3 <> 0 THEN 'store' ELSE 'quarantine' END AS place FROM events WHERE event_id % 7 = 0")
+@query("SELECT 'r' || event_id AS request_id, CASE WHEN event_id % 20 = 7 AND event_id % 3 <> 0 THEN 'store' ELSE 'quarantine' END AS place FROM events")
 def requeue_batch(spark, sf_dir):
     back, left = delivery.requeue(_rejected(spark, sf_dir), "b7")
     return back.select("request_id", F.lit("store").alias("place")).unionByName(left.select("request_id", F.lit("quarantine").alias("place")))
 
 
-@query("SELECT 'r' || event_id AS request_id, (SELECT count(*) FROM events WHERE event_id % 7 = 0 AND event_id % 20 = 7)::BIGINT AS discarded FROM events WHERE event_id % 7 = 0 AND event_id % 20 <> 7")
+@query("SELECT 'r' || event_id AS request_id, (SELECT count(*) FROM events WHERE event_id % 20 = 7)::BIGINT AS discarded FROM events WHERE event_id % 20 <> 7")
 def discard_batch(spark, sf_dir):
     left, n = delivery.discard(_rejected(spark, sf_dir), "b7")
     return left.select("request_id", F.lit(n).cast("long").alias("discarded"))
@@ -334,7 +338,7 @@ def store_vacuum(spark, sf_dir):
     return spark.createDataFrame(facts, "day string, rows long, folders long, leftovers long")
 
 
-@query("SELECT 'r' || event_id AS request_id, CASE WHEN event_id % 3 = 0 THEN 'invalid JSON' END AS parse_error FROM events WHERE event_id % 7 = 0")
+@query("SELECT 'r' || event_id AS request_id, CASE WHEN event_id % 3 = 0 THEN 'invalid JSON' END AS parse_error FROM events")
 def split_unreadable(spark, sf_dir):
     good, bad = delivery.split_readable(_rejected(spark, sf_dir))
     return good.select("request_id", F.lit(None).cast("string").alias("parse_error")).unionByName(bad.select("request_id", "parse_error"))
@@ -375,12 +379,7 @@ def flush_batches(spark, sf_dir):
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named}/callmill-spool-{tempfile.mktemp(dir='').strip('/')}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="callmill-")
+    return f"{shared_folder(spark)}/callmill-spool-{uuid.uuid4().hex}"
 
 
 class _Answers:
@@ -447,6 +446,34 @@ def deliver_gates(spark, sf_dir):
     return _delivered(spark, sf_dir, F.lit(False), 1 << 30, [delivery.Response(401), delivery.Response(426), delivery.Response(200)], steps)
 
 
+@query(f"""SELECT * FROM (VALUES (2, 'error', 0, 'status 408'), (3, 'error', 0, 'status 400'), (3, 'rejection', 0, {_N} || ' records'), (5, 'receipt', {_N}, '')) t(number, kind, records, text)""".replace("(2, 'error', 0", "(2::BIGINT, 'error', 0::BIGINT"))
+def delivery_history(spark, sf_dir):
+    """Two drivers in turn, from the log alone: no answer in time, a refusal, and an acknowledgement of what was requeued."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    spool, sink = records.TableSpool(spark, _scratch(spark)), _Answers(delivery.Response(408), delivery.Response(400), delivery.Response(200))
+    spool.write(c.select(_text("r", k).alias("request_id"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.lit('{"schema_version":"1"}').alias("data")))
+    for i in range(3):
+        log = DeliveryLog(spark, f"{spool.path}/log")
+        delivery.flush(spool, log.load(), sink, 5e9 + i, force=True, save=log.save)
+        if i == 1:
+            spool.requeue(spool.manifest()["rejected"][0]["batch_id"])
+    log.roll(keep=2)
+    return log.history().select("number", "kind", F.coalesce("records", F.lit(0)).alias("records"), F.regexp_replace("text", "^[^ ]+: ", "").alias("text"))
+
+
+@query(f"""SELECT 'settings' AS kind, {77 << 20}::BIGINT AS quota, {_N}::BIGINT AS records, true AS closed""")
+def exit_flush(spark, sf_dir):
+    """The flush at a stream's end: it takes on the service's settings, and none follows."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    spool = records.TableSpool(spark, _scratch(spark))
+    spool.write(c.select(_text("r", k).alias("request_id"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.lit('{"schema_version":"1"}').alias("data")))
+    log, sink = DeliveryLog(spark, f"{spool.path}/log"), _Answers(delivery.Response(200, handshake={"quota_bytes": 77 << 20}))
+    reply = delivery.close(spool, log.load(), sink, 5e9, budget=3600, save=log.save)
+    state = DeliveryLog(spark, log.path).load()
+    late = delivery.flush(spool, state, sink, 5e9, force=True)
+    return spark.createDataFrame([("settings", state.quota, reply.records, late.error == "closed")], "kind string, quota long, records long, closed boolean")
+
+
 @query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'upgrade_required' WHEN 1 THEN 'deferred' WHEN 2 THEN 'rejected' ELSE 'paused' END AS outcome, status >= 500 OR status IN (408, 429) AS temporary,
   CASE WHEN o_orderkey % 5 = 0 THEN 'problem' WHEN o_orderkey % 3 = 0 THEN 'note' WHEN o_orderkey % 2 = 0 THEN 'fixed' ELSE 'ok' END AS severity, name NOT IN ('', '.', '..', 'a/b') AND name <> 'a' || chr(92) || 'b' AS safe, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::VARCHAR WHEN o_orderkey % 3 = 0 THEN '7' END AS first, o_custkey < 100 AND o_orderkey % 2 = 0 AS writable
 FROM (SELECT *, 400 + o_orderkey % 130 AS status, ['', '.', '..', 'a/b', 'a' || chr(92) || 'b', 'b-1', '...'][o_orderkey % 7 + 1] AS name FROM orders)""")
@@ -525,7 +552,7 @@ def crash_window(spark, sf_dir):
     return reports.crash_gave_up(crashes, 86_400, 2).select("event_id", "gave_up")
 
 
-@query("SELECT count(DISTINCT event_id % 20)::BIGINT AS batches, count(*)::BIGINT AS records FROM events WHERE event_id % 7 = 0")
+@query("SELECT count(DISTINCT event_id % 20)::BIGINT AS batches, count(*)::BIGINT AS records FROM events")
 def quarantine_totals(spark, sf_dir):
     return reports.quarantine_totals(_rejected(spark, sf_dir))
 

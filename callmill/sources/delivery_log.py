@@ -74,11 +74,11 @@ class DeliveryLog:
         """number, kind (receipt, error or rejection), batch_id, records, bytes and text of every transition that brought one."""
         rows = self.entries().dropDuplicates(["number"])
         before = Window.orderBy("number")  # a row per attempt of one device's delivery
-        state = rows.select("number", "state.*").withColumns({"_receipt": F.lag("receipt.batch_id").over(before), "_rejected": F.lag("last_rejected", 1, "").over(before)})
+        state = rows.select("number", "state.*").withColumns({"_receipt": F.lag("receipt.batch_id").over(before), "_rejected": F.lag("last_rejected", 1, "").over(before), "_error": F.lag("last_error", 1, "").over(before), "_attempt": F.lag("last_attempt").over(before)})
         none = F.lit(None)
         kinds = F.array(
             F.when(F.col("receipt.batch_id").isNotNull() & ~F.col("receipt.batch_id").eqNullSafe(F.col("_receipt")), F.struct(F.lit("receipt").alias("kind"), F.col("receipt.batch_id").alias("batch_id"), F.col("receipt.records").alias("records"), F.col("receipt.bytes").alias("bytes"), F.lit("").alias("text"))),
             F.when((F.col("last_rejected") != "") & (F.col("last_rejected") != F.col("_rejected")), F.struct(F.lit("rejection").alias("kind"), F.substring_index("last_rejected", ":", 1).alias("batch_id"), none.cast("long").alias("records"), none.cast("long").alias("bytes"), F.col("last_rejected").alias("text"))),
-            F.when(F.col("last_error") != "", F.struct(F.lit("error").alias("kind"), none.cast("string").alias("batch_id"), none.cast("long").alias("records"), none.cast("long").alias("bytes"), F.col("last_error").alias("text"))),
+            F.when((F.col("last_error") != "") & ((F.col("last_error") != F.col("_error")) | ~F.col("last_attempt").eqNullSafe(F.col("_attempt"))), F.struct(F.lit("error").alias("kind"), none.cast("string").alias("batch_id"), none.cast("long").alias("records"), none.cast("long").alias("bytes"), F.col("last_error").alias("text"))),
         )
         return state.select("number", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("k")).select("number", "k.*")
