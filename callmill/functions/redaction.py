@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import json_text
+from . import json_text, scan
 
 # ---- Fixed values: these have to equal what other readers of the data expect.
 SECRET_TOKEN = "REDACTED"
@@ -84,8 +84,8 @@ TRIGGER_PATTERN = r"[A-Za-z0-9+_=-]{23}|[@=\\]|[0-9]{4}|AKIA|PRIVATE KEY|[Pp][Aa
 Span = tuple[int, int, str]
 _any_case = lambda p: re.compile(p, re.I)
 #: Runs of any length from 10 on count, but only long ones have the entropy.
-_RUN, _EMAIL, _PHONE, _URI = re.compile(r"[A-Za-z0-9+_=-]{23,}"), re.compile(EMAIL_PATTERN), re.compile(PHONE_PATTERN), _any_case(URI_PATTERN)
-_ASSIGNED, _PASSWORD = _any_case(ASSIGNED_PATTERN), _any_case(PASSWORD_PATTERN)
+_RUN, _PHONE, _URI = re.compile(r"[A-Za-z0-9+_=-]{23,}"), re.compile(PHONE_PATTERN), _any_case(URI_PATTERN)
+_PASSWORD = _any_case(PASSWORD_PATTERN)
 _JSON_KEY = re.compile(f"^(?:{KEY_PATTERN})$")
 _TRIGGER = re.compile(TRIGGER_PATTERN)
 _PLAIN = [re.compile(p) for p in PROVIDER_PATTERNS]
@@ -121,31 +121,18 @@ def _with(*patterns: str) -> Callable[[str], bool]:
     return lambda s: all(p.search(s) for p in needed) and has_password(s)
 
 
-#: Connection strings: pattern, what a text needs for a match, and the test of a match without its trailing marks.
-_CONNECTIONS = [
-    (_any_case(JDBC_PATTERN), ":", has_password),
-    (_any_case(DATABASE_URL_PATTERN), "://", has_password),
-    (_any_case(KEYWORD_PATTERN), "=", _with(HOST_PATTERN, USER_PATTERN)),
-]
-_SEMICOLON, _SEMICOLON_TEST = _any_case(SEMICOLON_PATTERN), _with(SERVER_PATTERN, LOGIN_PATTERN)
-_FIELD_KEY = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 _-")
-
+def _found_by(pattern: str) -> Callable[[str], Iterator[tuple[int, int]]]:
+    compiled = _any_case(pattern)
+    return lambda text: (m.span() for m in compiled.finditer(text))
 
-def _semicolon_matches(text: str) -> Iterator[re.Match]:
-    """Matches of the semicolon form, tried only where a key before an equals sign may begin.
 
-    Searching the whole text would try every word of a long passage as the
-    start of a key.
-    """
-    at = 0
-    while (eq := text.find("=", at)) >= 0:
-        start = eq
-        while start > at and text[start - 1] in _FIELD_KEY:
-            start -= 1
-        found = next((m for p in range(start, eq) if (m := _SEMICOLON.match(text, p))), None)
-        if found:
-            yield found
-        at = found.end() if found else eq + 1
+#: Connection strings: how they are found, what a text needs for a match, and the test of a match without its trailing marks.
+_CONNECTIONS = [
+    (_found_by(JDBC_PATTERN), ":", has_password),
+    (_found_by(DATABASE_URL_PATTERN), "://", has_password),
+    (scan.keyword_pairs, "=", _with(HOST_PATTERN, USER_PATTERN)),
+    (scan.semicolon_fields, ";", _with(SERVER_PATTERN, LOGIN_PATTERN)),
+]
 
 
 def _run_spans(text: str) -> Iterator[Span]:
@@ -168,16 +155,13 @@ def secret_spans(text: str) -> Iterator[Span]:
         yield from ((*m.span(), "") for m in _URI.finditer(text))
     if "=" not in text:
         return
-    forms = [(p.finditer(text), test) for p, needs, test in _CONNECTIONS if needs in text]
-    if ";" in text:
-        forms.append((_semicolon_matches(text), _SEMICOLON_TEST))
-    for matches, test in forms:
-        for m in matches:
-            found = m.group().rstrip(".,;:!?)]")
+    for find, needs, test in _CONNECTIONS:
+        for a, b in find(text) if needs in text else ():
+            found = text[a:b].rstrip(".,;:!?)]")
             if found and test(found):
-                yield m.start(), m.start() + len(found), ""
-    for m in _ASSIGNED.finditer(text):
-        a, b = unquoted(text, *m.span(2))
+                yield a, a + len(found), ""
+    for a, b in scan.assignments(text, DATABASES):
+        a, b = unquoted(text, a, b)
         if a < b and not is_placeholder(text[a:b]):
             yield a, b, ""
 
@@ -189,7 +173,7 @@ def is_allowed_email(email: str) -> bool:
 
 def personal_spans(text: str, categories: tuple[str, ...]) -> Iterator[Span]:
     if EMAIL in categories and "@" in text:
-        yield from ((*m.span(), EMAIL) for m in _EMAIL.finditer(text) if not is_allowed_email(m.group()))
+        yield from ((a, b, EMAIL) for a, b in scan.emails(text) if not is_allowed_email(text[a:b]))
     if PHONE in categories:
         yield from ((*m.span(), PHONE) for m in _PHONE.finditer(text))
 
