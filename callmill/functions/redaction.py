@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import json_text, scan
+from .rules import Engine, Rule, engine
 
 # ---- Fixed values: these have to equal what other readers of the data expect.
 SECRET_TOKEN = "REDACTED"
@@ -62,19 +63,21 @@ PASSWORD_PATTERN = rf"(?:^|[?&;]|{_S})(?:password|pwd)=({_QUOTED}|{_NOT_S}&;\"']
 HOST_PATTERN, USER_PATTERN = rf"(?:^|{_S})host=", rf"(?:^|{_S})user="
 SERVER_PATTERN = rf"(?:^|;){_S}*(?:server|data source|datasource|addr|address|network address){_S}*="
 LOGIN_PATTERN = rf"(?:^|;){_S}*(?:user id|userid|user|uid){_S}*="
-#: Formats of keys that their vendors have published; a small part of what scanners know.
-VENDOR_PATTERNS = [
-    r"(?<![A-Za-z0-9])AKIA[A-Z2-7]{16}(?![A-Za-z0-9])",
-    r"gh[oprsu]_[0-9a-zA-Z]{36}",
-    r"github_pat_[0-9a-zA-Z_]{82}",
-    r"glpat-[0-9a-zA-Z_-]{20}",
-    r"(?<![A-Za-z0-9])AIza[0-9a-zA-Z_-]{35}",
-    r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[0-9a-zA-Z]{24,99}",
-    r"(?<![A-Za-z0-9])xox[bp]-[0-9]{10,13}-[0-9]{10,13}-[0-9a-zA-Z-]{20,40}",
-    r"(?<![A-Za-z0-9])npm_[0-9a-zA-Z]{36}",
-    r"(?<![A-Za-z0-9])hf_[a-zA-Z]{34}",
-    r"-----BEGIN[ A-Z0-9_-]{0,100}PRIVATE KEY(?: BLOCK)?-----[\s\S]{16,}?-----END[ A-Z0-9_-]{0,100}PRIVATE KEY(?: BLOCK)?-----",
-]
+#: Formats of keys that their vendors have published, and values that are assigned to names of credentials; a small part of what scanners know.
+_NAMES = r"(?i:api[_.-]?key|access[_.-]?key|auth[_.-]?token|client[_.-]?secret|credential|secret|token)"
+VENDOR_RULES = (
+    Rule("cloud access key", r"(?<![A-Za-z0-9])AKIA[A-Z2-7]{16}(?![A-Za-z0-9])", ("akia",)),
+    Rule("code host token", r"gh[oprsu]_[0-9a-zA-Z]{36}", ("gho_", "ghp_", "ghr_", "ghs_", "ghu_")),
+    Rule("code host fine-grained token", r"github_pat_[0-9a-zA-Z_]{82}", ("github_pat_",)),
+    Rule("code host access token", r"glpat-[0-9a-zA-Z_-]{20}", ("glpat-",)),
+    Rule("cloud interface key", r"(?<![A-Za-z0-9])AIza[0-9a-zA-Z_-]{35}", ("aiza",)),
+    Rule("payment key", r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[0-9a-zA-Z]{24,99}", ("k_live_", "k_test_")),
+    Rule("chat token", r"(?<![A-Za-z0-9])xox[bp]-[0-9]{10,13}-[0-9]{10,13}-[0-9a-zA-Z-]{20,40}", ("xoxb-", "xoxp-")),
+    Rule("package registry token", r"(?<![A-Za-z0-9])npm_[0-9a-zA-Z]{36}", ("npm_",)),
+    Rule("model hub token", r"(?<![A-Za-z0-9])hf_[a-zA-Z]{34}", ("hf_",)),
+    Rule("private key", r"-----BEGIN[ A-Z0-9_-]{0,100}PRIVATE KEY(?: BLOCK)?-----[\s\S]{16,}?-----END[ A-Z0-9_-]{0,100}PRIVATE KEY(?: BLOCK)?-----", ("private key",)),
+    Rule("assigned credential", _NAMES + r"[0-9A-Za-z_.-]{0,20}[\"']?[\t ]{0,3}=[\t ]{0,3}[\"']?([0-9A-Za-z_.=-]{16,150})(?![0-9A-Za-z_.=-])", ("key", "token", "secret", "credential"), 3.0, (r"^[^0-9]+$", r"^[0-9.]+$"), 1),
+)
 # ---- end of the fixed values
 
 #: What a text needs for any layer to find something: a run that is long enough for its entropy (more than 22 different
@@ -82,6 +85,9 @@ VENDOR_PATTERNS = [
 TRIGGER_PATTERN = r"[A-Za-z0-9+_=-]{23}|[@=\\]|[0-9]{4}|AKIA|PRIVATE KEY|[Pp][Aa][Ss][Ss][Ww]|[Pp][Ww][Dd]"
 
 Span = tuple[int, int, str]
+#: A table of rules; None stands for ``VENDOR_RULES``.
+Rules = tuple[Rule, ...]
+_VENDOR = Engine(VENDOR_RULES)
 _any_case = lambda p: re.compile(p, re.I)
 #: Runs of any length from 10 on count, but only long ones have the entropy.
 _RUN, _PHONE, _URI = re.compile(r"[A-Za-z0-9+_=-]{23,}"), re.compile(PHONE_PATTERN), _any_case(URI_PATTERN)
@@ -89,9 +95,6 @@ _PASSWORD = _any_case(PASSWORD_PATTERN)
 _JSON_KEY = re.compile(f"^(?:{KEY_PATTERN})$")
 _TRIGGER = re.compile(TRIGGER_PATTERN)
 _PLAIN = [re.compile(p) for p in PROVIDER_PATTERNS]
-_VENDOR = [re.compile(p) for p in VENDOR_PATTERNS]
-#: What every vendor's format begins with.
-_MARKED = re.compile("AKIA|AIza|gh[oprsu]_|github_pat_|glpat-|[rs]k_|xox[bp]-|npm_|hf_|PRIVATE KEY")
 
 
 def entropy(text: str) -> float:
@@ -144,11 +147,9 @@ def _run_spans(text: str) -> Iterator[Span]:
             yield a, b, ""
 
 
-def secret_spans(text: str) -> Iterator[Span]:
+def secret_spans(text: str, rules: Rules | None = None) -> Iterator[Span]:
     yield from _run_spans(text)
-    for pattern in _VENDOR if _MARKED.search(text) else ():
-        for literal in {m.group() for m in pattern.finditer(text)}:
-            yield from ((m.start(), m.end(), "") for m in re.finditer(re.escape(literal), text))
+    yield from ((a, b, "") for a, b in (_VENDOR if rules is None else engine(rules)).spans(text))
     for pattern in _PLAIN:
         yield from ((*m.span(), "") for m in pattern.finditer(text))
     if "://" in text and "@" in text:
@@ -189,15 +190,15 @@ def merged(spans: list[Span]) -> list[Span]:
     return out
 
 
-def spans_of(text: str, categories: tuple[str, ...] = ()) -> list[Span]:
-    return merged([*secret_spans(text), *personal_spans(text, categories)])
+def spans_of(text: str, categories: tuple[str, ...] = (), rules: Rules | None = None) -> list[Span]:
+    return merged([*secret_spans(text, rules), *personal_spans(text, categories)])
 
 
-def mask_text(text: str, categories: tuple[str, ...] = ()) -> str:
-    if not _TRIGGER.search(text):
+def mask_text(text: str, categories: tuple[str, ...] = (), rules: Rules | None = None) -> str:
+    if rules is None and not _TRIGGER.search(text):
         return text
     out, at = [], 0
-    for a, b, label in spans_of(text, categories):
+    for a, b, label in spans_of(text, categories, rules):
         out += [text[at:a], f"[{SECRET_TOKEN}_{label}]" if label else SECRET_TOKEN]
         at = b
     return "".join([*out, text[at:]]) if out else text
@@ -227,7 +228,7 @@ def _names_login(obj: dict) -> bool:
     return bool(forms & HOST_KEYS and forms & USER_KEYS)
 
 
-def replacements(value, categories: tuple[str, ...]) -> dict[tuple[str, str], str]:
+def replacements(value, categories: tuple[str, ...], rules: Rules | None = None) -> dict[tuple[str, str], str]:
     """(key, string) → masked string, for the string values that change.  Elements of arrays have the key ''."""
     found: dict[tuple[str, str], str] = {}
     todo = [("", False, value)]
@@ -240,7 +241,7 @@ def replacements(value, categories: tuple[str, ...]) -> dict[tuple[str, str], st
         elif isinstance(v, list):
             todo += [("", context, x) for x in v]
         elif isinstance(v, str) and not isinstance(v, json_text.Number):
-            new = SECRET_TOKEN if is_credential_key(key, context) and v and not is_placeholder(v) else mask_text(v, categories)
+            new = SECRET_TOKEN if is_credential_key(key, context) and v and not is_placeholder(v) else mask_text(v, categories, rules)
             if new != v:
                 found[key, v] = new
     return found
@@ -249,9 +250,9 @@ def replacements(value, categories: tuple[str, ...]) -> dict[tuple[str, str], st
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],]', re.S)
 
 
-def mask_json(text: str, value, categories: tuple[str, ...]) -> str:
+def mask_json(text: str, value, categories: tuple[str, ...], rules: Rules | None = None) -> str:
     """The text of a JSON value with its string values masked, every other byte as it was."""
-    changes = replacements(value, categories)
+    changes = replacements(value, categories, rules)
     if not changes:
         return text
     loose = {v: new for (k, v), new in changes.items() if k == ""}
@@ -288,34 +289,34 @@ def mask_json(text: str, value, categories: tuple[str, ...]) -> str:
     return "".join([*out, text[at:]])
 
 
-def mask_record(text: str | None, categories: tuple[str, ...] = (EMAIL, PHONE)) -> str | None:
+def mask_record(text: str | None, categories: tuple[str, ...] = (EMAIL, PHONE), rules: Rules | None = None) -> str | None:
     """Mask a text that may be one JSON value, or JSON lines, or neither."""
     if not text:
         return text
     try:
-        return mask_json(text, json_text.decode(text), categories)
+        return mask_json(text, json_text.decode(text), categories, rules)
     except ValueError:
         pass
     lines = []
     for line in text.split("\n"):
         try:
-            lines.append(mask_json(line, json_text.decode(line), categories) if line.strip() else line)
+            lines.append(mask_json(line, json_text.decode(line), categories, rules) if line.strip() else line)
         except ValueError:
-            lines.append(mask_text(line, categories))
+            lines.append(mask_text(line, categories, rules))
     return "\n".join(lines)
 
 
 # ---- Columns
 
-def mask_records(text: Column | str, categories: tuple[str, ...] = (EMAIL, PHONE)) -> Column:
-    """``mask_record`` of a column, in Arrow batches; only texts in which something may be found go to Python."""
+def mask_records(text: Column | str, categories: tuple[str, ...] = (EMAIL, PHONE), rules: Rules | None = None) -> Column:
+    """``mask_record`` of a column, in Arrow batches; under the rules given here only texts in which something may be found go to Python."""
     text = F.col(text) if isinstance(text, str) else text
 
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: mask_record(t, categories), na_action="ignore")
+        return s.map(lambda t: mask_record(t, categories, rules), na_action="ignore")
 
-    return F.coalesce(run(F.when(text.rlike(TRIGGER_PATTERN), text)), text)
+    return F.coalesce(run(F.when(text.rlike(TRIGGER_PATTERN), text) if rules is None else text), text)
 
 
 def text_spans(text: Column | str, categories: tuple[str, ...] = (EMAIL, PHONE)) -> Column:
@@ -336,10 +337,12 @@ def native_mask_personal(text: Column) -> Column:
 
 def native_entropy(text: Column) -> Column:
     """Shannon entropy of a text in bits per byte."""
-    data = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+    data = F.sort_array(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0)))
     n = F.size(data).cast("double")
-    shares = F.transform(F.array_distinct(data), lambda c: F.size(F.filter(data, lambda x: x == c)) / n)
-    return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+    # sorted, each run of equal bytes ends where the next one differs
+    ends = F.filter(F.sequence(F.lit(1), F.size(data)), lambda i: (i == F.size(data)) | (F.get(data, i - 1) != F.get(data, i)))
+    shares = F.transform(ends, lambda e, i: (e - F.when(i == 0, 0).otherwise(F.get(ends, i - 1))) / n)
+    return F.when(F.size(data) == 0, F.lit(0.0)).otherwise(F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p)))
 
 
 def native_is_placeholder(value: Column) -> Column:

@@ -38,7 +38,11 @@ _RE2_PHONE = redaction.PHONE_PATTERN
 
 # ---- masking
 
-@query(rf"SELECT doc_id, regexp_replace(regexp_replace(text, '{_RE2_EMAIL}', '[REDACTED_EMAIL]', 'g'), '{_RE2_PHONE}', '[REDACTED_PHONE]', 'g') AS masked FROM documents")
+#: The secrets that the tables' texts hold: forty hexadecimal digits that are assigned to a token.
+_TEXT_SQL = r"""regexp_replace(text, '((?i:token)[\t ]{0,3}=[\t ]{0,3}")[0-9A-Fa-f]{40}', '\1REDACTED', 'g')"""
+
+
+@query(rf"SELECT doc_id, regexp_replace(regexp_replace({_TEXT_SQL}, '{_RE2_EMAIL}', '[REDACTED_EMAIL]', 'g'), '{_RE2_PHONE}', '[REDACTED_PHONE]', 'g') AS masked FROM documents")
 def pii_mask_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", redaction.mask_records(F.col("text")).alias("masked"))
 

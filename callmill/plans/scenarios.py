@@ -17,7 +17,7 @@ from ..sources import records
 from ..sources.delivery_log import DeliveryLog
 from ..sources.scratch import shared_folder
 from ..streaming import capture
-from .catalog import _CALLS_SQL, _FOLD_SQL, _RE2_EMAIL, _RE2_PHONE, _ROUTES_SQL, _calls, _routes, _stream, query, table
+from .catalog import _CALLS_SQL, _FOLD_SQL, _RE2_EMAIL, _RE2_PHONE, _ROUTES_SQL, _TEXT_SQL, _calls, _routes, _stream, query, table
 
 _text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
@@ -39,12 +39,21 @@ def mask_conversations(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", redaction.mask_records("text").alias("masked"))
 
 
-@query(f"SELECT doc_id, regexp_replace(text, '{_RE2_EMAIL}', '[REDACTED_EMAIL]', 'g') AS emails, regexp_replace(text, '{_RE2_PHONE}', '[REDACTED_PHONE]', 'g') AS phones, text AS neither FROM documents")
+@query(f"SELECT doc_id, regexp_replace({_TEXT_SQL}, '{_RE2_EMAIL}', '[REDACTED_EMAIL]', 'g') AS emails, regexp_replace({_TEXT_SQL}, '{_RE2_PHONE}', '[REDACTED_PHONE]', 'g') AS phones, {_TEXT_SQL} AS neither FROM documents")
 def mask_by_category(spark, sf_dir):
     mask = lambda *c: redaction.mask_records("text", c)
     return table(spark, sf_dir, "documents").select("doc_id", mask(redaction.EMAIL).alias("emails"), mask(redaction.PHONE).alias("phones"), mask().alias("neither"))
 
 
+@query(f"""SELECT doc_id, len(regexp_extract_all({_TEXT_SQL}, 'REDACTED"')) > len(regexp_extract_all(text, 'REDACTED"')) AS held_secrets, strpos({_TEXT_SQL}, 'REDACTED"')::BIGINT AS first_at FROM documents""")
+def document_secrets(spark, sf_dir):
+    """Which documents hold credentials that rules find by what they are assigned to, and where."""
+    masked = F.col("masked")
+    found = table(spark, sf_dir, "documents").withColumn("masked", redaction.mask_records("text", ()))
+    quotes = lambda c: F.size(F.split(c, 'REDACTED"'))
+    return found.select("doc_id", (quotes(masked) > quotes(F.col("text"))).alias("held_secrets"), F.instr(masked, 'REDACTED"').cast("long").alias("first_at"))
+
+
 @query("""WITH tokens AS (SELECT o_orderkey, replace(replace(rtrim(to_base64(unhex(sha256(o_orderkey::VARCHAR))), '='), '/', '-'), '+', '_') AS token FROM orders),
 chars AS (SELECT o_orderkey, unnest(string_split(token, '')) AS c FROM tokens), counts AS (SELECT o_orderkey, c, count(*) AS n FROM chars GROUP BY ALL),
 bits AS (SELECT o_orderkey, -sum(n / 43.0::DOUBLE * log2(n / 43.0::DOUBLE)) AS e FROM counts GROUP BY o_orderkey)
