@@ -7,10 +7,11 @@ read lets nothing pass.
 
 from __future__ import annotations
 
+import json
 import logging
 import threading
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -105,32 +106,49 @@ class ExitFlush(StreamingQueryListener):
 
 #: How long an exchange may be silent before it is given up, and how long an ended one is remembered.
 SILENCE_MS, REMEMBERED_MS = 3_600_000, 600_000
-
-
-def assemble_events(events: DataFrame) -> DataFrame:
-    """Streamed single events (exchange_id, seq, name, data) to exchange_id, message and error.
-
-    Events of one micro-batch are applied in the order of seq, to the message
-    that the ones before have built; only that message is kept.  An exchange
-    gives one row: its message at the stop event, or the rule that it broke.
-    For ``REMEMBERED_MS`` of silence after that, what still comes for it is
-    passed over.  Exchanges that never stop are given up after ``SILENCE_MS``.
+ASSEMBLED = "exchange_id string, message string, error string"
+
+
+def message_of(events: Iterable[tuple[str, str]]) -> tuple[str | None, str | None]:
+    """The message that events in order make, or the rule that they break."""
+    message = assembly.Message()
+    try:
+        for name, data in events:
+            assembly.apply(message, name, data)
+        return assembly.finish(message), None
+    except assembly.StreamError as e:
+        return None, str(e)
+
+
+def assemble_events(events: DataFrame, silence_ms: int = SILENCE_MS, remembered_ms: int = REMEMBERED_MS) -> DataFrame:
+    """Streamed single events (exchange_id, seq from 0, name, data) to exchange_id, message and error.
+
+    Events are applied in the order of seq, whatever micro-batch brings them:
+    those behind a gap wait until it closes, and what comes twice is taken
+    once.  The message so far and the waiting events are kept, no others.  An
+    exchange gives one row: its message at the stop event, or the rule that it
+    broke.  What still comes for it is passed over, as a row that was given out
+    can't be taken back; it is remembered for ``remembered_ms`` of silence.
+    Exchanges that never stop, or of which events are missing, are given up
+    after ``silence_ms``.
     """
-    out, state = "exchange_id string, message string, error string", "built string, ended boolean"
+    state = "due long, waiting string, built string, ended boolean"
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], memory) -> Iterator[pd.DataFrame]:
-        built, ended = memory.get if memory.exists else (None, False)
+        due, waiting, built, ended = memory.get if memory.exists else (0, "[]", None, False)
+        behind = {seq: (name, data) for seq, name, data in json.loads(waiting)}
         if memory.hasTimedOut:
             memory.remove()
             if not ended:
-                yield pd.DataFrame([(key[0], None, "no stop")], columns=["exchange_id", "message", "error"])
+                yield pd.DataFrame([(key[0], None, "missing events" if behind else "no stop")], columns=["exchange_id", "message", "error"])
             return
-        new = sorted((e for part in parts for e in part[["seq", "name", "data"]].itertuples(index=False)), key=lambda e: e.seq)
         if not ended:
+            behind |= {int(e.seq): (e.name, e.data) for part in parts for e in part[["seq", "name", "data"]].itertuples(index=False) if e.seq >= due}
             message, text, error = assembly.Message.restored(built), None, None
             try:
-                for e in new:
-                    assembly.apply(message, e.name, e.data)
+                while due in behind and not message.stopped:
+                    assembly.apply(message, *behind.pop(due))
+                    due += 1
                 text = assembly.finish(message) if message.stopped else None
             except assembly.StreamError as e:
                 error = str(e)
@@ -138,24 +156,17 @@ def assemble_events(events: DataFrame) -> DataFrame:
             if ended:
                 yield pd.DataFrame([(key[0], text, error)], columns=["exchange_id", "message", "error"])
             built = None if ended else message.stored()
-        memory.update((built, ended))
-        memory.setTimeoutDuration(REMEMBERED_MS if ended else SILENCE_MS)
+        left = [] if ended else [(seq, *event) for seq, event in sorted(behind.items())]
+        memory.update((due, json.dumps(left), built, ended))
+        memory.setTimeoutDuration(remembered_ms if ended else silence_ms)
 
-    return events.groupBy("exchange_id").applyInPandasWithState(step, out, state, "append", "ProcessingTimeTimeout")
+    return events.groupBy("exchange_id").applyInPandasWithState(step, ASSEMBLED, state, "append", "ProcessingTimeTimeout")
 
 
 def assemble_whole(events: DataFrame) -> DataFrame:
     """``assemble_events`` for events that are all there: a row per exchange, at once."""
-    out = "exchange_id string, message string, error string"
-
     def whole(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        message, text, error = assembly.Message(), None, None
-        try:
-            for e in group.sort_values("seq").itertuples(index=False):
-                assembly.apply(message, e.name, e.data)
-            text = assembly.finish(message)
-        except assembly.StreamError as e:
-            error = str(e)
-        return pd.DataFrame([(key[0], text, error)], columns=["exchange_id", "message", "error"])
-
-    return events.groupBy("exchange_id").applyInPandas(whole, out)
+        events = group.sort_values("seq")[["name", "data"]].itertuples(index=False)
+        return pd.DataFrame([(key[0], *message_of(events))], columns=["exchange_id", "message", "error"])
+
+    return events.groupBy("exchange_id").applyInPandas(whole, ASSEMBLED)

@@ -4,6 +4,8 @@ import dataclasses
 import itertools
 import json
 import os
+import random
+import time
 from dataclasses import replace
 
 import pytest
@@ -400,22 +402,61 @@ def test_record_stream(spark, tmp_path):
     assert capture.fresh_routes(spark, str(tmp_path / "missing")).count() == 0
 
 
-def test_event_stream(spark, tmp_path):
-    delta = ("content_block_delta", {"index": 0, "delta": {"type": "text_delta", "text": "a<b"}})
-    block = ("content_block_start", {"index": 0, "content_block": {"type": "text", "text": "9"}})
-    rows = lambda who, first, *events: [(who, first + i, n, json.dumps(d)) for i, (n, d) in enumerate(events)]
-    early = rows("x1", 0, START, STOP) + rows("x2", 0, ("ping", {}), STOP) + rows("x3", 0, START, block, delta) + rows("x4", 0, START)
-    later = rows("x1", 2, STOP) + rows("x3", 3, delta, ("content_block_stop", {"index": 0}), STOP, ) + rows("x2", 2, STOP)
+def streamed(spark, folder, parts, **options):
+    """Rows of a stream that gets the parts as micro-batches."""
     schema = "exchange_id string, seq long, name string, data string"
-    incoming = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ev" / "*"))
-    for i, part in enumerate((early, later)):
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "ev" / str(i)))
-        incoming = spark.readStream.schema(schema).parquet(str(tmp_path / "ev" / "*"))
-        writer = capture.assemble_events(incoming).writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out"))).outputMode("append")
-        writer.option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start().awaitTermination(120)
-    got = sorted((r["exchange_id"], r["message"] is not None, r["error"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == [("x1", True, None), ("x2", False, "event before start"), ("x3", True, None)]
-    whole = {r["exchange_id"]: (r["message"], r["error"]) for r in capture.assemble_whole(spark.createDataFrame(early + later, schema)).collect()}
-    assert [whole[x][1] for x in ("x1", "x2", "x4")] == ["event after stop", "event before start", "no stop"]
-    assert whole["x3"][0] == spark.read.parquet(str(tmp_path / "out")).where("exchange_id = 'x3'").first()["message"]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        incoming = capture.assemble_events(spark.readStream.schema(schema).parquet(f"{folder}/in"), **options)
+        writer = incoming.writeStream.foreachBatch(lambda df, n, i=i: df.write.mode("append").parquet(f"{folder}/out")).outputMode("append")
+        query = writer.option("checkpointLocation", f"{folder}/ck").start()
+        # such a query goes on without data, for its timeouts: it is stopped two batches after the last rows
+        seen, end = 0, time.time() + 90
+        while time.time() < end and (seen == 0 or query.lastProgress["batchId"] < seen + 2):
+            time.sleep(0.2)
+            seen = max([seen, *(p["batchId"] + 1 for p in query.recentProgress if p["numInputRows"])])
+        query.stop()
+    return {r["exchange_id"]: (r["message"], r["error"]) for r in spark.read.parquet(f"{folder}/out").collect()}
+
+
+DELTA = ("content_block_delta", {"index": 0, "delta": {"type": "text_delta", "text": "a<b"}})
+BLOCK, BLOCK_STOP = ("content_block_start", {"index": 0, "content_block": {"type": "text", "text": "9"}}), ("content_block_stop", {"index": 0})
+
+
+def numbered_events(who, *events):
+    return [(who, i, n, json.dumps(d)) for i, (n, d) in enumerate(events)]
+
+
+def test_event_stream(spark, tmp_path):
+    rows = numbered_events("x1", START, STOP) + numbered_events("x2", ("ping", {}), STOP) + numbered_events("x3", START, BLOCK, DELTA, DELTA, BLOCK_STOP, STOP) + numbered_events("x4", START)
+    early = [r for r in rows if r[1] < 3]
+    late = [r for r in rows if r[1] >= 3] + [("x1", 2, "message_stop", "{}")]
+    got = streamed(spark, str(tmp_path), [early, late])
+    assert {k: (v[0] is not None, v[1]) for k, v in got.items()} == {"x1": (True, None), "x2": (False, "event before start"), "x3": (True, None)}
+    whole = {r["exchange_id"]: (r["message"], r["error"]) for r in capture.assemble_whole(spark.createDataFrame(rows, "exchange_id string, seq long, name string, data string")).collect()}
+    assert got["x3"] == whole["x3"] and whole["x4"] == (None, "no stop")
     assert json.loads(whole["x3"][0])["content"] == [{"type": "text", "text": "9a<ba<b"}]
+
+
+def test_events_in_any_order(spark, tmp_path):
+    """Events that are dealt to micro-batches at random give the rows that they give at once."""
+    rng, rows = random.Random(5), []
+    for i in range(25):
+        deltas = [("content_block_delta", {"index": 0, "delta": {"type": "text_delta", "text": f"{k},"}}) for k in range(rng.randint(0, 6))]
+        rows += numbered_events(f"x{i}", START, *([BLOCK] if i % 5 else []), *deltas, BLOCK_STOP, STOP)
+    rows = [r for r in rows if r[:2] != ("x7", 2)]  # an event that never comes
+    parts = [[], [], [], []]
+    for r in rows:
+        for part in rng.sample(parts, rng.choice([1, 1, 2])):  # some come twice
+            part.append(r)
+    for part in parts:
+        rng.shuffle(part)
+    got = streamed(spark, str(tmp_path), parts)
+    whole = capture.assemble_whole(spark.createDataFrame(rows, "exchange_id string, seq long, name string, data string"))
+    assert got == {r["exchange_id"]: (r["message"], r["error"]) for r in whole.collect() if r["exchange_id"] != "x7"}
+
+
+def test_silent_exchanges_are_given_up(spark, tmp_path):
+    rows = numbered_events("x1", START) + [r for r in numbered_events("x2", START, BLOCK, STOP) if r[1] != 1]
+    got = streamed(spark, str(tmp_path), [rows, numbered_events("x3", START, STOP)], silence_ms=1)
+    assert got["x1"] == (None, "no stop") and got["x2"] == (None, "missing events") and got["x3"][1] is None
