@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .numbered import Files
-
 
 def shared_folder(spark: SparkSession) -> str:
     """What ``spark.checkpoint.dir`` names; where that is unset, a local master gets a temporary folder, and a cluster has to name one."""
@@ -32,6 +30,3 @@ class Scratch:
         at = f"{self.path}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").partitionBy(*by).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
-
-    def remove(self) -> None:
-        Files(self.spark, self.path).delete("")

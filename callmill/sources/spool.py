@@ -10,9 +10,9 @@ names, which ``vacuum`` removes.
 
 Of each day and id there is one row: a write takes older rows of its keys out
 of their folders.  So readers need no window over the store.  Files are sorted
-by id, with Bloom filters and statistics of it.  A batch is a few ranges of ids
-of what an earlier version held, so reading it is a filter that skips days,
-files and row groups, and moves no body through a shuffle.
+by id, whose statistics they carry.  A batch is a few ranges of ids of what an
+earlier version held, so reading it is a filter that skips days, files and row
+groups, and moves no body through a shuffle.
 
 Withdrawal rewrites the folders that hold the project and deletes the old ones
 with the versions that named them.
@@ -119,11 +119,12 @@ class TableSpool:
 
     def _write(self, rows: DataFrame, folder: str, clustered: bool = False) -> dict[str, dict]:
         """Rows in folders of their days, sorted by id: what a version says about each."""
-        if clustered:
-            rows = rows.repartitionByRange("day", "request_id")
         columns = [c.split()[0] for c in RECORDS.split(", ")]
-        out = rows.select(*columns, F.col("day").alias("of_day")).sortWithinPartitions("of_day", "request_id")
-        out.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#request_id", "true").partitionBy("of_day").parquet(f"{self.path}/{folder}")
+        out = rows.select(*columns, F.col("day").alias("of_day"))
+        # days in few tasks each, as many as their bytes need: else every task would have a file for every day
+        out = out.repartitionByRange("of_day", "request_id") if clustered else out.hint("rebalance", "of_day")
+        out = out.sortWithinPartitions("of_day", "request_id")
+        out.write.option("compression", "zstd").partitionBy("of_day").parquet(f"{self.path}/{folder}")
         facts = self._parquet(RECORDS, [folder]).groupBy("day").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.collect_set("gen").alias("gens"))
         return {r["day"]: {"at": f"{folder}/of_day={r['day']}", "rows": r["n"], "bytes": r["bytes"] or 0, "gens": sorted(r["gens"])} for r in facts.collect()}  # a row per day
 
