@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy, redaction
 from ..operators import assembly, batching, delivery, envelope, folds, reports, store, verdict
-from ..sources import records
+from ..sources import records, source
 from ..sources.delivery_log import DeliveryLog
 from ..sources.scratch import shared_folder
 from ..streaming import capture
@@ -347,6 +347,39 @@ def store_vacuum(spark, sf_dir):
     return spark.createDataFrame(facts, "day string, rows long, folders long, leftovers long")
 
 
+@query("SELECT strftime(o_orderdate, '%Y') || '0615' AS day, 'r' || o_orderkey AS request_id, length(o_orderkey::VARCHAR || o_custkey % 5) + 61 AS size FROM orders WHERE year(o_orderdate) >= 1995 AND o_orderkey % 3 <> 0")
+def store_source(spark, sf_dir):
+    """The store as a data source: days and ids are chosen by the reader, and rows that are gone are not read."""
+    spool = _order_spool(spark, sf_dir)
+    spool.remove(spool.rows().where("CAST(substring(request_id, 2) AS BIGINT) % 3 = 0"))
+    source.register(spark)
+    return spark.read.format(source.STORE).load(spool.path).where("day >= '19950101' AND request_id > 'r'").select("day", "request_id", "size")
+
+
+@query("SELECT 'r' || o_orderkey AS request_id, 1::BIGINT AS copies, false AS stored FROM orders UNION ALL SELECT 's' || o_orderkey, 1, true FROM orders WHERE o_orderkey % 4 = 1")
+def store_stream(spark, sf_dir):
+    """A stream over the store that is stopped and goes on: each row is acknowledged once, and then let go of; what came after it is still stored."""
+    spool, at = _order_spool(spark, sf_dir), _scratch(spark)
+    source.register(spark)
+
+    def forward() -> None:
+        rows = spark.readStream.format(source.STORE).options(bytes_per_batch=1 << 20, reader="forward").load(spool.path)
+        query = rows.writeStream.format(source.PARTS).option("checkpointLocation", f"{at}/checkpoint").trigger(processingTime="0 seconds").start(f"{at}/sink")
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
+    forward()
+    spool.remove(source.acknowledged(spark, f"{at}/sink"))
+    again = _order_records(spark, sf_dir).where("CAST(substring(request_id, 2) AS BIGINT) % 4 = 1").withColumns({"request_id": F.concat(F.lit("s"), F.substring("request_id", 2, 20)), "timestamp": F.concat(F.substring("timestamp", 1, 4), F.lit("-06-15T00:00:00Z"))})
+    spool.write(again, 2)
+    forward()
+    sent = source.acknowledged(spark, f"{at}/sink").groupBy("request_id").agg(F.count("*").alias("copies"))
+    kept = spool.rows().select("request_id", F.lit(True).alias("stored"))
+    return sent.join(kept, "request_id", "left").select("request_id", "copies", F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
 @query("SELECT 'r' || event_id AS request_id, CASE WHEN event_id % 3 = 0 THEN 'invalid JSON' END AS parse_error FROM events")
 def split_unreadable(spark, sf_dir):
     good, bad = delivery.split_readable(_rejected(spark, sf_dir))

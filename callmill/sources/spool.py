@@ -335,14 +335,14 @@ class TableSpool:
     def compact(self, most: int = 0) -> None:
         """Rewrite, clustered by id, the days that have more than ``most`` folders, ranges or withdrawals; what is gone leaves their files.
 
-        Nothing is compacted while batches are on their way.
+        Rows keep the write that they came with, by which streams know what
+        they have read.  Nothing is compacted while batches are on their way.
         """
         m = self.manifest()
         torn = {d for d in m["days"] if len(m["gone"].get(d, [])) > most or len(m["days"][d]) > max(1, most) or sum(d in t["days"] for t in m["withdrawn"]) > most}
         if m["pins"] or not torn:
             return
-        gen, folder = uuid.uuid4().hex, self._name("records")
-        made = self._write(self.rows(m, sorted(torn)).withColumn("gen", F.lit(gen)), folder, clustered=True)
+        made = self._write(self.rows(m, sorted(torn)), self._name("records"), clustered=True)
 
         def change(now: dict, number: int) -> dict:
             if now["pins"] or any(now["days"].get(d) != m["days"][d] or now["gone"].get(d) != m["gone"].get(d) for d in torn) or now["withdrawn"] != m["withdrawn"]:
@@ -352,7 +352,6 @@ class TableSpool:
                 now["gone"].pop(d, None)
             for d, facts in made.items():
                 now["days"][d] = [facts]
-            now["gens"][gen] = number
             for t in now["withdrawn"]:
                 t["days"] = [d for d in t["days"] if d not in torn]
             now["withdrawn"] = [t for t in now["withdrawn"] if t["days"]]
