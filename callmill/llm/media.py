@@ -1,8 +1,9 @@
 """Interleaved document sequences with media columns.
 
 HTML becomes an ordered sequence of segments, each either text or a reference
-to media by digest, with its caption (the figure's, else the alternative
-text).  Media are stored once per task and digest in a table of their own, as
+to media by digest, with its caption (that of the innermost figure that has
+one, else the alternative text).  A caption that no medium takes, as that of a
+table or one outside a figure, is text at its place.  Media are stored once per task and digest in a table of their own, as
 lossless 8-bit greyscale PNG images of ``WIDTH`` columns.  References are
 joined to media by digest; positions and captions stay with the reference, so
 they remain aligned whatever the join's order.
@@ -16,7 +17,8 @@ where a third of all documents refer to one image.
 Null texts have the payload of an empty one; null HTML has no segments.  Any
 text can be parsed: a declaration that HTML does not know is a comment up to
 the next ``>``, an element of ``HIDDEN_TAGS`` that is never closed hides the
-rest of the page, and a caption that is never closed is text at its place.
+rest of the page, and a caption that neither it nor its figure closes is text
+at its place.
 References whose digest is not in the table keep null features.  Repeated rows
 give repeated references.  Empty tables give empty results.  Only the named
 columns are read.
@@ -41,6 +43,8 @@ from .common import slices, stage, with_python_columns
 WIDTH = 64
 MEDIA_TAGS = {"img", "audio", "video", "source", "embed"}
 HIDDEN_TAGS = {"script", "style", "template", "noscript"}
+#: Tags that separate words in a caption.
+BLOCK_TAGS = {"p", "div", "br", "li", "ul", "ol", "table", "tr", "td", "th", "section", "article", "figure", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"}
 SEGMENT = T.StructType([
     T.StructField("pos", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()),
     T.StructField("digest", T.StringType()), T.StructField("caption", T.StringType()),
@@ -49,14 +53,18 @@ FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32
 
 
 class _Sequence(HTMLParser):
-    """Collects text and media segments in document order."""
+    """Collects text and media segments in document order.
+
+    A caption's pieces are segments at their places until its figure ends.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.segments: list[dict] = []
         self.hidden = 0
-        self.figures: list[int] = []  # index of the first segment in each open figure
-        self.caption: list[str] | None = None
+        self.figures: list[dict[str, list]] = []  # of each open figure its captions, and the media that still have none
+        self.caption: list[dict] | None = None  # the pieces of the open caption
+        self.caption_of: dict[str, list] | None = None
 
     def parse_marked_section(self, i, report=1):
         """``<![...``: the parser's own version raises on most of these."""
@@ -64,61 +72,114 @@ class _Sequence(HTMLParser):
 
     def close(self):
         super().close()
-        if self.caption is not None:
-            data, self.caption = "".join(self.caption), None
-            self.handle_data(data)
+        self._as_text(self.caption or [])  # never closed
+        self.caption = None
+        while self.figures:
+            self._end_figure(closed=False)
+
+    @staticmethod
+    def _as_text(pieces: list[dict]) -> None:
+        for s in pieces:
+            s["kind"] = "text"
+
+    def _end_caption(self) -> None:
+        if self.caption is not None and self.caption_of is None:
+            self._as_text(self.caption)
+        elif self.caption is not None:
+            self.caption_of["captions"].append(self.caption)
+        self.caption = None
+
+    def _end_figure(self, closed: bool = True) -> None:
+        """The figure's last caption goes to those of its media that have none of an inner figure; other captions are text.
+
+        In a figure that is never closed it goes to the media before it.
+        """
+        figure = self.figures.pop()
+        if self.caption is not None and self.caption_of is figure:
+            self._end_caption()
+        told = [c for c in figure["captions"] if any(s["text"].strip() for s in c)]
+        left = figure["media"]
+        if told:
+            own, end = told.pop(), len(self.segments)
+            if not closed:
+                end = own[0]["at"]
+            text = " ".join(" ".join(s["text"] for s in own).split())
+            taken, left = [s for s in left if s["at"] < end], [s for s in left if s["at"] >= end]
+            for s in taken:
+                s["caption"] = text
+            if not taken:
+                told.append(own)
+        for other in told:
+            self._as_text(other)
+        if self.figures:  # the shorter list goes into the longer one
+            short, long = sorted((left, self.figures[-1]["media"]), key=len)
+            long += short
+            self.figures[-1]["media"] = long
+
+    def _add(self, segment: dict) -> dict:
+        self.segments.append(segment | {"at": len(self.segments)})
+        return self.segments[-1]
 
     def handle_starttag(self, tag, attrs):
+        if tag in BLOCK_TAGS:
+            self._space()
         if tag in HIDDEN_TAGS:
             self.hidden += 1
         elif tag == "figure":
-            self.figures.append(len(self.segments))
+            self.figures.append({"captions": [], "media": []})
         elif tag == "figcaption":
-            self.caption = []
+            self._end_caption()
+            self.caption, self.caption_of = [], self.figures[-1] if self.figures else None
         elif tag in MEDIA_TAGS:
             found = dict(attrs)
-            if found.get("src"):
-                digest = found["src"].removeprefix("sha256:") if found["src"].startswith("sha256:") else None
-                self.segments.append({"kind": "media", "text": found["src"], "digest": digest, "caption": found.get("alt") or None})
+            place = found.get("src") or next(iter((found.get("srcset") or "").split()), "").rstrip(",")
+            if place:
+                digest = place.removeprefix("sha256:") if place.startswith("sha256:") else None
+                medium = self._add({"kind": "media", "text": place, "digest": digest, "caption": found.get("alt") or None})
+                if self.figures:
+                    self.figures[-1]["media"].append(medium)
 
     def handle_endtag(self, tag):
+        if tag in BLOCK_TAGS:
+            self._space()
         if tag in HIDDEN_TAGS:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for s in self.segments[self.figures[-1] if self.figures else len(self.segments) :]:
-                if s["kind"] == "media" and text:
-                    s["caption"] = text
-            if self.figures:  # a caption may come before its media
-                self.segments.append({"kind": "caption", "text": text, "digest": None, "caption": None})
-            self.caption = None
+        elif tag == "figcaption":
+            self._end_caption()
         elif tag == "figure" and self.figures:
-            start = self.figures.pop()
-            own = [s["text"] for s in self.segments[start:] if s["kind"] == "caption"]
-            for s in self.segments[start:]:
-                if s["kind"] == "media" and own and own[-1]:
-                    s["caption"] = own[-1]
-            self.segments[start:] = [s for s in self.segments[start:] if s["kind"] != "caption"]
+            self._end_figure()
+
+    def _space(self) -> None:
+        if self.caption:
+            self.caption[-1]["text"] += " "
 
     def handle_data(self, data):
         if self.hidden:
             return
-        if self.caption is not None:
-            self.caption.append(data)
+        if self.caption and self.caption[-1] is self.segments[-1]:
+            self.caption[-1]["text"] += data
+        elif self.caption is not None:
+            self.caption.append(self._add({"kind": "caption", "text": data}))
         elif data.strip():
-            text = " ".join(data.split())
-            if self.segments and self.segments[-1]["kind"] == "text":
-                self.segments[-1]["text"] += " " + text
-            else:
-                self.segments.append({"kind": "text", "text": text, "digest": None, "caption": None})
+            self._add({"kind": "text", "text": data})
 
 
 def parse_sequence(html: str | None) -> list[dict]:
-    """Segments in order, each with its position."""
+    """Segments in order, each with its position; texts that meet are one."""
     parser = _Sequence()
     parser.feed(html or "")
     parser.close()
-    kept = [s for s in parser.segments if s["kind"] != "caption"]
+    kept: list[dict] = []
+    texts: list[str] = []
+    for s in [*parser.segments, None]:
+        if s is not None and s["kind"] != "media":
+            texts += s["text"].split() if s["kind"] == "text" else []
+            continue
+        if texts:
+            kept.append({"kind": "text", "text": " ".join(texts), "digest": None, "caption": None})
+            texts = []
+        if s is not None:
+            kept.append({k: s[k] for k in ("kind", "text", "digest", "caption")})
     return [{"pos": i, **s} for i, s in enumerate(kept)]
 
 

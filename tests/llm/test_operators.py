@@ -478,6 +478,40 @@ def test_any_html_can_be_parsed(html):
     assert media.parse_sequence("<p>before</p>" + html)[0]["text"].startswith(before[0]["text"])
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<p>a</p><figcaption>x</figcaption><p>b</p>", ["a x b"]),  # of no figure
+    ("<figure>t<figcaption>x</figcaption><table>u</table></figure>v", ["t x u v"]),  # of no media
+    ("<figure><figcaption>cap<img src=m><p>rest</p>", ["cap", ("m", None), "rest"]),  # never closed
+    ("<figure><figcaption>cap<p>more<img src=m></figure>end", [("m", "cap more"), "end"]),  # closed by its figure
+    ("<figure><img src=o><figure><img src=i><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>", [("o", "out"), ("i", "in")]),
+    ("<figure><figure><img src=i></figure><figcaption>out</figcaption></figure>", [("i", "out")]),
+    ("<figure><figure><img src=i><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>", [("i", "in"), "out"]),
+    ("<figure><figcaption>one</figcaption><img src=m><figcaption>t<b>w</b>o</figcaption></figure>", ["one", ("m", "two")]),
+    ("<figure><img src=m><figcaption>x</figcaption><p>a<img src=n>b", [("m", "x"), "a", ("n", None), "b"]),  # figure never closed
+    ("<figure><figcaption> </figcaption><img src=m alt=y></figure>", [("m", "y")]),
+    ('<video><source srcset="a.mp4 2x, b.mp4"></video>', [("a.mp4", None)]),
+])
+def test_captions_keep_their_place(html, want):
+    assert [(s["text"], s["caption"]) if s["kind"] == "media" else s["text"] for s in media.parse_sequence(html)] == want
+
+
+def test_long_and_deep_pages_take_linear_time():
+    began = time.time()
+    n = 50_000
+    assert len(media.parse_sequence("<figure>" * n + "<img src=a>" * n + "</figure>" * (n // 2))) == n
+    assert len(media.parse_sequence("<figure><img src=a><figcaption>x" * n)) == n + 1
+    assert media.parse_sequence("<figcaption>x" * n)[0]["text"] == " ".join("x" * n)
+    assert time.time() - began < 20
+
+
+def test_media_of_rows_without_ids_and_with_clashing_names(spark):
+    rows = plain.docs(spark, [(None, "a"), (None, "a"), (None, None), (3, "b")])
+    for name in ("sequence", "digest", "pos", "caption", "media", "feature", "id", "n_bytes"):
+        rows = rows.withColumn(name, F.lit("old"))
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["pos"], r["caption"]) for r in media.text_media(rows).collect())
+    assert got == [("3", 1, 64, 0, "1 bytes"), ("None", 0, 64, 0, "0 bytes"), ("None", 1, 64, 0, "1 bytes"), ("None", 1, 64, 0, "1 bytes")]
+
+
 def test_random_html():
     rng = random.Random(15)
     parts = ["<![", "]]>", "<!--", "-->", "<figure>", "</figure>", "<figcaption>", "</figcaption>", '<img src="a">', "<", ">", "text ", "<script>", "</script>", "&amp", "<?x", "<!x", "/>", "'", '"']
