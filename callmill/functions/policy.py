@@ -69,8 +69,8 @@ def verdict(known: Column, revoked: Column, paused_reason: Column) -> Column:
 
 def explain_pause(reason: Column) -> Column:
     return (
-        F.when(reason == "signed_out", "this device is signed out; sign in to resume recording")
-        .when(reason == "consent_reconfirm", "the data agreement changed; confirm it to resume recording")
+        F.when(reason == "signed_out", "recording stays off until this device has signed in again")
+        .when(reason == "consent_reconfirm", "recording stays off until the new data agreement has been accepted")
         .otherwise(reason)
     )
 

@@ -50,6 +50,33 @@ def severity_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").agg(F.count("*").alias("n"))
 
 
+def findings(devices: DataFrame, rejected: DataFrame) -> DataFrame:
+    """What is to be said about each device: device, place (store, quarantine or service), severity and text.
+
+    ``devices`` has a row per device: usage and quota in bytes, write_error,
+    min_client_version, version, upgrade_message and notice; ``rejected`` has
+    device and batch_id of the rows set aside.  Nulls count as nothing said, a
+    null quota as none.  A device without a fault has one ``ok`` row a place,
+    but none for a service that said nothing.
+    """
+    said = lambda c: F.coalesce(F.col(c), F.lit(""))
+    used = F.concat(policy.human_bytes(F.coalesce("usage", F.lit(0)).cast("long")), F.coalesce(F.concat(F.lit(" of "), policy.human_bytes(F.col("quota").cast("long"))), F.lit("")), F.lit(" used"))
+    full = F.coalesce(F.col("usage") >= F.col("quota"), F.lit(False))
+    row = lambda place, severity, text: F.struct(F.lit(place).alias("place"), severity.alias("severity"), text.alias("text"))
+    note = lambda when, text: F.when(when, row("service", policy.severity(F.lit(False), when, F.lit(False)), text))
+    broken, aside = (said("write_error") != "") | full, F.col("n_batches") > 0
+    found = F.array(
+        row("store", policy.severity(broken, F.lit(False), F.lit(False)), F.concat(F.when(said("write_error") != "", F.concat(F.lit("takes no writes: "), F.col("write_error"), F.lit(", "))).when(full, "full, ").otherwise("takes writes, "), used)),
+        row("quarantine", policy.severity(aside, F.lit(False), F.lit(False)), F.when(aside, F.concat(F.col("n_batches").cast("string"), F.lit(" batches set aside"))).otherwise("empty")),
+        note(policy.version_standing(F.col("min_client_version"), F.col("version")) != "satisfied", F.concat(F.lit("wants version "), said("min_client_version"), F.lit(" or newer, this is "), said("version"))),
+        note(said("upgrade_message") != "", F.concat(F.lit("says: "), said("upgrade_message"))),
+        note(said("notice") != "", F.concat(F.lit("notice: "), said("notice"))),
+    )
+    counts = rejected.groupBy("device").agg(F.count_distinct("batch_id").alias("n_batches"))
+    facts = devices.select("device", "usage", "quota", "write_error", "min_client_version", "version", "upgrade_message", "notice")
+    return facts.join(counts, "device", "left").withColumn("n_batches", F.coalesce("n_batches", F.lit(0))).select("device", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("device", "f.*")
+
+
 def distinct_roots(routes: DataFrame) -> DataFrame:
     return routes.select("root_path").distinct().orderBy("root_path")
 

@@ -232,7 +232,7 @@ def upstream_reconcile(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", policy.upstream_move(no, k == 3, no, wanted, F.lit("https://api.example.com")).alias("move"))
 
 
-@query("""SELECT o_orderkey, 'b-' || md5(o_orderkey::VARCHAR) AS batch_id, CASE WHEN o_orderkey % 4 = 0 THEN 'this device is signed out; sign in to resume recording' WHEN o_orderkey % 4 = 1 THEN '' ELSE 'other' END AS pause,
+@query("""SELECT o_orderkey, 'b-' || md5(o_orderkey::VARCHAR) AS batch_id, CASE WHEN o_orderkey % 4 = 0 THEN 'recording stays off until this device has signed in again' WHEN o_orderkey % 4 = 1 THEN '' ELSE 'other' END AS pause,
   o_orderkey % 3 = 0 AS enabled, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE 2147483648 END AS quota FROM orders WHERE o_custkey > 0""")
 def small_rules(spark, sf_dir):
     k = F.col("o_orderkey")

@@ -567,6 +567,22 @@ def severity_counts(spark, sf_dir):
     return reports.severity_counts(table(spark, sf_dir, "events").select(policy.severity(k % 5 == 0, k % 3 == 0, F.lit(False)).alias("severity")))
 
 
+@query("""WITH d AS (SELECT c_custkey, c_custkey % 1000 AS used, c_custkey % 7 = 0 AS broken, c_custkey % 5 AS k, (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS n FROM customer)
+SELECT c_custkey AS device, 'store' AS place, CASE WHEN broken OR used >= 900 THEN 'problem' ELSE 'ok' END AS severity, CASE WHEN broken THEN 'takes no writes: disk ' || k || ', ' WHEN used >= 900 THEN 'full, ' ELSE 'takes writes, ' END || used || ' B of 900 B used' AS text FROM d
+UNION ALL SELECT c_custkey, 'quarantine', CASE WHEN n > 0 THEN 'problem' ELSE 'ok' END, CASE WHEN n > 0 THEN n || ' batches set aside' ELSE 'empty' END FROM d
+UNION ALL SELECT c_custkey, 'service', 'note', 'wants version 1.' || k || '.0 or newer, this is 1.2.10' FROM d WHERE k > 2
+UNION ALL SELECT c_custkey, 'service', 'note', 'notice: hello ' || c_custkey FROM d WHERE k = 1""")
+def finding_rows(spark, sf_dir):
+    """What is to be said about each customer's device, with the priorities of its pending orders as batches set aside."""
+    c, k = F.col("c_custkey"), F.col("c_custkey") % 5
+    devices = table(spark, sf_dir, "customer").select(
+        c.alias("device"), (c % 1000).alias("usage"), F.lit(900).alias("quota"), F.when(c % 7 == 0, _text("disk ", k)).alias("write_error"), F.when(k > 0, _text("1.", k, ".0")).alias("min_client_version"),
+        F.lit("1.2.10").alias("version"), F.lit(None).cast("string").alias("upgrade_message"), F.when(k == 1, _text("hello ", c)).otherwise("").alias("notice"),
+    )
+    rejected = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("device"), F.col("o_orderpriority").alias("batch_id"))
+    return reports.findings(devices, rejected)
+
+
 @query("SELECT DISTINCT '/' || c_mktsegment || '/' || c_nationkey AS root_path FROM customer")
 def distinct_roots(spark, sf_dir):
     return reports.distinct_roots(table(spark, sf_dir, "customer").select(_text("/", F.col("c_mktsegment"), "/", F.col("c_nationkey")).alias("root_path")))

@@ -460,3 +460,18 @@ def test_silent_exchanges_are_given_up(spark, tmp_path):
     rows = numbered_events("x1", START) + [r for r in numbered_events("x2", START, BLOCK, STOP) if r[1] != 1]
     got = streamed(spark, str(tmp_path), [rows, numbered_events("x3", START, STOP)], silence_ms=1)
     assert got["x1"] == (None, "no stop") and got["x2"] == (None, "missing events") and got["x3"][1] is None
+
+
+def test_findings(spark):
+    devices = spark.createDataFrame([
+        ("a", 5, 10, None, None, None, None, None), ("b", 10, 10, "", "2.0.0", "1.0.0", "upgrade", "hi"), ("c", None, None, "no room", "x", "1.0.0", "", ""),
+    ], "device string, usage long, quota long, write_error string, min_client_version string, version string, upgrade_message string, notice string")
+    rejected = spark.createDataFrame([("b", "x"), ("b", "x"), ("b", "y"), ("z", "q")], "device string, batch_id string")
+    rows = sorted(map(tuple, reports.findings(devices, rejected).collect()))
+    assert rows == [
+        ("a", "quarantine", "ok", "empty"), ("a", "store", "ok", "takes writes, 5 B of 10 B used"), ("b", "quarantine", "problem", "2 batches set aside"), ("b", "service", "note", "notice: hi"),
+        ("b", "service", "note", "says: upgrade"), ("b", "service", "note", "wants version 2.0.0 or newer, this is 1.0.0"), ("b", "store", "problem", "full, 10 B of 10 B used"), ("c", "quarantine", "ok", "empty"),
+        ("c", "service", "note", "wants version x or newer, this is 1.0.0"), ("c", "store", "problem", "takes no writes: no room, 0 B used"),
+    ]
+    assert {(r["severity"], r["n"]) for r in reports.severity_counts(reports.findings(devices, rejected)).collect()} == {("ok", 3), ("problem", 3), ("note", 4)}
+    assert reports.findings(devices.limit(0), rejected).count() == 0
