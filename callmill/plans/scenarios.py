@@ -604,7 +604,7 @@ def health_snapshot(spark, sf_dir):
     return snapshot.select("recorded", "degraded", "dropped", "unusable_upstream", F.array_join(F.col("recent_errors.message"), ",").alias("last"))
 
 
-@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) > 2 AS gave_up FROM events""")
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch_us(ts) / 1000000)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) > 2 AS gave_up FROM events""")
 def crash_window(spark, sf_dir):
     crashes = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("process"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
     return reports.crash_gave_up(crashes, 86_400, 2).select("event_id", "gave_up")

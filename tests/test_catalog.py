@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 
 from callmill.plans import catalog, scenarios  # noqa: F401  scenarios adds its queries to the catalogue
@@ -11,3 +12,12 @@ SF = "/root/testdata/sf0.001"
 def test_query_equals_sql(spark, name):
     want = connect(SF).execute(catalog.ORACLE_SQL[name]).df()
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(want)
+
+
+def test_crash_window_counts_whole_seconds_that_have_begun(spark, tmp_path):
+    """A day after the first crash, but for a fraction that a rounded time would count as a second more."""
+    times = ["2024-01-01 00:00:00.4", "2024-01-01 12:00:00", "2024-01-02 00:00:00.6"]
+    duckdb.sql("SELECT unnest(range(3)) AS event_id, 7 AS user_id, unnest(%s)::TIMESTAMP AS ts" % times).write_parquet(f"{tmp_path}/events.parquet")
+    want = connect(str(tmp_path)).execute(catalog.ORACLE_SQL["crash_window"]).df()
+    assert rows(catalog.QUERIES["crash_window"](spark, str(tmp_path)).toPandas()) == rows(want)
+    assert want.sort_values("event_id")["gave_up"].tolist() == [False, False, True]
