@@ -132,9 +132,15 @@ def version_standing(minimum: Column, version: Column) -> Column:
 # texts
 
 def human_bytes(n: Column) -> Column:
+    """A byte count in binary units with one decimal, by integers: a tie goes to the even digit, as C and Go print it."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for i, unit in enumerate("KMGTPE", start=1):
-        out = F.when(n >= 1024**i, F.format_string(f"%.1f {unit}iB", n / float(1024**i))).otherwise(out)
+        half = 1 << 10 * i - 1
+        fives = n.bitwiseAND(F.lit(2 * half - 1)) * 5  # of a half unit each, which a long holds up to the last unit
+        tenths, rest = F.shiftright(fives, 10 * i - 1), fives.bitwiseAND(F.lit(half - 1)) * 2
+        up = (rest > half) | ((rest == half) & (tenths % 2 == 1))
+        tenths = F.shiftright(n, 10 * i) * 10 + tenths + F.when(up, 1).otherwise(0)
+        out = F.when(n >= 1024**i, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}iB"))).otherwise(out)
     return out
 
 

@@ -406,7 +406,7 @@ def newest_release(spark, sf_dir):
     return reports.newest_release(rows).select("p_partkey")
 
 
-@query("""SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MiB', n / 1048576.0::DOUBLE) ELSE printf('%.1f GiB', n / 1073741824.0::DOUBLE) END AS size
+@query("""SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MiB', n / 1048576.0::DOUBLE) WHEN n < 1099511627776 THEN printf('%.1f GiB', n / 1073741824.0::DOUBLE) WHEN n < 1125899906842624 THEN printf('%.1f TiB', n / 1099511627776.0::DOUBLE) ELSE printf('%.1f PiB', n / 1125899906842624.0::DOUBLE) END AS size
 FROM (SELECT o_orderkey, (o_orderkey * 1024 * 64 + o_orderkey % 1000) // (1 + (o_orderkey % 4) * 999999) AS n FROM orders)""")
 def human_bytes(spark, sf_dir):
     k = F.col("o_orderkey")

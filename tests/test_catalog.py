@@ -1,6 +1,8 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from callmill.functions import policy
 from callmill.plans import catalog, scenarios  # noqa: F401  scenarios adds its queries to the catalogue
 
 from .compare import connect, rows
@@ -21,3 +23,13 @@ def test_crash_window_counts_whole_seconds_that_have_begun(spark, tmp_path):
     want = connect(str(tmp_path)).execute(catalog.ORACLE_SQL["crash_window"]).df()
     assert rows(catalog.QUERIES["crash_window"](spark, str(tmp_path)).toPandas()) == rows(want)
     assert want.sort_values("event_id")["gave_up"].tolist() == [False, False, True]
+
+
+def test_human_bytes_of_ties_and_large_keys(spark, tmp_path):
+    """Sizes that lie between two tenths, and orders whose sizes reach the units above GiB."""
+    duckdb.sql("SELECT unnest([4, 12, 20, 28, 1004, 9_000_000, 36_000_000, 40_000_000_000]::BIGINT[]) AS o_orderkey").write_parquet(f"{tmp_path}/orders.parquet")
+    want = connect(str(tmp_path)).execute(catalog.ORACLE_SQL["human_bytes"]).df()
+    assert rows(catalog.QUERIES["human_bytes"](spark, str(tmp_path)).toPandas()) == rows(want)
+    sizes = {1280: "1.2 KiB", 1792: "1.8 KiB", (1 << 60) * 5 // 4: "1.2 EiB", (1 << 60) * 7 // 4: "1.8 EiB", (1 << 63) - 1: "8.0 EiB", 1048575: "1024.0 KiB"}
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", policy.human_bytes(F.col("n")).alias("text")).collect()
+    assert {r["n"]: r["text"] for r in got} == sizes
