@@ -488,7 +488,20 @@ def deliver_gates(spark, sf_dir):
     return _delivered(spark, sf_dir, F.lit(False), 1 << 30, [delivery.Response(401), delivery.Response(426), delivery.Response(200)], steps)
 
 
-@query(f"""SELECT * FROM (VALUES (2, 'error', 0, 'status 408'), (3, 'error', 0, 'status 400'), (3, 'rejection', 0, {_N} || ' records'), (5, 'receipt', {_N}, '')) t(number, kind, records, text)""".replace("(2, 'error', 0", "(2::BIGINT, 'error', 0::BIGINT"))
+#: Bytes of a record that has its version only.
+_BARE = len('{"schema_version":"1"}')
+
+
+def _history_sql(limit: int) -> str:
+    """The first batch is tried twice and requeued, then all are acknowledged; a batch ends with the record that reaches the limit."""
+    return f"""WITH n AS (SELECT count(*)::BIGINT AS every, {-(-limit // _BARE)}::BIGINT AS most FROM customer)
+SELECT 2::BIGINT AS number, 'error' AS kind, 0::BIGINT AS records, 'status 408' AS text FROM n WHERE every > 0
+UNION ALL SELECT 3, 'error', 0, 'status 400' FROM n WHERE every > 0
+UNION ALL SELECT 3, 'rejection', 0, least(every, most) || ' records' FROM n WHERE every > 0
+UNION ALL SELECT 5 + 2 * i, 'receipt', least(most, every - i * most), '' FROM (SELECT every, most, unnest(range((every + most - 1) // most)) AS i FROM n)"""
+
+
+@query(_history_sql(policy.FLUSH_BYTES))
 def delivery_history(spark, sf_dir):
     """Two drivers in turn, from the log alone: no answer in time, a refusal, and an acknowledgement of what was requeued."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")

@@ -33,3 +33,12 @@ def test_human_bytes_of_ties_and_large_keys(spark, tmp_path):
     sizes = {1280: "1.2 KiB", 1792: "1.8 KiB", (1 << 60) * 5 // 4: "1.2 EiB", (1 << 60) * 7 // 4: "1.8 EiB", (1 << 63) - 1: "8.0 EiB", 1048575: "1024.0 KiB"}
     got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", policy.human_bytes(F.col("n")).alias("text")).collect()
     assert {r["n"]: r["text"] for r in got} == sizes
+
+
+def test_delivery_history_of_several_batches(spark, monkeypatch):
+    """More records than one batch takes: all batches are acknowledged after the first one was requeued."""
+    n, limit = spark.read.parquet(f"{SF}/customer.parquet").count(), 22 * 60 - 5
+    monkeypatch.setattr(policy, "FLUSH_BYTES", limit)
+    want = connect(SF).execute(scenarios._history_sql(limit)).df()
+    assert len(want) == 3 + -(-n // 60) and want["records"].sum() == n
+    assert rows(catalog.QUERIES["delivery_history"](spark, SF).toPandas()) == rows(want)
