@@ -49,7 +49,7 @@ class Response:
 
 class Sink(Protocol):
     def deliver(self, batch: DataFrame) -> Response:
-        """``batch`` has one row, made by ``pack_batches``.  Delivery has to be idempotent by batch id."""
+        """``batch`` is made by ``pack_batches``: a row per part, which is one but for large batches.  Delivery has to be idempotent by batch id."""
 
 
 @dataclass
@@ -59,7 +59,7 @@ class FileSink:
     folder: str
 
     def deliver(self, batch: DataFrame) -> Response:
-        batch_id = batch.first()["batch_id"]
+        batch_id = batch.select("batch_id").first()["batch_id"]
         batch.write.mode("overwrite").parquet(f"{self.folder}/{batch_id}")
         return Response(200, batch_id)
 
@@ -70,12 +70,18 @@ class Spool(Protocol):
     def snapshot(self) -> tuple[DataFrame, int]:
         """day, request_id, session_key, timestamp, size, data and project_id_hash of what is stored, and the version that holds it."""
 
-    def pin(self, ranges: DataFrame, version: int) -> None:
+    def pin(self, ranges: DataFrame | list, version: int) -> None:
         """Note which rows batches have: of a version, by batch_id and day, the ids behind ``after`` up to ``last``."""
 
     def batches(self, ids: tuple[str, ...]) -> DataFrame:
         """The rows that pinned batches still have, with batch_id."""
 
+    def mark(self) -> object:
+        """What is stored, but for deliveries."""
+
+    def holds(self, mark: object) -> bool:
+        """Whether all that was stored at a mark still is, but for what was delivered since."""
+
     def settle(self, batch_id: str) -> None:
         """Let go of a batch and of its rows."""
 
@@ -185,6 +191,7 @@ def flush(
         return out
     limit = out.state.handshake.get("flush_bytes") or policy.FLUSH_BYTES
     max_age = out.state.handshake.get("flush_age_seconds") or policy.FLUSH_AGE_SECONDS
+    marks = [spool.mark()]
     stored, version = spool.snapshot()
     rows = stored.select("day", "request_id", "size", "timestamp")
     if not out.batches and not force:
@@ -196,19 +203,18 @@ def flush(
             out.outcome = "below_threshold"
             return out
     with spool.work():
-        ranges = spool.hold(batch_ranges(cut_batches(rows, limit)))
+        cut = spool.hold(cut_batches(rows, limit))
+        ranges = spool.hold(batch_ranges(cut))
         n = ranges.agg(F.coalesce(F.max("bin") + 1, F.lit(0))).first()[0]
-        for at in range(0, n, at_once):
+        ahead = max(1, AHEAD_BYTES // max(1, limit) // at_once) * at_once if budget is None else at_once
+        at, width = 0, at_once  # a service that doesn't answer costs the first few batches only
+        while at < n:
             if spent():
                 out.error = "budget spent"
                 return out
-            ids = tuple(new_id() for _ in range(at, min(n, at + at_once)))
-            names = F.element_at(F.array(*map(F.lit, ids)), (F.col("bin") - at + 1).cast("int"))
-            spool.pin(ranges.where(F.col("bin").between(at, at + len(ids) - 1)).select(names.alias("batch_id"), "day", "after", "last"), version)
-            out.state = replace(out.state, pending=ids)
-            save(out.state)  # before the first attempt
-            if not _deliver(out, spool, sink, now, client_version, save, spent):
+            if not _deliver_window(out, spool, sink, now, client_version, save, spent, stored, version, marks, cut, ranges, range(at, min(n, at + width)), at_once, new_id):
                 return out
+            at, width = at + width, ahead
     spool.tidy()
     if out.batches:
         out.outcome = "uploaded"
@@ -230,26 +236,84 @@ def cut_batches(rows: DataFrame, limit: int) -> DataFrame:
     return folds.greedy_bins(rows.select(F.struct("day", "request_id").alias("seq"), "size"), limit, key=None).select("seq.day", "seq.request_id", "bin")
 
 
-def _deliver(out: Flush, spool: Spool, sink: Sink, now: float, client_version: str, save: Callable[[State], None], spent: Callable[[], bool]) -> bool:
+#: Bytes of batches that are packed in one go, before the first of them is sent.
+AHEAD_BYTES = 64 << 20
+
+
+def _deliver_window(
+    out: Flush, spool: Spool, sink: Sink, now: float, client_version: str, save: Callable[[State], None], spent: Callable[[], bool], stored: DataFrame, version: int, marks: list,
+    cut: DataFrame, ranges: DataFrame, bins: range, at_once: int, new_id: Callable[[], str],
+) -> bool:
+    """Pack some bins in one go, then pin and deliver ``at_once`` at a time; True if all were acknowledged or had nothing to send."""
+    with spool.work():
+        chosen = F.col("bin").between(bins.start, bins.stop - 1)
+        spans: dict[int, list] = {}
+        for r in ranges.where(chosen).collect():  # a row per batch packed together and day
+            spans.setdefault(r["bin"], []).append(r)
+        ids = {b: new_id() for b in bins}
+        packed = None
+        if len(bins) > at_once and spool.holds(marks[-1]):
+            name = F.element_at(F.array(*(F.lit(ids[b]) for b in bins)), (F.col("bin") - bins.start + 1).cast("int"))
+            days = {r["day"] for found in spans.values() for r in found}
+            mine = cut.where(chosen).select("day", "request_id", name.alias("batch_id"))
+            packed = _pack(spool, stored.where(F.col("day").isin(sorted(days))).join(mine, ["day", "request_id"]), now, client_version)
+        for at in range(bins.start, bins.stop, at_once):
+            if spent():
+                out.error = "budget spent"
+                return False
+            group = range(at, min(bins.stop, at + at_once))
+            spool.pin([{"batch_id": ids[b], "day": r["day"], "after": r["after"], "last": r["last"]} for b in group for r in spans[b]], version)
+            out.state = replace(out.state, pending=tuple(ids[b] for b in group))
+            save(out.state)  # before the first attempt
+            same, before = spool.holds(marks[-1]), out.unreadable
+            if not same:  # others withdrew rows or wrote folders anew: what was packed, or would be by the snapshot, no longer counts
+                packed = None
+            if not _deliver(out, spool, sink, now, client_version, save, spent, packed):
+                return False
+            if same and out.unreadable > before:  # rows that can't be read have left the store
+                marks.append(spool.mark())
+    return True
+
+
+@dataclass
+class _Packed:
+    """Batches that are ready to be sent, and the rows that can't be read."""
+
+    batches: DataFrame
+    sizes: dict[str, tuple[int, int]]  # records and bytes
+    unreadable: DataFrame
+    bad: dict[str, int]
+
+
+def _pack(spool: Spool, rows: DataFrame, now: float, client_version: str) -> _Packed:
+    """Every text is read and masked once, in as many tasks as there are cores: the store's files are few."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    good, bad = split_readable(spool.hold(rows.repartition(cores, "request_id")))
+    bad = spool.hold(bad)
+    facts = spool.hold(batching.masked(good))
+    packed = spool.hold(batching.pack_batches(batching.placed(facts, spool.hold), client_version, str(now)).hint("rebalance"))
+    size = F.sum(F.octet_length("envelope") + F.octet_length("records"))
+    sizes = {r["batch_id"]: (r["n"], r["bytes"]) for r in packed.groupBy("batch_id").agg(F.sum("n_records").alias("n"), size.alias("bytes")).collect()}  # a row per batch packed together
+    return _Packed(packed, sizes, bad, {r["batch_id"]: r["count"] for r in bad.groupBy("batch_id").count().collect()})
+
+
+def _deliver(out: Flush, spool: Spool, sink: Sink, now: float, client_version: str, save: Callable[[State], None], spent: Callable[[], bool], packed: _Packed | None = None) -> bool:
     """Deliver the pending batches in order; True if all were acknowledged or had nothing to send."""
     with spool.work():  # bodies are held while their batches are on their way, no longer
-        return _deliver_held(out, spool, sink, now, client_version, save, spent)
+        packed = packed or _pack(spool, spool.batches(out.state.pending), now, client_version)
+        return _deliver_held(out, spool, sink, now, save, spent, packed)
 
 
-def _deliver_held(out: Flush, spool: Spool, sink: Sink, now: float, client_version: str, save: Callable[[State], None], spent: Callable[[], bool]) -> bool:
+def _deliver_held(out: Flush, spool: Spool, sink: Sink, now: float, save: Callable[[State], None], spent: Callable[[], bool], packed: _Packed) -> bool:
     ids = out.state.pending
-    rows = spool.hold(spool.batches(ids))
-    good, bad = split_readable(rows)
-    n_bad = bad.count()
-    if n_bad:
+    if n_bad := sum(packed.bad.get(x, 0) for x in ids):
+        bad = packed.unreadable.where(F.col("batch_id").isin(list(ids)))
         spool.set_aside(bad.withColumn("details", F.col("parse_error")).drop("parse_error"))
         spool.remove(bad)
         out.unreadable += n_bad
-    packed = spool.hold(batching.pack_batches(batching.masked_batches(good), client_version, str(now)))
-    sizes = {r["batch_id"]: r for r in packed.select("batch_id", "n_records", (F.octet_length("envelope") + F.octet_length("records")).alias("bytes")).collect()}  # a row per batch in flight
     for batch_id in ids:
         left = tuple(x for x in out.state.pending if x != batch_id)
-        if batch_id not in sizes:  # withdrawn, or all set aside
+        if batch_id not in packed.sizes:  # withdrawn, or all set aside
             spool.settle(batch_id)
             out.state = replace(out.state, pending=left)
             save(out.state)
@@ -257,13 +321,12 @@ def _deliver_held(out: Flush, spool: Spool, sink: Sink, now: float, client_versi
         if spent():
             out.error = "budget spent"
             return False
-        n = sizes[batch_id]["n_records"]
-        answer = sink.deliver(packed.where(F.col("batch_id") == batch_id))
+        n, n_bytes = packed.sizes[batch_id]
+        answer = sink.deliver(packed.batches.where(F.col("batch_id") == batch_id))
         out.state = replace(out.state, last_attempt=now)
-        own = good.where(F.col("batch_id") == batch_id)
         if 200 <= answer.status < 300 and answer.batch_id == batch_id:
             spool.settle(batch_id)
-            receipt = {"batch_id": batch_id, "records": n, "bytes": sizes[batch_id]["bytes"], "at": now}
+            receipt = {"batch_id": batch_id, "records": n, "bytes": n_bytes, "at": now}
             out.batches, out.records = out.batches + 1, out.records + n
             out.state = replace(out.state, pending=left, not_before=0.0, timeouts=0, upgrade_required=False, min_client_version="", last_error="", last_upload=now, receipt=receipt, handshake=merge_handshake(out.state.handshake, answer.handshake))
             save(out.state)
@@ -272,7 +335,7 @@ def _deliver_held(out: Flush, spool: Spool, sink: Sink, now: float, client_versi
         kind = policy_class(status.status)
         out.state = settle(out.state, status, now, batch_id, n)
         if kind == "rejected":
-            spool.set_aside(own.withColumn("details", F.lit(f"{status.status}: {status.details}"[: policy.TEXT_RUNES])))
+            spool.set_aside(spool.batches((batch_id,)).withColumn("details", F.lit(f"{status.status}: {status.details}"[: policy.TEXT_RUNES])))
             spool.settle(batch_id)
             out.state = replace(out.state, pending=left)
         out.outcome = {"upgrade": "upgrade_required", "limited": "deferred", "timeout": "deferred", "rejected": "rejected"}.get(kind, "paused")

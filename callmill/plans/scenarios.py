@@ -431,7 +431,7 @@ class _Answers:
         self.answers, self.ids = list(answers), []
 
     def deliver(self, batch: DataFrame) -> delivery.Response:
-        self.ids.append(batch.first()["batch_id"])
+        self.ids.append(batch.select("batch_id").first()["batch_id"])
         answer = self.answers.pop(0) if len(self.answers) > 1 else self.answers[0]
         return delivery.Response(200, self.ids[-1], handshake=answer.handshake) if answer.status == 200 else answer
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -23,11 +24,12 @@ class Files:
 
     def __init__(self, spark: SparkSession, root: str):
         self.jvm, self.root = spark._jvm, root
-        self.conf = spark._jsc.hadoopConfiguration()
+        self.conf, self._path = spark._jsc.hadoopConfiguration(), self.jvm.org.apache.hadoop.fs.Path
+        self._rename: Callable | None = None
         self.fs = self.path("").getFileSystem(self.conf)
 
     def path(self, relative: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{relative}" if relative else self.root)
+        return self._path(f"{self.root}/{relative}" if relative else self.root)
 
     def exists(self, relative: str = "") -> bool:
         return self.fs.exists(self.path(relative))
@@ -54,12 +56,14 @@ class Files:
         stream = self.fs.create(part, False)
         stream.write(bytearray(text.encode()))
         stream.close()
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri() if part.toUri().getScheme() else self.fs.getUri(), self.conf)
-        none = self.jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        how = self.jvm.java.lang.reflect.Array.newInstance(none.getClass(), 1)
-        how[0] = none
+        if self._rename is None:  # looked up once, as each name of a class is a call to the JVM
+            context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri() if part.toUri().getScheme() else self.fs.getUri(), self.conf)
+            none = self.jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            how = self.jvm.java.lang.reflect.Array.newInstance(none.getClass(), 1)
+            how[0] = none
+            self._rename = lambda a, b: context.rename(a, b, how)
         try:
-            context.rename(part, self.path(relative), how)
+            self._rename(part, self.path(relative))
         except Exception as e:
             self.fs.delete(part, False)
             if self.exists(relative):
@@ -71,7 +75,7 @@ class Log:
     """Entries by number; the one with the highest number is the latest."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.files = Files(spark, folder)
+        self.files, self._near = Files(spark, folder), 0
 
     def numbers(self) -> list[int]:
         return sorted(int(n[:-5]) for n in self.files.names("") if re.fullmatch(r"\d{12}\.json", n))
@@ -80,7 +84,24 @@ class Log:
         return json.loads(self.files.read(f"{number:012d}.json"))
 
     def latest(self) -> tuple[int, dict | None]:
-        """The last entry and its number; 0 and None where there is none."""
+        """The last entry and its number; 0 and None where there is none.
+
+        Numbers have no gaps and the lowest are forgotten first, so an entry
+        that is there while the next one was not is the last.  Looking on from
+        the last one known takes no listing of the folder, which grows.
+        """
+        name = lambda n: f"{n:012d}.json"
+        for n in range(self._near, self._near + 8) if self._near else ():
+            if not self.files.exists(name(n + 1)):
+                if self.files.exists(name(n)):
+                    self._near = n
+                    return n, self.get(n)
+                break
+        found = self._listed()
+        self._near = found[0]
+        return found
+
+    def _listed(self) -> tuple[int, dict | None]:
         while numbers := self.numbers():
             try:
                 return numbers[-1], self.get(numbers[-1])
@@ -92,6 +113,7 @@ class Log:
     def append(self, number: int, entry: dict) -> None:
         """Raises ``Taken`` if the number is."""
         self.files.create(f"{number:012d}.json", json.dumps(entry))
+        self._near = number
 
     def forget(self, below: int) -> None:
         """Removes entries with lower numbers, but never the latest."""

@@ -191,10 +191,11 @@ class TableSpool:
 
     # ---- batches on their way
 
-    def pin(self, ranges: DataFrame, version: int) -> None:
+    def pin(self, ranges: DataFrame | list, version: int) -> None:
         """Note which rows batches have: ranges (batch_id, day, after, last) of what ``version`` held."""
         found: dict[str, list] = {}
-        for r in ranges.orderBy("batch_id", "day").collect():  # a row per batch in flight and day
+        rows = ranges if isinstance(ranges, list) else ranges.collect()  # a row per batch in flight and day
+        for r in sorted(rows, key=lambda r: (r["batch_id"], r["day"])):
             found.setdefault(r["batch_id"], []).append([r["day"], r["after"], r["last"], version])
 
         def change(m: dict, number: int) -> dict:
@@ -214,6 +215,16 @@ class TableSpool:
         every = [r for ranges in pins.values() for r in ranges]
         return rows.where(_within(every, m["gens"])).withColumn("batch_id", name)
 
+    def mark(self) -> tuple:
+        """What is withdrawn, and in which folders the rest lies; deliveries do not change it."""
+        m = self.manifest()
+        return frozenset(t["at"] for t in m["withdrawn"]), frozenset(f["at"] for folders in m["days"].values() for f in folders)
+
+    def holds(self, mark: tuple) -> bool:
+        """Whether all that was stored at a mark still is, but for what was delivered since."""
+        withdrawn, folders = self.mark()
+        return withdrawn == mark[0] and mark[1] <= folders
+
     def settle(self, batch_id: str) -> None:
         """Let go of a batch and of its rows."""
 

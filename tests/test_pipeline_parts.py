@@ -155,6 +155,47 @@ def test_batches_round_trip(spark, folders):
     assert all(d["request"]["mail"] == "[REDACTED_EMAIL]" and d["response"]["signature"] == "keep" for d in data)
 
 
+def test_a_large_batch_has_parts(spark, folders, monkeypatch):
+    """Parts joined are the batch in its order, whatever task made them, and a flush counts all of them."""
+    monkeypatch.setattr(batching, "PART_BYTES", 2 * SIZE)
+    store_ = spool(spark, folders(), 9)
+    rows = store_.rows().withColumn("batch_id", F.lit("b1"))
+    held = lambda df: df.localCheckpoint()
+    whole = batching.masked_batches(rows).orderBy("position").select("request_id", "position", "offset").collect()
+    spread = batching.placed(batching.masked(rows).repartition(5), held)
+    assert spread.orderBy("position").select("request_id", "position", "offset").collect() == whole
+    packed = batching.pack_batches(spread, "1", "now").orderBy("part").collect()
+    assert len(packed) > 2
+    items = [i for p in packed for i in json.loads(p["envelope"])["records"]]
+    assert [(i["request_id"], i["offset"]) for i in items] == [(r["request_id"], r["offset"]) for r in whole]
+    assert [p["start"] for p in packed] == list(itertools.accumulate([0, *(p["records_size"] for p in packed)]))[:-1]
+    back = {r["request_id"]: r["data"] for r in batching.unpack_batches(spark.createDataFrame(packed, batching.PACKED)).collect()}
+    assert back == {r["request_id"]: r["data"] for r in batching.masked(rows).collect()}
+    out = delivery.flush(store_, delivery.State(), Scripted(OK), NOW, force=True)
+    assert (out.records, out.state.receipt["records"], store_.rows().count()) == (9, 9, 0)
+
+
+def test_many_batches_are_packed_in_few_jobs(spark, folders, monkeypatch):
+    """Bins beyond the first are packed together; rows that can't be read, and those that others withdrew meanwhile, are not sent."""
+    store_, made = spool(spark, folders(), 8, broken=(5,)), []
+    pack = delivery._pack
+    monkeypatch.setattr(delivery, "_pack", lambda *args: made.append(1) or pack(*args))
+    sink = Scripted(OK)
+    out = delivery.flush(store_, delivery.State(handshake={"flush_bytes": 9}), sink, NOW, force=True)
+    assert (out.outcome, out.batches, out.records, out.unreadable, len(made), store_.rows().count()) == ("uploaded", 7, 7, 1, 2, 0)
+    store_, sink = spool(spark, folders(), 8), Scripted(OK)
+    last, deliver = store_.rows().where("request_id = 'r7'"), sink.deliver
+
+    def meanwhile(batch):
+        if len(sink.seen) == 3:
+            store_.remove(last)
+        return deliver(batch)
+
+    sink.deliver = meanwhile
+    out = delivery.flush(store_, delivery.State(handshake={"flush_bytes": 9}), sink, NOW, force=True)
+    assert (out.outcome, out.records, store_.rows().count()) == ("uploaded", 7, 0)
+
+
 def test_flush_outcomes(spark, folders):
     flush = lambda sink=OK, n=4, state=delivery.State(), now=NOW, **o: delivery.flush(spool(spark, folders(), n), state, Scripted(sink), now, **o)
     assert flush().outcome == "below_threshold"
