@@ -149,13 +149,13 @@ def truncated(text: Column, runes: int = TEXT_RUNES) -> Column:
 
 
 def safe_text(text: Column) -> Column:
-    graphic = F.regexp_replace(F.regexp_replace(text, "�", ""), r"[^\p{L}\p{M}\p{N}\p{P}\p{S}\p{Zs}]", " ")
-    return truncated(F.regexp_replace(F.regexp_replace(graphic, r"\p{Zs}+", " "), "^ | $", ""))
+    """Runs of white space and of what shows nothing are one space; replacement characters are left out."""
+    return truncated(F.trim(F.regexp_replace(F.replace(text, F.lit("�"), F.lit("")), r"[\x00-\x20\p{Z}\p{C}]+", " ")))
 
 
 def service_details(text: Column) -> Column:
     """A service's own words: at most ``TEXT_BYTES`` bytes are looked at; a character that the cut splits is dropped."""
-    return safe_text(F.decode(F.substring(F.encode(text, "UTF-8"), 1, TEXT_BYTES), "UTF-8"))
+    return safe_text(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, TEXT_BYTES).cast("string")))
 
 
 def mask_token(token: Column) -> Column:

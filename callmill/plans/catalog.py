@@ -31,6 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks a core among which rows are dealt.
+DEALT = 4
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, *key: str) -> DataFrame:
+    """A table for work that costs far more a row than reading it: files of few bytes or row groups come in one task, whatever is made of their rows."""
+    tasks = max(DEALT * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return table(spark, sf_dir, name).repartition(tasks, *key)
+
+
 _S = r"[\t\n\f\r ]"
 _RE2_EMAIL = r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"
 _RE2_PHONE = redaction.PHONE_PATTERN

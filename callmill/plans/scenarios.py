@@ -17,7 +17,7 @@ from ..sources import records, source
 from ..sources.delivery_log import DeliveryLog
 from ..sources.scratch import shared_folder
 from ..streaming import capture
-from .catalog import _CALLS_SQL, _FOLD_SQL, _RE2_EMAIL, _RE2_PHONE, _ROUTES_SQL, _TEXT_SQL, _calls, _routes, _stream, query, table
+from .catalog import _CALLS_SQL, _FOLD_SQL, _RE2_EMAIL, _RE2_PHONE, _ROUTES_SQL, _TEXT_SQL, _calls, _routes, _stream, dealt, query, table
 
 _text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
@@ -562,7 +562,7 @@ def mask_odd_urls(spark, sf_dir):
 def service_details(spark, sf_dir):
     k = F.col("c_custkey")
     text = _text(F.repeat(F.lit(" "), ((k % 3) * 2046).cast("int")), F.col("c_name"), "\n", F.repeat(F.lit("ab "), (k % 200).cast("int")))
-    return table(spark, sf_dir, "customer").select("c_custkey", policy.service_details(text).alias("details"))
+    return dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", policy.service_details(text).alias("details"))
 
 
 # ---- reports

@@ -42,3 +42,10 @@ def test_delivery_history_of_several_batches(spark, monkeypatch):
     want = connect(SF).execute(scenarios._history_sql(limit)).df()
     assert len(want) == 3 + -(-n // 60) and want["records"].sum() == n
     assert rows(catalog.QUERIES["delivery_history"](spark, SF).toPandas()) == rows(want)
+
+
+def test_rows_of_a_small_file_are_dealt_among_tasks(spark):
+    """One file with one row group, whose rows take long."""
+    found = catalog.QUERIES["service_details"](spark, SF).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(found) > spark.sparkContext.defaultParallelism
+    assert max(r["count"] for r in found) < sum(r["count"] for r in found) / 2

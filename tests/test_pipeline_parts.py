@@ -95,6 +95,13 @@ def test_policy(spark):
     assert verdict.resume("signed_out", "consent_reconfirm") == "signed_out"
 
 
+def test_a_service_s_own_words(spark):
+    """A character that the cut splits is dropped; what shows nothing is a space, and runs of it are one."""
+    odd = {"€" * 2000: "€" * 400 + "…", " " * 4095 + "é": "", "x" + " " * 4094 + "éé": "x", "\u3000a\u2028\u00a0\u200b\tb\ufffdc\ue000": "a bc", "": "", "a" * 400: "a" * 400, None: None}
+    got = spark.createDataFrame([(t,) for t in odd], "t string").select("t", policy.service_details(F.col("t")).alias("said")).collect()
+    assert {r["t"]: r["said"] for r in got} == odd
+
+
 def test_routes(spark):
     routes = spark.createDataFrame([("t1", "h1", "/a", "u", "g", ""), ("t2", "h2", "/b", "u", "g", "r")], capture.ROUTES)
     tokens = spark.createDataFrame([("t1",), ("t2",), ("t3",)], "token string")
