@@ -66,7 +66,7 @@ def pii_spans_pages(spark, sf_dir):
 @query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'write noreply@' || lower(c_mktsegment) || '.example.com now' WHEN 1 THEN 'write u' || c_custkey || '@users.noreply.github.com now'
   ELSE 'write [REDACTED_EMAIL] now' END AS masked FROM customer""")
 def pii_allowlist(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
+    c = dealt(spark, sf_dir, "customer", "c_custkey")
     domain = F.concat(F.lower("c_mktsegment"), F.lit(".example.com"))
     k = F.col("c_custkey") % 4
     mail = F.when(k == 0, F.concat(F.lit("noreply@"), domain)).when(k == 1, F.concat(F.lit("u"), F.col("c_custkey"), F.lit("@users.noreply.github.com"))).otherwise(F.concat(F.lit("c."), F.col("c_custkey"), F.lit("@"), domain))
@@ -86,7 +86,7 @@ def token_entropy(spark, sf_dir):
 def provider_token_mask(spark, sf_dir):
     k = F.col("o_orderkey") % 3
     key = F.when(k == 0, F.concat(F.lit(redaction.PROVIDER_MARKS[0]), F.repeat(F.lit("ab"), 12))).when(k == 1, F.concat(F.lit(redaction.PROVIDER_MARKS[1]), F.repeat(F.lit("ab"), 12))).otherwise(F.concat(F.lit("sb_publishable_"), F.repeat(F.lit("ab"), 12)))
-    return table(spark, sf_dir, "orders").select("o_orderkey", redaction.mask_records(F.concat(F.lit("key "), key, F.lit(" end"))).alias("masked"))
+    return dealt(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", redaction.mask_records(F.concat(F.lit("key "), key, F.lit(" end"))).alias("masked"))
 
 
 @query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'see REDACTED now' WHEN 1 THEN 'see https://host/path' || s_suppkey || ' now' WHEN 2 THEN 'PG_PASSWORD=REDACTED now' ELSE 'PG_PASSWORD=changeme now' END AS masked FROM supplier""")
@@ -96,7 +96,7 @@ def credential_mask(spark, sf_dir):
         F.when(k == 0, F.concat(F.lit("see postgres://u:"), F.lit("pa"), n, F.lit("@db/x now"))).when(k == 1, F.concat(F.lit("see https://host/path"), n, F.lit(" now")))
         .when(k == 2, F.concat(F.lit("PG_PASSWORD=pa"), n, F.lit(" now"))).otherwise(F.lit("PG_PASSWORD=changeme now"))
     )
-    return table(spark, sf_dir, "supplier").select("s_suppkey", redaction.mask_records(text).alias("masked"))
+    return dealt(spark, sf_dir, "supplier", "s_suppkey").select("s_suppkey", redaction.mask_records(text).alias("masked"))
 
 
 @query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'REDACTED' WHEN 1 THEN 'host=h user=u' WHEN 2 THEN 'REDACTED' ELSE 'Server=a;User Id=b;Password=changeme' END AS masked FROM nation""")
@@ -120,7 +120,7 @@ def placeholder_class(spark, sf_dir):
 def json_field_mask(spark, sf_dir):
     mail = F.concat(F.lit("u"), F.col("user_id"), F.lit("@mail.example.com"))
     text = F.concat(F.lit('{"user_id":"'), mail, F.lit('","note":"'), mail, F.lit('","n": 1.10,"items":["x","'), F.col("event_type"), F.lit('"],"host":"h","user":"u","password":"p'), F.col("event_id"), F.lit('"}'))
-    return table(spark, sf_dir, "events").select("event_id", redaction.mask_records(text).alias("masked"))
+    return dealt(spark, sf_dir, "events", "event_id").select("event_id", redaction.mask_records(text).alias("masked"))
 
 
 # ---- reassembly
@@ -438,7 +438,7 @@ def mask_token(spark, sf_dir):
 @query("SELECT s_suppkey, 'https://redacted@h.example/p?a=redacted&k=redacted' AS masked FROM supplier")
 def mask_url(spark, sf_dir):
     url = F.concat(F.lit("https://user:"), F.lit("pw"), F.col("s_suppkey"), F.lit("@h.example/p?k="), F.col("s_suppkey"), F.lit("&a=1"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", policy.mask_url_credentials(url).alias("masked"))
+    return dealt(spark, sf_dir, "supplier", "s_suppkey").select("s_suppkey", policy.mask_url_credentials(url).alias("masked"))
 
 
 @query("""SELECT count(*) FILTER (WHERE event_id % 3 = 0)::BIGINT AS recorded, count(*) FILTER (WHERE event_id % 6 = 0)::BIGINT AS degraded, count(*) FILTER (WHERE event_id % 3 = 1)::BIGINT AS dropped, count(*) FILTER (WHERE event_id % 3 = 2)::BIGINT AS unusable_upstream FROM events""")

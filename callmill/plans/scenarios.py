@@ -36,7 +36,7 @@ def mask_pages(spark, sf_dir):
 
 @query(f"SELECT conv_id, turn, {_masked_sql('text')} AS masked FROM conversations")
 def mask_conversations(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", redaction.mask_records("text").alias("masked"))
+    return dealt(spark, sf_dir, "conversations", "conv_id", "turn").select("conv_id", "turn", redaction.mask_records("text").alias("masked"))
 
 
 @query(f"SELECT doc_id, regexp_replace({_TEXT_SQL}, '{_RE2_EMAIL}', '[REDACTED_EMAIL]', 'g') AS emails, regexp_replace({_TEXT_SQL}, '{_RE2_PHONE}', '[REDACTED_PHONE]', 'g') AS phones, {_TEXT_SQL} AS neither FROM documents")
@@ -60,7 +60,7 @@ bits AS (SELECT o_orderkey, -sum(n / 43.0::DOUBLE * log2(n / 43.0::DOUBLE)) AS e
 SELECT o_orderkey, CASE WHEN e > 4.5 THEN 'key REDACTED end' ELSE 'key ' || token || ' end' END AS masked FROM tokens JOIN bits USING (o_orderkey)""")
 def entropy_mask(spark, sf_dir):
     token = F.translate(F.rtrim(F.base64(F.unhex(F.sha2(F.col("o_orderkey").cast("string"), 256))), F.lit("=")), "/+", "-_")
-    return table(spark, sf_dir, "orders").select("o_orderkey", redaction.mask_records(_text("key ", token, " end")).alias("masked"))
+    return dealt(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", redaction.mask_records(_text("key ", token, " end")).alias("masked"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'REDACTED; done' WHEN 1 THEN 'jdbc:mysql://h' || p_partkey || '/db?user=u&password=changeme done' WHEN 2 THEN 'REDACTED done'
@@ -71,7 +71,7 @@ def database_url_mask(spark, sf_dir):
         F.when(k == 0, _text("jdbc:mysql://h", n, "/db?user=u&password=s", n, "; done")).when(k == 1, _text("jdbc:mysql://h", n, "/db?user=u&password=changeme done")).when(k == 2, _text("postgresql://h", n, "/db?password=s", n, " done"))
         .when(k == 3, _text("mysql://h", n, "/db?ssl=1 done")).when(k == 4, _text("at mongodb+srv://u:s", n, "@h/db.")).otherwise(_text("redis://h", n, "/0 done"))
     )
-    return table(spark, sf_dir, "part").select("p_partkey", redaction.mask_records(text).alias("masked"))
+    return dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", redaction.mask_records(text).alias("masked"))
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'REDACTED done' WHEN 1 THEN 'REDACTED then REDACTED' WHEN 2 THEN 'AKIA' || repeat('Q', 15) || ' done' ELSE '{"key":"REDACTED"}' END AS masked FROM customer""")
@@ -79,12 +79,12 @@ def vendor_mask(spark, sf_dir):
     k, key, token = F.col("c_custkey") % 4, _text("AKIA", F.repeat(F.lit("Q"), 16)), _text("ghp_", F.lpad(F.col("c_custkey").cast("string"), 36, "0"))
     private = _text('{"key":"-----BEGIN RSA PRIVATE KEY-----\\n', F.repeat(F.lit("ab"), 20), '\\n-----END RSA PRIVATE KEY-----"}')
     text = F.when(k == 0, _text(key, " done")).when(k == 1, _text(token, " then ", key)).when(k == 2, _text("AKIA", F.repeat(F.lit("Q"), 15), " done")).otherwise(private)
-    return table(spark, sf_dir, "customer").select("c_custkey", redaction.mask_records(text).alias("masked"))
+    return dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", redaction.mask_records(text).alias("masked"))
 
 
 @query("""SELECT event_id, '{"note":"[REDACTED_EMAIL]","n":' || event_id || '}' || chr(10) || 'broken {"note":"[REDACTED_EMAIL]"' || chr(10) || chr(10) || '["[REDACTED_PHONE]", 1.50]' AS masked FROM events""")
 def jsonl_mask(spark, sf_dir):
-    e, mail = table(spark, sf_dir, "events"), _text("u", F.col("event_id"), "@mail.example.com")
+    e, mail = dealt(spark, sf_dir, "events", "event_id"), _text("u", F.col("event_id"), "@mail.example.com")
     text = _text('{"note":"', mail, '","n":', F.col("event_id"), '}\nbroken {"note":"', mail, '"\n\n["+1 (212) 555-0100", 1.50]')
     return e.select("event_id", redaction.mask_records(text).alias("masked"))
 
@@ -95,7 +95,7 @@ def json_payload_mask(spark, sf_dir):
     mail = _text("c", F.col("c_custkey"), "@mail.example.com")
     kind = F.element_at(F.array(*map(F.lit, ("image", "base64", "text", "imagery"))), (F.col("c_custkey") % 4 + 1).cast("int"))
     text = _text('{"type":"', kind, '","data":"', mail, '","url":"', mail, '","alt":"', mail, '","signature":"', mail, '","ids":["i', mail, '",{"x":"', mail, '"}]}')
-    return table(spark, sf_dir, "customer").select("c_custkey", redaction.mask_records(text).alias("masked"))
+    return dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", redaction.mask_records(text).alias("masked"))
 
 
 @query("""SELECT s_suppkey, [{'start': 0, 'end': n, 'label': 'EMAIL'}, {'start': n + 1, 'end': n + 13, 'label': 'PHONE'}, {'start': n + 14, 'end': n + 14 + 14 + length(s_suppkey::VARCHAR), 'label': ''}]::VARCHAR AS spans FROM (SELECT *, length('s@mail.example.com') + length(s_suppkey::VARCHAR) AS n FROM supplier)""")
@@ -104,7 +104,7 @@ def span_union(spark, sf_dir):
     n = F.col("s_suppkey").cast("string")
     spans = redaction.text_spans(_text("s", n, "@mail.example.com 212-555-0100 ftp://u:p", n, "@h.io"))
     shown = F.transform(spans, lambda s: F.format_string("{'start': %d, 'end': %d, 'label': %s}", s["start"], s["end"], F.when(s["label"] == "", "''").otherwise(s["label"])))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", _text("[", F.array_join(shown, ", "), "]").alias("spans"))
+    return dealt(spark, sf_dir, "supplier", "s_suppkey").select("s_suppkey", _text("[", F.array_join(shown, ", "), "]").alias("spans"))
 
 
 # ---- exchanges to records
@@ -119,7 +119,7 @@ def _calls_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _text(event("message_start", _text('{"message":{"id":"s', k, '","content":[]}}')), F.when(k % 3 == 0, "").otherwise(event("message_stop", F.lit("{}"))))
     direct = _text('{"n":1.10,"id":"m', k, '"}')
     text = lambda v, name: F.lit(v).alias(name)
-    return table(spark, sf_dir, "orders").select(
+    return dealt(spark, sf_dir, "orders", "o_orderkey").select(
         "o_orderkey", text("p", "provider"), text("/v1/messages", "endpoint"), F.lit(200).alias("http_status"), text("1.2.3", "client_version"), F.sha2(F.col("o_custkey").cast("string"), 256).alias("project_id_hash"),
         _text("2024-05-06T07:08:", F.lpad((k % 60).cast("string"), 2, "0"), "Z").alias("at"), F.when(k % 2 == 0, "https://api/").otherwise("https://relay").alias("upstream"), text("https://api", "official_upstream"),
         _text('{"metadata":{"user_id":"u', F.col("o_custkey"), '"}}').cast("binary").alias("request"), F.lit(True).alias("request_complete"), F.when(k % 4 == 0, stream).otherwise(direct).cast("binary").alias("response"), (k % 5 != 0).alias("response_complete"),
@@ -161,7 +161,7 @@ def size_cap(spark, sf_dir):
 def parse_records(spark, sf_dir):
     k = F.col("o_orderkey") % 4
     text = F.when(k == 0, _text('{"schema_version":"1","endpoint":"e', F.col("o_custkey"), '"}')).when(k == 1, '{"schema_version":"1"').when(k == 2, '{"schema_version":"9"}').otherwise("{}")
-    parsed = envelope.parsed(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", text.alias("data")))
+    parsed = envelope.parsed(dealt(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", "o_custkey", text.alias("data")))
     return parsed.select("o_orderkey", "parse_error", F.when(F.col("parse_error").isNull(), F.col("record.endpoint")).alias("endpoint"))
 
 
@@ -547,7 +547,7 @@ _PADDED = _KEY.ljust(64, b"\0")
 
 @query(f"SELECT c_custkey, sha256(unhex('{bytes(b ^ 0x5C for b in _PADDED).hex()}') || unhex(sha256(unhex('{bytes(b ^ 0x36 for b in _PADDED).hex()}') || encode(c_name)))) AS proof FROM customer")
 def keyed_proof(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", policy.keyed_proof(F.col("c_name"), _KEY).alias("proof"))
+    return dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", policy.keyed_proof(F.col("c_name"), _KEY).alias("proof"))
 
 
 @query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'https://redacted@h/p?redacted' WHEN 1 THEN 'https://h/p?redacted#f' WHEN 2 THEN 'https://h/p?a+b=redacted&k=redacted' WHEN 3 THEN 'https://h/p' ELSE 'https://h/p?redacted' END AS masked FROM supplier")
@@ -555,7 +555,7 @@ def mask_odd_urls(spark, sf_dir):
     """Queries that can't be taken apart are masked whole."""
     k, n = F.col("s_suppkey") % 5, F.col("s_suppkey")
     url = F.when(k == 0, _text("https://u:p", n, "@h/p?a=%zz&b")).when(k == 1, _text("https://h/p?t=a;", n, "#f")).when(k == 2, _text("https://h/p?k=", n, "&a%20b=1&&k=2")).when(k == 3, "https://h/p").otherwise("https://h/p?&")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", policy.mask_url_credentials(url).alias("masked"))
+    return dealt(spark, sf_dir, "supplier", "s_suppkey").select("s_suppkey", policy.mask_url_credentials(url).alias("masked"))
 
 
 @query("""SELECT c_custkey, CASE WHEN length(t) > 400 THEN substr(t, 1, 400) || '…' ELSE t END AS details FROM (SELECT c_custkey, trim(regexp_replace(substr(repeat(' ', (c_custkey % 3) * 2046) || c_name || chr(10) || repeat('ab ', c_custkey % 200), 1, 4096), '[\\n ]+', ' ', 'g')) AS t FROM customer)""".replace("\\\\n", "\\n"))

@@ -44,8 +44,9 @@ def test_delivery_history_of_several_batches(spark, monkeypatch):
     assert rows(catalog.QUERIES["delivery_history"](spark, SF).toPandas()) == rows(want)
 
 
-def test_rows_of_a_small_file_are_dealt_among_tasks(spark):
+@pytest.mark.parametrize("name", ["service_details", "json_payload_mask"])
+def test_rows_of_a_small_file_are_dealt_among_tasks(spark, name):
     """One file with one row group, whose rows take long."""
-    found = catalog.QUERIES["service_details"](spark, SF).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    found = catalog.QUERIES[name](spark, SF).groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(found) > spark.sparkContext.defaultParallelism
     assert max(r["count"] for r in found) < sum(r["count"] for r in found) / 2
