@@ -144,13 +144,13 @@ def _stream(text, change):
 
 @query("SELECT conv_id, turn, text AS assembled, '9007199254740993' AS output_tokens FROM conversations")
 def sse_roundtrip(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").withColumn("m", assembly.assembled(_stream(F.col("text"), F.lit(0))))
+    rows = dealt(spark, sf_dir, "conversations", "conv_id", "turn").withColumn("m", assembly.assembled(_stream(F.col("text"), F.lit(0))))
     return rows.select("conv_id", "turn", F.get_json_object("m.message", "$.content[0].text").alias("assembled"), F.regexp_extract("m.message", r'"output_tokens":(\d+)', 1).alias("output_tokens"))
 
 
 @query("""SELECT conv_id, turn, CASE conv_id % 5 WHEN 1 THEN 'event before start' WHEN 2 THEN 'unstarted block' WHEN 3 THEN 'no stop' WHEN 4 THEN 'event after stop' END AS reason FROM conversations""")
 def sse_degrade_reasons(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
+    rows = dealt(spark, sf_dir, "conversations", "conv_id", "turn")
     return rows.select("conv_id", "turn", assembly.assembled(_stream(F.col("text"), F.col("conv_id") % 5))["error"].alias("reason"))
 
 

@@ -169,7 +169,7 @@ def parse_records(spark, sf_dir):
 
 @query("""SELECT conv_id || '.' || turn AS exchange_id, CASE WHEN conv_id % 5 = 0 THEN text END AS text, CASE conv_id % 5 WHEN 1 THEN 'event before start' WHEN 2 THEN 'unstarted block' WHEN 3 THEN 'no stop' WHEN 4 THEN 'event after stop' END AS error FROM conversations""")
 def events_assembled(spark, sf_dir):
-    streams = table(spark, sf_dir, "conversations").select(_text(F.col("conv_id"), ".", F.col("turn")).alias("exchange_id"), _stream(F.col("text"), F.col("conv_id") % 5).alias("stream"))
+    streams = dealt(spark, sf_dir, "conversations", "conv_id", "turn").select(_text(F.col("conv_id"), ".", F.col("turn")).alias("exchange_id"), _stream(F.col("text"), F.col("conv_id") % 5).alias("stream"))
     events = streams.select("exchange_id", F.posexplode(assembly.sse_events("stream")).alias("seq", "e")).select("exchange_id", F.col("seq").cast("long"), "e.name", "e.data")
     return capture.assemble_whole(events).select("exchange_id", F.get_json_object("message", "$.content[0].text").alias("text"), "error")
 
@@ -178,7 +178,7 @@ def events_assembled(spark, sf_dir):
 FROM conversations, (SELECT unnest(['message_start', 'ping', 'content_block_start', 'content_block_delta', 'content_block_stop', 'message_delta', 'message_stop']) AS name) GROUP BY name""")
 def event_counts(spark, sf_dir):
     assembly.register_functions(spark)
-    streams = table(spark, sf_dir, "conversations").select(_stream(F.col("text"), F.col("conv_id") % 5).alias("stream"))
+    streams = dealt(spark, sf_dir, "conversations", "conv_id", "turn").select(_stream(F.col("text"), F.col("conv_id") % 5).alias("stream"))
     return spark.sql("SELECT e.name, count(*) AS n FROM {streams}, LATERAL sse_events(stream) e GROUP BY e.name", streams=streams)
 
 

@@ -7,13 +7,16 @@ read lets nothing pass.
 
 from __future__ import annotations
 
+import itertools
 import json
 import logging
+import operator
 import threading
 import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
@@ -107,6 +110,8 @@ class ExitFlush(StreamingQueryListener):
 #: How long an exchange may be silent before it is given up, and how long an ended one is remembered.
 SILENCE_MS, REMEMBERED_MS = 3_600_000, 600_000
 ASSEMBLED = "exchange_id string, message string, error string"
+#: Rows that a task gives out at once.
+GIVEN_AT_ONCE = 1000
 
 
 def message_of(events: Iterable[tuple[str, str]]) -> tuple[str | None, str | None]:
@@ -164,9 +169,16 @@ def assemble_events(events: DataFrame, silence_ms: int = SILENCE_MS, remembered_
 
 
 def assemble_whole(events: DataFrame) -> DataFrame:
-    """``assemble_events`` for events that are all there: a row per exchange, at once."""
-    def whole(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        events = group.sort_values("seq")[["name", "data"]].itertuples(index=False)
-        return pd.DataFrame([(key[0], *message_of(events))], columns=["exchange_id", "message", "error"])
+    """``assemble_events`` for events that are all there: a row per exchange, at once.
 
-    return events.groupBy("exchange_id").applyInPandas(whole, ASSEMBLED)
+    Tasks take events in order and hold one exchange's message, however many
+    exchanges they have.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(b[c].to_pylist() for c in ("exchange_id", "name", "data")), strict=True))
+        done = ((key, *message_of((name, data) for _, name, data in group)) for key, group in itertools.groupby(rows, key=operator.itemgetter(0)))
+        while some := list(itertools.islice(done, GIVEN_AT_ONCE)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*some, strict=True)], names=["exchange_id", "message", "error"])
+
+    return events.repartition("exchange_id").sortWithinPartitions("exchange_id", "seq").select("exchange_id", "name", "data").mapInArrow(whole, ASSEMBLED)

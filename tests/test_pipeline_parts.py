@@ -504,6 +504,23 @@ def test_events_in_any_order(spark, tmp_path):
     assert got == {r["exchange_id"]: (r["message"], r["error"]) for r in whole.collect() if r["exchange_id"] != "x7"}
 
 
+def test_whole_exchanges_are_taken_in_order_without_a_table_each(spark):
+    """Many short exchanges share a task's batches, and one lies in many of them."""
+    rows = [r for i in range(40) for r in numbered_events(f"x{i}", START, STOP)]
+    rows += numbered_events("long", START, *[BLOCK] * 30, STOP) + numbered_events(None, START) + [("gap", 5, "ping", "{}")]
+    random.Random(3).shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        whole = capture.assemble_whole(spark.createDataFrame(rows, "exchange_id string, seq long, name string, data string"))
+        got = {r["exchange_id"]: (r["message"], r["error"]) for r in whole.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ordered = lambda key: sorted((r[1:] for r in rows if r[0] == key), key=lambda r: r[0])
+    assert got == {key: capture.message_of(r[1:] for r in ordered(key)) for key in {r[0] for r in rows}}
+    assert got["gap"] == (None, "event before start") and got[None] == (None, "no stop") and got["x7"][1] is None
+    assert "InPandas" not in whole._jdf.queryExecution().toString()
+
+
 def test_silent_exchanges_are_given_up(spark, tmp_path):
     rows = numbered_events("x1", START) + [r for r in numbered_events("x2", START, BLOCK, STOP) if r[1] != 1]
     got = streamed(spark, str(tmp_path), [rows, numbered_events("x3", START, STOP)], silence_ms=1)
