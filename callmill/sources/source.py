@@ -45,8 +45,8 @@ from pyspark.sql.types import StructType
 from .spool import RECORDS
 
 STORE, PARTS = "callmill_store", "callmill_parts"
-#: Rows that a task holds at once, and the bytes of small files that it reads.
-ROWS_AT_ONCE, BYTES_A_TASK = 4096, 64 << 20
+#: Rows that a task holds at once, and the bytes of small files that it reads: packed ones, of which few hold many rows.
+ROWS_AT_ONCE, BYTES_A_TASK = 4096, 4 << 20
 PARQUET = ds.ParquetFileFormat(read_options=ds.ParquetReadOptions(coerce_int96_timestamp_unit="us"))
 
 

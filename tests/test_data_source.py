@@ -42,6 +42,15 @@ def test_reads_what_the_store_holds(spark, spool):
     same(read(spark, spool), spool.rows())
 
 
+def test_small_files_make_several_tasks():
+    """Files of packed rows cost more than their bytes tell: few of them are a task, and none is left out."""
+    parts = [source.Part(f"f{i}", 1 << 20, "20240101", [], [], [], None) for i in range(14)]
+    tasks = source._tasks(parts)
+    assert len(tasks) >= 3 and [p for t in tasks for p in t.parts] == parts
+    large = source.Part("large", 1 << 30, "20240101", [], [], [], None)
+    assert [len(t.parts) for t in source._tasks([large, *parts[:2], large])] == [1, 2, 1]
+
+
 def test_empty_and_missing_stores(spark, tmp_path):
     source.register(spark)
     assert spark.read.format(source.STORE).load(f"file://{tmp_path}/none").count() == 0
