@@ -28,7 +28,7 @@ from contextlib import AbstractContextManager
 from dataclasses import dataclass, field, replace
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import policy
@@ -254,9 +254,9 @@ def _deliver_window(
         packed = None
         if len(bins) > at_once and spool.holds(marks[-1]):
             name = F.element_at(F.array(*(F.lit(ids[b]) for b in bins)), (F.col("bin") - bins.start + 1).cast("int"))
-            days = {r["day"] for found in spans.values() for r in found}
             mine = cut.where(chosen).select("day", "request_id", name.alias("batch_id"))
-            packed = _pack(spool, stored.where(F.col("day").isin(sorted(days))).join(mine, ["day", "request_id"]), now, client_version)
+            # merged, never broadcast: files pack ids so well that their size says little of what they take on the driver
+            packed = _pack(spool, stored.where(_across([r for found in spans.values() for r in found])).join(mine.hint("merge"), ["day", "request_id"]), now, client_version)
         for at in range(bins.start, bins.stop, at_once):
             if spent():
                 out.error = "budget spent"
@@ -275,15 +275,28 @@ def _deliver_window(
     return True
 
 
+def _across(spans: list) -> Column:
+    """Whether a row lies between the first and the last of some neighbouring bins' rows, in scan order."""
+    day, after = min((r["day"], r["after"]) for r in spans)
+    end, last = max((r["day"], r["last"]) for r in spans)
+    begun = (F.col("day") > day) | ((F.col("day") == day) & (F.col("request_id") > after))
+    return begun & ((F.col("day") < end) | ((F.col("day") == end) & (F.col("request_id") <= last)))
+
+
 @dataclass
 class _Packed:
     """Batches that are ready to be sent, and the rows that can't be read."""
 
     batches: DataFrame
     sizes: dict[str, tuple[int, int]]  # records and bytes
+    files: dict[str, list[str]]
     unreadable: DataFrame
     bad: dict[str, int]
 
+    def batch(self, batch_id: str) -> DataFrame:
+        """From its own files, not all that were packed together."""
+        return self.batches.where(F.col("_metadata.file_path").isin(self.files[batch_id]) & (F.col("batch_id") == batch_id))
+
 
 def _pack(spool: Spool, rows: DataFrame, now: float, client_version: str) -> _Packed:
     """Every text is read and masked once, in as many tasks as there are cores: the store's files are few."""
@@ -293,8 +306,9 @@ def _pack(spool: Spool, rows: DataFrame, now: float, client_version: str) -> _Pa
     facts = spool.hold(batching.masked(good))
     packed = spool.hold(batching.pack_batches(batching.placed(facts, spool.hold), client_version, str(now)).hint("rebalance"))
     size = F.sum(F.octet_length("envelope") + F.octet_length("records"))
-    sizes = {r["batch_id"]: (r["n"], r["bytes"]) for r in packed.groupBy("batch_id").agg(F.sum("n_records").alias("n"), size.alias("bytes")).collect()}  # a row per batch packed together
-    return _Packed(packed, sizes, bad, {r["batch_id"]: r["count"] for r in bad.groupBy("batch_id").count().collect()})
+    found = packed.withColumn("at", F.col("_metadata.file_path")).groupBy("batch_id").agg(F.sum("n_records").alias("n"), size.alias("bytes"), F.collect_set("at").alias("files")).collect()  # a row per batch packed together
+    sizes, files = {r["batch_id"]: (r["n"], r["bytes"]) for r in found}, {r["batch_id"]: r["files"] for r in found}
+    return _Packed(packed, sizes, files, bad, {r["batch_id"]: r["count"] for r in bad.groupBy("batch_id").count().collect()})
 
 
 def _deliver(out: Flush, spool: Spool, sink: Sink, now: float, client_version: str, save: Callable[[State], None], spent: Callable[[], bool], packed: _Packed | None = None) -> bool:
@@ -322,7 +336,7 @@ def _deliver_held(out: Flush, spool: Spool, sink: Sink, now: float, save: Callab
             out.error = "budget spent"
             return False
         n, n_bytes = packed.sizes[batch_id]
-        answer = sink.deliver(packed.batches.where(F.col("batch_id") == batch_id))
+        answer = sink.deliver(packed.batch(batch_id))
         out.state = replace(out.state, last_attempt=now)
         if 200 <= answer.status < 300 and answer.batch_id == batch_id:
             spool.settle(batch_id)

@@ -203,6 +203,31 @@ def test_many_batches_are_packed_in_few_jobs(spark, folders, monkeypatch):
     assert (out.outcome, out.records, store_.rows().count()) == ("uploaded", 7, 0)
 
 
+def test_ids_that_are_packed_together_are_not_broadcast(spark, folders, monkeypatch):
+    """They take little room in files, by which Spark decides, and much on the driver."""
+    store_, n, sink, seen, pack = source.TableSpool(spark, folders()), 600, Scripted(OK), [], delivery._pack
+    store_.write(spark.range(n).select(F.format_string("r%09d", "id").alias("request_id"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.lit('{"schema_version":"1"}').alias("data")), 0)
+
+    def watched(spool, rows, *rest):
+        seen.append((len(rows.collect()), rows._jdf.queryExecution().executedPlan().toString()))
+        return pack(spool, rows, *rest)
+
+    monkeypatch.setattr(delivery, "_pack", watched)
+    out = delivery.flush(store_, delivery.State(handshake={"flush_bytes": 22 * 200}), sink, NOW, force=True)
+    assert (out.outcome, out.batches, out.records, store_.rows().count()) == ("uploaded", 3, n, 0)
+    assert [k for _, k in sink.seen] == [200] * 3
+    assert [k for k, _ in seen] == [200, 400] and "SortMergeJoin" in seen[1][1]
+    assert all("Broadcast" not in plan for _, plan in seen)
+
+
+def test_packing_reads_the_rows_between_its_first_and_its_last(spark):
+    """Bins go on from day to day; what lies before and behind is left out."""
+    rows = spark.createDataFrame([(f"2024010{d}", f"r{i}") for d in range(1, 5) for i in range(4)], "day string, request_id string")
+    spans = [{"day": d, "after": a, "last": b} for d, a, b in (("20240104", "", "r1"), ("20240102", "r1", "r2"), ("20240102", "r2", "r3"), ("20240103", "", "r3"))]
+    found = [(r["day"][-1], r["request_id"]) for r in rows.where(delivery._across(spans)).orderBy("day", "request_id").collect()]
+    assert found == [("2", "r2"), ("2", "r3"), *(("3", f"r{i}") for i in range(4)), ("4", "r0"), ("4", "r1")]
+
+
 def test_flush_outcomes(spark, folders):
     flush = lambda sink=OK, n=4, state=delivery.State(), now=NOW, **o: delivery.flush(spool(spark, folders(), n), state, Scripted(sink), now, **o)
     assert flush().outcome == "below_threshold"

@@ -145,6 +145,17 @@ def test_numbers_are_taken_once(spark, tmp_path):
     assert [n for n in os.listdir(tmp_path / "log") if n.endswith(".part")] == []
 
 
+def test_an_entry_is_whole_where_disks_have_no_links(spark, tmp_path):
+    log = numbered.Log(spark, f"file://{tmp_path}/log")
+    log.append(1, {"a": 1})
+    log.files._rename = log.files._renamed(log.files.path("x"))
+    log.append(2, {"a": 2})
+    with pytest.raises(numbered.Taken):
+        log.append(2, {"a": 3})
+    assert log.latest() == numbered.Log(spark, log.files.root).latest() == (2, {"a": 2}) and log.numbers() == [1, 2]
+    assert [n for n in os.listdir(tmp_path / "log") if n.endswith(".part")] == []
+
+
 def test_requeue_and_discard(spark, spool):
     aside = spool.rows().where("request_id < 'r006'").withColumns({"batch_id": F.when(F.col("request_id") < "r004", "one").otherwise("two"), "details": F.lit("no")})
     aside = aside.withColumn("data", F.when(F.col("request_id") == "r002", "{").otherwise(F.col("data")))
