@@ -38,6 +38,8 @@ REJECTED = "batch_id string, day string, request_id string, session_key string,
 MOST_PIECES = 16
 #: Last writes that a repetition can replace.
 REMEMBERED = 64
+#: Rows of keys that a join may copy to every task.  Files pack ids so well that their size, by which Spark decides, says little of what they take on the driver.
+FEW_ROWS = 10_000
 
 
 class Stale(Exception):
@@ -64,6 +66,11 @@ def _within(ranges: list, gens: dict[str, int]) -> Column:
     return found
 
 
+def _keys(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, ``n`` of them, as one side of a join."""
+    return rows if n <= FEW_ROWS else rows.hint("merge")
+
+
 class TableSpool:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -113,7 +120,8 @@ class TableSpool:
             found = found.where(~_within(ranges, m["gens"]))
         tables = [t["at"] for t in m["withdrawn"] if set(t["days"]) & set(chosen)]
         if tables:
-            gone = self._parquet("day string, request_id string, gen string", tables)
+            n = sum(t.get("rows", FEW_ROWS + 1) for t in m["withdrawn"] if t["at"] in tables)  # older versions don't tell
+            gone = _keys(self._parquet("day string, request_id string, gen string", tables), n)
             found = found.join(gone, ["day", "request_id", "gen"], "left_anti")
         return found
 
@@ -139,7 +147,7 @@ class TableSpool:
         for name, kind in (("session_key", "string"), ("project_id_hash", "string")):
             fresh = fresh if name in fresh.columns else fresh.withColumn(name, F.lit(None).cast(kind))
         made = self._write(fresh.withColumn("gen", F.lit(gen)), folder)
-        keys = self._parquet(RECORDS, [folder]).select("day", "request_id")
+        keys = _keys(self._parquet(RECORDS, [folder]).select("day", "request_id"), sum(f["rows"] for f in made.values()))
         self._replace(lambda m: {d for d in made if d in m["days"]}, lambda rows: rows.join(keys, ["day", "request_id"], "left_semi"), self._added(made, gen, written), written)
 
     def _added(self, made: dict[str, dict], gen: str, written: int | str | None = None) -> Callable[[dict, int], None]:
@@ -165,12 +173,13 @@ class TableSpool:
             drop = [f["at"] for folders in m["days"].values() for f in folders if f["gens"] == [again]]
             if old:
                 at = F.regexp_extract(F.col("_metadata.file_path"), r"((?:records)/[0-9a-f]+/of_day=[^/]+)/", 1)
-                hit = {r["at"] for r in lost(self._parquet(RECORDS, [f["at"] for f in old]).withColumn("at", at)).select("at").distinct().collect()}  # folders
+                hit = {r["at"]: r["count"] for r in lost(self._parquet(RECORDS, [f["at"] for f in old]).withColumn("at", at)).groupBy("at").count().collect()}  # folders
                 old = [f for f in old if f["at"] in hit]
             made: dict[str, dict] = {}
             if old:
                 rows = self._parquet(RECORDS, [f["at"] for f in old])
-                made = self._write(rows.join(lost(rows).select("day", "request_id"), ["day", "request_id"], "left_anti"), self._name("records"))
+                gone = _keys(lost(rows).select("day", "request_id"), sum(hit.values()))
+                made = self._write(rows.join(gone, ["day", "request_id"], "left_anti"), self._name("records"))
             names = {f["at"] for f in old} | set(drop)
 
             def change(now: dict, number: int, names=names, made=made, m=m) -> dict:
@@ -243,10 +252,10 @@ class TableSpool:
         """Let go of single rows (day, request_id, gen); a row that was written again since then stays."""
         folder = self._name("withdrawn")
         rows.select("day", "request_id", "gen").write.parquet(f"{self.path}/{folder}")
-        days = sorted(r["day"] for r in self._parquet("day string, request_id string, gen string", [folder]).select("day").distinct().collect())
+        days = {r["day"]: r["count"] for r in self._parquet("day string, request_id string, gen string", [folder]).groupBy("day").count().collect()}
 
         def change(m: dict, number: int) -> dict:
-            m["withdrawn"] = [*m["withdrawn"], {"at": folder, "days": days}] if days else m["withdrawn"]
+            m["withdrawn"] = [*m["withdrawn"], {"at": folder, "days": sorted(days), "rows": sum(days.values())}] if days else m["withdrawn"]
             return m
 
         self.commit(change)
@@ -289,7 +298,7 @@ class TableSpool:
         made = self._write(good, back)
         bad.select(*(c.split()[0] for c in REJECTED.split(", ")), F.md5("batch_id").alias("of_batch")).write.partitionBy("of_batch").parquet(f"{self.path}/{left}")
         places = self._places(left)
-        keys = self._parquet(RECORDS, [back]).select("day", "request_id")
+        keys = _keys(self._parquet(RECORDS, [back]).select("day", "request_id"), sum(f["rows"] for f in made.values()))
         add = self._added(made, gen)
 
         def then(m: dict, number: int) -> None:

@@ -156,6 +156,33 @@ def test_an_entry_is_whole_where_disks_have_no_links(spark, tmp_path):
     assert [n for n in os.listdir(tmp_path / "log") if n.endswith(".part")] == []
 
 
+def test_many_keys_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Writes over older rows, a requeue and single rows that left, each with more keys than may be copied to every task, and with few."""
+    plans, write = [], TableSpool._write
+
+    def watched(self, found, folder, **options):
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return write(self, found, folder, **options)
+
+    monkeypatch.setattr(TableSpool, "_write", watched)
+    for most in (5, 50):
+        monkeypatch.setattr("callmill.sources.spool.FEW_ROWS", most)
+        del plans[:]
+        spool = TableSpool(spark, f"file://{tmp_path}/{most}")
+        spool.write(rows(spark, range(20)), 0)
+        spool.write(rows(spark, range(8, 30)), 1)
+        assert ids(spool.rows()) == [*range(30)]
+        aside = spool.rows().where("request_id < 'r012'").withColumns({"batch_id": F.lit("b"), "details": F.lit("no")})
+        spool.set_aside(aside)
+        spool.remove(aside)
+        plans.append(spool.rows()._jdf.queryExecution().executedPlan().toString())
+        assert ids(spool.rows()) == [*range(12, 30)]
+        assert spool.requeue("b") == 12 and ids(spool.rows()) == [*range(30)]
+        joins = [p for p in plans if "Join" in p]
+        assert len(joins) == 3  # the write, the rows that left and the requeue
+        assert all(("Broadcast" in p) == (most == 50) for p in joins)
+
+
 def test_requeue_and_discard(spark, spool):
     aside = spool.rows().where("request_id < 'r006'").withColumns({"batch_id": F.when(F.col("request_id") < "r004", "one").otherwise("two"), "details": F.lit("no")})
     aside = aside.withColumn("data", F.when(F.col("request_id") == "r002", "{").otherwise(F.col("data")))
